@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_curate"]
+MODULES = ["q_curate", "q_chat"]
 
 
 def load():
