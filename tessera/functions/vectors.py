@@ -24,19 +24,22 @@ def cosine(a, b, eps: float = 1e-8) -> Column:
     return dot(a, b) / (F.greatest(norm(a), F.lit(eps)) * F.greatest(norm(b), F.lit(eps)))
 
 
+# Row scalars (max, sum, norm) are passed through aggregate()'s finish
+# lambda so they are computed once per row, not once per element.
+
 def l2_normalize(a) -> Column:
     v = _d(a)
-    n = norm(a)
-    return F.transform(v, lambda x: x / n)
+    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x,
+                       lambda s: F.transform(v, lambda x: x / F.sqrt(s)))
 
 
 def softmax(a, scale: float = 1.0) -> Column:
     """Row softmax of ``scale * a`` with max subtraction."""
     v = F.transform(_d(a), lambda x: x * F.lit(scale))
-    m = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / s)
+    e = F.aggregate(v, F.lit(float("-inf")), lambda m, x: F.greatest(m, x),
+                    lambda m: F.transform(v, lambda x: F.exp(x - m)))
+    return F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x,
+                       lambda s: F.transform(e, lambda x: x / s))
 
 
 def plogp_sum(p, eps: float) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_curate", "q_chat", "q_validate"]
+MODULES = ["q_curate", "q_chat", "q_validate", "q_metrics"]
 
 
 def load():
