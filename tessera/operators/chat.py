@@ -181,7 +181,8 @@ def tag_pieces(df: DataFrame, key: str, order: str, content: str, tags=(K.IMAGE_
     parts = F.when(split_here, F.split(txt, pattern, -1)).otherwise(F.array(txt))
     found = F.when(split_here, F.regexp_extract_all(txt, F.lit("(" + pattern + ")"), 1)).otherwise(
         F.array().cast("array<string>"))
-    x = df.select("*", F.posexplode(parts).alias("_piece_no", "piece"), found.alias("_tags"))
+    x = df.select("*", F.posexplode(parts).alias("_piece_no", "piece"), found.alias("_tags"),
+                  F.size(parts).alias("n_pieces"))
     x = x.withColumn("tag", F.get(F.col("_tags"), F.col("_piece_no"))).drop("_tags")
     w = (Window.partitionBy(key, "tag").orderBy(order, "_piece_no")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
