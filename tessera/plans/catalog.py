@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_curate", "q_chat", "q_validate", "q_metrics", "q_geometry", "q_tokens"]
+MODULES = ["q_curate", "q_chat", "q_validate", "q_metrics", "q_geometry", "q_tokens", "q_io"]
 
 
 def load():
