@@ -217,3 +217,19 @@ def modality_length(turns, has_media) -> Column:
     """Sum of words, negative when the record has no media."""
     n = words_over_turns(turns)
     return F.when(_c(has_media), n).otherwise(-n)
+
+
+def replace_tags(df: DataFrame, key: str, order: str, content: str, out: str = "content",
+                 with_ids: bool = False, extra: tuple = ()) -> DataFrame:
+    """Each media tag in user turns -> one vision block; with ``with_ids``
+    prefixed by 'Picture k: ' / 'Video k: ' counted per kind over the
+    record (the documented add_vision_id option)."""
+    p = tag_pieces(df, key, order, content)
+    k = (F.col("tag_index") + 1).cast("string")
+    img, vid = vision_block("image"), vision_block("video")
+    if with_ids:
+        img = F.concat(F.lit(K.PICTURE_LABEL.split("{}")[0]), k, F.lit(K.PICTURE_LABEL.split("{}")[1]), img)
+        vid = F.concat(F.lit(K.VIDEO_LABEL.split("{}")[0]), k, F.lit(K.VIDEO_LABEL.split("{}")[1]), vid)
+    lab = F.when(F.col("tag") == K.IMAGE_TAG, img).when(F.col("tag") == K.VIDEO_TAG, vid).otherwise(F.lit(""))
+    return reassemble(p.withColumn("_piece_out", F.concat(F.col("piece"), lab)), key, order, "_piece_out", out,
+                      extra=extra)

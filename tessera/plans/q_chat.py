@@ -189,12 +189,7 @@ def vision_ids(spark, d):
     """Vision-id labels: 'Picture k: ' / 'Video k: ' before each block,
     counted per kind over the record."""
     users = FX.turns(loader(spark, d)).filter(F.col("role") == "user").select("conv_id", "turn", "role", "flat")
-    p = C.tag_pieces(users, "conv_id", "turn", "flat")
-    k = (F.col("tag_index") + 1).cast("string")
-    lab = (F.when(F.col("tag") == K.IMAGE_TAG, F.concat(F.lit("Picture "), k, F.lit(": "), C.vision_block("image")))
-           .when(F.col("tag") == K.VIDEO_TAG, F.concat(F.lit("Video "), k, F.lit(": "), C.vision_block("video")))
-           .otherwise(F.lit("")))
-    return C.reassemble(p.withColumn("piece_out", F.concat("piece", lab)), "conv_id", "turn", "piece_out", "content")
+    return C.replace_tags(users, "conv_id", "turn", "flat", with_ids=True)
 
 
 # ---------------------------------------------------------------- C14 C15

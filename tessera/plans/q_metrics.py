@@ -16,12 +16,15 @@ from .registry import loader, query
 
 W = FX.with_ctes
 SCALE = 10.0
-SIDE = F.when(F.col("label") % 2 == 0, "real").otherwise("generated")
 SIDE_SQL = "CASE WHEN label % 2 = 0 THEN 'real' ELSE 'generated' END"
 
 
+def _side():
+    return F.when(F.col("label") % 2 == 0, "real").otherwise("generated")
+
+
 def _emb(spark, d):
-    return loader(spark, d)("embeddings").withColumn("side", SIDE)
+    return loader(spark, d)("embeddings").withColumn("side", _side())
 
 
 def probs_sql(src: str, vec: str, keep: str) -> str:
