@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 # Whitespace as Python's str.split() sees it: Unicode spaces plus the
 # file/group/record/unit separators.
 WS = r"(?U)[\s\x1c-\x1f]+"
+# The same set as literal characters (for trim without a regex).
+WS_CHARS = ("\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))
+            + "\u2028\u2029\u202f\u205f\u3000")
+_S = r"[\s\x1c-\x1f]"        # one whitespace char (with the (?U) flag)
+_N = r"[^\s\x1c-\x1f]"       # one non-whitespace char
 
 
 def _c(x) -> Column:
@@ -29,8 +34,23 @@ def normalize_ws(col) -> Column:
 
 
 def strip_ws(col) -> Column:
-    """``str.strip()`` for whitespace."""
-    return F.regexp_replace(_c(col), r"^(?U)[\s\x1c-\x1f]+|(?U)[\s\x1c-\x1f]+$", "")
+    """``str.strip()`` for whitespace (character-set trim, no regex)."""
+    return F.btrim(_c(col), F.lit(WS_CHARS))
+
+
+def has_min_words(col, n: int) -> Column:
+    """``len(x.split()) >= n`` without splitting the whole text: an anchored
+    pattern with possessive quantifiers that stops after the n-th word."""
+    if n <= 0:
+        return F.lit(True)
+    pat = rf"(?U)\A{_S}*+(?:{_N}++{_S}++){{{n - 1}}}{_N}"
+    return F.coalesce(_c(col), F.lit("")).rlike(pat)
+
+
+def leading_words(col, n: int) -> Column:
+    """``' '.join(x.split()[:n])``: only the leading n words are scanned."""
+    pat = rf"(?U)\A{_S}*+((?:{_N}++(?:{_S}++|\z)){{0,{n}}})"
+    return normalize_ws(F.regexp_extract(_c(col), pat, 1))
 
 
 def strip_chars(col, chars: str) -> Column:

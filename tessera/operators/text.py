@@ -24,18 +24,31 @@ def token_count(col, tokenizer: Tokenizer = whitespace_tokenizer) -> Column:
 
 
 def min_token_filter(df: DataFrame, col: str = "prompt", min_tokens: int = MIN_TOKENS,
-                     tokenizer: Tokenizer = whitespace_tokenizer, out: str = "n_tokens") -> DataFrame:
-    """Keep rows with at least ``min_tokens`` tokens."""
-    return df.withColumn(out, token_count(col, tokenizer)).filter(F.col(out) >= min_tokens)
+                     tokenizer: Tokenizer = whitespace_tokenizer, out: str | None = "n_tokens") -> DataFrame:
+    """Keep rows with at least ``min_tokens`` tokens; ``out`` (when given)
+    receives the full token count."""
+    kept = df.filter(has_min_tokens(col, min_tokens, tokenizer))
+    return kept.withColumn(out, token_count(col, tokenizer)) if out else kept
 
 
 def truncate_tokens(col, max_tokens: int = MAX_TOKENS,
                     tokenizer: Tokenizer = whitespace_tokenizer) -> Column:
-    """First ``max_tokens`` tokens, decoded (joined) and stripped."""
+    """First ``max_tokens`` tokens, decoded (joined) and stripped.  With the
+    whitespace tokenizer only the leading tokens are scanned."""
     c = F.col(col) if isinstance(col, str) else col
+    if tokenizer is whitespace_tokenizer:
+        return T.leading_words(c, max_tokens)
     return T.strip_ws(F.array_join(F.slice(tokenizer(c), 1, max_tokens), " "))
 
 
+def has_min_tokens(col, min_tokens: int = MIN_TOKENS,
+                   tokenizer: Tokenizer = whitespace_tokenizer) -> Column:
+    c = F.col(col) if isinstance(col, str) else col
+    if tokenizer is whitespace_tokenizer:
+        return T.has_min_words(c, min_tokens)
+    return F.size(tokenizer(c)) >= min_tokens
+
+
 def min_word_filter(df: DataFrame, col: str, min_words: int = MIN_WORDS,
                     out: str = "n_words") -> DataFrame:
     """Drop rows with fewer than ``min_words`` whitespace words."""

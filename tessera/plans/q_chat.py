@@ -281,7 +281,7 @@ def registry(d: str) -> Registry:
 
     def prompts(spark):
         from ..operators import text as X
-        p = X.min_token_filter(FX.prompts(loader(spark, d)))
+        p = X.min_token_filter(FX.prompts(loader(spark, d)), out=None)
         return p.select("id", F.lit(3).cast("bigint").alias("n_turns"))
 
     return Registry([Dataset("chat", chat, "media/chat"), Dataset("prompts", prompts, "media/prompts")])

@@ -58,12 +58,12 @@ TRUNC_SQL = f"""filtered AS (
 
 @query("truncate_tokens", W(FX.PROMPTS_SQL, TRUNC_SQL) + "SELECT id, truncated FROM filtered")
 def truncate_tokens(spark, d):
-    p = X.min_token_filter(FX.prompts(loader(spark, d)))
+    p = X.min_token_filter(FX.prompts(loader(spark, d)), out=None)
     return p.select("id", X.truncate_tokens("prompt").alias("truncated"))
 
 
 def _training(spark, d):
-    p = X.min_token_filter(FX.prompts(loader(spark, d)))
+    p = X.min_token_filter(FX.prompts(loader(spark, d)), out=None)
     return p.select("id", C.training_conversation("url", "prompt", X.truncate_tokens("prompt")).alias("conv"))
 
 
@@ -246,6 +246,6 @@ def flagship(spark, d):
     truncate to 77 (B5) -> training conversation (C1) -> JSONL text (A4)."""
     s = FX.scored_prompts(loader(spark, d))
     sp = R.ratio_split(s, S.rank_order("similarity", "id"), 0.8, pos="rank")
-    f = X.min_token_filter(sp)
+    f = X.min_token_filter(sp, out=None)
     conv = C.training_conversation("url", "prompt", X.truncate_tokens("prompt"))
     return f.select("id", "split", "rank", C.to_jsonl(conv).alias("json"))
