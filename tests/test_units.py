@@ -396,3 +396,51 @@ def test_positions_plan_has_no_single_partition_over_rows(spark):
     for i, ln in enumerate(lines):
         if "Exchange SinglePartition" in ln:
             assert "HashAggregate" in lines[i + 1] or "HashAggregate" in " ".join(lines[i + 1:i + 3]), lines[i:i + 3]
+
+
+def test_media_listing_and_payload(spark):
+    from tessera.operators import validate as VA
+    d = tempfile.mkdtemp(prefix="tessera-media-")
+    os.makedirs(os.path.join(d, "media"))
+    for name, body in [("media/a.jpg", b"\xff\xd8abc"), ("media/b.mp4", b"0123456789")]:
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(body)
+    lst = SRC.media_listing(spark, d)
+    assert "content" not in lst.columns
+    got = {r["path"].split(d)[-1]: r["length"] for r in lst.collect()}
+    assert got == {"/media/a.jpg": 5, "/media/b.mp4": 10}
+    pay = SRC.media_payloads(spark, d, glob="*.jpg").select("length", SRC.base64_text("content").alias("b")).first()
+    import base64
+    assert pay["b"] == base64.b64encode(b"\xff\xd8abc").decode()
+    # existence check joins references against the listing (paths as the source reports them)
+    root = lst.select("path").first()["path"].rsplit("/media/", 1)[0]
+    recs = spark.createDataFrame([(1, ["media/a.jpg", "media/x.jpg"], ["media/b.mp4"]), (2, [], [])],
+                                 "id long, images array<string>, videos array<string>")
+    miss = {r["id"]: r["missing_files"] for r in VA.missing_media(recs, "id", lst, root).collect()}
+    assert miss == {1: [root + "/media/x.jpg"]}
+
+
+def test_validation_split_sink(spark, sf_small):
+    from tessera.operators import validate as VA
+    from tessera.plans import q_validate as QV
+    chk = QV.checked(spark, sf_small)
+    out = os.path.join(tempfile.mkdtemp(prefix="tessera-valid-"), "out")
+    VA.write_split(chk, out, "id")
+    valid = spark.read.json(out + "/status=valid")
+    prob = spark.read.json(out + "/status=problem")
+    assert valid.count() + prob.count() == chk.count()
+    assert prob.filter(F.size("validation_problems") == 0).count() == 0
+
+
+def test_url_ext_like_splitext(spark):
+    urls = ["http://a/b/c.JPG?x=1.png", "http://a/b/noext", "http://a.com", "file:///x/.hidden", "p/..x", "a/b.tar.gz"]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(SRC.url_ext("u")).collect()]
+    assert got == [os.path.splitext(u.split("?")[0])[1] or ".png" for u in urls]
+
+
+def test_bare_list_wrap_and_roles(spark):
+    df = spark.createDataFrame([('[{"from":"human","value":"a"},{"from":"gpt","value":"b"},'
+                                 '{"from":"tool","value":"c"}]',)], "line string")
+    cols = C.canonical_from_variant(F.parse_json("line"))
+    t = df.select(cols["turns"].alias("t")).first()["t"]
+    assert [(x["role"], x["content"]) for x in t] == [("user", "a"), ("assistant", "b"), ("tool", "c")]
