@@ -164,13 +164,14 @@ def inference_prompt(prompt, system: str = K.INFERENCE_SYSTEM_PROMPT) -> Column:
 
 # ------------------------------------------------------------------ C11-C12
 def tag_pieces(df: DataFrame, key: str, order: str, content: str, tags=(K.IMAGE_TAG, K.VIDEO_TAG),
-               only_role: str | None = "user", role: str = "role") -> DataFrame:
+               only_role: str | None = "user", role: str = "role", split: bool | None = None) -> DataFrame:
     """Split each turn on media tags: one row per piece (text before the
     i-th tag, or the tail) with the tag that follows it, and the running
     index of that tag per kind over the whole record (turn order).
 
-    The running index is a window partitioned by record, ordered inside
-    it: rows of one record are few, and records spread over tasks.
+    The running index is a skew-safe prefix count (``running_sums``), so
+    a very long record is spread over many tasks; ``_before_rows`` counts
+    the pieces before this one in the record.
     """
     pattern = "|".join(t.replace("<", r"\<").replace(">", r"\>") for t in tags)
     txt = F.col(content)
@@ -184,10 +185,17 @@ def tag_pieces(df: DataFrame, key: str, order: str, content: str, tags=(K.IMAGE_
     x = df.select("*", F.posexplode(parts).alias("_piece_no", "piece"), found.alias("_tags"),
                   F.size(parts).alias("n_pieces"))
     x = x.withColumn("tag", F.get(F.col("_tags"), F.col("_piece_no"))).drop("_tags")
-    w = (Window.partitionBy(key, "tag").orderBy(order, "_piece_no")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return x.withColumn("tag_index", F.when(F.col("tag").isNotNull(),
-                                            F.count(F.lit(1)).over(w) - 1).cast("bigint"))
+    # running index per tag kind over the record: skew-safe prefix counts
+    from .rows import has_hot_group, running_sums
+    if split is None:   # measured on the turn rows: pieces per record follow them
+        split = has_hot_group(df, [key], hot_rows=None)
+    vals = {f"_before_{i}": (F.col("tag") == t).cast("bigint") for i, t in enumerate(tags)}
+    vals["_before_rows"] = F.lit(1).cast("bigint")
+    x = running_sums(x, [order, "_piece_no"], [key], vals, split=split)
+    idx = F.lit(None).cast("bigint")
+    for i, t in enumerate(tags):
+        idx = F.when(F.col("tag") == t, F.col(f"_before_{i}")).otherwise(idx)
+    return x.withColumn("tag_index", idx.cast("bigint")).drop(*[f"_before_{i}" for i in range(len(tags))])
 
 
 def reassemble(pieces: DataFrame, key: str, order: str, piece: str, out: str, extra=()) -> DataFrame:
@@ -220,11 +228,11 @@ def modality_length(turns, has_media) -> Column:
 
 
 def replace_tags(df: DataFrame, key: str, order: str, content: str, out: str = "content",
-                 with_ids: bool = False, extra: tuple = ()) -> DataFrame:
+                 with_ids: bool = False, extra: tuple = (), split: bool | None = None) -> DataFrame:
     """Each media tag in user turns -> one vision block; with ``with_ids``
     prefixed by 'Picture k: ' / 'Video k: ' counted per kind over the
     record (the documented add_vision_id option)."""
-    p = tag_pieces(df, key, order, content)
+    p = tag_pieces(df, key, order, content, split=split)
     k = (F.col("tag_index") + 1).cast("string")
     img, vid = vision_block("image"), vision_block("video")
     if with_ids:

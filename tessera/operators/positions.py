@@ -22,7 +22,8 @@ from . import chat as C
 SYSTEM_BLOCK = 3 + len(K.DEFAULT_SYSTEM.split()) + 2   # header + words + footer
 
 
-def segments(turns: DataFrame, grid: DataFrame, key: str = "conv_id", time_scale: bool = True) -> DataFrame:
+def segments(turns: DataFrame, grid: DataFrame, key: str = "conv_id", time_scale: bool = True,
+             split: bool | None = None) -> DataFrame:
     """One row per (sample, turn, piece) with
 
     chunk_len   text tokens of the chunk (turn header, VISION_END of the
@@ -36,14 +37,22 @@ def segments(turns: DataFrame, grid: DataFrame, key: str = "conv_id", time_scale
     ``grid``: (key, kind, k, gt, gh, gw, sec) with k the ordinal of the
     media file per kind in the sample.
     """
-    p = C.tag_pieces(turns.select(key, "turn", "role", "flat"), key, "turn", "flat")
+    from .rows import has_hot_group, running_sums
+    src = turns.select(key, "turn", "role", "flat")
+    if split is None:                     # one measurement for every pass below
+        split = has_hot_group(src, [key])
+    p = C.tag_pieces(src, key, "turn", "flat", split=split)
     p = p.withColumn("kind", F.when(F.col("tag") == K.IMAGE_TAG, "image").when(F.col("tag") == K.VIDEO_TAG, "video"))
+    # per-piece values computed once; the text is dropped before the offset pass
+    p = p.select(key, "turn", "role", "_piece_no", "n_pieces", "tag", "kind", "tag_index", "_before_rows",
+                 T.word_count("piece").alias("n_words"),
+                 F.aggregate(TK.token_ids(T.words("piece")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+                 .alias("word_id_sum"))
     g = grid.select(key, "kind", F.col("k").alias("tag_index"), "gt", "gh", "gw", "sec")
     p = p.join(g, [key, "kind", "tag_index"], "left")
-    order = Window.partitionBy(key).orderBy("turn", "_piece_no")
-    first = F.row_number().over(order) == 1
+    first = F.col("_before_rows") == 0
     has_tag = F.col("tag").isNotNull()
-    chunk = (F.when(F.col("_piece_no") == 0, 3).otherwise(1) + T.word_count("piece")
+    chunk = (F.when(F.col("_piece_no") == 0, 3).otherwise(1) + F.col("n_words")
              + F.when(has_tag, 1).otherwise(0)
              + F.when(F.col("_piece_no") == F.col("n_pieces") - 1, 2).otherwise(0)
              + F.when(first, SYSTEM_BLOCK).otherwise(0))
@@ -54,13 +63,14 @@ def segments(turns: DataFrame, grid: DataFrame, key: str = "conv_id", time_scale
     p = (p.withColumn("chunk_len", chunk.cast("bigint"))
          .withColumn("hm", hm).withColumn("wm", wm)
          .withColumn("n_pad", F.when(has_tag, F.coalesce(n_pad, F.lit(0))).otherwise(0).cast("bigint"))
-         .withColumn("mw", F.when(has_tag, F.coalesce(mw, F.lit(0))).otherwise(0).cast("bigint")))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    p = (p.withColumn("seq_start", F.coalesce(F.sum(F.col("chunk_len") + F.col("n_pad")).over(before), F.lit(0)))
-         .withColumn("pid_start", F.coalesce(F.sum(F.col("chunk_len") + F.col("mw")).over(before), F.lit(0)))
-         .withColumn("rejected", F.max((has_tag & F.col("gt").isNull()).cast("int")).over(
-             Window.partitionBy(key)) == 1))
-    return p
+         .withColumn("mw", F.when(has_tag, F.coalesce(mw, F.lit(0))).otherwise(0).cast("bigint"))
+         .withColumn("miss", (has_tag & F.col("gt").isNull()).cast("int")))
+    p = running_sums(p, ["turn", "_piece_no"], [key], {
+        "seq_start": F.col("chunk_len") + F.col("n_pad"), "pid_start": F.col("chunk_len") + F.col("mw")},
+        split=split)
+    # sample-level reject flag: a partial aggregation joined back (AQE splits a skewed key)
+    rej = p.groupBy(key).agg((F.max("miss") == 1).alias("rejected"))
+    return p.join(rej, key)
 
 
 def positions_3d(seg: DataFrame, key: str = "conv_id", time_scale: bool = True) -> DataFrame:
@@ -71,22 +81,20 @@ def positions_3d(seg: DataFrame, key: str = "conv_id", time_scale: bool = True)
     tau(i) = int(i * seconds_per_grid * 2) (or i without time scaling).
     """
     ok = seg.filter(~F.col("rejected"))
-    text = ok.select(key, "seq_start", "pid_start", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                                         F.col("chunk_len") - 1)).alias("j"))
-    text = text.select(key, (F.col("seq_start") + F.col("j")).alias("pos"),
-                       *[(F.col("pid_start") + F.col("j")).alias(a) for a in ("t", "h", "w")])
-    med = ok.filter(F.col("n_pad") > 0).select(
-        key, "seq_start", "pid_start", "chunk_len", "hm", "wm", "sec",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_pad") - 1)).alias("m"))
+    # one generator per segment row: u < chunk_len are text tokens, the rest media
+    u = ok.select(key, "seq_start", "pid_start", "chunk_len", "hm", "wm", "sec",
+                  F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunk_len") + F.col("n_pad") - 1)).alias("u"))
+    m = F.col("u") - F.col("chunk_len")
     hw = F.col("hm") * F.col("wm")
-    i = F.floor(F.col("m") / hw)
+    i = F.floor(m / hw)
     tau = F.floor(i * F.col("sec") * 2) if time_scale else i
     base = F.col("pid_start") + F.col("chunk_len")
-    med = med.select(key, (F.col("seq_start") + F.col("chunk_len") + F.col("m")).alias("pos"),
-                     (base + tau).cast("bigint").alias("t"),
-                     (base + F.floor((F.col("m") % hw) / F.col("wm"))).cast("bigint").alias("h"),
-                     (base + F.col("m") % F.col("wm")).cast("bigint").alias("w"))
-    return text.unionByName(med)
+    is_text = F.col("u") < F.col("chunk_len")
+    txt = F.col("pid_start") + F.col("u")
+    return u.select(key, (F.col("seq_start") + F.col("u")).alias("pos"),
+                    F.when(is_text, txt).otherwise(base + tau).cast("bigint").alias("t"),
+                    F.when(is_text, txt).otherwise(base + F.floor((m % hw) / F.col("wm"))).cast("bigint").alias("h"),
+                    F.when(is_text, txt).otherwise(base + m % F.col("wm")).cast("bigint").alias("w"))
 
 
 def sample_lengths(seg: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -102,9 +110,8 @@ def turn_spans(seg: DataFrame, key: str = "conv_id") -> DataFrame:
     g = ok.groupBy(key, "turn", "role").agg(
         F.min(F.col("seq_start") + F.when(first, SYSTEM_BLOCK).otherwise(0)).alias("start"),
         F.sum(F.col("chunk_len") + F.col("n_pad") - F.when(first, SYSTEM_BLOCK).otherwise(0)).alias("length"),
-        F.sum(T.word_count("piece")).alias("n_words"),
-        F.sum(F.aggregate(TK.token_ids(T.words("piece")), F.lit(0).cast("bigint"), lambda a, x: a + x))
-        .alias("word_id_sum"))
+        F.sum("n_words").alias("n_words"),
+        F.sum("word_id_sum").alias("word_id_sum"))
     return g
 
 

@@ -140,3 +140,87 @@ def next_row_fallback(positioned: DataFrame, key: str, pos: str = "pos",
     return (positioned.join(nxt, positioned[pos] == nxt["_prev_pos"], "left")
             .withColumn(name, F.coalesce(F.col(name), F.col(key)))
             .drop("_prev_pos"))
+
+
+HOT_GROUP_ROWS = 1_000_000
+
+
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows in the largest ``by`` group (partial aggregation; one number
+    reaches the driver)."""
+    got = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return int(got or 0)
+
+
+def hot_limit(spark) -> int:
+    return int(spark.conf.get("tessera.hotGroupRows", str(HOT_GROUP_ROWS)))
+
+
+def has_hot_group(df: DataFrame, by: Sequence[str], hot_rows: int | None = None) -> bool:
+    """Whether any ``by`` group exceeds the hot-group row limit."""
+    limit = hot_rows if hot_rows is not None else hot_limit(df.sparkSession)
+    return largest_group(df, by) > limit
+
+
+def running_sums(df: DataFrame, order_by: Sequence, by: Sequence[str], values: dict,
+                 inclusive: bool = False, num_partitions: int | None = None,
+                 hot_rows: int | None = None, split: bool | None = None) -> DataFrame:
+    """Add, for each ``name -> Column`` in ``values``, the sum of that value
+    over the rows before this one (``inclusive`` adds the row itself) within
+    its ``by`` group, in ``order_by`` order (a total order inside a group).
+
+    Skew-safe prefix sums: a window partitioned by the group would put a
+    hot group - say a third of all rows - into one task.  Instead
+
+    1. range-partition on (by, order): a hot group is cut across many
+       partitions; sum locally per (partition, group) with a window whose
+       groups are at most one range partition;
+    2. checkpoint, so partition ids and local sums are stable under task
+       retries;
+    3. only groups that straddle a partition boundary need an offset:
+       those are the first/last group of each partition, at most 2 per
+       partition, so their totals and offsets form a table bounded by the
+       partition count, which is broadcast back.
+
+    Like AQE's skew join, the split is used only when needed: one partial
+    aggregation measures the largest group, and when no group exceeds
+    ``hot_rows`` (conf ``tessera.hotGroupRows``, default 1M) a window
+    partitioned by the group does the job in one shuffle.  Callers that
+    already know (``split``) skip the measurement.
+    """
+    spark = df.sparkSession
+    by, names = list(by), list(values)
+    if by:
+        if split is None:
+            split = has_hot_group(df, by, hot_rows)
+        if not split:
+            frame = (Window.partitionBy(*by).orderBy(*_cols(order_by))
+                     .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1))
+            out = df
+            for k in names:
+                out = out.withColumn(k, F.coalesce(F.sum(values[k]).over(frame), F.lit(0)))
+            return out
+    ensure_checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = _cols(by) + _cols(order_by)
+    x = df.select("*", *[values[k].alias(f"_v_{k}") for k in names])
+    ranged = x.repartitionByRange(n, *keys).withColumn(_PID, F.spark_partition_id())
+    w = (Window.partitionBy(_PID, *by).orderBy(*_cols(order_by))
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = ranged.select("*", *[F.sum(f"_v_{k}").over(w).alias(f"_l_{k}") for k in names])
+    ck = local.checkpoint(eager=True)
+    if by:
+        edges = ck.groupBy(_PID).agg(F.min(F.struct(*by)).alias("lo"), F.max(F.struct(*by)).alias("hi"))
+        boundary = edges.select(F.explode(F.array("lo", "hi")).alias("g")).select("g.*").distinct()
+        part = ck.join(F.broadcast(boundary), by)          # <= 2 groups per partition
+    else:
+        part = ck
+    tot = part.groupBy(_PID, *by).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in names])
+    before = Window.partitionBy(*by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(_PID, *by, *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}")
+                                   for k in names])
+    out = ck.join(F.broadcast(offs), [_PID, *by], "left")
+    for k in names:
+        v = F.coalesce(F.col(f"_o_{k}"), F.lit(0)) + F.col(f"_l_{k}")
+        out = out.withColumn(k, v if inclusive else v - F.col(f"_v_{k}"))
+    return out.drop(_PID, *[f"_{p}_{k}" for p in "vlo" for k in names])

@@ -125,10 +125,10 @@ def inference_prompt(spark, d):
 
 # ---------------------------------------------------------------- C11 C12
 def image_grid_index(t):
+    from ..operators.rows import running_sums
     g = FX.media_grid(FX.turns(t)).filter(F.col("kind") == "image")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return g.select("conv_id", (F.row_number().over(w) - 1).cast("bigint").alias("tag_index"),
-                    (F.col("gt") * F.col("gh") * F.col("gw") / 4).cast("bigint").alias("n_pad"))
+    g = running_sums(g, ["turn"], ["conv_id"], {"tag_index": F.lit(1).cast("bigint")})
+    return g.select("conv_id", "tag_index", (F.col("gt") * F.col("gh") * F.col("gw") / 4).cast("bigint").alias("n_pad"))
 
 
 IMG_GRID_SQL = """img_grid AS (
@@ -164,10 +164,10 @@ def expand_visual(spark, d):
     j = pieces.join(image_grid_index(t), ["conv_id", "tag_index"], "left")
     out = F.concat(F.col("piece"), F.when(F.col("tag").isNull(), F.lit("")).when(
         F.col("n_pad").isNull(), F.lit(K.IMAGE_TAG)).otherwise(C.vision_block("image", "n_pad")))
-    miss = F.max((F.col("tag").isNotNull() & F.col("n_pad").isNull()).cast("int")).over(
-        Window.partitionBy("conv_id"))
-    j = j.withColumn("piece_out", out).withColumn(
-        "status", F.when(miss == 1, "missing_grid").otherwise("ok"))
+    miss = j.groupBy("conv_id").agg(F.max((F.col("tag").isNotNull() & F.col("n_pad").isNull()).cast("int"))
+                                    .alias("_miss"))
+    j = j.join(miss, "conv_id").withColumn("piece_out", out).withColumn(
+        "status", F.when(F.col("_miss") == 1, "missing_grid").otherwise("ok"))
     return C.reassemble(j, "conv_id", "turn", "piece_out", "content", extra=("status",)).select(
         "conv_id", "turn", "status", "content")
 

@@ -17,15 +17,17 @@ W = FX.with_ctes
 BATCH = 4
 
 
-def grid_k(tr):
-    g = FX.media_grid(tr)
-    return g.withColumn("k", (F.row_number().over(Window.partitionBy("conv_id", "kind").orderBy("turn")) - 1)
-                        .cast("bigint"))
+def grid_k(tr, split=None):
+    """Ordinal of each media file per (sample, kind) in turn order."""
+    return R.running_sums(FX.media_grid(tr), ["turn"], ["conv_id", "kind"], {"k": F.lit(1).cast("bigint")},
+                          split=split)
 
 
 def seg(spark, d, time_scale=True):
     tr = FX.turns(loader(spark, d))
-    return P.segments(tr, grid_k(tr), time_scale=time_scale)
+    # media files per sample never outnumber its turns: one measurement serves both
+    split = R.has_hot_group(tr.select("conv_id"), ["conv_id"])
+    return P.segments(tr, grid_k(tr, split), time_scale=time_scale, split=split)
 
 
 def _seg_sql(time_scale: bool) -> str:
@@ -152,7 +154,8 @@ SELECT b.batch,
 FROM bat2 b LEFT JOIN media_grid m ON m.conv_id = b.conv_id GROUP BY b.batch""")
 def batch_media(spark, d):
     tr = FX.turns(loader(spark, d))
-    s = P.segments(tr, grid_k(tr))
+    split = R.has_hot_group(tr.select("conv_id"), ["conv_id"])
+    s = P.segments(tr, grid_k(tr, split), split=split)
     _, lb = batched(spark, d, s)
     media = FX.media_grid(tr).select("conv_id", "kind", "turn", "file",
                                      (F.col("gt") * F.col("gh") * F.col("gw") / 4).cast("bigint").alias("tokens"))

@@ -444,3 +444,21 @@ def test_bare_list_wrap_and_roles(spark):
     cols = C.canonical_from_variant(F.parse_json("line"))
     t = df.select(cols["turns"].alias("t")).first()["t"]
     assert [(x["role"], x["content"]) for x in t] == [("user", "a"), ("assistant", "b"), ("tool", "c")]
+
+
+def test_running_sums_skewed_groups(spark):
+    df = spark.range(0, 6000).withColumn("g", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 11)) \
+        .withColumn("v", (F.col("id") * 7) % 5)
+    r = R.running_sums(df, ["id"], ["g"], {"s": F.col("v"), "c": F.lit(1)}, num_partitions=7, hot_rows=100)
+    assert R.largest_group(df, ["g"]) == 2000 + len([i for i in range(6000) if i % 11 == 0 and i % 3])
+    rw = R.running_sums(df, ["id"], ["g"], {"s": F.col("v"), "c": F.lit(1)})     # window path
+    assert rw.join(r.select("id", F.col("s").alias("s2"), F.col("c").alias("c2")), "id") \
+        .filter("s <> s2 OR c <> c2").count() == 0
+    w = Window.partitionBy("g").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    e = df.withColumn("es", F.coalesce(F.sum("v").over(w), F.lit(0))).withColumn(
+        "ec", F.coalesce(F.count(F.lit(1)).over(w), F.lit(0)))
+    j = r.join(e.select("id", "es", "ec"), "id")
+    assert j.count() == 6000 and j.filter("s <> es OR c <> ec").count() == 0
+    g = R.running_sums(df, ["id"], [], {"s": F.col("v")}, inclusive=True, num_partitions=5)
+    eg = df.withColumn("e", F.sum("v").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)))
+    assert g.join(eg.select("id", "e"), "id").filter("s <> e").count() == 0
