@@ -462,3 +462,14 @@ def test_running_sums_skewed_groups(spark):
     g = R.running_sums(df, ["id"], [], {"s": F.col("v")}, inclusive=True, num_partitions=5)
     eg = df.withColumn("e", F.sum("v").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)))
     assert g.join(eg.select("id", "e"), "id").filter("s <> e").count() == 0
+
+
+def test_annotation_json_array_file(spark):
+    d = tempfile.mkdtemp(prefix="tessera-json-")
+    path = os.path.join(d, "ann.json")
+    with open(path, "w") as f:
+        f.write('[\n {"id": 1, "conversations": [{"from": "human", "value": "<image>a"}], "image": "x.jpg"},\n'
+                ' {"id": 2, "conversations": [{"role": "user", "content": "b"}]}\n]\n')
+    r = {x["id"]: x for x in SRC.read_annotations(spark, path).collect()}
+    assert sorted(r) == [1, 2]
+    assert r[1]["images"] == ["x.jpg"] and r[2]["turns"][0]["content"] == "b"
