@@ -12,7 +12,10 @@ position is computed instead as
    numbering is stable when an executor is lost and tasks rerun;
 3. count rows per (partition, group) - at most partitions + groups rows -
    and turn the counts into offsets with a window over that small table;
-4. add the offset back with an equi-join that AQE broadcasts when small.
+4. add the offset back with a broadcast join (one row per partition).
+
+Positions within groups are prefix counts (``running_sums``), which split
+a hot group over many tasks only when one exists.
 """
 
 from __future__ import annotations
@@ -37,26 +40,27 @@ def with_positions(df: DataFrame, order_by: Sequence, by: Sequence[str] = (),
     (within ``by`` groups when given).  ``order_by`` must be a total
     order (end it with a unique key) for the positions to be reproducible.
     """
+    by = list(by)
+    if by:
+        # position within a group = rows before it: skew-safe prefix count
+        return running_sums(df, order_by, by, {name: F.lit(1).cast("bigint")},
+                            num_partitions=num_partitions)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    by = list(by)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = _cols(by) + _cols(order_by)
+    keys = _cols(order_by)
     numbered = (df.repartitionByRange(n, *keys)
                 .sortWithinPartitions(*keys)
                 .withColumn(_PID, F.spark_partition_id())
                 .withColumn(_LOCAL, F.monotonically_increasing_id()
                             - F.shiftleft(F.col(_PID).cast("bigint"), 33)))
     numbered = numbered.checkpoint(eager=True)
-    counts = numbered.groupBy(_PID, *by).agg(F.count(F.lit(1)).alias("_n"),
-                                              F.min(_LOCAL).alias("_first"))
-    before = Window.partitionBy(*by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(_PID, *by, (F.coalesce(F.sum("_n").over(before), F.lit(0))
-                                        - F.col("_first")).alias(_ADJ))
-    if not by:
-        # one row per partition: the size bound is the partition count
-        offsets = F.broadcast(offsets)
-    return (numbered.join(offsets, [_PID, *by])
+    counts = numbered.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"), F.min(_LOCAL).alias("_first"))
+    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition: the size bound is the partition count
+    offsets = F.broadcast(counts.select(_PID, (F.coalesce(F.sum("_n").over(before), F.lit(0))
+                                               - F.col("_first")).alias(_ADJ)))
+    return (numbered.join(offsets, _PID)
             .withColumn(name, (F.col(_LOCAL) + F.col(_ADJ)).cast("bigint"))
             .drop(_PID, _LOCAL, _ADJ))
 

@@ -473,3 +473,17 @@ def test_annotation_json_array_file(spark):
     r = {x["id"]: x for x in SRC.read_annotations(spark, path).collect()}
     assert sorted(r) == [1, 2]
     assert r[1]["images"] == ["x.jpg"] and r[2]["turns"][0]["content"] == "b"
+
+
+def test_no_single_partition_exchange_over_rows(spark, sf_small):
+    """Across every registered query, an Exchange SinglePartition only ever
+    carries partial aggregates or a top-k, never data rows."""
+    import __spark_entry__ as E
+    eager_writes = {"stream_score", "stream_progress", "stream_dedup", "frechet_distance", "read_annotations"}
+    for name, fn in E.queries().items():
+        if name in eager_writes:
+            continue
+        lines = _plan(fn(spark, sf_small)).split("\n")
+        for i, ln in enumerate(lines):
+            if "Exchange SinglePartition" in ln:
+                assert re.search(r"HashAggregate|SortAggregate|TakeOrderedAndProject|Limit", lines[i + 1]), (name, lines[i + 1])
