@@ -69,7 +69,8 @@ SELECT conv_id AS id, CAST(count_if(has_img) AS BIGINT) AS n_images,
        string_agg(CASE WHEN has_img THEN image_file END, ',' ORDER BY turn) AS images
 FROM turns WHERE form = 'role_content' GROUP BY conv_id""")
 def promote_media(spark, d):
-    p = _parsed(loader(spark, d)).filter(F.col("conv_id") % 2 == 1)
+    # role/content records (their turns carry no from/value keys)
+    p = _parsed(loader(spark, d)).filter(~F.exists("turns", lambda t: t["from_value"]))
     return p.select("id", F.size("images").cast("bigint").alias("n_images"),
                     F.nullif(F.array_join("images", ","), F.lit("")).alias("images"))
 
