@@ -110,8 +110,14 @@ def problems(df: DataFrame, key: str, listing: DataFrame, root: str) -> DataFram
         F.lit(None).cast("bigint").alias("expected"), F.lit(None).cast("bigint").alias("actual"),
         F.lit(None).cast("array<string>").alias("files"),
         F.lit("GPT response contains media token (<image> or <video>)").alias("message"))).cast(prob_t)
+    # a line that did not parse (e.g. a trailing comma) is a problem record
+    p_parse = F.when(F.col("v").isNull(), F.struct(
+        F.lit("parse_error").alias("type"), F.lit(None).cast("string").alias("media_type"),
+        F.lit(None).cast("bigint").alias("expected"), F.lit(None).cast("bigint").alias("actual"),
+        F.lit(None).cast("array<string>").alias("files"),
+        F.lit("Record is not valid JSON").alias("message"))).cast(prob_t)
     return (x.withColumn("mismatch_type", mm_type).withColumn("expected", exp).withColumn("actual", act)
-            .withColumn("validation_problems", F.array_compact(F.array(p_missing, p_mismatch, p_gpt)))
+            .withColumn("validation_problems", F.array_compact(F.array(p_parse, p_missing, p_mismatch, p_gpt)))
             .withColumn("status", F.when(F.size("validation_problems") == 0, "valid").otherwise("problem")))
 
 

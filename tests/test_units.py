@@ -501,3 +501,30 @@ def test_hot_group_path_matches_oracle(spark, sf_small, name):
         assert compare(df, duck(sf_small), E.oracle_sql()[name]) == []
     finally:
         spark.conf.unset("tessera.hotGroupRows")
+
+
+def test_validation_edge_records(spark):
+    from tessera.operators import validate as VA
+    lines = [
+        (1, '{"image": "a.jpg", "conversations": [{"from": "human", "value": "<image>hi"}, {"from": "gpt", "value": "ok"}]}'),
+        (2, '{"images": ["a.jpg", "b.jpg"], "conversations": [{"from": "human", "value": "<image>"}]}'),
+        (3, '{"video": "v.mp4", "image": "a.jpg", "conversations": [{"from": "human", "value": "<video><image>"},'
+            ' {"from": "gpt", "value": "see <image>"}]}'),
+        (4, '{"conversations": [{"from": "human", "value": "x"}],}'),
+        (5, '{"image": null, "images": ["a.jpg"], "conversations": [{"from": "human", "value": "<image>"}]}'),
+    ]
+    df = spark.createDataFrame(lines, "id long, line string").select("id", F.try_parse_json("line").alias("v"))
+    listing = spark.createDataFrame([("root/a.jpg",), ("root/v.mp4",)], "path string")
+    chk = {r["id"]: r for r in VA.problems(VA.prepare(df), "id", listing, "root").collect()}
+    types = {i: [p["type"] for p in r["validation_problems"]] for i, r in chk.items()}
+    assert types[1] == []
+    assert types[2] == ["missing_files", "token_mismatch"]
+    assert chk[2]["expected"] == 2 and chk[2]["actual"] == 1
+    assert types[3] == ["gpt_media_token"]
+    assert types[4] == ["parse_error"]
+    assert types[5] == [] and chk[5]["images"] == ["a.jpg"]      # plural used when the singular is null
+    s = VA.summary(VA.problems(VA.prepare(df), "id", listing, "root"), "id").first()
+    assert (s["total_entries"], s["valid_entries"], s["mixed_media"]) == (5, 2, 1)
+    assert s["sample_missing"] == "root/b.jpg"
+    empty = VA.summary(VA.problems(VA.prepare(df.limit(0)), "id", listing, "root"), "id").first()
+    assert empty["total_entries"] == 0 and empty["valid_share"] is None
