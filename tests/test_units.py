@@ -528,3 +528,13 @@ def test_validation_edge_records(spark):
     assert s["sample_missing"] == "root/b.jpg"
     empty = VA.summary(VA.problems(VA.prepare(df.limit(0)), "id", listing, "root"), "id").first()
     assert empty["total_entries"] == 0 and empty["valid_share"] is None
+
+
+def test_word_filter_edges_and_empty_side(spark):
+    rows = [(1, " ".join(["w"] * 24)), (2, " ".join(["w"] * 25))]
+    df = spark.createDataFrame(rows, "id long, t string")
+    assert [r["id"] for r in X.min_word_filter(df, "t").collect()] == [2]
+    probs = spark.createDataFrame([("real", [0.5, 0.5])], "side string, p array<double>")
+    got = {r["side"]: r["inception_score"] for r in M.inception_score(probs, "p", ["side"]).collect()}
+    assert list(got) == ["real"] and abs(got["real"] - 1.0) < 1e-12   # no row for the empty side
+    assert M.inception_score(probs.limit(0), "p", ["side"]).count() == 0
