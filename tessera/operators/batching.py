@@ -20,7 +20,7 @@ def pad_batch(lengths: DataFrame, spans: DataFrame, key: str, max_len: int = MOD
     wb = Window.partitionBy("batch")
     x = lengths.withColumn("padded_len", F.least(F.max("seq_len").over(wb), F.lit(max_len)).cast("bigint"))
     x = x.withColumn("n_attended", F.least(F.col("seq_len"), F.lit(max_len)).cast("bigint"))
-    a = spans.filter(F.col("role") == "assistant")
+    a = spans.filter(~F.col("role").isin("user", "system"))    # supervised turns
     lo = F.least(F.col("start") + 3, F.lit(max_len))
     hi = F.least(F.col("start") + F.col("length"), F.lit(max_len))
     kept = a.groupBy(key).agg(F.sum(F.greatest(hi - lo, F.lit(0))).cast("bigint").alias("n_supervised_kept"))

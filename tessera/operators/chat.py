@@ -130,10 +130,14 @@ def group_turns(df: DataFrame, key: str, order: str, role: str = "role", content
 
 
 def drop_leading_nonuser(turns, from_value) -> Column:
-    """Drop the first turn when its mapped role is not user (only for
-    from/value records; the reference's bare except skips the others)."""
+    """Drop a leading answer turn of a from/value record.
+
+    The lookup table knows only ``human`` and ``gpt``: a leading ``gpt``
+    turn maps to assistant (not user) and is dropped; any other leading
+    key (``system``, ...) fails the lookup and the record is kept as is,
+    as are role/content records."""
     t = _c(turns)
-    return F.when(_c(from_value) & (F.size(t) > 0) & (map_role(t[0]["role"]) != "user"),
+    return F.when(_c(from_value) & (F.size(t) > 0) & (t[0]["role"] == "assistant"),
                   F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0)))).otherwise(t)
 
 

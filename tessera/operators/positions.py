@@ -116,10 +116,11 @@ def turn_spans(seg: DataFrame, key: str = "conv_id") -> DataFrame:
 
 
 def loss_mask(seg: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Per sample: tokens, supervised tokens (assistant turns minus their
-    3-token header) and the sum of supervised label ids."""
+    """Per sample: tokens, supervised tokens (every turn that is not user
+    or system, minus its 3-token header) and the sum of supervised label
+    ids."""
     sp = turn_spans(seg, key)
-    asst = F.col("role") == "assistant"
+    asst = ~F.col("role").isin("user", "system")
     sup = F.when(asst, F.col("length") - 3).otherwise(0)
     lab = F.when(asst, F.col("word_id_sum") + TK.IM_END_ID + TK.NEWLINE_ID).otherwise(0)
     agg = sp.groupBy(key).agg(F.sum(sup).cast("bigint").alias("n_supervised"), F.sum(lab).cast("bigint").alias("label_sum"))

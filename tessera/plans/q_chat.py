@@ -89,7 +89,7 @@ def conversation_lists(spark, d):
 
 
 KEPT_SQL = """, ft AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM turns),
-kept AS (SELECT * FROM ft WHERE NOT (rn = 1 AND form = 'from_value' AND role <> 'user'))"""
+kept AS (SELECT * FROM ft WHERE NOT (rn = 1 AND form = 'from_value' AND role = 'assistant'))"""
 
 
 @query("drop_leading_turn", W(FX.TURNS_SQL + KEPT_SQL) + """

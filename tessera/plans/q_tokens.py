@@ -94,8 +94,9 @@ spans AS (
 
 @query("loss_mask", BASE + LENS_SQL + """
 SELECT l.conv_id, l.seq_len AS n_tokens,
-       CAST(sum(CASE WHEN role = 'assistant' THEN length - 3 ELSE 0 END) AS BIGINT) AS n_supervised,
-       CAST(sum(CASE WHEN role = 'assistant' THEN word_id_sum + 151645 + 198 ELSE 0 END) AS BIGINT) AS label_sum
+       CAST(sum(CASE WHEN role NOT IN ('user', 'system') THEN length - 3 ELSE 0 END) AS BIGINT) AS n_supervised,
+       CAST(sum(CASE WHEN role NOT IN ('user', 'system') THEN word_id_sum + 151645 + 198 ELSE 0 END) AS BIGINT)
+         AS label_sum
 FROM lens l JOIN spans s USING (conv_id) GROUP BY l.conv_id, l.seq_len""")
 def loss_mask(spark, d):
     return P.loss_mask(seg(spark, d)).select("conv_id", "n_tokens", "n_supervised", "label_sum")
@@ -127,7 +128,7 @@ SELECT b.conv_id, b.batch, b.seq_len,
        CAST(least(b.seq_len, 512) AS BIGINT) AS n_attended, coalesce(k.kept, 0) AS n_supervised_kept
 FROM bat2 b LEFT JOIN (
   SELECT conv_id, CAST(sum(greatest(least(start + length, 512) - least(start + 3, 512), 0)) AS BIGINT) AS kept
-  FROM spans WHERE role = 'assistant' GROUP BY conv_id) k ON k.conv_id = b.conv_id""")
+  FROM spans WHERE role NOT IN ('user', 'system') GROUP BY conv_id) k ON k.conv_id = b.conv_id""")
 def pad_batch(spark, d):
     s, lb = batched(spark, d)
     p = B.pad_batch(lb, P.turn_spans(s), "conv_id")

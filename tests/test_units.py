@@ -538,3 +538,18 @@ def test_word_filter_edges_and_empty_side(spark):
     got = {r["side"]: r["inception_score"] for r in M.inception_score(probs, "p", ["side"]).collect()}
     assert list(got) == ["real"] and abs(got["real"] - 1.0) < 1e-12   # no row for the empty side
     assert M.inception_score(probs.limit(0), "p", ["side"]).count() == 0
+
+
+def test_drop_leading_turn_lookup_semantics(spark):
+    recs = [
+        ('{"conversations":[{"from":"gpt","value":"a"},{"from":"human","value":"b"}]}', ["user"]),
+        ('{"conversations":[{"from":"system","value":"s"},{"from":"human","value":"b"}]}', ["system", "user"]),
+        ('{"conversations":[{"from":"human","value":"b"},{"from":"gpt","value":"c"}]}', ["user", "assistant"]),
+        ('{"conversations":[{"role":"assistant","content":"a"},{"role":"user","content":"b"}]}', ["assistant", "user"]),
+    ]
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(recs)], "i long, line string")
+    cols = C.canonical_from_variant(F.parse_json("line"))
+    t = df.select("i", cols["turns"].alias("t")).select(
+        "i", C.drop_leading_nonuser("t", F.col("t")[0]["from_value"]).alias("k"))
+    got = {r["i"]: [x["role"] for x in r["k"]] for r in t.collect()}
+    assert got == {i: roles for i, (_, roles) in enumerate(recs)}
