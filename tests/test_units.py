@@ -553,3 +553,28 @@ def test_drop_leading_turn_lookup_semantics(spark):
         "i", C.drop_leading_nonuser("t", F.col("t")[0]["from_value"]).alias("k"))
     got = {r["i"]: [x["role"] for x in r["k"]] for r in t.collect()}
     assert got == {i: roles for i, (_, roles) in enumerate(recs)}
+
+
+def test_packing_and_frame_properties(spark, sf_small):
+    import __spark_entry__ as E
+    q = E.queries()
+    pk = q["pack_batch"](spark, sf_small).collect()
+    pad = {r["conv_id"]: r["seq_len"] for r in q["pad_batch"](spark, sf_small).collect()}
+    by_batch = {}
+    for r in pk:
+        by_batch.setdefault(r["batch"], []).append(r)
+    for b, rs in by_batch.items():
+        rs.sort(key=lambda r: r["cu_start"])
+        assert rs[0]["cu_start"] == 0
+        assert all(x["cu_end"] == y["cu_start"] for x, y in zip(rs, rs[1:]))
+        assert rs[-1]["cu_end"] == sum(pad[r["conv_id"]] for r in rs)
+        assert all(r["max_seqlen"] == max(pad[x["conv_id"]] for x in rs) for r in rs)
+    fp = q["frame_plan"](spark, sf_small).filter("reject IS NULL").collect()
+    vids = {}
+    for r in fp:
+        vids.setdefault(r["id"], []).append((r["k"], r["frame_index"], r["n_frames"]))
+    for v, fr in vids.items():
+        fr.sort()
+        idx = [f for _, f, _ in fr]
+        assert len(idx) == fr[0][2] and len(idx) % 2 == 0
+        assert idx == sorted(idx) and idx[0] >= 0
