@@ -21,5 +21,17 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def loader(spark: SparkSession, sf_dir: str):
-    return lambda name: table(spark, sf_dir, name)
+class Loader:
+    """Table loader for one data folder; ``key`` identifies it so derived
+    fixtures can be defined once per application and folder."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+
+    def __call__(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+
+def loader(spark: SparkSession, sf_dir: str) -> Loader:
+    return Loader(spark, sf_dir)

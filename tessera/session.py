@@ -96,5 +96,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(target)
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """A driver table as a (lazy) DataFrame.  The definition is built once
+    per application and path - a DataFrame is a plan, not data, so reuse
+    only saves re-analysis; every action still reads the files."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TABLES:
+        _TABLES[key] = spread(spark.read.parquet(path))
+    return _TABLES[key]
