@@ -60,11 +60,11 @@ def segments(turns: DataFrame, grid: DataFrame, key: str = "conv_id", time_scale
     tau_last = (F.floor((F.col("gt") - 1) * F.col("sec") * 2) if time_scale else F.col("gt") - 1).cast("bigint")
     n_pad = (F.col("gt") * F.col("gh") * F.col("gw") / 4).cast("bigint")
     mw = F.greatest(tau_last, hm - 1, wm - 1) + 1
-    p = (p.withColumn("chunk_len", chunk.cast("bigint"))
-         .withColumn("hm", hm).withColumn("wm", wm)
-         .withColumn("n_pad", F.when(has_tag, F.coalesce(n_pad, F.lit(0))).otherwise(0).cast("bigint"))
-         .withColumn("mw", F.when(has_tag, F.coalesce(mw, F.lit(0))).otherwise(0).cast("bigint"))
-         .withColumn("miss", (has_tag & F.col("gt").isNull()).cast("int")))
+    p = p.withColumns({
+        "chunk_len": chunk.cast("bigint"), "hm": hm, "wm": wm,
+        "n_pad": F.when(has_tag, F.coalesce(n_pad, F.lit(0))).otherwise(0).cast("bigint"),
+        "mw": F.when(has_tag, F.coalesce(mw, F.lit(0))).otherwise(0).cast("bigint"),
+        "miss": (has_tag & F.col("gt").isNull()).cast("int")})
     p = running_sums(p, ["turn", "_piece_no"], [key], {
         "seq_start": F.col("chunk_len") + F.col("n_pad"), "pid_start": F.col("chunk_len") + F.col("mw")},
         split=split)
@@ -97,6 +97,19 @@ def positions_3d(seg: DataFrame, key: str = "conv_id", time_scale: bool = True)
                     F.when(is_text, txt).otherwise(base + m % F.col("wm")).cast("bigint").alias("w"))
 
 
+def accepted_samples(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Keys of the samples whose every media tag has a grid: per kind, the
+    user-turn tags must not outnumber the sample's files (the same rule
+    as ``rejected`` in :func:`segments`, from one aggregation over turns,
+    without splitting any text)."""
+    user = F.col("role") == "user"
+    g = turns.groupBy(key).agg(
+        F.sum(F.when(user, T.count_occurrences("flat", K.IMAGE_TAG)).otherwise(0)).alias("_it"),
+        F.sum(F.when(user, T.count_occurrences("flat", K.VIDEO_TAG)).otherwise(0)).alias("_vt"),
+        F.count_if("has_img").alias("_if"), F.count_if("has_vid").alias("_vf"))
+    return g.filter((F.col("_it") <= F.col("_if")) & (F.col("_vt") <= F.col("_vf"))).select(key)
+
+
 def sample_lengths(seg: DataFrame, key: str = "conv_id") -> DataFrame:
     ok = seg.filter(~F.col("rejected"))
     return ok.groupBy(key).agg(F.sum(F.col("chunk_len") + F.col("n_pad")).cast("bigint").alias("seq_len"))

@@ -200,10 +200,7 @@ def running_sums(df: DataFrame, order_by: Sequence, by: Sequence[str], values: d
         if not split:
             frame = (Window.partitionBy(*by).orderBy(*_cols(order_by))
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1))
-            out = df
-            for k in names:
-                out = out.withColumn(k, F.coalesce(F.sum(values[k]).over(frame), F.lit(0)))
-            return out
+            return df.withColumns({k: F.coalesce(F.sum(values[k]).over(frame), F.lit(0)) for k in names})
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = _cols(by) + _cols(order_by)

@@ -51,12 +51,13 @@ def prepare(df: DataFrame, v: str = "v") -> DataFrame:
     def tags(tag):
         return F.aggregate(human, F.lit(0).cast("bigint"), lambda a, t: a + T.count_occurrences(t["value"], tag))
 
-    return (df.withColumn("images", media_list(v, "image", "images"))
-            .withColumn("videos", media_list(v, "video", "videos"))
-            .withColumn("image_tags", tags(K.IMAGE_TAG))
-            .withColumn("video_tags", tags(K.VIDEO_TAG))
-            .withColumn("gpt_media_token", F.exists(gpt, lambda t: t["value"].contains(K.IMAGE_TAG)
-                                                   | t["value"].contains(K.VIDEO_TAG))))
+    return df.withColumns({
+        "images": media_list(v, "image", "images"),
+        "videos": media_list(v, "video", "videos"),
+        "image_tags": tags(K.IMAGE_TAG),
+        "video_tags": tags(K.VIDEO_TAG),
+        "gpt_media_token": F.exists(gpt, lambda t: t["value"].contains(K.IMAGE_TAG)
+                                    | t["value"].contains(K.VIDEO_TAG))})
 
 
 def media_type(images, videos) -> Column:
@@ -116,9 +117,10 @@ def problems(df: DataFrame, key: str, listing: DataFrame, root: str) -> DataFram
         F.lit(None).cast("bigint").alias("expected"), F.lit(None).cast("bigint").alias("actual"),
         F.lit(None).cast("array<string>").alias("files"),
         F.lit("Record is not valid JSON").alias("message"))).cast(prob_t)
-    return (x.withColumn("mismatch_type", mm_type).withColumn("expected", exp).withColumn("actual", act)
-            .withColumn("validation_problems", F.array_compact(F.array(p_parse, p_missing, p_mismatch, p_gpt)))
-            .withColumn("status", F.when(F.size("validation_problems") == 0, "valid").otherwise("problem")))
+    probs = F.array_compact(F.array(p_parse, p_missing, p_mismatch, p_gpt))
+    return x.withColumns({
+        "mismatch_type": mm_type, "expected": exp, "actual": act, "validation_problems": probs,
+        "status": F.when(F.size(probs) == 0, "valid").otherwise("problem")})
 
 
 def summary(checked: DataFrame, key: str, sample: int = 5) -> DataFrame:

@@ -113,13 +113,13 @@ def positions_3d_plain(spark, d):
 
 
 def batched(spark, d, s=None):
+    """Segments and per-sample lengths with batch numbers.  Batches follow
+    the sample-key order, so they are assigned on the small table of
+    accepted sample keys (one row per sample), then joined to the lengths."""
     s = s if s is not None else seg(spark, d)
-    lens = P.sample_lengths(s)
-    return s, B_assign(lens)
-
-
-def B_assign(lens):
-    return R.batch_assign(lens, BATCH, ["conv_id"])
+    keys = P.accepted_samples(FX.turns(loader(spark, d)))
+    batches = R.batch_assign(keys, BATCH, ["conv_id"])
+    return s, P.sample_lengths(s).join(batches, "conv_id")
 
 
 @query("pad_batch", BASE + LENS_SQL + """
