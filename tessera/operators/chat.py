@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as T
 
-SEGMENT = "struct<type:string,text:string,image:string,video:string>"
+SEGMENT = "struct<type:string,text:string,image:string,image_url:string,video:string>"
 TURN = "struct<role:string,content:string>"
 
 
@@ -56,6 +56,20 @@ def map_role(role) -> Column:
     return out
 
 
+def vision_element_columns(s) -> dict[str, Column]:
+    """For one content element: whether it is a vision element (an image,
+    image_url or video key, or such a type), its kind, its reference, and
+    ``no_media_key`` when it has the type but none of the keys (an error
+    in the reference)."""
+    has_img = s["image"].isNotNull() | s["image_url"].isNotNull()
+    has_vid = s["video"].isNotNull()
+    is_vis = has_img | has_vid | s["type"].isin("image", "image_url", "video")
+    return {"is_vision": is_vis,
+            "kind": F.when(has_img, "image").when(has_vid, "video"),
+            "ref": F.coalesce(s["image"], s["image_url"], s["video"]),
+            "status": F.when(is_vis & ~has_img & ~has_vid, "no_media_key").otherwise("ok")}
+
+
 def flatten_segments(segs) -> Column:
     """Text kept, image -> <image>, joined with no separator; other types ignored."""
     keep = F.filter(_c(segs), lambda s: s["type"].isin("text", "image"))

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from . import fixtures as FX
 
-SEG = "struct<type:string,text:string,image:string,video:string,audio:string>"
+SEG = "struct<type:string,text:string,image:string,image_url:string,video:string,audio:string>"
 
 
 def _seg(typ: str, **kw) -> Column:
-    fields = {k: F.lit(None).cast("string") for k in ("text", "image", "video", "audio")}
+    fields = {k: F.lit(None).cast("string") for k in ("text", "image", "image_url", "video", "audio")}
     fields.update(kw)
     return F.struct(F.lit(typ).alias("type"), *[v.alias(k) for k, v in fields.items()])
 

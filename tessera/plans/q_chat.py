@@ -210,11 +210,9 @@ def vision_elements(spark, d):
     """Content elements carrying image, image_url or video (by key or type);
     string content and other types are skipped."""
     s = _typed_segments(loader(spark, d))
-    is_vis = (F.col("s.image").isNotNull() | F.col("s.video").isNotNull()
-              | F.col("s.type").isin("image", "image_url", "video"))
-    kind = F.when(F.col("s.image").isNotNull() | (F.col("s.type").isin("image", "image_url")), "image").otherwise("video")
-    return s.filter(is_vis).select("conv_id", "turn", F.col("seg_no").cast("bigint"), kind.alias("kind"),
-                                   F.coalesce("s.image", "s.video").alias("ref"))
+    v = C.vision_element_columns(F.col("s"))
+    return s.filter(v["is_vision"]).select("conv_id", "turn", F.col("seg_no").cast("bigint"),
+                                           v["kind"].alias("kind"), v["ref"].alias("ref"))
 
 
 @query("vision_partition", W(FX.TURNS_SQL) + """

@@ -578,3 +578,15 @@ def test_packing_and_frame_properties(spark, sf_small):
         idx = [f for _, f, _ in fr]
         assert len(idx) == fr[0][2] and len(idx) % 2 == 0
         assert idx == sorted(idx) and idx[0] >= 0
+
+
+def test_vision_element_keys(spark):
+    rows = [("image", None, "a.jpg", None, None), ("image_url", None, None, "http://x/b.png", None),
+            ("video", None, None, None, "v.mp4"), ("image", None, None, None, None), ("text", "hi", None, None, None),
+            (None, None, "c.jpg", None, None)]
+    df = spark.createDataFrame(rows, "type string, text string, image string, image_url string, video string")
+    v = C.vision_element_columns(F.struct(*df.columns))
+    got = [tuple(r) for r in df.select(v["is_vision"], v["kind"], v["ref"], v["status"]).collect()]
+    assert got == [(True, "image", "a.jpg", "ok"), (True, "image", "http://x/b.png", "ok"),
+                   (True, "video", "v.mp4", "ok"), (True, None, None, "no_media_key"),
+                   (False, None, None, "ok"), (True, "image", "c.jpg", "ok")]
