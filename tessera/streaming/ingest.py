@@ -28,16 +28,21 @@ def stage_files(df: DataFrame, n_files: int, name: str) -> str:
 def run_stream(spark: SparkSession, src: str, schema, transform: Callable[[DataFrame], DataFrame],
                max_files_per_trigger: int = 2, output_mode: str = "append", name: str = "stream") -> tuple[str, list]:
     """Drain ``src`` through ``transform`` in bounded micro-batches; each
-    batch is appended to a parquet sink (foreachBatch).  Returns the sink
-    path and the per-batch progress (rows per trigger)."""
+    micro-batch lands in its own ``batch=<id>`` folder of a parquet sink
+    (foreachBatch, exactly once under replays).  Returns the sink path and
+    the per-batch progress (rows per trigger)."""
     sink = scratch_path(spark, f"{name}-sink")
     ckpt = scratch_path(spark, f"{name}-ckpt")
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(src))
     out = transform(stream)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        mode = "overwrite" if output_mode == "complete" else "append"
-        batch.write.mode(mode).parquet(sink)
+        # idempotent under replays: a re-run micro-batch overwrites its own
+        # folder; complete mode replaces the whole result each time
+        if output_mode == "complete":
+            batch.write.mode("overwrite").parquet(sink)
+        else:
+            batch.write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
 
     q = (out.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt)
          .foreachBatch(write).trigger(availableNow=True).start())
