@@ -148,15 +148,21 @@ def stream_score(spark, d):
 
 @query("stream_progress", """
 SELECT CASE WHEN a.label = 9 THEN 'failed' ELSE 'processed' END AS status, CAST(count(*) AS BIGINT) AS n
-FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 GROUP BY 1""")
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 GROUP BY 1
+UNION ALL SELECT 'pending', CAST(0 AS BIGINT)""")
 def stream_progress(spark, d):
-    """Processed / failed counters as a complete-mode aggregation."""
+    """Processed / failed counters as a complete-mode aggregation, plus
+    pending = staged - (processed + failed) once the stream stops."""
     src_df = _pairs(loader(spark, d))
     src = ST.stage_files(src_df, 6, "pairs-progress")
     sink, _ = ST.run_stream(spark, src, src_df.schema,
                             lambda s: _score_stream(s).groupBy("status").agg(F.count(F.lit(1)).alias("n")),
                             max_files_per_trigger=2, output_mode="complete", name="progress")
-    return spark.read.parquet(sink).select("status", "n")
+    counts = spark.read.parquet(sink).select("status", "n")
+    done = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    pending = spark.read.parquet(src).agg((F.count(F.lit(1)) - done).cast("bigint").alias("n")) \
+        .select(F.lit("pending").alias("status"), "n")
+    return counts.unionByName(pending)
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id FROM events")
