@@ -3,7 +3,7 @@ rendering (C2-C18), dataset registry (A3, A13)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+
 from pyspark.sql import functions as F
 
 from ..functions import constants as K

@@ -600,3 +600,23 @@ def test_stream_sink_replay_is_idempotent(spark):
     assert len([p for p in progress if p]) >= 3          # bounded: at most 2 files per trigger
     out = spark.read.parquet(sink)
     assert out.count() == 60 and out.select("id").distinct().count() == 60
+
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(data=st.lists(st.tuples(st.integers(0, 3), st.integers(-5, 5)), min_size=1, max_size=120),
+       parts=st.integers(1, 6), hot=st.sampled_from([1, 10_000]), inclusive=st.booleans())
+def test_running_sums_property(spark, data, parts, hot, inclusive):
+    rows = [(i, g, v) for i, (g, v) in enumerate(data)]
+    df = spark.createDataFrame(rows, "id long, g long, v long")
+    got = {r["id"]: r["s"] for r in R.running_sums(df, ["id"], ["g"], {"s": F.col("v")}, inclusive=inclusive,
+                                                     num_partitions=parts, hot_rows=hot).collect()}
+    acc, exp = {}, {}
+    for i, g, v in rows:
+        before = acc.get(g, 0)
+        exp[i] = before + v if inclusive else before
+        acc[g] = before + v
+    assert got == exp
