@@ -215,17 +215,49 @@ def vision_elements(spark, d):
                                            v["kind"].alias("kind"), v["ref"].alias("ref"))
 
 
-@query("vision_partition", W(FX.TURNS_SQL) + """
-SELECT conv_id, CAST(count_if(has_img) AS BIGINT) AS n_images, CAST(count_if(has_vid) AS BIGINT) AS n_videos,
-       string_agg(CASE WHEN has_img THEN image_file END, ',' ORDER BY turn) AS images,
-       string_agg(CASE WHEN has_vid THEN video_file END, ',' ORDER BY turn) AS videos
-FROM turns GROUP BY conv_id""")
+VIDEO_FPS_SQL = """vmeta AS (
+  SELECT conv_id, turn, video_file, CAST(30 + (conv_id * 7919 + turn * 104729) % 1800 AS BIGINT) AS total,
+         CASE (conv_id + turn) % 4 WHEN 0 THEN 24.0 WHEN 1 THEN 30.0 WHEN 2 THEN 29.97 ELSE 25.0 END::DOUBLE AS vfps
+  FROM turns WHERE has_vid),
+vcount AS (
+  SELECT *, CAST(floor(least(least(greatest(total / vfps * 2.0, 4), CAST(floor(least(768, total) / 2) * 2 AS BIGINT)),
+                             total) / 2) * 2 AS BIGINT) AS n FROM vmeta),
+vfps AS (
+  SELECT *, CASE WHEN n >= 2 AND n <= total THEN CAST(round(n / greatest(CAST(total AS DOUBLE), 1e-6) * vfps, 6)
+                                                     AS VARCHAR) END AS sample_fps FROM vcount)"""
+
+
+def video_metadata(segments):
+    """Per video element: total frames and native fps (derived from the
+    record key, standing in for the decoder's report)."""
+    v = segments.filter(F.col("s.video").isNotNull())
+    cid, tn = F.col("conv_id"), F.col("turn")
+    k = (cid + tn) % 4
+    return v.select("conv_id", "turn", "seg_no",
+                    (30 + (cid * 7919 + tn * 104729) % 1800).cast("bigint").alias("total_frames"),
+                    F.when(k == 0, 24.0).when(k == 1, 30.0).when(k == 2, 29.97).otherwise(25.0).alias("video_fps"))
+
+
+@query("vision_partition", W(FX.TURNS_SQL, VIDEO_FPS_SQL) + """
+SELECT t.conv_id, CAST(count_if(has_img) AS BIGINT) AS n_images, CAST(count_if(has_vid) AS BIGINT) AS n_videos,
+       string_agg(CASE WHEN has_img THEN image_file END, ',' ORDER BY t.turn) AS images,
+       string_agg(CASE WHEN has_vid THEN t.video_file END, ',' ORDER BY t.turn) AS videos,
+       string_agg(CASE WHEN has_vid THEN coalesce(f.sample_fps, 'rejected') END, ',' ORDER BY t.turn) AS video_fps
+FROM turns t LEFT JOIN vfps f ON f.conv_id = t.conv_id AND f.turn = t.turn GROUP BY t.conv_id""")
 def vision_partition(spark, d):
     """Images and videos of a record in separate ordered lists (null when
-    empty); a segment with neither key is an error in the reference."""
+    empty), and the sampled fps of each video (frame count by the default
+    2 fps rule, n / frames * native fps) as the video kwargs list."""
+    from ..operators import video as VO
     s = _typed_segments(loader(spark, d))
     conv = loader(spark, d)("conversations").select("conv_id").distinct()
-    o = F.struct("turn", "seg_no", F.coalesce("s.image", "s.video").alias("ref"))
+    meta = VO.frame_count(VO.frame_range(video_metadata(s)))
+    fps = F.round(F.col("n_frames") / F.greatest(F.col("range_frames").cast("double"), F.lit(1e-6))
+                  * F.col("video_fps"), 6)
+    vf = meta.select("conv_id", "turn", "seg_no",
+                     F.coalesce(fps.cast("string"), F.lit("rejected")).alias("sample_fps"))
+    s = s.join(vf, ["conv_id", "turn", "seg_no"], "left")
+    o = F.struct("turn", "seg_no", F.coalesce("s.image", "s.video").alias("ref"), F.col("sample_fps").alias("fps"))
     g = s.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.when(F.col("s.image").isNotNull(), o))).alias("im"),
         F.sort_array(F.collect_list(F.when(F.col("s.video").isNotNull(), o))).alias("vi"))
@@ -233,7 +265,8 @@ def vision_partition(spark, d):
     return g.select("conv_id", F.coalesce(F.size("im"), F.lit(0)).cast("bigint").alias("n_images"),
                     F.coalesce(F.size("vi"), F.lit(0)).cast("bigint").alias("n_videos"),
                     F.nullif(F.array_join(F.transform("im", lambda z: z["ref"]), ","), F.lit("")).alias("images"),
-                    F.nullif(F.array_join(F.transform("vi", lambda z: z["ref"]), ","), F.lit("")).alias("videos"))
+                    F.nullif(F.array_join(F.transform("vi", lambda z: z["ref"]), ","), F.lit("")).alias("videos"),
+                    F.nullif(F.array_join(F.transform("vi", lambda z: z["fps"]), ","), F.lit("")).alias("video_fps"))
 
 
 # ---------------------------------------------------------------- C16 C17 C18 A13
