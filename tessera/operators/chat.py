@@ -182,7 +182,8 @@ def inference_prompt(prompt, system: str = K.INFERENCE_SYSTEM_PROMPT) -> Column:
 
 # ------------------------------------------------------------------ C11-C12
 def tag_pieces(df: DataFrame, key: str, order: str, content: str, tags=(K.IMAGE_TAG, K.VIDEO_TAG),
-               only_role: str | None = "user", role: str = "role", split: bool | None = None) -> DataFrame:
+               only_role: str | None = "user", role: str = "role", split: bool | None = None,
+               active_tag: str | None = None) -> DataFrame:
     """Split each turn on media tags: one row per piece (text before the
     i-th tag, or the tail) with the tag that follows it, and the running
     index of that tag per kind over the whole record (turn order).
@@ -190,19 +191,32 @@ def tag_pieces(df: DataFrame, key: str, order: str, content: str, tags=(K.IMAGE_
     The running index is a skew-safe prefix count (``running_sums``), so
     a very long record is spread over many tasks; ``_before_rows`` counts
     the pieces before this one in the record.
+
+    With ``active_tag`` (a column holding one tag per row) only that tag
+    splits the text; other tags stay literal text, as when a record is
+    processed for one visual kind.
     """
-    pattern = "|".join(t.replace("<", r"\<").replace(">", r"\>") for t in tags)
+    esc = lambda t: t.replace("<", r"\<").replace(">", r"\>")
     txt = F.col(content)
     if only_role is not None:
         split_here = F.col(role) == only_role
     else:
         split_here = F.lit(True)
-    parts = F.when(split_here, F.split(txt, pattern, -1)).otherwise(F.array(txt))
-    found = F.when(split_here, F.regexp_extract_all(txt, F.lit("(" + pattern + ")"), 1)).otherwise(
-        F.array().cast("array<string>"))
-    x = df.select("*", F.posexplode(parts).alias("_piece_no", "piece"), found.alias("_tags"),
-                  F.size(parts).alias("n_pieces"))
-    x = x.withColumn("tag", F.get(F.col("_tags"), F.col("_piece_no"))).drop("_tags")
+    if active_tag is None:
+        pattern = "|".join(esc(t) for t in tags)
+        parts = F.when(split_here, F.split(txt, pattern, -1)).otherwise(F.array(txt))
+        found = F.when(split_here, F.regexp_extract_all(txt, F.lit("(" + pattern + ")"), 1)).otherwise(
+            F.array().cast("array<string>"))
+        x = df.select("*", F.posexplode(parts).alias("_piece_no", "piece"), found.alias("_tags"),
+                      F.size(parts).alias("n_pieces"))
+        x = x.withColumn("tag", F.get(F.col("_tags"), F.col("_piece_no"))).drop("_tags")
+    else:
+        act = F.col(active_tag)
+        parts = F.array(txt)
+        for t in tags:
+            parts = F.when(split_here & (act == t), F.split(txt, esc(t), -1)).otherwise(parts)
+        x = df.select("*", F.posexplode(parts).alias("_piece_no", "piece"), F.size(parts).alias("n_pieces"))
+        x = x.withColumn("tag", F.when(F.col("_piece_no") < F.col("n_pieces") - 1, act))
     # running index per tag kind over the record: skew-safe prefix counts
     from .rows import has_hot_group, running_sums
     if split is None:   # measured on the turn rows: pieces per record follow them

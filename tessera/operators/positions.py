@@ -1,7 +1,9 @@
 """Token segments, loss masks and 3-D position ids of chat samples.
 
 A sample is a conversation rendered with the chat template (default
-system turn first).  User turns are split on media tags; each tag becomes
+system turn first), processed for one visual kind: image when it has image
+files, else video.  User turns are split on that kind's tag (the other
+kind's tag stays literal text); each tag becomes
 ``<|vision_start|>`` + pads + ``<|vision_end|>`` with as many pads as its
 grid has merged patches.  Everything is computed on a *segment table* -
 one row per text chunk followed by at most one media block - with running
@@ -41,7 +43,9 @@ def segments(turns: DataFrame, grid: DataFrame, key: str = "conv_id", time_scale
     src = turns.select(key, "turn", "role", "flat")
     if split is None:                     # one measurement for every pass below
         split = has_hot_group(src, [key])
-    p = C.tag_pieces(src, key, "turn", "flat", split=split)
+    src = src.join(sample_tags(grid, key), key, "left").withColumn(
+        "_stag", F.coalesce(F.col("_stag"), F.lit(K.IMAGE_TAG)))
+    p = C.tag_pieces(src, key, "turn", "flat", split=split, active_tag="_stag")
     p = p.withColumn("kind", F.when(F.col("tag") == K.IMAGE_TAG, "image").when(F.col("tag") == K.VIDEO_TAG, "video"))
     # per-piece values computed once; the text is dropped before the offset pass
     p = p.select(key, "turn", "role", "_piece_no", "n_pieces", "tag", "kind", "tag_index", "_before_rows",
@@ -97,17 +101,28 @@ def positions_3d(seg: DataFrame, key: str = "conv_id", time_scale: bool = True)
                     F.when(is_text, txt).otherwise(base + m % F.col("wm")).cast("bigint").alias("w"))
 
 
+def sample_tags(grid: DataFrame, key: str = "conv_id") -> DataFrame:
+    """The one visual kind a sample is processed with: image when it has
+    image files, else video when it has video files (samples without
+    media are text-only, where an image tag has no grid)."""
+    g = grid.groupBy(key).agg(F.max((F.col("kind") == "image").cast("int")).alias("_hi"))
+    return g.select(key, F.when(F.col("_hi") == 1, F.lit(K.IMAGE_TAG)).otherwise(F.lit(K.VIDEO_TAG)).alias("_stag"))
+
+
 def accepted_samples(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Keys of the samples whose every media tag has a grid: per kind, the
-    user-turn tags must not outnumber the sample's files (the same rule
-    as ``rejected`` in :func:`segments`, from one aggregation over turns,
-    without splitting any text)."""
+    """Keys of the samples whose every expanded tag has a grid: tags of the
+    sample's kind in user turns must not outnumber its files of that kind
+    (the same rule as ``rejected`` in :func:`segments`, from one
+    aggregation over turns, without splitting any text)."""
     user = F.col("role") == "user"
     g = turns.groupBy(key).agg(
         F.sum(F.when(user, T.count_occurrences("flat", K.IMAGE_TAG)).otherwise(0)).alias("_it"),
         F.sum(F.when(user, T.count_occurrences("flat", K.VIDEO_TAG)).otherwise(0)).alias("_vt"),
         F.count_if("has_img").alias("_if"), F.count_if("has_vid").alias("_vf"))
-    return g.filter((F.col("_it") <= F.col("_if")) & (F.col("_vt") <= F.col("_vf"))).select(key)
+    ok = (F.when(F.col("_if") > 0, F.col("_it") <= F.col("_if"))
+          .when(F.col("_vf") > 0, F.col("_vt") <= F.col("_vf"))
+          .otherwise(F.col("_it") == 0))
+    return g.filter(ok).select(key)
 
 
 def sample_lengths(seg: DataFrame, key: str = "conv_id") -> DataFrame:

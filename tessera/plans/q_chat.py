@@ -125,46 +125,51 @@ def inference_prompt(spark, d):
 
 
 # ---------------------------------------------------------------- C11 C12
-def image_grid_index(t):
-    from ..operators.rows import running_sums
-    g = FX.media_grid(FX.turns(t)).filter(F.col("kind") == "image")
-    g = running_sums(g, ["turn"], ["conv_id"], {"tag_index": F.lit(1).cast("bigint")})
-    return g.select("conv_id", "tag_index", (F.col("gt") * F.col("gh") * F.col("gw") / 4).cast("bigint").alias("n_pad"))
-
-
-IMG_GRID_SQL = """img_grid AS (
-  SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS k,
-         CAST(gt * gh * gw // 4 AS BIGINT) AS n FROM media_grid WHERE kind = 'image')"""
-
-
-@query("expand_visual", W(FX.TURNS_SQL, FX.MEDIA_GRID_SQL, IMG_GRID_SQL) + """,
+@query("expand_visual", W(FX.TURNS_SQL, FX.MEDIA_GRID_SQL) + """,
+grid_k AS (SELECT conv_id, kind, CAST(row_number() OVER (PARTITION BY conv_id, kind ORDER BY turn) - 1 AS BIGINT) AS k,
+                  CAST(gt * gh * gw // 4 AS BIGINT) AS n FROM media_grid),
+stags AS (SELECT conv_id, CASE WHEN bool_or(kind = 'image') THEN '<image>' ELSE '<video>' END AS stag
+          FROM media_grid GROUP BY conv_id),
 pieces AS (
-  SELECT conv_id, turn, unnest(parts) AS piece, generate_subscripts(parts, 1) AS piece_no, len(parts) AS n_parts
-  FROM (SELECT conv_id, turn, string_split(flat, '<image>') AS parts FROM turns WHERE role = 'user')),
+  SELECT conv_id, turn, stag, unnest(parts) AS piece, generate_subscripts(parts, 1) AS piece_no, len(parts) AS n_parts
+  FROM (SELECT t.conv_id, t.turn, coalesce(s.stag, '<image>') AS stag,
+               string_split(t.flat, coalesce(s.stag, '<image>')) AS parts
+        FROM turns t LEFT JOIN stags s ON s.conv_id = t.conv_id WHERE t.role = 'user')),
 tagged AS (
-  SELECT *, piece_no < n_parts AS has_tag,
+  SELECT *, piece_no < n_parts AS has_tag, CASE stag WHEN '<image>' THEN 'image' ELSE 'video' END AS kind,
          sum(CASE WHEN piece_no < n_parts THEN 1 ELSE 0 END)
            OVER (PARTITION BY conv_id ORDER BY turn, piece_no ROWS UNBOUNDED PRECEDING) - 1 AS tag_index
   FROM pieces),
 joined AS (
-  SELECT t.*, g.n, piece || CASE WHEN has_tag THEN
-           CASE WHEN g.n IS NULL THEN '<image>'
-                ELSE '<|vision_start|>' || repeat('<|image_pad|>', CAST(g.n AS BIGINT)) || '<|vision_end|>' END
+  SELECT t.*, piece || CASE WHEN has_tag THEN
+           CASE WHEN g.n IS NULL THEN t.stag
+                ELSE '<|vision_start|>' || repeat(CASE t.kind WHEN 'image' THEN '<|image_pad|>' ELSE '<|video_pad|>' END,
+                                                  g.n) || '<|vision_end|>' END
          ELSE '' END AS piece_out,
          bool_or(has_tag AND g.n IS NULL) OVER (PARTITION BY t.conv_id) AS missing
-  FROM tagged t LEFT JOIN img_grid g ON g.conv_id = t.conv_id AND g.k = t.tag_index AND t.has_tag)
+  FROM tagged t LEFT JOIN grid_k g ON g.conv_id = t.conv_id AND g.kind = t.kind AND g.k = t.tag_index AND t.has_tag)
 SELECT conv_id, turn, CASE WHEN any_value(missing) THEN 'missing_grid' ELSE 'ok' END AS status,
        string_agg(piece_out, '' ORDER BY piece_no) AS content
 FROM joined GROUP BY conv_id, turn""")
 def expand_visual(spark, d):
-    """Each <image> in user turns -> vision block with as many pads as
-    its grid has merged patches; tags index the record's images in order."""
-    t = loader(spark, d)
-    users = FX.turns(t).filter(F.col("role") == "user").select("conv_id", "turn", "role", "flat")
-    pieces = C.tag_pieces(users, "conv_id", "turn", "flat", tags=(K.IMAGE_TAG,))
-    j = pieces.join(image_grid_index(t), ["conv_id", "tag_index"], "left")
+    """Tags of the sample's visual kind in user turns -> vision block with
+    as many pads as its grid has merged patches; tags index the sample's
+    files of that kind in order; the other kind's tags stay text."""
+    from ..operators import positions as P
+    from .q_tokens import grid_k
+    tr = FX.turns(loader(spark, d))
+    grid = grid_k(tr)
+    users = (tr.filter(F.col("role") == "user").select("conv_id", "turn", "role", "flat")
+             .join(P.sample_tags(grid), "conv_id", "left")
+             .withColumn("_stag", F.coalesce(F.col("_stag"), F.lit(K.IMAGE_TAG))))
+    pieces = C.tag_pieces(users, "conv_id", "turn", "flat", active_tag="_stag").withColumn(
+        "kind", F.when(F.col("tag") == K.IMAGE_TAG, "image").when(F.col("tag") == K.VIDEO_TAG, "video"))
+    g = grid.select("conv_id", "kind", F.col("k").alias("tag_index"),
+                    (F.col("gt") * F.col("gh") * F.col("gw") / 4).cast("bigint").alias("n_pad"))
+    j = pieces.join(g, ["conv_id", "kind", "tag_index"], "left")
+    block = F.when(F.col("kind") == "image", C.vision_block("image", "n_pad")).otherwise(C.vision_block("video", "n_pad"))
     out = F.concat(F.col("piece"), F.when(F.col("tag").isNull(), F.lit("")).when(
-        F.col("n_pad").isNull(), F.lit(K.IMAGE_TAG)).otherwise(C.vision_block("image", "n_pad")))
+        F.col("n_pad").isNull(), F.col("tag")).otherwise(block))
     miss = j.groupBy("conv_id").agg(F.max((F.col("tag").isNotNull() & F.col("n_pad").isNull()).cast("int"))
                                     .alias("_miss"))
     j = j.join(miss, "conv_id").withColumn("piece_out", out).withColumn(

@@ -34,15 +34,17 @@ def _seg_sql(time_scale: bool) -> str:
     tau = "CAST(floor((g.gt - 1) * g.sec * 2) AS BIGINT)" if time_scale else "g.gt - 1"
     return f"""grid_k AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, kind ORDER BY turn) - 1 AS BIGINT) AS k
            FROM media_grid),
+stags AS (SELECT conv_id, CASE WHEN bool_or(kind = 'image') THEN '<image>' ELSE '<video>' END AS stag
+          FROM media_grid GROUP BY conv_id),
 pieces0 AS (
-  SELECT conv_id, turn, role,
-         CASE WHEN role = 'user' THEN regexp_split_to_array(flat, '<image>|<video>') ELSE [flat] END AS parts,
-         CASE WHEN role = 'user' THEN regexp_extract_all(flat, '<image>|<video>') ELSE []::VARCHAR[] END AS tags
-  FROM turns),
+  SELECT t.conv_id, t.turn, t.role, coalesce(s.stag, '<image>') AS stag,
+         CASE WHEN t.role = 'user' THEN string_split(t.flat, coalesce(s.stag, '<image>')) ELSE [t.flat] END AS parts
+  FROM turns t LEFT JOIN stags s ON s.conv_id = t.conv_id),
 pieces AS (
-  SELECT conv_id, turn, role, unnest(parts) AS piece, CAST(generate_subscripts(parts, 1) - 1 AS BIGINT) AS piece_no,
-         CAST(len(parts) AS BIGINT) AS n_pieces, tags FROM pieces0),
-tagged AS (SELECT *, CASE WHEN piece_no < len(tags) THEN tags[piece_no + 1] END AS tag FROM pieces),
+  SELECT conv_id, turn, role, stag, unnest(parts) AS piece,
+         CAST(generate_subscripts(parts, 1) - 1 AS BIGINT) AS piece_no, CAST(len(parts) AS BIGINT) AS n_pieces
+  FROM pieces0),
+tagged AS (SELECT *, CASE WHEN piece_no < n_pieces - 1 THEN stag END AS tag FROM pieces),
 kinded AS (
   SELECT *, CASE tag WHEN '<image>' THEN 'image' WHEN '<video>' THEN 'video' END AS kind,
          CASE WHEN tag IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY conv_id, tag ORDER BY turn, piece_no) - 1
@@ -152,14 +154,19 @@ SELECT b.batch,
        string_agg(CASE WHEN m.kind = 'video' THEN m.file END, ',' ORDER BY b.pos, m.turn) AS videos,
        CAST(sum(CASE WHEN m.kind = 'image' THEN m.gt * m.gh * m.gw // 4 END) AS BIGINT) AS image_tokens,
        CAST(sum(CASE WHEN m.kind = 'video' THEN m.gt * m.gh * m.gw // 4 END) AS BIGINT) AS video_tokens
-FROM bat2 b LEFT JOIN media_grid m ON m.conv_id = b.conv_id GROUP BY b.batch""")
+FROM bat2 b LEFT JOIN stags s ON s.conv_id = b.conv_id
+LEFT JOIN media_grid m ON m.conv_id = b.conv_id AND m.kind = CASE WHEN s.stag = '<image>' THEN 'image' ELSE 'video' END
+GROUP BY b.batch""")
 def batch_media(spark, d):
     tr = FX.turns(loader(spark, d))
     split = R.has_hot_group(tr.select("conv_id"), ["conv_id"])
     s = P.segments(tr, grid_k(tr, split), split=split)
     _, lb = batched(spark, d, s)
-    media = FX.media_grid(tr).select("conv_id", "kind", "turn", "file",
-                                     (F.col("gt") * F.col("gh") * F.col("gw") / 4).cast("bigint").alias("tokens"))
+    # a sample contributes the media of the kind it is processed with
+    kinds = P.sample_tags(FX.media_grid(tr)).select(
+        "conv_id", F.when(F.col("_stag") == "<image>", "image").otherwise("video").alias("kind"))
+    media = FX.media_grid(tr).join(kinds, ["conv_id", "kind"]).select(
+        "conv_id", "kind", "turn", "file", (F.col("gt") * F.col("gh") * F.col("gw") / 4).cast("bigint").alias("tokens"))
     return B.batch_media(lb, media, "conv_id")
 
 

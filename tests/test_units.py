@@ -311,14 +311,16 @@ def _py_positions(turn_rows, grids):
     """Sequential re-derivation of the 3-D positions of one sample."""
     toks = [("T",)] * 10                    # default system block
     used = {"image": 0, "video": 0}
+    # one visual kind per sample: image if it has image files, else video
+    stag = "<image>" if any(k == "image" for k, _ in grids) else ("<video>" if grids else "<image>")
     for _, role, flat in turn_rows:
         toks += [("T",)] * 3
         if role == "user":
-            parts = re.split(r"(<image>|<video>)", flat)
+            parts = re.split("(" + stag + ")", flat)
         else:
             parts = [flat]
         for j, part in enumerate(parts):
-            if part in ("<image>", "<video>"):
+            if part == stag:
                 kind = part[1:-1]
                 g = grids.get((kind, used[kind]))
                 used[kind] += 1
