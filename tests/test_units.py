@@ -622,3 +622,37 @@ def test_running_sums_property(spark, data, parts, hot, inclusive):
         exp[i] = before + v if inclusive else before
         acc[g] = before + v
     assert got == exp
+
+
+def test_api_curate_convert_validate(spark):
+    from tessera import api
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(40):
+        a, b = rng.standard_normal(8), rng.standard_normal(8)
+        words = " ".join(f"w{j}" for j in range(50 + i))       # 50..89 words
+        rows.append((i, words, f"https://x/{i}.jpg", a.tolist(), b.tolist()))
+    df = spark.createDataFrame(rows, "id long, prompt string, url string, image_vec array<double>, text_vec array<double>")
+    d = tempfile.mkdtemp(prefix="tessera-api-")
+    cur = api.curate(df, os.path.join(d, "curated"), train_ratio=0.75)
+    assert cur.filter("split = 'train'").count() == 30
+    back = SRC.read_prompt_csv(spark, os.path.join(d, "curated", "split=train"),
+                               schema=SRC.SCORED_SCHEMA).count()
+    assert back == 30
+    conv = api.convert(cur, os.path.join(d, "jsonl"))
+    assert conv.count() == 35                                # prompts of >= 55 words
+    lines = spark.read.text(os.path.join(d, "jsonl")).count()
+    assert lines == 35
+    # validator over a JSONL file and a media folder
+    os.makedirs(os.path.join(d, "media"))
+    open(os.path.join(d, "media", "a.jpg"), "wb").write(b"x")
+    ann = os.path.join(d, "ann.jsonl")
+    with open(ann, "w") as f:
+        f.write('{"id": 1, "image": "a.jpg", "conversations": [{"from": "human", "value": "<image>q"}]}\n')
+        f.write('{"id": 2, "image": "b.jpg", "conversations": [{"from": "human", "value": "<image>q"}]}\n')
+        f.write('{"id": 3, "conversations": [{"from": "human", "value": "<image>q"}]}\n')
+    checked, summary = api.validate_data(spark, ann, os.path.join(d, "media"), os.path.join(d, "out"))
+    s = summary.first()
+    assert (s["total_entries"], s["valid_entries"], s["missing_media"], s["token_mismatches"]) == (3, 1, 1, 1)
+    assert s["sample_missing"].endswith("/media/b.jpg")
+    assert spark.read.json(os.path.join(d, "out", "status=problem")).count() == 2
