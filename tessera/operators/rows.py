@@ -160,10 +160,20 @@ def hot_limit(spark) -> int:
     return int(spark.conf.get("tessera.hotGroupRows", str(HOT_GROUP_ROWS)))
 
 
+_HOT: dict = {}
+
+
 def has_hot_group(df: DataFrame, by: Sequence[str], hot_rows: int | None = None) -> bool:
-    """Whether any ``by`` group exceeds the hot-group row limit."""
+    """Whether any ``by`` group exceeds the hot-group row limit.
+
+    The answer only chooses between two strategies that give identical
+    results, so it is remembered per plan (``semanticHash``) within the
+    application: a stale answer could cost time, never correctness."""
     limit = hot_rows if hot_rows is not None else hot_limit(df.sparkSession)
-    return largest_group(df, by) > limit
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(by))
+    if key not in _HOT:
+        _HOT[key] = largest_group(df, by)
+    return _HOT[key] > limit
 
 
 def running_sums(df: DataFrame, order_by: Sequence, by: Sequence[str], values: dict,
