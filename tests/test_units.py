@@ -656,3 +656,17 @@ def test_api_curate_convert_validate(spark):
     assert (s["total_entries"], s["valid_entries"], s["missing_media"], s["token_mismatches"]) == (3, 1, 1, 1)
     assert s["sample_missing"].endswith("/media/b.jpg")
     assert spark.read.json(os.path.join(d, "out", "status=problem")).count() == 2
+
+
+def test_bench_prints_one_json_line():
+    import json
+    import subprocess
+    import sys as _sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, BENCH_SF_DIR="/root/testdata/sf0.001", BENCH_CPUS="2",
+               BENCH_QUERIES="pair_cosine,resize_plan")
+    out = subprocess.run([_sys.executable, os.path.join(root, "bench.py")], env=env, capture_output=True,
+                         text=True, timeout=600)
+    line = [x for x in out.stdout.strip().splitlines() if x.startswith("{")][-1]
+    rec = json.loads(line)
+    assert rec["unit"] == "sec" and set(rec["queries"]) == {"pair_cosine", "resize_plan"} and rec["sf"] == 0.001
