@@ -235,3 +235,11 @@ def running_sums(df: DataFrame, order_by: Sequence, by: Sequence[str], values: d
         v = F.coalesce(F.col(f"_o_{k}"), F.lit(0)) + F.col(f"_l_{k}")
         out = out.withColumn(k, v if inclusive else v - F.col(f"_v_{k}"))
     return out.drop(_PID, *[f"_{p}_{k}" for p in "vlo" for k in names])
+
+
+def sample_approx(df: DataFrame, rate: float, seed: int = 0) -> DataFrame:
+    """Approximate mode of ``sample_exact``: an independent Bernoulli draw
+    per row (no count, no shuffle); the size is ``rate * n`` on average."""
+    if rate >= 1.0:
+        return df
+    return df.sample(withReplacement=False, fraction=float(rate), seed=seed)

@@ -670,3 +670,22 @@ def test_bench_prints_one_json_line():
     line = [x for x in out.stdout.strip().splitlines() if x.startswith("{")][-1]
     rec = json.loads(line)
     assert rec["unit"] == "sec" and set(rec["queries"]) == {"pair_cosine", "resize_plan"} and rec["sf"] == 0.001
+
+
+def test_sample_approx_and_model_in_stream(spark):
+    df = spark.range(20000)
+    n = R.sample_approx(df, 0.25, seed=3).count()
+    assert 4500 < n < 5500 and R.sample_approx(df, 1.0).count() == 20000
+    # the batched model hook inside a stream equals the batch result
+    from tessera.operators import score as S
+    from tessera.streaming import ingest as ST
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(60)]
+    vecs = spark.createDataFrame(rows, "id long, v array<float>")
+    src = ST.stage_files(vecs, 4, "model-src")
+    model = S.projection_model(4, seed=2)
+    sink, _ = ST.run_stream(spark, src, vecs.schema, lambda s: S.batch_score(s, model, "v", 4, batch_size=8),
+                            max_files_per_trigger=1, name="model")
+    streamed = {r["id"]: round(r["score"], 9) for r in spark.read.parquet(sink).select("id", "score").collect()}
+    batch = {r["id"]: round(r["score"], 9) for r in S.batch_score(vecs, model, "v", 4).collect()}
+    assert streamed == batch
