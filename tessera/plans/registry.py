@@ -6,7 +6,9 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
+import functools
+
+from ..session import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -14,10 +16,14 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)      # Python workers import tessera from the shipped zip
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
-        return fn
+        return run
     return deco
 
 

@@ -689,3 +689,23 @@ def test_sample_approx_and_model_in_stream(spark):
     streamed = {r["id"]: round(r["score"], 9) for r in spark.read.parquet(sink).select("id", "score").collect()}
     batch = {r["id"]: round(r["score"], 9) for r in S.batch_score(vecs, model, "v", 4).collect()}
     assert streamed == batch
+
+
+def test_python_worker_queries_from_foreign_cwd():
+    """Queries whose functions run in Python workers must work when the
+    driver process does not start in the repository (the package is
+    shipped to the workers)."""
+    import subprocess
+    import sys as _sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.path.insert(0, %r)\n"
+            "from pyspark.sql import SparkSession\n"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+            "import __spark_entry__ as E\n"
+            "q = E.queries()\n"
+            "print('N', q['fetch_ledger'](s, '/root/testdata/sf0.001').count(),"
+            " q['covariance_long'](s, '/root/testdata/sf0.001').count())\n") % root
+    out = subprocess.run([_sys.executable, "-c", code], cwd=tempfile.mkdtemp(prefix="tessera-cwd-"),
+                         capture_output=True, text=True, timeout=600)
+    line = [x for x in out.stdout.splitlines() if x.startswith("N ")]
+    assert line and line[0].split()[1:] == ["50", "8192"], out.stderr[-2000:]
