@@ -4,10 +4,10 @@
 import pytest
 
 import __spark_entry__ as E
+from tessera.plans import catalog
 from tessera.plans.oracle_check import compare, duck
 
-ORACLES = E.oracle_sql()
-QUERIES = E.queries()
+QUERIES, ORACLES = catalog.load()
 
 
 @pytest.fixture(scope="module")
