@@ -47,7 +47,7 @@ RULES = (
     Rule("word_length", "word_chars / n_words", low=3.0, high=10.0),
     Rule("symbols", "n_symbols / n_words", high=0.1),
     Rule("stop_words", "n_stop_words / n_words", low=0.02),
-    Rule("duplicate_lines", "n_dup_lines / n_lines", high=0.3),
+    Rule("duplicate_lines", "n_dup_lines / n_lines", high=0.5),
     Rule("ellipsis_lines", "n_ellipsis_lines / n_lines", high=0.3),
     Rule("bullet_lines", "n_bullet_lines / n_lines", high=0.9),
 )
