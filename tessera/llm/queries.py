@@ -6,9 +6,10 @@ from __future__ import annotations
 import functools
 
 from ..session import ship_package
-from . import quality
+from . import decontam, quality
 
 _ALL = {
+    "op6_decontamination": (decontam.op6_decontamination, decontam.SQL),
     "op9_quality_rules": (quality.op9_quality_rules, quality.SQL),
 }
 
