@@ -6,9 +6,10 @@ from __future__ import annotations
 import functools
 
 from ..session import ship_package
-from . import decontam, quality
+from . import decontam, jaccard, quality
 
 _ALL = {
+    "op8_ngram_jaccard_join": (jaccard.op8_ngram_jaccard_join, jaccard.SQL),
     "op6_decontamination": (decontam.op6_decontamination, decontam.SQL),
     "op9_quality_rules": (quality.op9_quality_rules, quality.SQL),
 }
