@@ -6,9 +6,11 @@ from __future__ import annotations
 import functools
 
 from ..session import ship_package
-from . import decontam, jaccard, quality
+from . import decontam, jaccard, mixing, quality, sharding
 
 _ALL = {
+    "op3_pfair_mixing": (mixing.op3_pfair_mixing, None),
+    "op5_label_propagation": (sharding.op5_label_propagation, None),
     "op8_ngram_jaccard_join": (jaccard.op8_ngram_jaccard_join, jaccard.SQL),
     "op6_decontamination": (decontam.op6_decontamination, decontam.SQL),
     "op9_quality_rules": (quality.op9_quality_rules, quality.SQL),
