@@ -13,9 +13,9 @@ is pretrained on the training part of the corpus:
     an order has at most 2**MASS_BITS nodes of at most 257 symbols: that bound
     holds for the broadcast however large the corpus is;
  3. a symbol is predicted by the longest context that is a node.  If it was
-    not seen there, an escape (method C: distinct symbols / (count + distinct
-    symbols)) leads to the next shorter context, in which the symbols of the
-    longer one are excluded; below order 0 the unseen symbols are equally
+    not seen there, an escape (method D: half a count of every distinct symbol)
+    leads to the next shorter context, in which the symbols of the longer one
+    are excluded; below order 0 the unseen symbols are equally
     likely.  As this depends only on the context and the symbol, it is
     evaluated once for each distinct string of a block of texts.
 
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from ._bytes import LOWER, blocks, word_hashes, words
 from ._store import drop, release, saved
 
-ORDER, MASS_BITS, SYMBOLS, END = 5, 16, 257, 256
+ORDER, MASS_BITS, SYMBOLS, END = 5, 19, 257, 256
 BLOCK = 8 << 20
 KEEP_COUNTS = 3_000_000      # distinct strings a task holds before it passes them on
 _U = np.uint64
@@ -160,9 +160,9 @@ class Trie:
             want = (ctx[live] << _U(9)) | sym[live]
             e = np.minimum(np.searchsorted(self.entries[k], want), len(self.entries[k]) - 1)
             seen = self.entries[k][e] == want
-            gain = np.where(seen, self.counts[k][e], kinds)
+            gain = np.where(seen, self.counts[k][e] - 0.5, 0.5 * kinds)
             use = seen | (kinds > 0)
-            out[live[use]] += np.log10(gain[use] / (total + kinds)[use])
+            out[live[use]] += np.log10(gain[use] / total[use])
             todo[live[seen]] = False
             ex_n[live], ex_q[live] = self.shadow[k][at], self.kinds[k][at]
         unseen = SYMBOLS - (int(self.kinds[0][0]) if len(self.nodes[0]) else 0)
