@@ -6,9 +6,10 @@ from __future__ import annotations
 import functools
 
 from ..session import ship_package
-from . import decontam, jaccard, mixing, ppm, quality, sharding
+from . import decontam, jaccard, mixing, ppm, quality, sharding, suffix_dedup
 
 _ALL = {
+    "op4_suffix_dedup": (suffix_dedup.op4_suffix_dedup, None),
     "op2_ppm_scores": (ppm.op2_ppm_scores, None),
     "op3_pfair_mixing": (mixing.op3_pfair_mixing, None),
     "op5_label_propagation": (sharding.op5_label_propagation, None),
