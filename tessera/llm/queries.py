@@ -6,9 +6,10 @@ from __future__ import annotations
 import functools
 
 from ..session import ship_package
-from . import chat_views, decontam, jaccard, mixing, ppm, quality, sharding, suffix_dedup
+from . import chat_views, decontam, jaccard, licenses, mixing, ppm, quality, sharding, suffix_dedup
 
 _ALL = {
+    "op10_license_scan": (licenses.op10_license_scan, licenses.SQL),
     "op1_perspective_rotation": (chat_views.op1_perspective_rotation, chat_views.SQL),
     "op4_suffix_dedup": (suffix_dedup.op4_suffix_dedup, None),
     "op2_ppm_scores": (ppm.op2_ppm_scores, None),
