@@ -68,5 +68,5 @@ def validate_data(spark: SparkSession, json_file_path: str, media_folder_path: s
     qualified = listing.select(F.regexp_replace("path", r"^file:", "").alias("path"))
     checked = V.problems(V.prepare(ann.select("id", "v")), "id", qualified, root)
     if output_path:
-        V.write_split(checked, output_path, "id")
+        V.write_split(checked, output_path)
     return checked, V.summary(checked, "id")

@@ -27,10 +27,12 @@ def cosine(a, b, eps: float = 1e-8) -> Column:
 # Row scalars (max, sum, norm) are passed through aggregate()'s finish
 # lambda so they are computed once per row, not once per element.
 
-def l2_normalize(a) -> Column:
+def l2_normalize(a, eps: float = 1e-12) -> Column:
+    """Unit vectors; the norm is clamped below by eps, so a zero vector
+    stays zero."""
     v = _d(a)
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x,
-                       lambda s: F.transform(v, lambda x: x / F.sqrt(s)))
+                       lambda s: F.transform(v, lambda x: x / F.greatest(F.sqrt(s), F.lit(eps))))
 
 
 def softmax(a, scale: float = 1.0) -> Column:

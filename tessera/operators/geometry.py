@@ -45,9 +45,10 @@ def boxes_relative(df: DataFrame, h: str = "height", w: str = "width") -> DataFr
 
 
 def boxes_resized(df: DataFrame, h: str = "height", w: str = "width") -> DataFrame:
-    """Absolute boxes -> pixel coordinates of the strictly resized image;
-    boxes of rejected images are dropped."""
-    s = resize_plan_strict(df, h, w).filter(F.col("reject").isNull())
+    """Absolute boxes -> pixel coordinates of the strictly resized image.
+    Boxes of a rejected image keep their row with its ``reject`` reason and
+    null coordinates."""
+    s = resize_plan_strict(df, h, w)
     return s.select("*", *[G.box_scaled(c, w if c[0] == "x" else h,
                                          "resized_width" if c[0] == "x" else "resized_height").alias(f"s{c}")
                            for c in BOX])
@@ -55,7 +56,11 @@ def boxes_resized(df: DataFrame, h: str = "height", w: str = "width") -> DataFra
 
 def token_budget(plan: DataFrame, by: list[str]) -> DataFrame:
     """Visual tokens per image (t=1, grid = size / patch, // merge^2)
-    summed per group."""
-    ok = plan.filter(F.col("reject").isNull() & ~F.col("degenerate"))
+    summed per group; rejected and degenerate images are counted apart."""
+    ok = F.col("reject").isNull() & ~F.coalesce(F.col("degenerate"), F.lit(False))
     tok = G.visual_tokens(F.lit(1), F.col("resized_height") / G.PATCH, F.col("resized_width") / G.PATCH)
-    return ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n_images"), F.sum(tok).cast("bigint").alias("total_tokens"))
+    return plan.groupBy(*by).agg(
+        F.count_if(ok).cast("bigint").alias("n_images"),
+        F.count_if(F.col("reject").isNotNull()).cast("bigint").alias("n_rejected"),
+        F.count_if(F.col("reject").isNull() & F.col("degenerate")).cast("bigint").alias("n_degenerate"),
+        F.coalesce(F.sum(F.when(ok, tok)), F.lit(0)).cast("bigint").alias("total_tokens"))

@@ -3,7 +3,7 @@
 Means, covariances, Inception Score and CLIP score are distributed
 aggregations: every row contributes partial sums that Spark merges
 map-side before the shuffle, so the exchange carries one partial state per
-(partition, group, dimension) and never the rows.  Only the Fréchet
+(partition, group) and never the rows.  Only the Fréchet
 finish - a d x d eigen-decomposition whose size is fixed by the feature
 width, not by the data - runs on the driver.
 """
@@ -13,6 +13,9 @@ from __future__ import annotations
 from typing import Sequence
 
 import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,88 +31,65 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def long_vector(df: DataFrame, vec: str, keep: Sequence[str] = (), dim: str = "dim",
-                value: str = "x") -> DataFrame:
-    """(keep..., dim, x) with one row per component, in double."""
-    return df.select(*keep, F.posexplode(V._d(vec)).alias(dim, value))
+def mean_array(vec) -> Column:
+    """Element-wise mean of an array column as an aggregate (one d-vector of
+    state per group and task)."""
+    return vector_to_array(Summarizer.mean(array_to_vector(V._d(vec))))
 
 
 def mean_vector(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame:
-    return (long_vector(df, vec, by).groupBy(*by, "dim").agg(F.avg("x").alias("mean")))
-
-
-def covariance_pairs(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame:
-    """Sample covariance (ddof 1) per (by, i, j) in JVM expressions only.
-
-    Each row emits its d x d products inside one generator (no self-join);
-    ``covar_samp`` aggregates partially before the shuffle.  The row
-    inflation is d^2, so this suits narrow vectors; :func:`covariance_long`
-    uses BLAS partials instead.
-    """
-    x = V._d(vec)
-    n = F.size(x)
-    idx = F.sequence(F.lit(0), n - 1)
-    pairs = F.flatten(F.transform(idx, lambda i: F.transform(
-        idx, lambda j: F.struct(i.alias("i"), j.alias("j"), x[i].alias("xi"), x[j].alias("xj")))))
-    e = df.select(*by, F.explode(pairs).alias("p"))
-    return e.groupBy(*by, F.col("p.i").alias("i"), F.col("p.j").alias("j")).agg(
-        F.covar_samp("p.xi", "p.xj").alias("cov"))
+    return (df.groupBy(*by).agg(mean_array(vec).alias("_m"))
+            .select(*by, F.posexplode("_m").alias("dim", "mean")))
 
 
 def covariance_long(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame:
-    """Sample covariance (ddof 1) per (by, i, j) from Arrow partial moments."""
-    return moments(df, vec, by).select(*by, "i", "j", "cov")
+    """Sample covariance (ddof 1) per (by, i, j)."""
+    return moments(df, vec, by).select(*by, "i", F.posexplode("cov").alias("j", "cov"))
 
 
 def moments(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame:
-    """n, mean and covariance per group via per-partition Arrow partials.
+    """(by, i, n, mean_i, cov): one row per group and matrix row, ``cov`` the
+    row of the sample covariance matrix.
 
-    Each Python task reduces its rows to (n_p, mean_p, M2_p) per group -
-    centred on its own mean, so no cancellation - and emits one row per
-    (group, i, j).  The partials merge with Chan's formula in a Spark
-    aggregation:  M2 = sum M2_p + sum n_p mu_p,i mu_p,j - n mu_i mu_j.
+    Two passes.  The first is an aggregate of means.  In the second every
+    task sums (x - m)(x - m)' per group, centred on the group's mean m - so
+    nothing cancels, however large the means are - and sends one row per
+    matrix row; these are added up as they arrive.
     """
     by = list(by)
-    sch = T.StructType([*(df.schema[b] for b in by),
-                        T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()),
-                        T.StructField("n", T.LongType()), T.StructField("mi", T.DoubleType()),
-                        T.StructField("mj", T.DoubleType()), T.StructField("m2", T.DoubleType())])
+    if not by:
+        return moments(df.withColumn("_g", F.lit(0)), vec, ["_g"]).drop("_g")
+    means = df.groupBy(*[F.col(c).alias(f"_k_{c}") for c in by]).agg(mean_array(vec).alias("_mean"))
+    keyed = (df.select(*by, F.col(vec).alias("_x")).join(means, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by])
+             .select(*by, "_x", "_mean"))
+    cells = T.StructType([*(df.schema[c] for c in by), T.StructField("i", T.IntegerType()),
+                          T.StructField("n", T.LongType()), T.StructField("mean_i", T.DoubleType()),
+                          T.StructField("row", T.ArrayType(T.DoubleType()))])
 
     def part(it):
-        import pandas as pd
-        acc: dict = {}  # group -> (n, mean, M2), merged batch by batch (constant memory)
+        acc: dict = {}
         for pdf in it:
-            keys = [tuple(r) for r in pdf[by].itertuples(index=False)] if by else [()] * len(pdf)
-            pdf = pdf.assign(_k=keys)
-            for k, g in pdf.groupby("_k", sort=False):
-                X = np.vstack(g[vec].to_numpy()).astype("float64")
-                nb, mb = X.shape[0], X.mean(axis=0)
-                C = X - mb
-                Mb = C.T @ C
-                if k in acc:
-                    na, ma, Ma = acc[k]
-                    n = na + nb
-                    delta = mb - ma
-                    acc[k] = (n, ma + delta * (nb / n), Ma + Mb + np.outer(delta, delta) * (na * nb / n))
-                else:
-                    acc[k] = (nb, mb, Mb)
-        for k, (n, mu, M2) in acc.items():
-            d = mu.shape[0]
-            ii, jj = np.meshgrid(np.arange(d), np.arange(d), indexing="ij")
-            out = {b: [k[t]] * (d * d) for t, b in enumerate(by)}
-            out.update(i=ii.ravel().astype("int32"), j=jj.ravel().astype("int32"), n=np.full(d * d, n),
-                       mi=mu[ii.ravel()], mj=mu[jj.ravel()], m2=M2.ravel())
-            yield pd.DataFrame(out)
-
-    partial = df.select(*by, vec).mapInPandas(part, sch)
-    g = partial.groupBy(*by, "i", "j").agg(
-        F.sum("n").alias("n"), F.sum("m2").alias("sm2"),
-        F.sum(F.col("n") * F.col("mi") * F.col("mj")).alias("snmm"),
-        F.sum(F.col("n") * F.col("mi")).alias("sni"), F.sum(F.col("n") * F.col("mj")).alias("snj"))
-    mean_i = F.col("sni") / F.col("n")
-    cov = F.when(F.col("n") >= 2, (F.col("sm2") + F.col("snmm") - F.col("n") * mean_i * (F.col("snj") / F.col("n")))
-                 / (F.col("n") - 1))
-    return g.select(*by, "i", "j", "n", mean_i.alias("mean_i"), cov.alias("cov"))
+            for k, g in pdf.groupby(by, sort=False, dropna=False):
+                mean = np.asarray(g["_mean"].iloc[0], float)
+                c = np.vstack(g["_x"].to_numpy()).astype(float) - mean
+                n, _, m2 = acc.get(k, (0, None, 0.0))
+                acc[k] = (n + len(c), mean, m2 + c.T @ c)
+        for k, (n, mean, m2) in acc.items():
+            yield pd.DataFrame({**{c: [v] * len(mean) for c, v in zip(by, k)}, "i": np.arange(len(mean), dtype="int32"),
+                                "n": n, "mean_i": mean, "row": list(m2)})
+
+    def add(it):
+        acc: dict = {}
+        for pdf in it:
+            for r in pdf.itertuples(index=False):
+                k = tuple(r[:len(by) + 1])
+                n, _, row = acc.get(k, (0, 0.0, 0.0))
+                acc[k] = (n + r.n, r.mean_i, row + np.asarray(r.row))
+        for k, (n, mean, row) in acc.items():
+            yield pd.DataFrame([(*k, n, mean, row / (n - 1) if n > 1 else None)], columns=[*by, "i", "n", "mean_i", "cov"])
+
+    out = T.StructType([*cells.fields[:-1], T.StructField("cov", T.ArrayType(T.DoubleType()))])
+    return keyed.mapInPandas(part, cells).repartition(*by, "i").mapInPandas(add, out)
 
 
 def frechet_from_moments(mu1: np.ndarray, s1: np.ndarray, mu2: np.ndarray, s2: np.ndarray,
@@ -132,14 +112,11 @@ def frechet_distance(df: DataFrame, vec: str, side: str, real, generated) -> flo
     """Fréchet distance between two sides of ``df`` (distributed moments,
     d x d finish on the driver)."""
     m = moments(df.filter(F.col(side).isin(real, generated)), vec, [side])
-    rows = m.select(side, "i", "j", "mean_i", "cov").collect()  # 2 * d * d values, fixed by d
-    d = 1 + max(r["i"] for r in rows)
-    mats = {real: (np.zeros(d), np.zeros((d, d))), generated: (np.zeros(d), np.zeros((d, d)))}
-    for r in rows:
-        mu, s = mats[r[side]]
-        s[r["i"], r["j"]] = r["cov"]
-        if r["i"] == r["j"]:
-            mu[r["i"]] = r["mean_i"]
+    got = m.select(side, "i", "mean_i", "cov").collect()       # 2 * d rows of d values, fixed by the feature width
+    mats = {}
+    for which in (real, generated):
+        rows = sorted((r for r in got if r[side] == which), key=lambda r: r["i"])
+        mats[which] = np.array([r["mean_i"] for r in rows]), np.array([r["cov"] for r in rows], float)
     return frechet_from_moments(*mats[real], *mats[generated])
 
 
@@ -150,11 +127,9 @@ def inception_score(df: DataFrame, probs: str, by: Sequence[str] = (), eps: floa
     by = list(by)
     if not by:
         return inception_score(df.withColumn("_g", F.lit(0)), probs, ["_g"], eps).drop("_g")
-    rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
-                               F.avg(V.plogp_sum(F.col(probs), eps)).alias("h_row"))
-    pbar = long_vector(df, probs, by, value="p").groupBy(*by, "dim").agg(F.avg("p").alias("pbar"))
-    h_bar = pbar.groupBy(*by).agg(F.sum(F.col("pbar") * F.ln(F.col("pbar") + F.lit(eps))).alias("h_bar"))
-    return rows.join(h_bar, by).select(*by, "n", F.exp(F.col("h_row") - F.col("h_bar")).alias("inception_score"))
+    one = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(V.plogp_sum(F.col(probs), eps)).alias("h_row"),
+                              mean_array(probs).alias("pbar"))
+    return one.select(*by, "n", F.exp(F.col("h_row") - V.plogp_sum(F.col("pbar"), eps)).alias("inception_score"))
 
 
 def clip_score(df: DataFrame, img: str, txt: str, by: Sequence[str] = ()) -> DataFrame:
@@ -162,3 +137,14 @@ def clip_score(df: DataFrame, img: str, txt: str, by: Sequence[str] = ()) -> Dat
     cos = V.dot(V.l2_normalize(img), V.l2_normalize(txt))
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"),
                                (F.avg(F.greatest(cos, F.lit(0.0))) * F.lit(CLIP_SCALE)).alias("clip_score"))
+
+
+def report(df: DataFrame, probs: str, img: str, txt: str, by: Sequence[str]) -> DataFrame:
+    """Inception Score of every group and CLIP score of the rows with a text
+    vector, in one aggregation."""
+    has = F.col(txt).isNotNull()
+    cos = F.greatest(V.dot(V.l2_normalize(img), V.l2_normalize(F.coalesce(F.col(txt), F.col(img)))), F.lit(0.0))
+    one = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(V.plogp_sum(F.col(probs), IS_EPS)).alias("h_row"),
+                              mean_array(probs).alias("pbar"), (F.avg(F.when(has, cos)) * CLIP_SCALE).alias("clip_score"))
+    return one.select(*by, "n", F.exp(F.col("h_row") - V.plogp_sum(F.col("pbar"), IS_EPS)).alias("inception_score"),
+                      "clip_score")

@@ -82,7 +82,7 @@ def missing_media(df: DataFrame, key: str, listing: DataFrame, root: str) -> Dat
             .select(key, F.transform("_m", lambda z: z["path"]).alias("missing_files")))
 
 
-def problems(df: DataFrame, key: str, listing: DataFrame, root: str) -> DataFrame:
+def problems(df: DataFrame, key: str, listing: DataFrame, root: str, v: str = "v") -> DataFrame:
     """Adds ``missing_files``, the first token mismatch, and
     ``validation_problems`` (in the reference's order)."""
     miss = missing_media(df, key, listing, root)
@@ -112,7 +112,7 @@ def problems(df: DataFrame, key: str, listing: DataFrame, root: str) -> DataFram
         F.lit(None).cast("array<string>").alias("files"),
         F.lit("GPT response contains media token (<image> or <video>)").alias("message"))).cast(prob_t)
     # a line that did not parse (e.g. a trailing comma) is a problem record
-    p_parse = F.when(F.col("v").isNull(), F.struct(
+    p_parse = F.when(F.col(v).isNull(), F.struct(
         F.lit("parse_error").alias("type"), F.lit(None).cast("string").alias("media_type"),
         F.lit(None).cast("bigint").alias("expected"), F.lit(None).cast("bigint").alias("actual"),
         F.lit(None).cast("array<string>").alias("files"),
@@ -145,7 +145,24 @@ def summary(checked: DataFrame, key: str, sample: int = 5) -> DataFrame:
     ).withColumn("sample_missing", first.scalar())
 
 
-def write_split(checked: DataFrame, path: str, key: str) -> None:
-    """Valid and problem records as JSON, one folder per status."""
-    (checked.select(key, "images", "videos", "validation_problems", "status")
-     .write.mode("overwrite").partitionBy("status").json(path))
+def split_lines(checked: DataFrame, v: str = "v") -> DataFrame:
+    """(status, value): each record whole, as one JSON line; a problem record
+    also has its ``validation_problems``.  A line that is not a JSON object
+    is kept under ``record`` (its value) or ``line`` (its text)."""
+    record, probs = F.to_json(v), F.to_json("validation_problems")
+    line = F.col("line") if "line" in checked.columns else F.lit(None).cast("string")
+    is_object = F.schema_of_variant(v).startswith("OBJECT")
+    body = F.expr("substring(_r, 2, length(_r) - 2)")
+    x = checked.withColumns({"_r": record, "_p": probs})
+    as_object = F.concat(F.lit("{"), body, F.when(F.col("_r") == "{}", "").otherwise(","), F.lit('"validation_problems":'),
+                         F.col("_p"), F.lit("}"))
+    as_value = F.concat(F.lit('{"record":'), F.col("_r"), F.lit(',"validation_problems":'), F.col("_p"), F.lit("}"))
+    as_line = F.to_json(F.struct(line.alias("line"), "validation_problems"))
+    value = (F.when(F.col(v).isNull(), as_line).when(F.col("status") == "valid", F.col("_r"))
+             .when(is_object, as_object).otherwise(as_value))
+    return x.select("status", value.alias("value"))
+
+
+def write_split(checked: DataFrame, path: str, v: str = "v") -> None:
+    """Valid and problem records as JSON lines, one folder per status."""
+    split_lines(checked, v).write.mode("overwrite").partitionBy("status").text(path)

@@ -85,7 +85,9 @@ def frame_plan(df: DataFrame) -> DataFrame:
 def frames_by_interval(df: DataFrame, interval: float = 2.0, min_frames: int = 4, max_frames: int = 8) -> DataFrame:
     """G12: round(length / interval) clamped to [min, max]; indices
     floor(i * (total-1)/(n-1)) with the last forced to total-1, distinct;
-    seconds per temporal grid = temporal_patch / (count / length)."""
+    seconds per temporal grid = temporal_patch / (count / length).  A video
+    without a positive rate keeps its row, with a ``reject`` reason and no
+    frames."""
     total, vfps = F.col("total_frames"), F.col("video_fps")
     length = F.try_divide(total, vfps)
     n = F.least(F.greatest(F.rint(length / interval), F.lit(float(min_frames))), F.lit(float(max_frames))).cast("bigint")
@@ -93,10 +95,11 @@ def frames_by_interval(df: DataFrame, interval: float = 2.0, min_frames: int = 4
     idx = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1),
                       lambda i: F.when(i == n - 1, total - 1).otherwise(F.floor(i * step)).cast("bigint"))
     frames = F.when(n == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.array_sort(F.array_distinct(idx)))
-    x = df.filter(vfps > 0).withColumn("frames", frames)
+    ok = F.coalesce(vfps > 0, F.lit(False))
+    x = df.withColumns({"reject": F.when(~ok, F.lit("no_frame_rate")), "frames": F.when(ok, frames)})
     fps_s = F.size("frames") / length
-    return x.withColumn("n_frames", F.size("frames").cast("bigint")).withColumn(
-        "second_per_grid", G.TEMPORAL_PATCH / fps_s)
+    return x.withColumn("n_frames", F.when(ok, F.size("frames")).otherwise(0).cast("bigint")).withColumn(
+        "second_per_grid", F.when(ok, F.try_divide(F.lit(float(G.TEMPORAL_PATCH)), fps_s)))
 
 
 def pad_even(frames) -> Column:

@@ -110,17 +110,19 @@ _SB = resize_sql("b.height", "b.width", G.IMAGE_FACTOR, G.STRICT_MIN_PIXELS, G.S
 @query("bbox_resized", W(FX.PROMPTS_SQL, BOXES_SQL) + f""",
 sb AS (SELECT b.*, {_SB['height']} AS nh, {_SB['width']} AS nw, {_SB['reject']} AS reject FROM boxes b)
 SELECT id, k, {_sc('x1', 'width', 'nw')} AS sx1, {_sc('y1', 'height', 'nh')} AS sy1,
-       {_sc('x2', 'width', 'nw')} AS sx2, {_sc('y2', 'height', 'nh')} AS sy2
-FROM sb WHERE reject IS NULL""")
+       {_sc('x2', 'width', 'nw')} AS sx2, {_sc('y2', 'height', 'nh')} AS sy2, reject
+FROM sb""")
 def bbox_resized(spark, d):
     b = GO.boxes_resized(boxes(loader(spark, d)))
-    return b.select("id", "k", "sx1", "sy1", "sx2", "sy2")
+    return b.select("id", "k", "sx1", "sy1", "sx2", "sy2", "reject")
 
 
 @query("token_budget", W(FX.PROMPTS_SQL, IMAGES_SQL) + PLAN_SQL + """
-SELECT source_site, CAST(count(*) AS BIGINT) AS n_images,
-       CAST(sum(floor((resized_height / 14) * (resized_width / 14) / 4)) AS BIGINT) AS total_tokens
-FROM plan WHERE reject IS NULL AND NOT degenerate GROUP BY source_site""")
+SELECT source_site, count(*) FILTER (reject IS NULL AND NOT degenerate) AS n_images,
+       count(*) FILTER (reject IS NOT NULL) AS n_rejected, count(*) FILTER (reject IS NULL AND degenerate) AS n_degenerate,
+       CAST(coalesce(sum(floor((resized_height / 14) * (resized_width / 14) / 4))
+                     FILTER (reject IS NULL AND NOT degenerate), 0) AS BIGINT) AS total_tokens
+FROM plan GROUP BY source_site""")
 def token_budget(spark, d):
     return GO.token_budget(GO.resize_plan(images(loader(spark, d))), ["source_site"])
 
@@ -232,13 +234,14 @@ ivf AS (
 
 @query("frame_plan_interval", W(VIDEOS_SQL) + INTERVAL_SQL + """
 SELECT id, CAST(k - 1 AS BIGINT) AS k, frames[k] AS frame_index, CAST(len(frames) AS BIGINT) AS n_frames,
-       round(2 / (len(frames) / len), 9) AS second_per_grid
-FROM (SELECT *, generate_subscripts(frames, 1) AS k FROM ivf)""")
+       round(2 / (len(frames) / len), 9) AS second_per_grid, NULL AS reject
+FROM (SELECT *, generate_subscripts(frames, 1) AS k FROM ivf)
+UNION ALL SELECT id, NULL, NULL, 0, NULL, 'no_frame_rate' FROM videos WHERE video_fps <= 0""")
 def frame_plan_interval(spark, d):
     x = VO.frames_by_interval(videos(loader(spark, d)))
-    e = x.select("id", "n_frames", "second_per_grid", F.posexplode("frames").alias("k", "frame_index"))
+    e = x.select("id", "n_frames", "second_per_grid", "reject", F.posexplode_outer("frames").alias("k", "frame_index"))
     return e.select("id", F.col("k").cast("bigint"), "frame_index", "n_frames",
-                    F.round("second_per_grid", 9).alias("second_per_grid"))
+                    F.round("second_per_grid", 9).alias("second_per_grid"), "reject")
 
 
 @query("frame_list_pad", W(VIDEOS_SQL) + INTERVAL_SQL + """,

@@ -25,7 +25,7 @@ def refs(t):
     ref = (F.when(k == 0, F.col("url"))
            .when(k == 1, F.concat(F.lit("file:///data/media/"), pid, F.lit(".jpg")))
            .when(k == 2, F.concat(F.lit("data:image/png;base64,"),
-                                  SRC.base64_text(F.encode(F.substring("html", 1, 32), "UTF-8"))))
+                                  SRC.base64_text(F.encode(F.col("html"), "UTF-8"))))
            .otherwise(F.concat(F.lit("media/"), pid, F.lit(".webp"))))
     return p.select("page_id", ref.alias("ref"))
 
@@ -33,7 +33,7 @@ def refs(t):
 REFS_SQL = """refs AS (
   SELECT page_id, CASE page_id % 4 WHEN 0 THEN url
                     WHEN 1 THEN 'file:///data/media/' || CAST(page_id AS VARCHAR) || '.jpg'
-                    WHEN 2 THEN 'data:image/png;base64,' || to_base64(encode(substr(html, 1, 32)))
+                    WHEN 2 THEN 'data:image/png;base64,' || to_base64(encode(html))
                     ELSE 'media/' || CAST(page_id AS VARCHAR) || '.webp' END AS ref
   FROM pages),
 cls AS (
@@ -75,33 +75,6 @@ def fetch_todo(spark, d):
     return FE.fetch_todo(FX.prompts(t), done, "id").select("id", "url")
 
 
-def pages_server():
-    """Offline stand-in for the web: serves each page's own html; pages
-    with id % 5 == 0 answer 503 once, id % 17 == 0 always answer 500."""
-    seen: dict = {}
-
-    def fetch(url, row):
-        pid = row["page_id"]
-        if pid % 17 == 0:
-            return 500, None
-        if pid % 5 == 0 and not seen.get(url):
-            seen[url] = True
-            return 503, None
-        return 200, row["html"].encode("utf-8")
-    return fetch
-
-
-@query("fetch_ledger", """
-SELECT page_id AS key, url, CAST(CASE WHEN page_id % 17 = 0 THEN 500 ELSE 200 END AS INTEGER) AS status,
-       CAST(CASE WHEN page_id % 17 = 0 THEN 4 WHEN page_id % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts,
-       CASE WHEN page_id % 17 = 0 THEN NULL ELSE CAST(octet_length(encode(html)) AS BIGINT) END AS bytes_len,
-       CASE WHEN page_id % 17 = 0 THEN 'HTTP 500' END AS error
-FROM pages""")
-def fetch_ledger(spark, d):
-    p = loader(spark, d)("pages")
-    return FE.fetch_ledger(p, "page_id", "url", pages_server, extra=("page_id", "html"), backoff=0.0)
-
-
 # ---------------------------------------------------------------- E2
 DIM = 64
 _W = np.random.default_rng(7).standard_normal(DIM)
@@ -138,11 +111,11 @@ SELECT a.vec_id, CASE WHEN a.label = 9 THEN 'failed' ELSE 'processed' END AS sta
          AS similarity
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def stream_score(spark, d):
-    """Pairs arrive as files; at most 2 files per micro-batch are in
-    flight; each batch is scored and appended to the sink."""
+    """Pairs arrive as files; a micro-batch has a bounded number of bytes
+    in flight; each batch is scored and appended to the sink."""
     src_df = _pairs(loader(spark, d))
-    src = ST.stage_files(src_df, 6, "pairs-arrivals")
-    sink, _ = ST.run_stream(spark, src, src_df.schema, _score_stream, max_files_per_trigger=2, name="score")
+    src = ST.stage_files(src_df, "pairs-arrivals")
+    sink, _ = ST.run_stream(spark, src, src_df.schema, _score_stream, name="score")
     return spark.read.parquet(sink).select("vec_id", "status", "similarity")
 
 
@@ -154,10 +127,10 @@ def stream_progress(spark, d):
     """Processed / failed counters as a complete-mode aggregation, plus
     pending = staged - (processed + failed) once the stream stops."""
     src_df = _pairs(loader(spark, d))
-    src = ST.stage_files(src_df, 6, "pairs-progress")
+    src = ST.stage_files(src_df, "pairs-progress")
     sink, _ = ST.run_stream(spark, src, src_df.schema,
                             lambda s: _score_stream(s).groupBy("status").agg(F.count(F.lit(1)).alias("n")),
-                            max_files_per_trigger=2, output_mode="complete", name="progress")
+                            output_mode="complete", name="progress")
     counts = spark.read.parquet(sink).select("status", "n")
     done = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     pending = spark.read.parquet(src).agg((F.count(F.lit(1)) - done).cast("bigint").alias("n")) \
@@ -165,16 +138,13 @@ def stream_progress(spark, d):
     return counts.unionByName(pending)
 
 
-@query("stream_dedup", "SELECT DISTINCT user_id FROM events")
+@query("stream_dedup", "SELECT user_id, CAST(1 AS BIGINT) AS n_admitted FROM events GROUP BY user_id")
 def stream_dedup(spark, d):
-    """Skip-if-seen across arrivals: the first event per user is admitted
-    while it is within a one-hour watermark (state bounded by the
-    watermark).  Which event of a user arrives first depends on arrival
-    order, so the registered result is the set of admitted keys: every
-    user must be admitted at least once, none invented."""
+    """Skip-if-seen across arrivals: every user's first event is admitted,
+    whenever it arrives, and no other.  Which event of a user comes first
+    depends on the arrival order, so the registered result is the number of
+    admitted events of each user."""
     ev = loader(spark, d)("events").select("event_id", "user_id", "ts")
-    src = ST.stage_files(ev, 6, "event-arrivals")
-    sink, _ = ST.run_stream(spark, src, ev.schema,
-                            lambda s: ST.dedup_within_watermark(s, ["user_id"], "ts", "1 hour"),
-                            max_files_per_trigger=2, name="dedup")
-    return spark.read.parquet(sink).select("user_id").distinct()
+    src = ST.stage_files(ev, "event-arrivals")
+    admitted = ST.admit_first(spark, src, ev.schema, ["user_id"], ["ts", "event_id"], name="dedup")
+    return admitted.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_admitted"))

@@ -69,6 +69,24 @@ def frechet_distance(spark, d):
     return spark.createDataFrame([(round(fid, 9),)], "frechet_distance double")
 
 
+C_GEN, B_GEN = 1.5, 0.25
+
+
+@query("frechet_affine", f"""
+WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings),
+m AS (SELECT i, avg(x) AS mu, var_samp(x) AS v FROM x GROUP BY i)
+SELECT round(sum(power(mu * (1 - {C_GEN}) - {B_GEN}, 2) + power(1 - {C_GEN}, 2) * v), 6) AS frechet_distance FROM m""")
+def frechet_affine(spark, d):
+    """Fréchet distance of the vectors to c * vector + b: there the matrix
+    root has a closed form, |mu1 - mu2|^2 + (1 - c)^2 tr(S1)."""
+    e = loader(spark, d)("embeddings")
+    moved = F.transform("embedding", lambda x: x.cast("double") * C_GEN + B_GEN)
+    both = e.select(F.lit("real").alias("side"), V._d("embedding").alias("v")).unionByName(
+        e.select(F.lit("generated").alias("side"), moved.alias("v")))
+    fid = M.frechet_distance(both, "v", "side", "real", "generated")
+    return spark.createDataFrame([(round(fid, 6),)], "frechet_distance double")
+
+
 def _is_sql(src: str) -> str:
     return f""",
 rowh AS (SELECT side, CAST(count(*) AS BIGINT) AS n,
@@ -148,8 +166,6 @@ def eval_report(spark, d):
     gen = a.filter(F.col("g_vec").isNotNull()).select(
         F.lit("generated").alias("side"), F.col("g_vec").alias("vec"), "txt")
     s = orig.unionByName(gen).withColumn("p", V.softmax("vec", SCALE))
-    iscore = M.inception_score(s, "p", ["side"])
-    clip = M.clip_score(s.filter((F.col("side") == "generated") & F.col("txt").isNotNull()), "vec", "txt", ["side"])
-    return iscore.join(clip.select("side", "clip_score"), "side", "left").select(
+    return M.report(s, "p", "vec", "txt", ["side"]).select(
         "side", "n", F.round("inception_score", 9).alias("inception_score"),
         F.round("clip_score", 9).alias("clip_score"))

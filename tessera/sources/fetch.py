@@ -2,9 +2,9 @@
 
 Urls are spread over tasks (``repartition``) and fetched inside
 ``mapInPandas`` by a fetcher built once per task; each url yields one
-ledger row (key, url, status, attempts, bytes_len, error).  Retries follow
-the reference's policy: up to 3 retries on 500/502/503/504 with
-exponential backoff; any other non-200 status or exception is final.
+ledger row (key, url, status, attempts, bytes_len, error, body).  Up to 3
+retries, with exponential backoff, on 500/502/503/504 and on connection
+errors; any other non-200 status is final.
 Task retries by Spark re-run the whole partition, so the ledger stays
 complete when an executor is lost.
 """
@@ -18,13 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# ---- fixed values: retry policy of the reference -------------------------
+# ---- fixed values: retry policy -------------------------
 RETRY_STATUSES = (500, 502, 503, 504)
 MAX_RETRIES = 3
 BACKOFF_FACTOR = 0.5
 TIMEOUT_S = 2.5
 
-LEDGER_SCHEMA = "key bigint, url string, status int, attempts int, bytes_len bigint, error string"
+LEDGER_SCHEMA = "key bigint, url string, status int, attempts int, bytes_len bigint, error string, body binary"
 
 # A fetcher maps (url, row) -> (status, body bytes or None).
 Fetcher = Callable[[str, dict], tuple]
@@ -51,10 +51,14 @@ def fetch_with_retry(fetch: Fetcher, url: str, row: dict, retries: int = MAX_RET
         attempts += 1
         try:
             status, body = fetch(url, row)
-        except Exception as e:  # network error: final, like the reference's except -> None
+        except Exception as e:  # a connection error or a timeout
+            if attempts <= retries:
+                if backoff > 0:
+                    sleep(backoff * (2 ** (attempts - 1)))
+                continue
             return None, attempts, None, f"{type(e).__name__}: {e}"
         if status == 200:
-            return status, attempts, len(body) if body is not None else 0, None
+            return status, attempts, body or b"", None
         if status in RETRY_STATUSES and attempts <= retries:
             if backoff > 0:
                 sleep(backoff * (2 ** (attempts - 1)))
@@ -75,9 +79,9 @@ def fetch_ledger(df: DataFrame, key: str, url: str, make_fetcher: Callable[[], F
         for pdf in it:
             out = []
             for row in pdf.to_dict("records"):
-                st, n, blen, err = fetch_with_retry(fetch, row["url"], row, retries, backoff)
-                out.append((row["key"], row["url"], st, n, blen, err))
-            yield pd.DataFrame(out, columns=["key", "url", "status", "attempts", "bytes_len", "error"]).astype(
+                st, n, body, err = fetch_with_retry(fetch, row["url"], row, retries, backoff)
+                out.append((row["key"], row["url"], st, n, None if body is None else len(body), err, body))
+            yield pd.DataFrame(out, columns=["key", "url", "status", "attempts", "bytes_len", "error", "body"]).astype(
                 {"status": "Int32", "attempts": "int32", "bytes_len": "Int64"})
 
     return src.mapInPandas(run, LEDGER_SCHEMA)

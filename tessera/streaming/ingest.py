@@ -1,40 +1,52 @@
 """Throttled streaming ingest and scoring.
 
-The reference's bounded producer/consumer (at most ``max_pending`` rows in
-flight, workers block) becomes a file-source stream with
-``maxFilesPerTrigger``; scoring is a stateless expression inside the
-stream; progress counters are a complete-mode aggregation over a handful
-of status keys; ``availableNow`` ends the query when everything staged has
-been drained.  Skip-if-seen keeps per-key state bounded by a watermark.
+A bounded producer/consumer becomes a file-source stream with a limit on the
+bytes of a micro-batch; scoring is a stateless expression inside the stream;
+progress counters are a complete-mode aggregation over a handful of status
+keys, and the rows of each micro-batch stay readable from the sink's folders;
+``availableNow`` ends the query when everything staged has been drained.
+Skip-if-seen joins each micro-batch with the keys admitted before it.
 """
 
 from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
+MAX_BYTES = 64 << 20
+FILE_ROWS = 1_000_000
 
-def stage_files(df: DataFrame, n_files: int, name: str) -> str:
-    """Write ``df`` as ``n_files`` parquet files: the arrival folder."""
+
+def stage_files(df: DataFrame, name: str, file_rows: int = FILE_ROWS) -> str:
+    """Write ``df`` as parquet files of at most ``file_rows`` rows, by as many
+    tasks as its input has partitions: the arrival folder."""
     path = scratch_path(df.sparkSession, name)
-    df.repartition(n_files).write.mode("overwrite").parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).mode("overwrite").parquet(path)
     return path
 
 
+def _source(spark: SparkSession, src: str, schema, max_bytes: int, max_files: int | None) -> DataFrame:
+    r = spark.readStream.schema(schema)
+    # one limit at a time: by bytes, or by files where the caller asks for it
+    r = r.option("maxFilesPerTrigger", max_files) if max_files else r.option("maxBytesPerTrigger", max_bytes)
+    return r.parquet(src)
+
+
 def run_stream(spark: SparkSession, src: str, schema, transform: Callable[[DataFrame], DataFrame],
-               max_files_per_trigger: int = 2, output_mode: str = "append", name: str = "stream") -> tuple[str, list]:
+               max_bytes: int = MAX_BYTES, max_files_per_trigger: int | None = None, output_mode: str = "append",
+               name: str = "stream") -> tuple[str, DataFrame | None]:
     """Drain ``src`` through ``transform`` in bounded micro-batches; each
     micro-batch lands in its own ``batch=<id>`` folder of a parquet sink
-    (foreachBatch, exactly once under replays).  Returns the sink path and
-    the per-batch progress (rows per trigger)."""
+    (foreachBatch, exactly once under replays).  Returns the sink path and,
+    in append mode, the rows of every micro-batch (batch, n), read from the
+    sink, so it is complete however long the stream was."""
     sink = scratch_path(spark, f"{name}-sink")
     ckpt = scratch_path(spark, f"{name}-ckpt")
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(src))
-    out = transform(stream)
+    out = transform(_source(spark, src, schema, max_bytes, max_files_per_trigger))
 
     def write(batch: DataFrame, epoch: int) -> None:
         # idempotent under replays: a re-run micro-batch overwrites its own
@@ -47,12 +59,32 @@ def run_stream(spark: SparkSession, src: str, schema, transform: Callable[[DataF
     q = (out.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt)
          .foreachBatch(write).trigger(availableNow=True).start())
     q.awaitTermination()
-    progress = [p.get("numInputRows") for p in q.recentProgress]
-    return sink, progress
+    if output_mode == "complete":
+        return sink, None
+    return sink, spark.read.parquet(sink).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+
+
+def admit_first(spark: SparkSession, src: str, schema, key: list[str], order: list[str], max_bytes: int = MAX_BYTES,
+                max_files_per_trigger: int | None = None, name: str = "admit") -> DataFrame:
+    """Skip-if-seen: the first arrival of each key, over the whole stream.
 
+    A micro-batch keeps its least row by ``order`` for each key and drops the
+    keys of earlier micro-batches with an anti join against the sink, so no
+    row is ever too late and no state is kept in memory.  A replayed batch
+    reads only the batches before it and overwrites its own folder."""
+    sink = scratch_path(spark, f"{name}-sink")
+    ckpt = scratch_path(spark, f"{name}-ckpt")
+    spark.createDataFrame([], schema).write.parquet(f"{sink}/batch=-1")
 
-def dedup_within_watermark(stream: DataFrame, key: list[str], ts: str, delay: str) -> DataFrame:
-    """Keep the first arrival per key while it is within the watermark;
-    ``TIMESTAMP_NTZ`` event times are cast to ``TIMESTAMP`` (session UTC)."""
-    s = stream.withColumn(ts, F.col(ts).cast("timestamp"))
-    return s.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
+    def write(batch: DataFrame, epoch: int) -> None:
+        s = batch.sparkSession
+        seen = s.read.parquet(sink).filter(F.col("batch") < epoch).select(*key)
+        first = Window.partitionBy(*key).orderBy(*order)
+        one = batch.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
+        same = [one[k].eqNullSafe(seen[k]) for k in key]
+        one.join(seen, same, "left_anti").write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
+
+    q = (_source(spark, src, schema, max_bytes, max_files_per_trigger).writeStream
+         .option("checkpointLocation", ckpt).foreachBatch(write).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(sink).drop("batch")

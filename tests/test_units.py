@@ -289,13 +289,22 @@ def test_fetch_retry_policy():
     def flaky(url, row):
         calls["n"] += 1
         return (503, None) if calls["n"] < 3 else (200, b"abc")
-    assert FE.fetch_with_retry(flaky, "u", {}, backoff=0)[:3] == (200, 3, 3)
+    assert FE.fetch_with_retry(flaky, "u", {}, backoff=0)[:3] == (200, 3, b"abc")
     assert FE.fetch_with_retry(lambda u, r: (503, None), "u", {}, backoff=0) == (503, 4, None, "HTTP 503")
     assert FE.fetch_with_retry(lambda u, r: (404, None), "u", {}, backoff=0) == (404, 1, None, "HTTP 404")
 
     def boom(u, r):
         raise TimeoutError("slow")
-    assert FE.fetch_with_retry(boom, "u", {}, backoff=0)[:2] == (None, 1)
+    assert FE.fetch_with_retry(boom, "u", {}, backoff=0)[:2] == (None, 4)
+
+
+def test_fetch_ledger_has_a_row_and_a_body_for_each_url(spark):
+    def fetcher():
+        return lambda url, row: (200, url.encode()) if row["key"] % 2 else (404, None)
+    df = spark.createDataFrame([(i, f"u{i}") for i in range(6)], "key long, url string")
+    got = {r.key: (r.status, r.bytes_len, r.body and bytes(r.body)) for r in
+           FE.fetch_ledger(df, "key", "url", fetcher, partitions=2, backoff=0).collect()}
+    assert got == {i: (200, 2, f"u{i}".encode()) if i % 2 else (404, None, None) for i in range(6)}
 
 
 def test_stream_equals_batch(spark, sf_small):
@@ -427,11 +436,27 @@ def test_validation_split_sink(spark, sf_small):
     from tessera.plans import q_validate as QV
     chk = QV.checked(spark, sf_small)
     out = os.path.join(tempfile.mkdtemp(prefix="tessera-valid-"), "out")
-    VA.write_split(chk, out, "id")
+    VA.write_split(chk, out)
     valid = spark.read.json(out + "/status=valid")
     prob = spark.read.json(out + "/status=problem")
     assert valid.count() + prob.count() == chk.count()
     assert prob.filter(F.size("validation_problems") == 0).count() == 0
+    assert valid.filter(F.size("conversations") > 0).count() == valid.count() > 0      # whole records
+    assert prob.filter(F.size("conversations") > 0).count() > 0
+
+
+def test_split_lines_keep_every_kind_of_line(spark):
+    from tessera.operators import validate as VA
+    rows = [('{"id":"s1","x":[1,2]}', "valid"), ('{"id":2,"y":"a\\"b"}', "problem"), ("{}", "problem"), ("[1,2]", "problem"),
+            ("{bad", "problem")]
+    df = spark.createDataFrame(rows, "line string, status string").withColumn("v", F.try_parse_json("line"))
+    probs = F.when(F.col("status") == "problem", F.array(F.struct(F.lit("t").alias("type")))).otherwise(
+        F.expr("cast(array() as array<struct<type:string>>)"))
+    import json
+    got = [json.loads(r.value) for r in VA.split_lines(df.withColumn("validation_problems", probs)).collect()]
+    p = [{"type": "t"}]
+    assert got == [{"id": "s1", "x": [1, 2]}, {"id": 2, "y": 'a"b', "validation_problems": p}, {"validation_problems": p},
+                   {"record": [1, 2], "validation_problems": p}, {"line": "{bad", "validation_problems": p}]
 
 
 def test_url_ext_like_splitext(spark):
@@ -597,9 +622,10 @@ def test_vision_element_keys(spark):
 def test_stream_sink_replay_is_idempotent(spark):
     from tessera.streaming import ingest as ST
     df = spark.range(0, 60).withColumn("v", F.col("id") * 2)
-    src = ST.stage_files(df, 6, "replay-src")
+    src = ST.stage_files(df, "replay-src", file_rows=10)
     sink, progress = ST.run_stream(spark, src, df.schema, lambda s: s, max_files_per_trigger=2, name="replay")
-    assert len([p for p in progress if p]) >= 3          # bounded: at most 2 files per trigger
+    rows = {r.batch: r.n for r in progress.collect()}
+    assert len(rows) >= 3 and sum(rows.values()) == 60   # bounded: at most 2 files per trigger
     out = spark.read.parquet(sink)
     assert out.count() == 60 and out.select("id").distinct().count() == 60
 
@@ -682,7 +708,7 @@ def test_sample_approx_and_model_in_stream(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.standard_normal(4).tolist()) for i in range(60)]
     vecs = spark.createDataFrame(rows, "id long, v array<float>")
-    src = ST.stage_files(vecs, 4, "model-src")
+    src = ST.stage_files(vecs, "model-src", file_rows=15)
     model = S.projection_model(4, seed=2)
     sink, _ = ST.run_stream(spark, src, vecs.schema, lambda s: S.batch_score(s, model, "v", 4, batch_size=8),
                             max_files_per_trigger=1, name="model")
@@ -703,9 +729,33 @@ def test_python_worker_queries_from_foreign_cwd():
             "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
             "import __spark_entry__ as E\n"
             "q = E.queries()\n"
-            "print('N', q['fetch_ledger'](s, '/root/testdata/sf0.001').count(),"
+            "print('N', q['batch_score'](s, '/root/testdata/sf0.001').count(),"
             " q['covariance_long'](s, '/root/testdata/sf0.001').count())\n") % root
     out = subprocess.run([_sys.executable, "-c", code], cwd=tempfile.mkdtemp(prefix="tessera-cwd-"),
                          capture_output=True, text=True, timeout=600)
     line = [x for x in out.stdout.splitlines() if x.startswith("N ")]
-    assert line and line[0].split()[1:] == ["50", "8192"], out.stderr[-2000:]
+    assert line and line[0].split()[1:] == ["500", "8192"], out.stderr[-2000:]
+
+
+def test_stream_admits_every_key_once_however_late(spark):
+    from tessera.streaming import ingest as ST
+    # one event per user, event times falling: all but the first file is "late"
+    rows = [(i, i, f"2024-01-{28 - i // 12:02d} 00:00:00") for i in range(300)] + [(1000 + i, i, "2024-02-01 00:00:00") for i in range(50)]
+    ev = spark.createDataFrame(rows, "event_id long, user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    src = ST.stage_files(ev.repartition(6), "late", file_rows=20)
+    got = ST.admit_first(spark, src, ev.schema, ["user_id"], ["ts", "event_id"], max_files_per_trigger=2, name="late")
+    users = [r.user_id for r in got.collect()]
+    assert sorted(users) == list(range(300))
+
+
+def test_zero_vector_and_large_means(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0], [1.0, 0.0])], "id long, a array<double>, b array<double>")
+    assert list(df.select(V.l2_normalize("a").alias("x")).first().x) == [0.0, 0.0]
+    rng = np.random.default_rng(3)
+    for mean in (1e6, 1e8):
+        x = rng.standard_normal((400, 3)) + mean
+        d = spark.createDataFrame([("s", r.tolist()) for r in x], "side string, v array<double>").repartition(5)
+        got = np.zeros((3, 3))
+        for r in M.covariance_long(d, "v", ["side"]).collect():
+            got[r.i, r.j] = r["cov"]
+        assert np.allclose(got, np.cov(x.T), rtol=1e-6, atol=1e-6)
