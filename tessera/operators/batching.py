@@ -13,18 +13,13 @@ from pyspark.sql import functions as F
 MODEL_MAX_LENGTH = 512
 
 
-def pad_batch(lengths: DataFrame, spans: DataFrame, key: str, max_len: int = MODEL_MAX_LENGTH) -> DataFrame:
+def pad_batch(spans: DataFrame, max_len: int = MODEL_MAX_LENGTH) -> DataFrame:
     """Right-pad to the batch maximum, then cut to ``max_len``: padded
     length, attended tokens (ids differ from the pad id) and supervised
-    labels that survive the cut."""
+    labels that survive the cut (``n_supervised_kept`` of the spans)."""
     wb = Window.partitionBy("batch")
-    x = lengths.withColumn("padded_len", F.least(F.max("seq_len").over(wb), F.lit(max_len)).cast("bigint"))
-    x = x.withColumn("n_attended", F.least(F.col("seq_len"), F.lit(max_len)).cast("bigint"))
-    a = spans.filter(~F.col("role").isin("user", "system"))    # supervised turns
-    lo = F.least(F.col("start") + 3, F.lit(max_len))
-    hi = F.least(F.col("start") + F.col("length"), F.lit(max_len))
-    kept = a.groupBy(key).agg(F.sum(F.greatest(hi - lo, F.lit(0))).cast("bigint").alias("n_supervised_kept"))
-    return x.join(kept, key, "left").withColumn("n_supervised_kept", F.coalesce("n_supervised_kept", F.lit(0)))
+    x = spans.withColumn("padded_len", F.least(F.max("seq_len").over(wb), F.lit(max_len)).cast("bigint"))
+    return x.withColumn("n_attended", F.least(F.col("seq_len"), F.lit(max_len)).cast("bigint"))
 
 
 def pack_batch(lengths: DataFrame, key: str, order: str = "pos") -> DataFrame:

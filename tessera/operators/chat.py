@@ -181,53 +181,52 @@ def inference_prompt(prompt, system: str = K.INFERENCE_SYSTEM_PROMPT) -> Column:
 
 
 # ------------------------------------------------------------------ C11-C12
+def _count_of(values, x: str) -> Column:
+    return F.size(F.filter(values, lambda v: v == x))
+
+
 def tag_pieces(df: DataFrame, key: str, order: str, content: str, tags=(K.IMAGE_TAG, K.VIDEO_TAG),
-               only_role: str | None = "user", role: str = "role", split: bool | None = None,
-               active_tag: str | None = None) -> DataFrame:
+               only_role: str | None = "user", role: str = "role", active_tag: str | None = None) -> DataFrame:
     """Split each turn on media tags: one row per piece (text before the
     i-th tag, or the tail) with the tag that follows it, and the running
     index of that tag per kind over the whole record (turn order).
 
-    The running index is a skew-safe prefix count (``running_sums``), so
-    a very long record is spread over many tasks; ``_before_rows`` counts
-    the pieces before this one in the record.
+    The running index is a prefix count over the turns of the record
+    (``running_sums``), so a very long record is spread over many tasks;
+    ``_before_rows`` counts the pieces before this one in the record.
 
     With ``active_tag`` (a column holding one tag per row) only that tag
     splits the text; other tags stay literal text, as when a record is
     processed for one visual kind.
     """
+    from .rows import running_sums
     esc = lambda t: t.replace("<", r"\<").replace(">", r"\>")
     txt = F.col(content)
-    if only_role is not None:
-        split_here = F.col(role) == only_role
-    else:
-        split_here = F.lit(True)
+    split_here = F.col(role) == only_role if only_role is not None else F.lit(True)
+    none = F.array().cast("array<string>")
     if active_tag is None:
         pattern = "|".join(esc(t) for t in tags)
         parts = F.when(split_here, F.split(txt, pattern, -1)).otherwise(F.array(txt))
-        found = F.when(split_here, F.regexp_extract_all(txt, F.lit("(" + pattern + ")"), 1)).otherwise(
-            F.array().cast("array<string>"))
-        x = df.select("*", F.posexplode(parts).alias("_piece_no", "piece"), found.alias("_tags"),
-                      F.size(parts).alias("n_pieces"))
-        x = x.withColumn("tag", F.get(F.col("_tags"), F.col("_piece_no"))).drop("_tags")
+        found = F.when(split_here, F.regexp_extract_all(txt, F.lit("(" + pattern + ")"), 1)).otherwise(none)
     else:
         act = F.col(active_tag)
         parts = F.array(txt)
         for t in tags:
             parts = F.when(split_here & (act == t), F.split(txt, esc(t), -1)).otherwise(parts)
-        x = df.select("*", F.posexplode(parts).alias("_piece_no", "piece"), F.size(parts).alias("n_pieces"))
-        x = x.withColumn("tag", F.when(F.col("_piece_no") < F.col("n_pieces") - 1, act))
-    # running index per tag kind over the record: skew-safe prefix counts
-    from .rows import has_hot_group, running_sums
-    if split is None:   # measured on the turn rows: pieces per record follow them
-        split = has_hot_group(df, [key], hot_rows=None)
-    vals = {f"_before_{i}": (F.col("tag") == t).cast("bigint") for i, t in enumerate(tags)}
-    vals["_before_rows"] = F.lit(1).cast("bigint")
-    x = running_sums(x, [order, "_piece_no"], [key], vals, split=split)
+        found = F.array_repeat(act, F.size(parts) - 1)
+    x = df.withColumns({"_parts": parts, "_tags": found})
+    vals = {f"_before_{i}": _count_of("_tags", t).cast("bigint") for i, t in enumerate(tags)}
+    vals["_before_rows"] = F.size("_parts").cast("bigint")
+    x = running_sums(x, [order], [key], vals)
+    x = x.select("*", F.posexplode("_parts").alias("_piece_no", "piece"), F.size("_parts").alias("n_pieces"))
+    tag = F.get(F.col("_tags"), F.col("_piece_no"))
     idx = F.lit(None).cast("bigint")
     for i, t in enumerate(tags):
-        idx = F.when(F.col("tag") == t, F.col(f"_before_{i}")).otherwise(idx)
-    return x.withColumn("tag_index", idx.cast("bigint")).drop(*[f"_before_{i}" for i in range(len(tags))])
+        here = _count_of(F.slice("_tags", 1, F.col("_piece_no")), t)
+        idx = F.when(tag == t, F.col(f"_before_{i}") + here).otherwise(idx)
+    return x.withColumns({"tag": tag, "tag_index": idx.cast("bigint"),
+                          "_before_rows": F.col("_before_rows") + F.col("_piece_no")}).drop(
+        "_parts", "_tags", *[f"_before_{i}" for i in range(len(tags))])
 
 
 def reassemble(pieces: DataFrame, key: str, order: str, piece: str, out: str, extra=()) -> DataFrame:
@@ -260,11 +259,11 @@ def modality_length(turns, has_media) -> Column:
 
 
 def replace_tags(df: DataFrame, key: str, order: str, content: str, out: str = "content",
-                 with_ids: bool = False, extra: tuple = (), split: bool | None = None) -> DataFrame:
+                 with_ids: bool = False, extra: tuple = ()) -> DataFrame:
     """Each media tag in user turns -> one vision block; with ``with_ids``
     prefixed by 'Picture k: ' / 'Video k: ' counted per kind over the
     record (the documented add_vision_id option)."""
-    p = tag_pieces(df, key, order, content, split=split)
+    p = tag_pieces(df, key, order, content)
     k = (F.col("tag_index") + 1).cast("string")
     img, vid = vision_block("image"), vision_block("video")
     if with_ids:

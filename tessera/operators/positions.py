@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as T
 from ..functions import tokens as TK
+from ..session import ensure_checkpoint_dir
 from . import chat as C
 
 SYSTEM_BLOCK = 3 + len(K.DEFAULT_SYSTEM.split()) + 2   # header + words + footer
 
 
-def segments(turns: DataFrame, grid: DataFrame, key: str = "conv_id", time_scale: bool = True,
-             split: bool | None = None) -> DataFrame:
+def segments(turns: DataFrame, grid: DataFrame, key: str = "conv_id", time_scale: bool = True) -> DataFrame:
     """One row per (sample, turn, piece) with
 
     chunk_len   text tokens of the chunk (turn header, VISION_END of the
@@ -39,13 +39,10 @@ def segments(turns: DataFrame, grid: DataFrame, key: str = "conv_id", time_scale
     ``grid``: (key, kind, k, gt, gh, gw, sec) with k the ordinal of the
     media file per kind in the sample.
     """
-    from .rows import has_hot_group, running_sums
-    src = turns.select(key, "turn", "role", "flat")
-    if split is None:                     # one measurement for every pass below
-        split = has_hot_group(src, [key])
-    src = src.join(sample_tags(grid, key), key, "left").withColumn(
+    from .rows import running_sums
+    src = turns.select(key, "turn", "role", "flat").join(sample_tags(grid, key), key, "left").withColumn(
         "_stag", F.coalesce(F.col("_stag"), F.lit(K.IMAGE_TAG)))
-    p = C.tag_pieces(src, key, "turn", "flat", split=split, active_tag="_stag")
+    p = C.tag_pieces(src, key, "turn", "flat", active_tag="_stag")
     p = p.withColumn("kind", F.when(F.col("tag") == K.IMAGE_TAG, "image").when(F.col("tag") == K.VIDEO_TAG, "video"))
     # per-piece values computed once; the text is dropped before the offset pass
     p = p.select(key, "turn", "role", "_piece_no", "n_pieces", "tag", "kind", "tag_index", "_before_rows",
@@ -69,9 +66,11 @@ def segments(turns: DataFrame, grid: DataFrame, key: str = "conv_id", time_scale
         "n_pad": F.when(has_tag, F.coalesce(n_pad, F.lit(0))).otherwise(0).cast("bigint"),
         "mw": F.when(has_tag, F.coalesce(mw, F.lit(0))).otherwise(0).cast("bigint"),
         "miss": (has_tag & F.col("gt").isNull()).cast("int")})
+    # the texts end here: what follows reads this narrow table
+    ensure_checkpoint_dir(p.sparkSession)
+    p = p.checkpoint(eager=True)
     p = running_sums(p, ["turn", "_piece_no"], [key], {
-        "seq_start": F.col("chunk_len") + F.col("n_pad"), "pid_start": F.col("chunk_len") + F.col("mw")},
-        split=split)
+        "seq_start": F.col("chunk_len") + F.col("n_pad"), "pid_start": F.col("chunk_len") + F.col("mw")})
     # sample-level reject flag: a partial aggregation joined back (AQE splits a skewed key)
     rej = p.groupBy(key).agg((F.max("miss") == 1).alias("rejected"))
     return p.join(rej, key)
@@ -109,27 +108,6 @@ def sample_tags(grid: DataFrame, key: str = "conv_id") -> DataFrame:
     return g.select(key, F.when(F.col("_hi") == 1, F.lit(K.IMAGE_TAG)).otherwise(F.lit(K.VIDEO_TAG)).alias("_stag"))
 
 
-def accepted_samples(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Keys of the samples whose every expanded tag has a grid: tags of the
-    sample's kind in user turns must not outnumber its files of that kind
-    (the same rule as ``rejected`` in :func:`segments`, from one
-    aggregation over turns, without splitting any text)."""
-    user = F.col("role") == "user"
-    g = turns.groupBy(key).agg(
-        F.sum(F.when(user, T.count_occurrences("flat", K.IMAGE_TAG)).otherwise(0)).alias("_it"),
-        F.sum(F.when(user, T.count_occurrences("flat", K.VIDEO_TAG)).otherwise(0)).alias("_vt"),
-        F.count_if("has_img").alias("_if"), F.count_if("has_vid").alias("_vf"))
-    ok = (F.when(F.col("_if") > 0, F.col("_it") <= F.col("_if"))
-          .when(F.col("_vf") > 0, F.col("_vt") <= F.col("_vf"))
-          .otherwise(F.col("_it") == 0))
-    return g.filter(ok).select(key)
-
-
-def sample_lengths(seg: DataFrame, key: str = "conv_id") -> DataFrame:
-    ok = seg.filter(~F.col("rejected"))
-    return ok.groupBy(key).agg(F.sum(F.col("chunk_len") + F.col("n_pad")).cast("bigint").alias("seq_len"))
-
-
 def turn_spans(seg: DataFrame, key: str = "conv_id") -> DataFrame:
     """Per accepted (sample, turn): role, token start, token length; the
     default system block is not part of any turn."""
@@ -143,13 +121,22 @@ def turn_spans(seg: DataFrame, key: str = "conv_id") -> DataFrame:
     return g
 
 
-def loss_mask(seg: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Per sample: tokens, supervised tokens (every turn that is not user
-    or system, minus its 3-token header) and the sum of supervised label
-    ids."""
+def sample_spans(seg: DataFrame, key: str = "conv_id", max_len: int | None = None) -> DataFrame:
+    """Per accepted sample, in one pass over its turns: seq_len tokens,
+    n_supervised tokens (every turn that is not user or system, minus its
+    3-token header), of these n_supervised_kept before ``max_len``, and
+    label_sum, the sum of the supervised label ids."""
     sp = turn_spans(seg, key)
     asst = ~F.col("role").isin("user", "system")
-    sup = F.when(asst, F.col("length") - 3).otherwise(0)
-    lab = F.when(asst, F.col("word_id_sum") + TK.IM_END_ID + TK.NEWLINE_ID).otherwise(0)
-    agg = sp.groupBy(key).agg(F.sum(sup).cast("bigint").alias("n_supervised"), F.sum(lab).cast("bigint").alias("label_sum"))
-    return sample_lengths(seg, key).join(agg, key).withColumnRenamed("seq_len", "n_tokens")
+    cut = F.lit(max_len) if max_len else F.col("start") + F.col("length")
+    lo, hi = F.least(F.col("start") + 3, cut), F.least(F.col("start") + F.col("length"), cut)
+    return sp.groupBy(key).agg(
+        (F.sum("length") + SYSTEM_BLOCK).cast("bigint").alias("seq_len"),
+        F.sum(F.when(asst, F.col("length") - 3).otherwise(0)).cast("bigint").alias("n_supervised"),
+        F.sum(F.when(asst, F.greatest(hi - lo, F.lit(0))).otherwise(0)).cast("bigint").alias("n_supervised_kept"),
+        F.sum(F.when(asst, F.col("word_id_sum") + TK.IM_END_ID + TK.NEWLINE_ID).otherwise(0)).cast("bigint").alias("label_sum"))
+
+
+def loss_mask(seg: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Per sample: tokens, supervised tokens and the sum of their labels."""
+    return sample_spans(seg, key).select(key, F.col("seq_len").alias("n_tokens"), "n_supervised", "label_sum")

@@ -5,17 +5,19 @@ No operator here ranks rows through an unpartitioned window: that plans
 ``Exchange SinglePartition`` and sends every row through one task.  A
 position is computed instead as
 
-1. range-partition on the order (bounds are sampled, so one hot value of
-   a leading key still spreads over many partitions because the tie-break
-   keys follow it), sort inside each partition, number rows locally;
-2. write that numbered table to the reliable checkpoint folder, so the
-   numbering is stable when an executor is lost and tasks rerun;
-3. count rows per (partition, group) - at most partitions + groups rows -
-   and turn the counts into offsets with a window over that small table;
-4. add the offset back with a broadcast join (one row per partition).
-
-Positions within groups are prefix counts (``running_sums``), which split
-a hot group over many tasks only when one exists.
+1. take the order columns alone, range-partition on them (bounds are
+   sampled, so one hot value of a leading key still spreads over many
+   partitions because the tie-break keys follow it), sort inside each
+   partition, number rows locally;
+2. write that narrow numbered table to the reliable checkpoint folder, so
+   the numbering is stable when an executor is lost and tasks rerun;
+3. count rows per partition and turn the counts into offsets with a window
+   over that small table, added back with a broadcast join (one row per
+   partition);
+4. join the positions back to the rows on the unique last order column.
+
+Positions and sums within groups are prefix sums over ranges of the order
+(``prefix.prefix_sums``): one plan for groups of every size.
 """
 
 from __future__ import annotations
@@ -26,43 +28,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .prefix import prefix_sums
 
 _PID, _LOCAL, _ADJ = "_t_pid", "_t_local", "_t_adj"
 
 
-def _cols(xs) -> list[Column]:
-    return [F.col(x) if isinstance(x, str) else x for x in xs]
-
-
-def with_positions(df: DataFrame, order_by: Sequence, by: Sequence[str] = (),
-                   name: str = "pos", num_partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 0-based position of each row in ``order_by``
-    (within ``by`` groups when given).  ``order_by`` must be a total
-    order (end it with a unique key) for the positions to be reproducible.
-    """
-    by = list(by)
-    if by:
-        # position within a group = rows before it: skew-safe prefix count
-        return running_sums(df, order_by, by, {name: F.lit(1).cast("bigint")},
-                            num_partitions=num_partitions)
+def with_positions(df: DataFrame, order_by: Sequence, name: str = "pos") -> DataFrame:
+    """Add ``name`` = 0-based position of each row in ``order_by``, a total
+    order that ends with the name of a unique, non-null key."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = _cols(order_by)
-    numbered = (df.repartitionByRange(n, *keys)
-                .sortWithinPartitions(*keys)
-                .withColumn(_PID, F.spark_partition_id())
-                .withColumn(_LOCAL, F.monotonically_increasing_id()
-                            - F.shiftleft(F.col(_PID).cast("bigint"), 33)))
-    numbered = numbered.checkpoint(eager=True)
+    key = order_by[-1]
+    names = [f"_o{i}" for i in range(len(order_by) - 1)]
+    narrow = df.select(key, *[_order_value(c).alias(n) for c, n in zip(order_by, names)])
+    keys = [_like(c, F.col(n)) for c, n in zip(order_by, names)] + [F.col(key)]
+    numbered = (narrow.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                .select(key, F.spark_partition_id().alias(_PID), F.monotonically_increasing_id().alias(_LOCAL))
+                .withColumn(_LOCAL, F.col(_LOCAL) - F.shiftleft(F.col(_PID).cast("bigint"), 33))
+                .checkpoint(eager=True))
     counts = numbered.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"), F.min(_LOCAL).alias("_first"))
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: the size bound is the partition count
     offsets = F.broadcast(counts.select(_PID, (F.coalesce(F.sum("_n").over(before), F.lit(0))
                                                - F.col("_first")).alias(_ADJ)))
-    return (numbered.join(offsets, _PID)
-            .withColumn(name, (F.col(_LOCAL) + F.col(_ADJ)).cast("bigint"))
-            .drop(_PID, _LOCAL, _ADJ))
+    place = numbered.join(offsets, _PID).select(key, (F.col(_LOCAL) + F.col(_ADJ)).cast("bigint").alias(name))
+    return df.join(place, key)
+
+
+def _order_value(c) -> Column:
+    """The expression an order entry sorts by (a name, a column, or a column
+    with a direction)."""
+    return F.col(c) if isinstance(c, str) else c[0]
+
+
+def _like(c, value: Column) -> Column:
+    """``value`` sorted in the direction of the order entry."""
+    return value if isinstance(c, str) else getattr(value, c[1])()
 
 
 def row_count(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -74,7 +75,7 @@ def row_count(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def head_n(df: DataFrame, n: int, order_by: Sequence) -> DataFrame:
     """``df.head(n)`` in a stated order: TakeOrderedAndProject (top-k)."""
-    return df.orderBy(*_cols(order_by)).limit(n)
+    return df.orderBy(*[_like(c, _order_value(c)) for c in order_by]).limit(n)
 
 
 def row_range(df: DataFrame, start: int, end: int, order_by: Sequence, name: str = "pos") -> DataFrame:
@@ -112,14 +113,16 @@ def sample_exact(df: DataFrame, id_col: str, rate, by: Sequence[str] = (), seed:
     dataset registry attaches it).  Rows with rate >= 1 are all kept.
     """
     by = list(by)
-    ranked = with_positions(df.withColumn("_shuf", seeded_key(id_col, seed)),
-                            ["_shuf", id_col], by=by, name=name).drop("_shuf")
+    x = df.withColumn("_shuf", seeded_key(id_col, seed))
     if by:
-        ranked = ranked.join(row_count(df, by).withColumnRenamed("_cnt", "_n"), by)
-        n = F.col("_n")
+        # the first 60 bits of the key cut each group into even ranges
+        x = x.withColumn("_range", F.conv(F.substring("_shuf", 1, 15), 16, 10).cast("bigint"))
+        ranked = prefix_sums(x, by, "_range", ["_shuf", id_col], {name: F.lit(1).cast("bigint")}, widths=(44, 52))
+        ranked = ranked.drop("_shuf", "_range").join(row_count(df, by).withColumnRenamed("_cnt", "_n"), by)
     else:
+        ranked = with_positions(x, ["_shuf", id_col], name=name).drop("_shuf")
         ranked = ranked.withColumn("_n", df.agg(F.count(F.lit(1))).scalar())
-        n = F.col("_n")
+    n = F.col("_n")
     r = F.col(rate) if isinstance(rate, str) else F.lit(float(rate))
     keep = (r >= 1.0) | (F.col(name) < F.floor(n * r.cast("double")))
     return ranked.filter(keep).drop("_n")
@@ -146,95 +149,16 @@ def next_row_fallback(positioned: DataFrame, key: str, pos: str = "pos",
             .drop("_prev_pos"))
 
 
-HOT_GROUP_ROWS = 1_000_000
-
-
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows in the largest ``by`` group (partial aggregation; one number
-    reaches the driver)."""
-    got = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return int(got or 0)
-
-
-def hot_limit(spark) -> int:
-    return int(spark.conf.get("tessera.hotGroupRows", str(HOT_GROUP_ROWS)))
-
-
-_HOT: dict = {}
-
-
-def has_hot_group(df: DataFrame, by: Sequence[str], hot_rows: int | None = None) -> bool:
-    """Whether any ``by`` group exceeds the hot-group row limit.
-
-    The answer only chooses between two strategies that give identical
-    results, so it is remembered per plan (``semanticHash``) within the
-    application: a stale answer could cost time, never correctness."""
-    limit = hot_rows if hot_rows is not None else hot_limit(df.sparkSession)
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(by))
-    if key not in _HOT:
-        _HOT[key] = largest_group(df, by)
-    return _HOT[key] > limit
-
-
-def running_sums(df: DataFrame, order_by: Sequence, by: Sequence[str], values: dict,
-                 inclusive: bool = False, num_partitions: int | None = None,
-                 hot_rows: int | None = None, split: bool | None = None) -> DataFrame:
+def running_sums(df: DataFrame, order_by: Sequence[str], by: Sequence[str], values: dict,
+                 inclusive: bool = False) -> DataFrame:
     """Add, for each ``name -> Column`` in ``values``, the sum of that value
     over the rows before this one (``inclusive`` adds the row itself) within
-    its ``by`` group, in ``order_by`` order (a total order inside a group).
-
-    Skew-safe prefix sums: a window partitioned by the group would put a
-    hot group - say a third of all rows - into one task.  Instead
-
-    1. range-partition on (by, order): a hot group is cut across many
-       partitions; sum locally per (partition, group) with a window whose
-       groups are at most one range partition;
-    2. checkpoint, so partition ids and local sums are stable under task
-       retries;
-    3. only groups that straddle a partition boundary need an offset:
-       those are the first/last group of each partition, at most 2 per
-       partition, so their totals and offsets form a table bounded by the
-       partition count, which is broadcast back.
-
-    Like AQE's skew join, the split is used only when needed: one partial
-    aggregation measures the largest group, and when no group exceeds
-    ``hot_rows`` (conf ``tessera.hotGroupRows``, default 1M) a window
-    partitioned by the group does the job in one shuffle.  Callers that
-    already know (``split``) skip the measurement.
-    """
-    spark = df.sparkSession
-    by, names = list(by), list(values)
-    if by:
-        if split is None:
-            split = has_hot_group(df, by, hot_rows)
-        if not split:
-            frame = (Window.partitionBy(*by).orderBy(*_cols(order_by))
-                     .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1))
-            return df.withColumns({k: F.coalesce(F.sum(values[k]).over(frame), F.lit(0)) for k in names})
-    ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = _cols(by) + _cols(order_by)
-    x = df.select("*", *[values[k].alias(f"_v_{k}") for k in names])
-    ranged = x.repartitionByRange(n, *keys).withColumn(_PID, F.spark_partition_id())
-    w = (Window.partitionBy(_PID, *by).orderBy(*_cols(order_by))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ranged.select("*", *[F.sum(f"_v_{k}").over(w).alias(f"_l_{k}") for k in names])
-    ck = local.checkpoint(eager=True)
-    if by:
-        edges = ck.groupBy(_PID).agg(F.min(F.struct(*by)).alias("lo"), F.max(F.struct(*by)).alias("hi"))
-        boundary = edges.select(F.explode(F.array("lo", "hi")).alias("g")).select("g.*").distinct()
-        part = ck.join(F.broadcast(boundary), by)          # <= 2 groups per partition
-    else:
-        part = ck
-    tot = part.groupBy(_PID, *by).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in names])
-    before = Window.partitionBy(*by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(_PID, *by, *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}")
-                                   for k in names])
-    out = ck.join(F.broadcast(offs), [_PID, *by], "left")
-    for k in names:
-        v = F.coalesce(F.col(f"_o_{k}"), F.lit(0)) + F.col(f"_l_{k}")
-        out = out.withColumn(k, v if inclusive else v - F.col(f"_v_{k}"))
-    return out.drop(_PID, *[f"_{p}_{k}" for p in "vlo" for k in names])
+    its ``by`` group, in ``order_by`` order: an integer column, then ties."""
+    out = prefix_sums(df.withColumns({f"_own_{k}": v for k, v in values.items()}), list(by), order_by[0],
+                      list(order_by[1:]), {k: F.col(f"_own_{k}") for k in values})
+    if inclusive:
+        out = out.withColumns({k: F.col(k) + F.col(f"_own_{k}") for k in values})
+    return out.drop(*[f"_own_{k}" for k in values])
 
 
 def sample_approx(df: DataFrame, rate: float, seed: int = 0) -> DataFrame:

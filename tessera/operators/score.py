@@ -17,10 +17,11 @@ def pair_cosine(df: DataFrame, a: str, b: str, out: str = "similarity") -> DataF
     return df.withColumn(out, V.cosine(a, b))
 
 
-def rank_order(score: str, key: str) -> list[Column]:
-    """Descending score, NaN treated as missing and placed last, ties by key."""
+def rank_order(score: str, key: str) -> list:
+    """Descending score, NaN treated as missing and placed last, ties by key
+    (an order for ``rows.with_positions``)."""
     s = F.when(F.isnan(F.col(score)), F.lit(None)).otherwise(F.col(score))
-    return [s.desc_nulls_last(), F.col(key).asc()]
+    return [(s, "desc_nulls_last"), key]
 
 
 def batch_score(df: DataFrame, make_predict_fn: Callable, input_col: str, dim: int,

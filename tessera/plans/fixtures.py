@@ -31,29 +31,12 @@ Loader = Callable[[str], DataFrame]
 
 MEDIA_ROOT = "media_root"
 
-_DEFS: dict = {}
-
-
-def _memo(fn):
-    """Define a derived table once per (application, data folder)."""
-    def wrapped(t):
-        key = getattr(t, "key", None)
-        if key is None:
-            return fn(t)
-        k = (key, fn.__name__)
-        if k not in _DEFS:
-            _DEFS[k] = fn(t)
-        return _DEFS[k]
-    wrapped.__name__, wrapped.__doc__ = fn.__name__, fn.__doc__
-    return wrapped
-
 
 def _s(c: Column) -> Column:
     return c.cast("string")
 
 
 # ---------------------------------------------------------------- prompts
-@_memo
 def prompts(t: Loader) -> DataFrame:
     d = t("documents")
     return d.select(
@@ -75,7 +58,6 @@ PROMPTS_SQL = """prompts AS (
   FROM documents)"""
 
 
-@_memo
 def pair_scores(t: Loader) -> DataFrame:
     e = t("embeddings")
     a = e.select("vec_id", F.col("embedding").alias("img"))
@@ -92,19 +74,18 @@ PAIR_SCORES_SQL = """pair_scores AS (
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"""
 
 
-@_memo
 def scored_prompts(t: Loader) -> DataFrame:
-    """Prompts with a similarity; rows whose pair failed are not scored."""
-    s = pair_scores(t).withColumnRenamed("vec_id", "id")
-    return prompts(t).join(s, "id")
+    """Every prompt with a similarity: prompts take the pairs in turn."""
+    s = pair_scores(t).withColumnRenamed("vec_id", "_pair")
+    n = t("embeddings").agg(F.count(F.lit(1)) - 1).scalar()
+    return prompts(t).withColumn("_pair", F.col("id") % n).join(s, "_pair").drop("_pair")
 
 
 SCORED_SQL = PROMPTS_SQL + ",\n" + PAIR_SCORES_SQL + """,
-scored AS (SELECT p.*, s.similarity FROM prompts p JOIN pair_scores s ON s.vec_id = p.id)"""
+scored AS (SELECT p.*, s.similarity FROM prompts p JOIN pair_scores s ON s.vec_id = p.id % (SELECT count(*) - 1 FROM embeddings))"""
 
 
 # ---------------------------------------------------------------- responses
-@_memo
 def responses(t: Loader) -> DataFrame:
     d = t("documents").select("doc_id", "text")
     b = t("benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("btext"))
@@ -129,7 +110,6 @@ RESPONSES_SQL = """responses AS (
 
 
 # ---------------------------------------------------------------- turns
-@_memo
 def turns(t: Loader) -> DataFrame:
     c = t("conversations")
     cid, tn, role = F.col("conv_id"), F.col("turn"), F.col("role")
@@ -206,7 +186,6 @@ MEDIA_GRID_SQL = """media_grid AS (
   FROM turns WHERE has_vid)"""
 
 
-@_memo
 def listing(t: Loader) -> DataFrame:
     """Media files that exist: image and video files of turns 0-7 for every
     document labelled quality = 1."""

@@ -17,17 +17,14 @@ W = FX.with_ctes
 BATCH = 4
 
 
-def grid_k(tr, split=None):
+def grid_k(tr):
     """Ordinal of each media file per (sample, kind) in turn order."""
-    return R.running_sums(FX.media_grid(tr), ["turn"], ["conv_id", "kind"], {"k": F.lit(1).cast("bigint")},
-                          split=split)
+    return R.running_sums(FX.media_grid(tr), ["turn"], ["conv_id", "kind"], {"k": F.lit(1).cast("bigint")})
 
 
 def seg(spark, d, time_scale=True):
     tr = FX.turns(loader(spark, d))
-    # media files per sample never outnumber its turns: one measurement serves both
-    split = R.has_hot_group(tr.select("conv_id"), ["conv_id"])
-    return P.segments(tr, grid_k(tr, split), time_scale=time_scale, split=split)
+    return P.segments(tr, grid_k(tr), time_scale=time_scale)
 
 
 def _seg_sql(time_scale: bool) -> str:
@@ -114,14 +111,11 @@ def positions_3d_plain(spark, d):
     return P.positions_3d(seg(spark, d, time_scale=False), time_scale=False).select("conv_id", "pos", "t", "h", "w")
 
 
-def batched(spark, d, s=None):
-    """Segments and per-sample lengths with batch numbers.  Batches follow
-    the sample-key order, so they are assigned on the small table of
-    accepted sample keys (one row per sample), then joined to the lengths."""
-    s = s if s is not None else seg(spark, d)
-    keys = P.accepted_samples(FX.turns(loader(spark, d)))
-    batches = R.batch_assign(keys, BATCH, ["conv_id"])
-    return s, P.sample_lengths(s).join(batches, "conv_id")
+def batched(seg_):
+    """Per accepted sample its spans and batch number, in the order of the
+    sample key: a narrow table that is computed once."""
+    spans = P.sample_spans(seg_, max_len=B.MODEL_MAX_LENGTH).checkpoint(eager=True)
+    return R.batch_assign(spans, BATCH, ["conv_id"])
 
 
 @query("pad_batch", BASE + LENS_SQL + """
@@ -132,8 +126,7 @@ FROM bat2 b LEFT JOIN (
   SELECT conv_id, CAST(sum(greatest(least(start + length, 512) - least(start + 3, 512), 0)) AS BIGINT) AS kept
   FROM spans WHERE role NOT IN ('user', 'system') GROUP BY conv_id) k ON k.conv_id = b.conv_id""")
 def pad_batch(spark, d):
-    s, lb = batched(spark, d)
-    p = B.pad_batch(lb, P.turn_spans(s), "conv_id")
+    p = B.pad_batch(batched(seg(spark, d)))
     return p.select("conv_id", "batch", "seq_len", "padded_len", "n_attended", "n_supervised_kept")
 
 
@@ -144,8 +137,7 @@ SELECT conv_id, batch,
        CAST(max(seq_len) OVER (PARTITION BY batch) AS BIGINT) AS max_seqlen
 FROM bat2""")
 def pack_batch(spark, d):
-    _, lb = batched(spark, d)
-    return B.pack_batch(lb, "conv_id").select("conv_id", "batch", "cu_start", "cu_end", "max_seqlen")
+    return B.pack_batch(batched(seg(spark, d)), "conv_id").select("conv_id", "batch", "cu_start", "cu_end", "max_seqlen")
 
 
 @query("batch_media", BASE + LENS_SQL + """
@@ -159,9 +151,7 @@ LEFT JOIN media_grid m ON m.conv_id = b.conv_id AND m.kind = CASE WHEN s.stag =
 GROUP BY b.batch""")
 def batch_media(spark, d):
     tr = FX.turns(loader(spark, d))
-    split = R.has_hot_group(tr.select("conv_id"), ["conv_id"])
-    s = P.segments(tr, grid_k(tr, split), split=split)
-    _, lb = batched(spark, d, s)
+    lb = batched(P.segments(tr, grid_k(tr)))
     # a sample contributes the media of the kind it is processed with
     kinds = P.sample_tags(FX.media_grid(tr)).select(
         "conv_id", F.when(F.col("_stag") == "<image>", "image").otherwise("video").alias("kind"))
@@ -179,7 +169,8 @@ SELECT conv_id, pos, 1, 1, 1 FROM (
 def pad_positions(spark, d):
     """3-D positions padded with 1 to the batch maximum (the reference
     cuts position ids on the batch axis, so no sequence cut here)."""
-    s, lb = batched(spark, d)
+    s = seg(spark, d)
+    lb = batched(s)
     lb = lb.withColumn("bmax", F.max("seq_len").over(Window.partitionBy("batch")))
     pad = lb.filter(F.col("bmax") > F.col("seq_len")).select(
         "conv_id", F.explode(F.sequence("seq_len", F.col("bmax") - 1)).alias("pos"))
@@ -194,7 +185,7 @@ SELECT conv_id, pos, CASE WHEN pos < seq_len THEN pos ELSE 1 END AS position_id
 def positions_text(spark, d):
     """Text positions from the attention mask of the padded, cut batch:
     cumsum(mask) - 1, masked slots 1."""
-    _, lb = batched(spark, d)
+    lb = batched(seg(spark, d))
     lb = lb.withColumn("plen", F.least(F.max("seq_len").over(Window.partitionBy("batch")), F.lit(B.MODEL_MAX_LENGTH)))
     x = lb.select("conv_id", "seq_len", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("plen") - 1)).alias("pos"))
     mask = (F.col("pos") < F.col("seq_len")).cast("bigint")

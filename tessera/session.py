@@ -99,38 +99,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-SPREAD_MIN_BYTES = 8 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input with fewer splits than the cluster has cores.
-
-    A single-row-group file is one scan task however many splits it is
-    cut into, so per-row work (regexes, array functions) would run on one
-    core.  Large inputs already have
-    many splits and are returned unchanged (no extra shuffle); a small one
-    gets a round-robin repartition, which is deterministic under task
-    retries and lets filters and column pruning pass below it.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    if splits >= target:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < SPREAD_MIN_BYTES:   # small inputs: a shuffle costs more than it saves
-        return df
-    return df.repartition(target)
-
-
-_TABLES: dict = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table as a (lazy) DataFrame.  The definition is built once
-    per application and path - a DataFrame is a plan, not data, so reuse
-    only saves re-analysis; every action still reads the files."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _TABLES:
-        _TABLES[key] = spread(spark.read.parquet(path))
-    return _TABLES[key]
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

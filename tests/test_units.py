@@ -22,6 +22,7 @@ from tessera.operators import metrics as M
 from tessera.operators import rows as R
 from tessera.operators import text as X
 from tessera.operators import video as VO
+from tessera.plans import catalog
 from tessera.sources import fetch as FE
 from tessera.sources import files as SRC
 from tessera.sources.registry import parse_spec, rate_of, strip_rate
@@ -166,11 +167,9 @@ def test_positions_cover_and_match_window(spark):
     p = R.with_positions(df, ["k", "id"])
     exp = df.withColumn("e", F.row_number().over(Window.orderBy("k", "id")) - 1)
     assert p.join(exp, "id").filter("pos <> e").count() == 0
-    # grouped with one hot group holding a third of the rows
-    g = df.withColumn("grp", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 7))
-    pg = R.with_positions(g, ["k", "id"], by=["grp"])
-    eg = g.withColumn("e", F.row_number().over(Window.partitionBy("grp").orderBy("k", "id")) - 1)
-    assert pg.join(eg, "id").filter("pos <> e").count() == 0
+    desc = R.with_positions(df, [(F.col("k"), "desc_nulls_last"), "id"])
+    exp = df.withColumn("e", F.row_number().over(Window.orderBy(F.col("k").desc_nulls_last(), "id")) - 1)
+    assert desc.join(exp, "id").filter("pos <> e").count() == 0
 
 
 @pytest.mark.parametrize("spec,name,rate", [("ds", "ds", 1.0), ("ds%0", "ds", 0.0), ("ds%25", "ds", 0.25),
@@ -476,9 +475,10 @@ def test_bare_list_wrap_and_roles(spark):
 def test_running_sums_skewed_groups(spark):
     df = spark.range(0, 6000).withColumn("g", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 11)) \
         .withColumn("v", (F.col("id") * 7) % 5)
-    r = R.running_sums(df, ["id"], ["g"], {"s": F.col("v"), "c": F.lit(1)}, num_partitions=7, hot_rows=100)
-    assert R.largest_group(df, ["g"]) == 2000 + len([i for i in range(6000) if i % 11 == 0 and i % 3])
-    rw = R.running_sums(df, ["id"], ["g"], {"s": F.col("v"), "c": F.lit(1)})     # window path
+    from tessera.operators.prefix import prefix_sums
+    vals = {"s": F.col("v"), "c": F.lit(1)}
+    r = R.running_sums(df, ["id"], ["g"], vals)
+    rw = prefix_sums(df, ["g"], "id", [], vals, widths=(6, 9))       # many ranges a group
     assert rw.join(r.select("id", F.col("s").alias("s2"), F.col("c").alias("c2")), "id") \
         .filter("s <> s2 OR c <> c2").count() == 0
     w = Window.partitionBy("g").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
@@ -486,7 +486,7 @@ def test_running_sums_skewed_groups(spark):
         "ec", F.coalesce(F.count(F.lit(1)).over(w), F.lit(0)))
     j = r.join(e.select("id", "es", "ec"), "id")
     assert j.count() == 6000 and j.filter("s <> es OR c <> ec").count() == 0
-    g = R.running_sums(df, ["id"], [], {"s": F.col("v")}, inclusive=True, num_partitions=5)
+    g = R.running_sums(df, ["id"], [], {"s": F.col("v")}, inclusive=True)
     eg = df.withColumn("e", F.sum("v").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)))
     assert g.join(eg.select("id", "e"), "id").filter("s <> e").count() == 0
 
@@ -507,7 +507,7 @@ def test_no_single_partition_exchange_over_rows(spark, sf_small):
     carries partial aggregates or a top-k, never data rows."""
     import __spark_entry__ as E
     eager_writes = {"stream_score", "stream_progress", "stream_dedup", "frechet_distance", "read_annotations"}
-    for name, fn in E.queries().items():
+    for name, fn in catalog.load()[0].items():
         if name in eager_writes:
             continue
         lines = _plan(fn(spark, sf_small)).split("\n")
@@ -516,20 +516,6 @@ def test_no_single_partition_exchange_over_rows(spark, sf_small):
                 assert re.search(r"HashAggregate|SortAggregate|TakeOrderedAndProject|Limit", lines[i + 1]), (name, lines[i + 1])
 
 
-@pytest.mark.parametrize("name", ["expand_visual", "vision_ids", "positions_3d", "loss_mask", "sample_exact"])
-def test_hot_group_path_matches_oracle(spark, sf_small, name):
-    """Force every record to count as hot so the range-split prefix sums
-    (checkpoint + boundary offsets) run end to end; results must not change."""
-    import __spark_entry__ as E
-    from tessera.plans.oracle_check import compare, duck
-    spark.conf.set("tessera.hotGroupRows", "2")
-    try:
-        df = E.queries()[name](spark, sf_small)
-        assert compare(df, duck(sf_small), E.oracle_sql()[name]) == []
-    finally:
-        spark.conf.unset("tessera.hotGroupRows")
-
-
 def test_validation_edge_records(spark):
     from tessera.operators import validate as VA
     lines = [
@@ -636,12 +622,11 @@ from hypothesis import strategies as st
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(data=st.lists(st.tuples(st.integers(0, 3), st.integers(-5, 5)), min_size=1, max_size=120),
-       parts=st.integers(1, 6), hot=st.sampled_from([1, 10_000]), inclusive=st.booleans())
-def test_running_sums_property(spark, data, parts, hot, inclusive):
+       inclusive=st.booleans())
+def test_running_sums_property(spark, data, inclusive):
     rows = [(i, g, v) for i, (g, v) in enumerate(data)]
     df = spark.createDataFrame(rows, "id long, g long, v long")
-    got = {r["id"]: r["s"] for r in R.running_sums(df, ["id"], ["g"], {"s": F.col("v")}, inclusive=inclusive,
-                                                     num_partitions=parts, hot_rows=hot).collect()}
+    got = {r["id"]: r["s"] for r in R.running_sums(df, ["id"], ["g"], {"s": F.col("v")}, inclusive=inclusive).collect()}
     acc, exp = {}, {}
     for i, g, v in rows:
         before = acc.get(g, 0)
