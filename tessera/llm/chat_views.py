@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._positions import prefix_sums
+from ..operators.prefix import prefix_sums
 
 PART_TURNS = 64
 SYSTEM = ("system",)

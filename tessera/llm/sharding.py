@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._positions import positions
+from ..operators.prefix import positions
 from ._store import drop, release, saved
 
 SHARDS, ROUNDS = 40, 8
