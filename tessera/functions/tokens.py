@@ -25,6 +25,7 @@ PAD_ID = 151643          # <|endoftext|>
 IM_START_ID = 151644     # <|im_start|>
 IM_END_ID = 151645       # <|im_end|>
 VISION_START_ID = 151652
+VISION_END_ID = 151653
 IMAGE_PAD_ID = 151655
 VIDEO_PAD_ID = 151656
 NEWLINE_ID = 198         # "\n"

@@ -22,6 +22,25 @@ def pad_batch(spans: DataFrame, max_len: int = MODEL_MAX_LENGTH) -> DataFrame:
     return x.withColumn("n_attended", F.least(F.col("seq_len"), F.lit(max_len)).cast("bigint"))
 
 
+def pad_token_rows(tokens: DataFrame, spans: DataFrame, key: str, pad_id: int, max_len: int = MODEL_MAX_LENGTH) -> DataFrame:
+    """(batch, key, pos, id, label, mask): the tokens of a batch right-padded
+    to its longest sample and cut to ``max_len``.  The mask is by value - a
+    token that equals the pad id is masked wherever it stands."""
+    w = Window.partitionBy("batch")
+    b = spans.select(key, "batch", "seq_len", F.least(F.max("seq_len").over(w), F.lit(max_len)).alias("_len"))
+    real = tokens.filter(F.col("pos") < max_len).join(b.select(key, "batch"), key).select("batch", key, "pos", "id", "label")
+    pads = b.filter("seq_len < _len").select(
+        "batch", key, F.explode(F.sequence(F.col("seq_len"), F.col("_len") - 1)).alias("pos"),
+        F.lit(pad_id).cast("bigint").alias("id"), F.lit(-100).cast("bigint").alias("label"))
+    return real.unionByName(pads).withColumn("mask", (F.col("id") != pad_id).cast("int"))
+
+
+def pack_token_rows(tokens: DataFrame, packed: DataFrame, key: str) -> DataFrame:
+    """(batch, pos, id, label): the samples of a batch one after the other."""
+    return tokens.join(packed.select(key, "batch", "cu_start"), key).select(
+        "batch", (F.col("cu_start") + F.col("pos")).cast("bigint").alias("pos"), "id", "label")
+
+
 def pack_batch(lengths: DataFrame, key: str, order: str = "pos") -> DataFrame:
     """Concatenate the batch: cumulative offsets [0, l1, l1+l2, ...] and the
     longest segment; no cut to the model limit."""

@@ -124,7 +124,7 @@ def canonical_from_variant(v) -> dict[str, Column]:
 
     images = media("image", "images")
     return {
-        "id": F.try_variant_get(v, "$.id", "bigint"),
+        "id": F.try_variant_get(v, "$.id", "string"),
         "turns": turns,
         "images": F.when(F.size(promoted) > 0, promoted).otherwise(images),
         "videos": media("video", "videos"),

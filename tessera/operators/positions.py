@@ -47,8 +47,8 @@ def segments(turns: DataFrame, grid: DataFrame, key: str = "conv_id", time_scale
     # per-piece values computed once; the text is dropped before the offset pass
     p = p.select(key, "turn", "role", "_piece_no", "n_pieces", "tag", "kind", "tag_index", "_before_rows",
                  T.word_count("piece").alias("n_words"),
-                 F.aggregate(TK.token_ids(T.words("piece")), F.lit(0).cast("bigint"), lambda a, x: a + x)
-                 .alias("word_id_sum"))
+                 TK.token_ids(T.words("piece")).alias("word_ids"))
+    p = p.withColumn("word_id_sum", F.aggregate("word_ids", F.lit(0).cast("bigint"), lambda a, x: a + x))
     g = grid.select(key, "kind", F.col("k").alias("tag_index"), "gt", "gh", "gw", "sec")
     p = p.join(g, [key, "kind", "tag_index"], "left")
     first = F.col("_before_rows") == 0
@@ -140,3 +140,34 @@ def sample_spans(seg: DataFrame, key: str = "conv_id", max_len: int | None = Non
 def loss_mask(seg: DataFrame, key: str = "conv_id") -> DataFrame:
     """Per sample: tokens, supervised tokens and the sum of their labels."""
     return sample_spans(seg, key).select(key, F.col("seq_len").alias("n_tokens"), "n_supervised", "label_sum")
+
+
+def _ids(*values) -> "F.Column":
+    return F.array(*[F.lit(v).cast("bigint") if isinstance(v, int) else v for v in values])
+
+
+def token_rows(seg: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, pos, id, label) of every token of every accepted sample.
+
+    A turn is header (start, role, newline), words and footer (end, newline);
+    a media block is start, pads, end; the default system block comes first.
+    Labels are the ids of the turns that are not user or system, without
+    their header, else ``IGNORE_INDEX``."""
+    none = F.array().cast("array<bigint>")
+    first, has_tag = F.col("seq_start") == 0, F.col("tag").isNotNull()
+    system = F.concat(_ids(TK.IM_START_ID, TK.token_id(F.lit("system")), TK.NEWLINE_ID),
+                      TK.token_ids(T.words(F.lit(K.DEFAULT_SYSTEM))), _ids(TK.IM_END_ID, TK.NEWLINE_ID))
+    pad = F.when(F.col("kind") == "image", TK.IMAGE_PAD_ID).otherwise(TK.VIDEO_PAD_ID).cast("bigint")
+    ids = F.concat(
+        F.when(first, system).otherwise(none),
+        F.when(F.col("_piece_no") == 0, _ids(TK.IM_START_ID, TK.token_id(F.col("role")), TK.NEWLINE_ID))
+        .otherwise(_ids(TK.VISION_END_ID)),
+        F.col("word_ids"),
+        F.when(has_tag, _ids(TK.VISION_START_ID)).otherwise(none),
+        F.when(F.col("_piece_no") == F.col("n_pieces") - 1, _ids(TK.IM_END_ID, TK.NEWLINE_ID)).otherwise(none),
+        F.array_repeat(pad, F.col("n_pad").cast("int")))
+    head = F.when(first, SYSTEM_BLOCK).otherwise(0) + F.when(F.col("_piece_no") == 0, 3).otherwise(0)
+    x = seg.filter(~F.col("rejected")).select(key, "role", "seq_start", head.alias("_head"), F.posexplode(ids).alias("u", "id"))
+    own = ~F.col("role").isin("user", "system") & (F.col("u") >= F.col("_head"))
+    return x.select(key, (F.col("seq_start") + F.col("u")).cast("bigint").alias("pos"), "id",
+                    F.when(own, F.col("id")).otherwise(TK.IGNORE_INDEX).cast("bigint").alias("label"))

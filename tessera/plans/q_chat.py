@@ -25,7 +25,7 @@ CANON_CONTENT = ("CASE WHEN form = 'from_value' THEN flat "
 def _parsed(t, lines=AN.mixed_lines):
     x = lines(t).withColumn("v", F.parse_json("line"))
     cols = C.canonical_from_variant("v")
-    return x.select("conv_id", "v", *[c.alias(n) for n, c in cols.items()])
+    return x.select("conv_id", "v", *[c.alias(n) for n, c in cols.items()]).withColumn("id", F.col("id").cast("bigint"))
 
 
 # ---------------------------------------------------------------- A3 C3
@@ -38,7 +38,7 @@ def read_annotations(spark, d):
     path = scratch_path(spark, "annotations") + ".jsonl"
     SRC.write_jsonl(AN.mixed_lines(loader(spark, d)), "line", path)
     r = SRC.read_annotations(spark, path)
-    return r.select("id", F.size("turns").cast("bigint").alias("n_turns"),
+    return r.select(F.col("id").cast("bigint"), F.size("turns").cast("bigint").alias("n_turns"),
                     F.size("images").cast("bigint").alias("n_images"),
                     F.size("videos").cast("bigint").alias("n_videos"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import score as S
+from ..session import scratch_path
 from ..sources import fetch as FE
 from ..sources import files as SRC
 from ..streaming import ingest as ST
@@ -59,6 +60,46 @@ def media_refs(spark, d):
                     F.length(SRC.data_uri_payload("ref")).cast("bigint").alias("payload_len"))
 
 
+@query("prompt_csv", W(FX.PROMPTS_SQL) + """
+SELECT p.id, nullif(p.prompt, '') AS prompt, p.url, p.width, p.height, p.source_site, d.lang,
+       CASE WHEN p.id % 5 = 0 THEN 'test' ELSE 'train' END AS split
+FROM prompts p JOIN documents d ON d.doc_id = p.id""")
+def prompt_csv(spark, d):
+    """Prompts written as CSV, one folder per split, with columns in another
+    order and one more, and read back by header."""
+    t = loader(spark, d)
+    x = FX.prompts(t).join(t("documents").select(F.col("doc_id").alias("id"), "lang"), "id")
+    x = x.withColumn("split", F.when(F.col("id") % 5 == 0, "test").otherwise("train"))
+    path = scratch_path(spark, "prompt-csv")
+    SRC.write_csv(x.select("url", "lang", "prompt", "id", "height", "width", "source_site", "split"), path)
+    return SRC.read_prompt_csv(spark, path)
+
+
+def _media_folder(spark, d):
+    """The pages as one media file each."""
+    path = scratch_path(spark, "media")
+    p = loader(spark, d)("pages").select("page_id", F.col("html").alias("value"))
+    p.repartition("page_id").write.partitionBy("page_id").text(path)
+    return path
+
+
+def _page_of(path):
+    return F.regexp_extract(path, r"page_id=(\d+)/", 1).cast("bigint").alias("page_id")
+
+
+@query("media_listing", "SELECT page_id, octet_length(encode(html)) + 1 AS length FROM pages")
+def media_listing(spark, d):
+    """Files of a media folder (each page's html and a line end)."""
+    return SRC.media_listing(spark, _media_folder(spark, d), "*.txt").select(_page_of("path"), "length")
+
+
+@query("media_payload", "SELECT page_id, octet_length(encode(html)) + 1 AS length, md5(html || chr(10)) AS content_md5 FROM pages")
+def media_payload(spark, d):
+    """Whole contents of the files of a media folder."""
+    return SRC.media_payloads(spark, _media_folder(spark, d), "*.txt").select(
+        _page_of("path"), "length", F.md5("content").alias("content_md5"))
+
+
 @query("payload_base64", """
 SELECT page_id, CAST(length(b) AS BIGINT) AS b64_len, md5(b) AS b64_md5
 FROM (SELECT page_id, to_base64(encode(html)) AS b FROM pages)""")

@@ -3,15 +3,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..operators import batching as B
 from ..operators import positions as P
 from ..operators import rows as R
 from . import fixtures as FX
 from .registry import loader, query
-from .sqlfrag import word_count, words
+from .sqlfrag import lit, word_count, words
 
 W = FX.with_ctes
 BATCH = 4
@@ -192,3 +195,61 @@ def positions_text(spark, d):
     w = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return x.select("conv_id", "pos", F.when(mask == 1, F.sum(mask).over(w) - 1).otherwise(F.lit(1))
                     .cast("bigint").alias("position_id"))
+
+
+# ---------------------------------------------------------------- token ids, labels, masks
+def _id_sql(x: str) -> str:
+    return f"(CAST(('0x' || substr(md5({x}), 1, 8)) AS BIGINT) % 151643)"
+
+
+_SYSTEM_IDS = (f"list_concat([151644, {_id_sql(lit('system'))}, 198], list_transform({words(lit(K.DEFAULT_SYSTEM))}, "
+               f"lambda w: {_id_sql('w')}), [151645, 198])")
+TOKENS_SQL = LENS_SQL + f""",
+tok0 AS (
+  SELECT conv_id, role, seq_start,
+         CASE WHEN seq_start = 0 THEN {P.SYSTEM_BLOCK} ELSE 0 END + CASE WHEN piece_no = 0 THEN 3 ELSE 0 END AS head,
+         flatten([CASE WHEN seq_start = 0 THEN {_SYSTEM_IDS} ELSE []::BIGINT[] END,
+                  CASE WHEN piece_no = 0 THEN [151644, {_id_sql('role')}, 198] ELSE [151653] END,
+                  list_transform({words('piece')}, lambda w: {_id_sql('w')}),
+                  CASE WHEN tag IS NOT NULL THEN [151652] ELSE []::BIGINT[] END,
+                  CASE WHEN piece_no = n_pieces - 1 THEN [151645, 198] ELSE []::BIGINT[] END,
+                  list_transform(range(n_pad), lambda i: CASE kind WHEN 'image' THEN 151655 ELSE 151656 END)]::BIGINT[][]) AS ids
+  FROM seg WHERE NOT rejected),
+tok AS (
+  SELECT conv_id, CAST(seq_start + u AS BIGINT) AS pos, id,
+         CAST(CASE WHEN role NOT IN ('user', 'system') AND u >= head THEN id ELSE -100 END AS BIGINT) AS label
+  FROM (SELECT conv_id, role, seq_start, head, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS u FROM tok0))"""
+
+#: a pad id that real tokens have too (the id of a frequent word), so that the mask by value is put to the test
+PAD_WORD = "the"
+_PAD = int(hashlib.md5(PAD_WORD.encode()).hexdigest()[:8], 16) % 151643
+
+
+@query("token_labels", BASE + TOKENS_SQL + "\nSELECT conv_id, pos, id, label FROM tok")
+def token_labels(spark, d):
+    """Token ids and loss labels of every sample."""
+    return P.token_rows(seg(spark, d)).select("conv_id", "pos", "id", "label")
+
+
+@query("pad_batch_tokens", BASE + TOKENS_SQL + f""",
+bl AS (SELECT conv_id, batch, seq_len, least(max(seq_len) OVER (PARTITION BY batch), 512) AS plen FROM bat2),
+rows_ AS (
+  SELECT batch, conv_id, pos, id, label FROM tok JOIN bl USING (conv_id) WHERE pos < 512
+  UNION ALL
+  SELECT batch, conv_id, unnest(range(seq_len, plen)), {_PAD}, -100 FROM bl WHERE seq_len < plen)
+SELECT batch, conv_id, CAST(pos AS BIGINT) AS pos, CAST(id AS BIGINT) AS id, CAST(label AS BIGINT) AS label,
+       CAST(id <> {_PAD} AS INTEGER) AS mask FROM rows_""")
+def pad_batch_tokens(spark, d):
+    """Padded and cut batches as token rows with labels and mask."""
+    s = seg(spark, d)
+    return B.pad_token_rows(P.token_rows(s), batched(s), "conv_id", _PAD)
+
+
+@query("pack_batch_tokens", BASE + TOKENS_SQL + """,
+pk AS (SELECT conv_id, batch, sum(seq_len) OVER (PARTITION BY batch ORDER BY pos ROWS UNBOUNDED PRECEDING) - seq_len AS cu
+       FROM bat2)
+SELECT batch, CAST(cu + pos AS BIGINT) AS pos, id, label FROM tok JOIN pk USING (conv_id)""")
+def pack_batch_tokens(spark, d):
+    """Packed batches as one token sequence each."""
+    s = seg(spark, d)
+    return B.pack_token_rows(P.token_rows(s), B.pack_batch(batched(s), "conv_id"), "conv_id")

@@ -21,15 +21,24 @@ SCORED_SCHEMA = T.StructType(PROMPT_SCHEMA.fields + [T.StructField("similarity",
 
 
 def read_prompt_csv(spark: SparkSession, path: str, schema: T.StructType = PROMPT_SCHEMA) -> DataFrame:
-    """Prompt CSV with an explicit schema; prompts may hold newlines,
-    commas and doubled quotes."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').csv(path))
+    """Prompt CSV by its header: the columns of ``schema`` are found by name
+    and typed, all others follow as text; a missing one is an error.  Prompts
+    may hold newlines, commas and doubled quotes, so a file is read by one
+    task; a large corpus comes as many files or as Parquet."""
+    raw = (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+           .csv(path))
+    missing = [f.name for f in schema if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    known = {f.name for f in schema}
+    return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema],
+                      *[F.col(f"`{c}`") for c in raw.columns if c not in known])
 
 
 def write_csv(df: DataFrame, path: str, partition_by: str | None = "split") -> None:
     """CSV with header, one folder per split (written once, overwrite)."""
-    w = df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+    w = (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if partition_by:
         w = w.partitionBy(partition_by)
     w.csv(path)
@@ -41,8 +50,9 @@ def annotation_lines(spark: SparkSession, path: str) -> DataFrame:
 
     ``.jsonl`` files are read line by line as text and parsed as VARIANT
     (``read.json`` would split a top-level array into several rows);
-    ``.json`` files hold one JSON array of records and are read whole,
-    then exploded.  Other extensions are rejected.
+    ``.json`` files hold one JSON array of records and are read whole, each
+    by one task, then exploded: a large corpus is converted to lines first.
+    Other extensions are rejected.
     """
     if path.endswith(".json"):
         raw = spark.read.format("text").option("wholetext", True).load(path)
@@ -72,6 +82,12 @@ def write_jsonl(df: DataFrame, json_col: str, path: str) -> None:
 
 
 # ---------------------------------------------------------------- media
+def media_manifest(manifest: DataFrame, path: str = "path", length: str = "length") -> DataFrame:
+    """Existing media files from a manifest table (path, length), which needs
+    no folder listing on the driver: the choice for very many files."""
+    return manifest.select(F.col(path).alias("path"), F.col(length).cast("bigint").alias("length"))
+
+
 def media_listing(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
     """Existing media files: path, length, modificationTime (the content
     column is pruned, so no file body is read)."""

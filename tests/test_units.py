@@ -744,3 +744,21 @@ def test_zero_vector_and_large_means(spark):
         for r in M.covariance_long(d, "v", ["side"]).collect():
             got[r.i, r.j] = r["cov"]
         assert np.allclose(got, np.cov(x.T), rtol=1e-6, atol=1e-6)
+
+
+def test_csv_is_read_by_header(spark):
+    d = tempfile.mkdtemp(prefix="tessera-hdr-")
+    with open(os.path.join(d, "a.csv"), "w") as f:
+        f.write('url,prompt,id,extra,width,height,source_site\nu1,"a, ""b""\nc",7,x,10,bad,s\n')
+    r = SRC.read_prompt_csv(spark, d).first()
+    assert (r.id, r.prompt, r.url, r.width, r.height, r.extra) == (7, 'a, "b"\nc', "u1", 10, None, "x")
+    with open(os.path.join(d, "b.csv"), "w") as f:
+        f.write("url,prompt\nu,p\n")
+    with pytest.raises(ValueError):
+        SRC.read_prompt_csv(spark, os.path.join(d, "b.csv"))
+
+
+def test_text_ids_are_kept(spark):
+    rows = [('{"id":"s1","conversations":[]}',), ('{"id":12,"conversations":[]}',)]
+    df = spark.createDataFrame(rows, "line string").withColumn("v", F.parse_json("line"))
+    assert [r[0] for r in df.select(C.canonical_from_variant("v")["id"]).collect()] == ["s1", "12"]
