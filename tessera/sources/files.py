@@ -20,18 +20,21 @@ PROMPT_SCHEMA = T.StructType([
 SCORED_SCHEMA = T.StructType(PROMPT_SCHEMA.fields + [T.StructField("similarity", T.DoubleType())])
 
 
-def read_prompt_csv(spark: SparkSession, path: str, schema: T.StructType = PROMPT_SCHEMA) -> DataFrame:
+def read_prompt_csv(spark: SparkSession, path: str, schema: T.StructType = PROMPT_SCHEMA,
+                    required: tuple = ("id", "prompt", "url")) -> DataFrame:
     """Prompt CSV by its header: the columns of ``schema`` are found by name
-    and typed, all others follow as text; a missing one is an error.  Prompts
+    and typed, all others follow as text; a missing one is null, or an error
+    if it is ``required``.  Prompts
     may hold newlines, commas and doubled quotes, so a file is read by one
     task; a large corpus comes as many files or as Parquet."""
     raw = (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
            .csv(path))
-    missing = [f.name for f in schema if f.name not in raw.columns]
+    missing = [c for c in required if c not in raw.columns]
     if missing:
         raise ValueError(f"{path}: no column {', '.join(missing)}")
     known = {f.name for f in schema}
-    return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema],
+    found = lambda c: F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string")
+    return raw.select(*[found(f.name).try_cast(f.dataType).alias(f.name) for f in schema],
                       *[F.col(f"`{c}`") for c in raw.columns if c not in known])
 
 
