@@ -67,8 +67,3 @@ def count_occurrences(col, sub: str) -> Column:
 def after_last(col, marker: str) -> Column:
     """``x.split(marker)[-1]``."""
     return F.substring_index(_c(col), marker, -1)
-
-
-def first_tokens(col, n: int) -> Column:
-    """First ``n`` whitespace tokens joined by one space."""
-    return F.array_join(F.slice(words(col), 1, n), " ")

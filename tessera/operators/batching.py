@@ -66,3 +66,22 @@ def batch_media(samples: DataFrame, media: DataFrame, key: str, order: str = "po
                     F.nullif(F.array_join(F.transform("im", lambda z: z["f"]), ","), F.lit("")).alias("images"),
                     F.nullif(F.array_join(F.transform("vi", lambda z: z["f"]), ","), F.lit("")).alias("videos"),
                     "image_tokens", "video_tokens")
+
+
+def pad_position_rows(positions: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """3-D positions padded with 1 to the batch maximum (positions are not
+    cut to the model limit)."""
+    b = spans.withColumn("_bmax", F.max("seq_len").over(Window.partitionBy("batch")))
+    pad = b.filter(F.col("_bmax") > F.col("seq_len")).select(
+        key, F.explode(F.sequence("seq_len", F.col("_bmax") - 1)).alias("pos"))
+    one = [F.lit(1).cast("bigint").alias(a) for a in ("t", "h", "w")]
+    return positions.select(key, "pos", "t", "h", "w").unionByName(pad.select(key, "pos", *one))
+
+
+def text_positions(spans: DataFrame, key: str, max_len: int = MODEL_MAX_LENGTH) -> DataFrame:
+    """Text positions of the padded, cut batch: the number of attended tokens
+    before each one, 1 in the padding (attended tokens come first)."""
+    b = spans.withColumn("_len", F.least(F.max("seq_len").over(Window.partitionBy("batch")), F.lit(max_len)))
+    x = b.select(key, "seq_len", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_len") - 1)).alias("pos"))
+    return x.select(key, "pos", F.when(F.col("pos") < F.col("seq_len"), F.col("pos")).otherwise(F.lit(1))
+                    .cast("bigint").alias("position_id"))

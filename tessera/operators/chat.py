@@ -242,20 +242,25 @@ def vision_block(kind: str, n=None) -> Column:
 
 
 # ------------------------------------------------------------------ C16-C18
-def words_over_turns(turns) -> Column:
-    return F.aggregate(_c(turns), F.lit(0).cast("bigint"),
-                       lambda acc, t: acc + T.word_count(t["content"]))
+def value_words(v) -> Column:
+    """Words over the ``value`` texts of a record's conversations."""
+    convs = F.coalesce(F.try_variant_get(_c(v), "$.conversations", "array<variant>"), F.array().cast("array<variant>"))
+    return F.aggregate(convs, F.lit(0).cast("bigint"),
+                       lambda a, t: a + T.word_count(F.coalesce(F.try_variant_get(t, "$.value", "string"), F.lit(""))))
 
 
-def length_estimate(turns, has_image) -> Column:
-    """Sum of words over turns + 128 when the record has an image."""
-    return words_over_turns(turns) + F.when(_c(has_image), F.lit(128)).otherwise(F.lit(0))
+def length_estimate(v) -> Column:
+    """Words over turns, plus 128 when the record has an ``image`` key."""
+    has_image = F.try_variant_get(_c(v), "$.image", "variant").isNotNull()
+    return (value_words(v) + F.when(has_image, 128).otherwise(0)).cast("bigint")
 
 
-def modality_length(turns, has_media) -> Column:
-    """Sum of words, negative when the record has no media."""
-    n = words_over_turns(turns)
-    return F.when(_c(has_media), n).otherwise(-n)
+def modality_length(v) -> Column:
+    """Words over turns, negative when the record has no image or video key."""
+    media = (F.try_variant_get(_c(v), "$.image", "variant").isNotNull()
+             | F.try_variant_get(_c(v), "$.video", "variant").isNotNull())
+    n = value_words(v)
+    return F.when(media, n).otherwise(-n).cast("bigint")
 
 
 def replace_tags(df: DataFrame, key: str, order: str, content: str, out: str = "content",
@@ -272,3 +277,51 @@ def replace_tags(df: DataFrame, key: str, order: str, content: str, out: str = "
     lab = F.when(F.col("tag") == K.IMAGE_TAG, img).when(F.col("tag") == K.VIDEO_TAG, vid).otherwise(F.lit(""))
     return reassemble(p.withColumn("_piece_out", F.concat(F.col("piece"), lab)), key, order, "_piece_out", out,
                       extra=extra)
+
+
+def expand_samples(turns: DataFrame, grid: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, turn, status, content): tags of the sample's visual kind in user
+    turns become vision blocks with as many pads as the grid has merged
+    patches.  Tags index the sample's files of that kind in order; the other
+    kind's tags stay text; a tag without a grid marks the sample."""
+    from .positions import sample_tags
+    users = (turns.filter(F.col("role") == "user").select(key, "turn", "role", "flat")
+             .join(sample_tags(grid, key), key, "left")
+             .withColumn("_stag", F.coalesce(F.col("_stag"), F.lit(K.IMAGE_TAG))))
+    pieces = tag_pieces(users, key, "turn", "flat", active_tag="_stag").withColumn(
+        "kind", F.when(F.col("tag") == K.IMAGE_TAG, "image").when(F.col("tag") == K.VIDEO_TAG, "video"))
+    g = grid.select(key, "kind", F.col("k").alias("tag_index"),
+                    (F.col("gt") * F.col("gh") * F.col("gw") / 4).cast("bigint").alias("n_pad"))
+    j = pieces.join(g, [key, "kind", "tag_index"], "left")
+    block = F.when(F.col("kind") == "image", vision_block("image", "n_pad")).otherwise(vision_block("video", "n_pad"))
+    out = F.concat(F.col("piece"), F.when(F.col("tag").isNull(), F.lit("")).when(
+        F.col("n_pad").isNull(), F.col("tag")).otherwise(block))
+    miss = j.groupBy(key).agg(F.max((F.col("tag").isNotNull() & F.col("n_pad").isNull()).cast("int")).alias("_miss"))
+    j = j.join(miss, key).withColumn("piece_out", out).withColumn(
+        "status", F.when(F.col("_miss") == 1, "missing_grid").otherwise("ok"))
+    return reassemble(j, key, "turn", "piece_out", "content", extra=("status",)).select(key, "turn", "status", "content")
+
+
+def partition_vision(segments: DataFrame, key: str = "conv_id", segment: str = "s", fps: str = "sample_fps") -> DataFrame:
+    """Per record the ordered references of its images (``image`` or
+    ``image_url``) and of its videos with their sampled fps, null when there
+    are none; ``status`` is ``no_media_key`` if an element of a visual type
+    has none of the three keys.  ``segments``: (key, turn, seg_no, segment,
+    fps)."""
+    v = vision_element_columns(F.col(segment))
+    o = F.struct("turn", "seg_no", v["ref"].alias("ref"), F.col(fps).alias("fps"))
+    is_kind = lambda k: F.coalesce(v["is_vision"] & (v["kind"] == k), F.lit(False))
+    g = segments.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.when(is_kind("image"), o))).alias("im"),
+        F.sort_array(F.collect_list(F.when(is_kind("video"), o))).alias("vi"),
+        F.max((v["status"] != "ok").cast("int")).alias("_bad"))
+    text = lambda a, f: F.nullif(F.array_join(F.transform(a, lambda z: z[f]), ","), F.lit(""))
+    return g.select(key, F.size("im").cast("bigint").alias("n_images"), F.size("vi").cast("bigint").alias("n_videos"),
+                    text("im", "ref").alias("images"), text("vi", "ref").alias("videos"), text("vi", "fps").alias("video_fps"),
+                    F.when(F.col("_bad") == 1, "no_media_key").otherwise("ok").alias("status"))
+
+
+def precomputed_length(df: DataFrame, tokens: str = "num_tokens", out: str = "length") -> DataFrame:
+    """The record's own token count, 1 where it has none."""
+    n = F.col(tokens) if tokens in df.columns else F.lit(None).cast("bigint")
+    return df.withColumn(out, F.coalesce(n, F.lit(1)).cast("bigint"))

@@ -100,6 +100,13 @@ def positions_3d(seg: DataFrame, key: str = "conv_id", time_scale: bool = True)
                     F.when(is_text, txt).otherwise(base + m % F.col("wm")).cast("bigint").alias("w"))
 
 
+def position_deltas(seg: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, delta): last position + 1 minus the number of tokens, what
+    generation adds to the token count to go on."""
+    ok = seg.filter(~F.col("rejected"))
+    return ok.groupBy(key).agg(F.sum(F.col("mw") - F.col("n_pad")).cast("bigint").alias("delta"))
+
+
 def sample_tags(grid: DataFrame, key: str = "conv_id") -> DataFrame:
     """The one visual kind a sample is processed with: image when it has
     image files, else video when it has video files (samples without

@@ -135,18 +135,24 @@ def batch_assign(df: DataFrame, batch_size: int, order_by: Sequence, pos: str =
         name, F.floor(F.col(pos) / F.lit(batch_size)).cast("bigint"))
 
 
-def next_row_fallback(positioned: DataFrame, key: str, pos: str = "pos",
-                      name: str = "fallback") -> DataFrame:
-    """Fallback sample for row i is row min(i + 1, n - 1).
+def next_row_fallback(positioned: DataFrame, key: str, pos: str = "pos", name: str = "fallback",
+                      failed: str | None = None) -> DataFrame:
+    """The sample that stands in for row i: row min(i + 1, n - 1).  With
+    ``failed`` (a boolean column) only failed rows take it, others stay
+    themselves, and a failed row whose stand-in failed too has none.
 
     A lead() over the global order would need one partition; an equi-join
     of position i + 1 against position does the same with a hash shuffle.
-    The last row has no successor and stays itself.
     """
-    nxt = positioned.select((F.col(pos) - 1).alias("_prev_pos"), F.col(key).alias(name))
-    return (positioned.join(nxt, positioned[pos] == nxt["_prev_pos"], "left")
-            .withColumn(name, F.coalesce(F.col(name), F.col(key)))
-            .drop("_prev_pos"))
+    bad = F.coalesce(F.col(failed), F.lit(False)) if failed else F.lit(False)
+    nxt = positioned.select((F.col(pos) - 1).alias("_prev_pos"), F.col(key).alias("_next"), bad.alias("_next_bad"))
+    x = positioned.join(nxt, positioned[pos] == nxt["_prev_pos"], "left")
+    if failed:
+        good = F.when(~F.coalesce("_next_bad", F.lit(True)), F.col("_next"))
+        x = x.withColumn(name, F.when(bad, good).otherwise(F.col(key)))
+    else:
+        x = x.withColumn(name, F.coalesce("_next", F.col(key)))
+    return x.drop("_prev_pos", "_next", "_next_bad")
 
 
 def running_sums(df: DataFrame, order_by: Sequence[str], by: Sequence[str], values: dict,

@@ -84,7 +84,8 @@ def missing_media(df: DataFrame, key: str, listing: DataFrame, root: str) -> Dat
 
 def problems(df: DataFrame, key: str, listing: DataFrame, root: str, v: str = "v") -> DataFrame:
     """Adds ``missing_files``, the first token mismatch, and
-    ``validation_problems`` (in the reference's order)."""
+    ``validation_problems`` in a fixed order.  The message texts are fixed
+    values."""
     miss = missing_media(df, key, listing, root)
     x = df.join(miss, key, "left")
     ni, nv = F.size("images").cast("bigint"), F.size("videos").cast("bigint")
@@ -98,9 +99,7 @@ def problems(df: DataFrame, key: str, listing: DataFrame, root: str, v: str = "v
         F.lit("missing_files").alias("type"), F.lit(None).cast("string").alias("media_type"),
         F.lit(None).cast("bigint").alias("expected"), F.lit(None).cast("bigint").alias("actual"),
         F.col("missing_files").alias("files"),
-        F.concat(F.lit("Missing media files: ["),
-                 F.array_join(F.transform("missing_files", lambda s: F.concat(F.lit("'"), s, F.lit("'"))), ", "),
-                 F.lit("]")).alias("message"))).cast(prob_t)
+        F.concat(F.lit("Missing media files: "), F.array_join("missing_files", ", ")).alias("message"))).cast(prob_t)
     p_mismatch = F.when(mm_type.isNotNull(), F.struct(
         F.lit("token_mismatch").alias("type"), mm_type.alias("media_type"), exp.alias("expected"),
         act.alias("actual"), F.lit(None).cast("array<string>").alias("files"),

@@ -155,27 +155,9 @@ def expand_visual(spark, d):
     """Tags of the sample's visual kind in user turns -> vision block with
     as many pads as its grid has merged patches; tags index the sample's
     files of that kind in order; the other kind's tags stay text."""
-    from ..operators import positions as P
     from .q_tokens import grid_k
     tr = FX.turns(loader(spark, d))
-    grid = grid_k(tr)
-    users = (tr.filter(F.col("role") == "user").select("conv_id", "turn", "role", "flat")
-             .join(P.sample_tags(grid), "conv_id", "left")
-             .withColumn("_stag", F.coalesce(F.col("_stag"), F.lit(K.IMAGE_TAG))))
-    pieces = C.tag_pieces(users, "conv_id", "turn", "flat", active_tag="_stag").withColumn(
-        "kind", F.when(F.col("tag") == K.IMAGE_TAG, "image").when(F.col("tag") == K.VIDEO_TAG, "video"))
-    g = grid.select("conv_id", "kind", F.col("k").alias("tag_index"),
-                    (F.col("gt") * F.col("gh") * F.col("gw") / 4).cast("bigint").alias("n_pad"))
-    j = pieces.join(g, ["conv_id", "kind", "tag_index"], "left")
-    block = F.when(F.col("kind") == "image", C.vision_block("image", "n_pad")).otherwise(C.vision_block("video", "n_pad"))
-    out = F.concat(F.col("piece"), F.when(F.col("tag").isNull(), F.lit("")).when(
-        F.col("n_pad").isNull(), F.col("tag")).otherwise(block))
-    miss = j.groupBy("conv_id").agg(F.max((F.col("tag").isNotNull() & F.col("n_pad").isNull()).cast("int"))
-                                    .alias("_miss"))
-    j = j.join(miss, "conv_id").withColumn("piece_out", out).withColumn(
-        "status", F.when(F.col("_miss") == 1, "missing_grid").otherwise("ok"))
-    return C.reassemble(j, "conv_id", "turn", "piece_out", "content", extra=("status",)).select(
-        "conv_id", "turn", "status", "content")
+    return C.expand_samples(tr, grid_k(tr))
 
 
 @query("vision_ids", W(FX.TURNS_SQL) + """,
@@ -262,25 +244,12 @@ def vision_partition(spark, d):
     vf = meta.select("conv_id", "turn", "seg_no",
                      F.coalesce(fps.cast("string"), F.lit("rejected")).alias("sample_fps"))
     s = s.join(vf, ["conv_id", "turn", "seg_no"], "left")
-    o = F.struct("turn", "seg_no", F.coalesce("s.image", "s.video").alias("ref"), F.col("sample_fps").alias("fps"))
-    g = s.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("s.image").isNotNull(), o))).alias("im"),
-        F.sort_array(F.collect_list(F.when(F.col("s.video").isNotNull(), o))).alias("vi"))
-    g = conv.join(g, "conv_id", "left")
-    return g.select("conv_id", F.coalesce(F.size("im"), F.lit(0)).cast("bigint").alias("n_images"),
-                    F.coalesce(F.size("vi"), F.lit(0)).cast("bigint").alias("n_videos"),
-                    F.nullif(F.array_join(F.transform("im", lambda z: z["ref"]), ","), F.lit("")).alias("images"),
-                    F.nullif(F.array_join(F.transform("vi", lambda z: z["ref"]), ","), F.lit("")).alias("videos"),
-                    F.nullif(F.array_join(F.transform("vi", lambda z: z["fps"]), ","), F.lit("")).alias("video_fps"))
+    g = conv.join(C.partition_vision(s), "conv_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return g.select("conv_id", zero("n_images"), zero("n_videos"), "images", "videos", "video_fps")
 
 
 # ---------------------------------------------------------------- C16 C17 C18 A13
-def _fv_words(v):
-    convs = F.coalesce(F.try_variant_get(v, "$.conversations", "array<variant>"), F.array().cast("array<variant>"))
-    return F.aggregate(convs, F.lit(0).cast("bigint"),
-                       lambda a, t: a + T.word_count(F.coalesce(F.try_variant_get(t, "$.value", "string"), F.lit(""))))
-
-
 @query("length_estimate", W(FX.TURNS_SQL) + f"""
 SELECT conv_id AS id, CAST(sum({word_count('flat')}) + CASE WHEN count_if(has_img) = 1 THEN 128 ELSE 0 END
                            AS BIGINT) AS length
@@ -288,9 +257,7 @@ FROM turns GROUP BY conv_id""")
 def length_estimate(spark, d):
     """Words over turns + 128 when the record has an ``image`` key."""
     x = AN.validation_lines(loader(spark, d)).withColumn("v", F.parse_json("line"))
-    has_image = F.try_variant_get("v", "$.image", "variant").isNotNull()
-    return x.select(F.col("conv_id").alias("id"), (_fv_words(F.col("v")) + F.when(has_image, 128).otherwise(0))
-                    .cast("bigint").alias("length"))
+    return x.select(F.col("conv_id").alias("id"), C.length_estimate("v").alias("length"))
 
 
 @query("modality_length", W(FX.TURNS_SQL) + f"""
@@ -300,10 +267,7 @@ FROM turns GROUP BY conv_id""")
 def modality_length(spark, d):
     """Words over turns, negative when the record has no image/video key."""
     x = AN.validation_lines(loader(spark, d)).withColumn("v", F.parse_json("line"))
-    media = (F.try_variant_get("v", "$.image", "variant").isNotNull()
-             | F.try_variant_get("v", "$.video", "variant").isNotNull())
-    n = _fv_words(F.col("v"))
-    return x.select(F.col("conv_id").alias("id"), F.when(media, n).otherwise(-n).cast("bigint").alias("length"))
+    return x.select(F.col("conv_id").alias("id"), C.modality_length("v").alias("length"))
 
 
 def registry(d: str) -> Registry:
@@ -346,4 +310,4 @@ def dataset_union(spark, d):
 @query("precomputed_length", UNION_SQL + "SELECT dataset, id, coalesce(num_tokens, 1) AS length FROM u")
 def precomputed_length(spark, d):
     u = registry(d).load(spark, ["chat", "prompts%50"])
-    return u.select("dataset", "id", F.coalesce("num_tokens", F.lit(1)).cast("bigint").alias("length"))
+    return C.precomputed_length(u).select("dataset", "id", "length")

@@ -230,6 +230,16 @@ def fallback_next(spark, d):
     return R.next_row_fallback(p, "id").select("id", "pos", "fallback")
 
 
+@query("fallback_failed", W(FX.PROMPTS_SQL) + """
+SELECT id, pos, CASE WHEN id % 7 NOT IN (0, 1) THEN id WHEN NOT coalesce(nf, true) THEN nid END AS used FROM (
+  SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS pos, lead(id) OVER (ORDER BY id) AS nid,
+         lead(id % 7 IN (0, 1)) OVER (ORDER BY id) AS nf FROM prompts)""")
+def fallback_failed(spark, d):
+    """Failed samples (two in seven, side by side) take the next one."""
+    p = R.with_positions(FX.prompts(loader(spark, d)), ["id"]).withColumn("bad", F.col("id") % 7 < 2)
+    return R.next_row_fallback(p, "id", name="used", failed="bad").select("id", "pos", "used")
+
+
 # ---------------------------------------------------------------- flagship
 @query("curate_split_convert", W(FX.SCORED_SQL + RANK_SQL) + f""",
 split AS (SELECT *, CASE WHEN rank < floor((SELECT count(*) FROM ranked) * CAST(0.8 AS DOUBLE))

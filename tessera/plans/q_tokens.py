@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -173,12 +172,7 @@ def pad_positions(spark, d):
     """3-D positions padded with 1 to the batch maximum (the reference
     cuts position ids on the batch axis, so no sequence cut here)."""
     s = seg(spark, d)
-    lb = batched(s)
-    lb = lb.withColumn("bmax", F.max("seq_len").over(Window.partitionBy("batch")))
-    pad = lb.filter(F.col("bmax") > F.col("seq_len")).select(
-        "conv_id", F.explode(F.sequence("seq_len", F.col("bmax") - 1)).alias("pos"))
-    pad = pad.select("conv_id", "pos", *[F.lit(1).cast("bigint").alias(a) for a in ("t", "h", "w")])
-    return P.positions_3d(s).select("conv_id", "pos", "t", "h", "w").unionByName(pad)
+    return B.pad_position_rows(P.positions_3d(s), batched(s), "conv_id")
 
 
 @query("positions_text", BASE + LENS_SQL + """
@@ -188,13 +182,20 @@ SELECT conv_id, pos, CASE WHEN pos < seq_len THEN pos ELSE 1 END AS position_id
 def positions_text(spark, d):
     """Text positions from the attention mask of the padded, cut batch:
     cumsum(mask) - 1, masked slots 1."""
-    lb = batched(seg(spark, d))
-    lb = lb.withColumn("plen", F.least(F.max("seq_len").over(Window.partitionBy("batch")), F.lit(B.MODEL_MAX_LENGTH)))
-    x = lb.select("conv_id", "seq_len", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("plen") - 1)).alias("pos"))
-    mask = (F.col("pos") < F.col("seq_len")).cast("bigint")
-    w = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return x.select("conv_id", "pos", F.when(mask == 1, F.sum(mask).over(w) - 1).otherwise(F.lit(1))
-                    .cast("bigint").alias("position_id"))
+    return B.text_positions(batched(seg(spark, d)), "conv_id")
+
+
+_DELTA = "\nSELECT conv_id, CAST(max(greatest(t, h, w)) + 1 - count(*) AS BIGINT) AS delta FROM pos3 GROUP BY conv_id"
+
+
+@query("position_deltas", BASE + ",\n" + _pos_sql(True) + _DELTA)
+def position_deltas(spark, d):
+    return P.position_deltas(seg(spark, d))
+
+
+@query("position_deltas_plain", BASE_PLAIN + ",\n" + _pos_sql(False) + _DELTA)
+def position_deltas_plain(spark, d):
+    return P.position_deltas(seg(spark, d, time_scale=False))
 
 
 # ---------------------------------------------------------------- token ids, labels, masks
