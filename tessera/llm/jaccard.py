@@ -15,17 +15,21 @@ Steps, each a Spark job over narrow rows
     is correct, a good one keeps frequent tokens out of the prefixes);
  2. documents with equal sets become one node; prefixes of the nodes are
     exploded, tokens of one node only dropped, and levels chosen;
- 3. every node is verified against one leader, the smallest node of the
+ 3. every node is verified against one leader, the most central node of the
     prefix token buckets they share most often; verified links are merged
     into components;
- 4. within a bucket, only nodes outside the bucket's largest component are
-    joined with the nodes of other components, the shared tokens counted
-    and pairs with enough of them verified exactly.  A large group of near
-    copies is one component by then, so its pairs are not listed;
- 5. components of all verified links.
-
-No link between different components of step 3 is lost, so the components
-are those of all links; links inside a component are not listed.
+ 4. nodes of different components that share a token of at most ``HOT_DF``
+    nodes are joined, their shared tokens counted and pairs with enough of
+    them verified exactly;
+ 5. nodes of different components that share a more frequent token are
+    compared in blocks: a task verifies all pairs of two blocks on whole sets
+    and returns only links that join components.  A group of near copies is
+    mostly one component by then, and blocks of one component are skipped, so
+    a large group is neither listed as pairs nor gathered in one task;
+ 6. components of all verified links.
+
+No link between different components is lost on the way, so the result is
+the components of all links; links inside a component are not listed.
 
 Defined results: a text without words (null, empty, blank) has an empty set,
 is linked with nothing and its own component; repeated rows have equal sets
@@ -44,10 +48,12 @@ from pyspark.sql import functions as F
 
 from ._bytes import blocks, list_array, mix, word_hashes, words
 from ._graph import components
+from ..operators.prefix import positions
 from ._store import drop, release, saved
 
 _U = np.uint64
 WIDTH, PERCENT, MAX_LEVEL, VERIFY_COST = 5, 80, 6, 20.0
+HOT_DF, BLOCK_NODES = 64, 256
 SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
 _MULT = mix(np.arange(11, 11 + 64, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
@@ -139,11 +145,55 @@ def set_rows(text: str, width: int, percent: int, sketch, bits: int, max_level:
     return run
 
 
-def full_sets(text: str, width: int):
-    """(node, tokens) of each document."""
+FILTER_BITS = 25
+
+
+def filter_bits(bits: int):
+    """One task's part of a fixed-size bitmap of 64-bit keys, in chunks."""
     def run(batches):
+        total = np.zeros(1 << (bits - 3), np.uint8)
         for batch in batches:
-            for _, _, raw, off in blocks(batch.column(text)):
+            at = batch.column(0).to_numpy().view(_U) >> _U(64 - bits)
+            np.bitwise_or.at(total, (at >> _U(3)).astype(np.int64), np.uint8(1) << (at & _U(7)).astype(np.uint8))
+        for k, part in enumerate(total.reshape(-1, min(1 << 16, len(total)))):
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"chunk": [k], "bits": [part.tobytes()]},
+                                                 schema=pa.schema([("chunk", pa.int32()), ("bits", pa.binary())]))
+    return run
+
+
+def or_chunks(batches):
+    total: dict = {}
+    for batch in batches:
+        for k, c in zip(batch.column(0).to_pylist(), batch.column(1)):
+            part = np.frombuffer(c.as_buffer(), np.uint8)
+            total[k] = total[k] | part if k in total else part.copy()
+    for k, part in total.items():
+        yield pa.RecordBatch.from_pydict({"chunk": [k], "bits": [part.tobytes()]},
+                                         schema=pa.schema([("chunk", pa.int32()), ("bits", pa.binary())]))
+
+
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """Bitmap of hashed keys: 2**bits bits whatever their number.  It may let
+    a key pass that is not there, never the other way round."""
+    schema, size = "chunk int, bits binary", 1 << (bits - 3)
+    chunks = keys.mapInArrow(filter_bits(bits), schema).repartition(max(1, size >> 16), "chunk").mapInArrow(or_chunks, schema)
+    out = np.zeros(size, np.uint8)
+    for r in chunks.collect():
+        part = np.frombuffer(r["bits"], np.uint8)
+        out[r["chunk"] * len(part):(r["chunk"] + 1) * len(part)] = part
+    return out
+
+
+def full_sets(text: str, key: str, width: int, passing, bits: int):
+    """(node, tokens) of the texts whose key passes the filter."""
+    def run(batches):
+        have = passing.value
+        for batch in batches:
+            at = batch.column(key).to_numpy().view(_U) >> _U(64 - bits)
+            hit = (have[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1
+            texts = batch.column(text).filter(pa.array(hit.astype(bool)))
+            for _, _, raw, off in blocks(texts):
                 sets = list(shingle_sets(raw, off, width))
                 nodes = [int(mix(mix(u).sum(keepdims=True) + _U(len(u)))[0]) if len(u) else 0 for u in sets]
                 offsets = np.concatenate(([0], np.cumsum([len(u) for u in sets])))
@@ -153,19 +203,21 @@ def full_sets(text: str, width: int):
     return run
 
 
-def choose_levels(postings: DataFrame, max_level: int, verify_cost: float, percent: int) -> DataFrame:
+def choose_levels(postings: DataFrame, max_level: int, verify_cost: float, percent: int, hot_df: int) -> DataFrame:
     """Rows (token, node, n, level, df) within the level ``ell`` each node
     picks: the one with the least estimated cost.  With P postings met by
     the prefix of level L, at most P / L other nodes share L of its tokens,
-    so the estimate is P + verify_cost * P / L."""
+    so the estimate is P + verify_cost * P / L.  ``mass`` is the sum of the
+    node's df, ``hot`` the number of its tokens above ``hot_df``."""
     w = Window.partitionBy("node")
     cost = [F.sum(F.when(F.col("level") <= k, F.col("df") - 1).otherwise(0)).over(w) * (1 + verify_cost / k)
             for k in range(1, max_level + 1)]
     need = F.ceil(F.col("n") * percent / 100)
     costs = F.array(*[F.when(F.lit(k) <= need, c).otherwise(F.lit(float("inf"))) for k, c in enumerate(cost, 1)])
     best = F.expr("array_position(costs, array_min(costs))").cast("int")
-    return (postings.withColumn("costs", costs).withColumn("ell", best)
-            .filter("level <= ell").drop("costs", "df"))
+    return (postings.withColumns({"costs": costs, "mass": F.sum("df").over(w),
+                                  "hot": F.count(F.when(F.col("df") > hot_df, 1)).over(w).cast("int")})
+            .withColumn("ell", best).filter("level <= ell").drop("costs"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,36 +229,211 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .filter(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b"))
 
 
-def leader_pairs(index: DataFrame) -> DataFrame:
-    """Each node with the leader it shares most prefix tokens with; a
-    bucket's leader is its smallest node."""
-    lead = index.groupBy("token").agg(F.min("node").alias("b"))
-    hits = (index.select("token", F.col("node").alias("a")).join(lead, "token").filter("a <> b")
-            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")))
+def leader_pairs(index: DataFrame, percent: int) -> DataFrame:
+    """Each node with the leader it shares most prefix tokens with.  A
+    bucket's leader is its node of the greatest mass: one with few tokens of
+    its own, so the most central of a group of near copies.  These pairs only
+    contract large groups early; unlikely ones are left to the later joins."""
+    lead = index.groupBy("token").agg(F.max_by(F.struct("node", "n", "ell"), F.struct("mass", "node")).alias("b"))
+    hits = (index.join(lead, "token").filter("node <> b.node")
+            .filter(100 * F.least("n", "b.n") >= percent * F.greatest("n", "b.n"))
+            .groupBy(F.col("node").alias("a"), F.col("b.node").alias("b"))
+            .agg(F.count(F.lit(1)).alias("k"), F.max(F.least("ell", "b.ell")).alias("need")).filter("k >= need"))
     return hits.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
 
 
-def cross_pairs(index: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of nodes in different components."""
-    x = index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    big = (x.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
-           .groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("main"),
-                                 F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
-    x = x.join(big, "token").withColumn("minor", F.col("label") != F.col("main")).drop("main", "kinds")
-    y = x.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "level", "ell", "label", "minor")])
-    met = (x.filter("minor").join(y, "token")
-           .filter("label <> label2 AND (NOT minor2 OR node < node2)")
+def with_labels(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def cold_pairs(index: DataFrame, labels: DataFrame, percent: int, hot_df: int) -> DataFrame:
+    """Candidate pairs (a, b) of nodes in different components that share a
+    token of at most ``hot_df`` nodes, so at most hot_df / 2 pairs a posting.
+    Frequent tokens are not joined: each node counts all of its own instead."""
+    x = with_labels(index.filter(F.col("df") <= hot_df), labels).drop("df", "mass")
+    y = x.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "level", "ell", "hot", "label")])
+    met = (x.join(y, "token").filter("node < node2 AND label <> label2")
            .filter(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-           .withColumn("need", F.least("ell", "ell2"))
-           .filter("greatest(level, level2) <= need"))
-    return (met.groupBy(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-            .agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("need"))
+           .withColumn("need", F.least("ell", "ell2")).filter("greatest(level, level2) <= need"))
+    return (met.groupBy(F.col("node").alias("a"), F.col("node2").alias("b"))
+            .agg(F.count(F.lit(1)).alias("k"), F.max(F.col("need") - F.least("hot", "hot2")).alias("need"))
             .filter("k >= need").select("a", "b"))
 
 
+def hot_blocks(index: DataFrame, labels: DataFrame, percent: int, hot_df: int, block_nodes: int):
+    """The nodes with frequent tokens in blocks, and the pairs of blocks that
+    may hold similar nodes of different components.
+
+    A node's cluster is its most frequent token; nodes of the cluster's main
+    component and others are in blocks of their own.  Two clusters meet if a
+    frequent token has nodes of both.  Blocks of one and the same component,
+    or of sets of too different sizes, are not compared."""
+    hot = index.filter(F.col("df") > hot_df)
+    nodes = hot.groupBy("node").agg(F.first("n").alias("n"), F.max_by("token", F.struct("df", "token")).alias("cluster"))
+    nodes = saved(with_labels(nodes, labels), "hot-nodes")
+    main = nodes.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("cluster").agg(
+        F.max_by("label", F.struct("k", "label")).alias("main"))
+    placed = positions(nodes.join(main, "cluster").withColumn("main", F.col("label") == F.col("main")),
+                       ["cluster", "main"], ["node"], "pos")
+    placed = saved(placed.withColumn("block", F.xxhash64("cluster", "main", F.floor(F.col("pos") / block_nodes))).drop("pos"),
+                   "hot-placed")
+    drop(nodes)
+    blocks_ = placed.groupBy("block", "cluster", "main").agg(
+        F.first("label").alias("label"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    of_token = hot.select("token", "node").join(placed.select("node", "cluster"), "node").select("token", "cluster").distinct()
+    meet = (of_token.join(of_token.withColumnRenamed("cluster", "cluster2"), "token").filter("cluster <= cluster2")
+            .select("cluster", "cluster2").distinct())
+    other = blocks_.select(*[F.col(c).alias(f"{c}2") for c in blocks_.columns])
+    pairs = (meet.join(blocks_, "cluster").join(other, "cluster2")
+             .filter("cluster <> cluster2 OR block <= block2")
+             .filter("NOT (main AND main2 AND label = label2)")
+             .filter((100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo")))
+             .select(F.xxhash64("block", "block2").alias("pair"), "block", "block2"))
+    return placed, saved(pairs, "block-pairs")
+
+
+def block_links(percent: int):
+    """Links between the two sides of each pair of blocks (rows in the order
+    of the pair), reduced to a spanning set over the components they join."""
+    def sparse(sets, columns, at, width):
+        out = np.zeros((len(sets), width), np.float32)
+        for k, x in enumerate(sets):
+            x = x[(x >= at) & (x < at + width)]
+            out[k, x - at] = 1
+        return out
+
+    def links(rows):
+        sides = [[r for r in rows if r[0] & bit] for bit in (1, 2)]
+        a, b = sides
+        flat = np.concatenate([r[4] for r in rows])
+        _, col, count = np.unique(flat, return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1                       # tokens of one node only cannot be shared
+        cut = np.cumsum([0] + [len(r[4]) for r in rows])
+        local = {r[1]: number[c[count[c] > 1]] for r, c in ((r, col[cut[k]:cut[k + 1]]) for k, r in enumerate(rows))}
+        sa, sb = [local[r[1]] for r in a], [local[r[1]] for r in b]
+        width = int(number[-1]) + 1 if len(number) else 0
+        both = np.zeros((len(a), len(b)), np.float32)
+        for at in range(0, width, 4096):
+            w = min(4096, width - at)
+            both += sparse(sa, width, at, w) @ sparse(sb, width, at, w).T
+        both = np.rint(both).astype(np.int64)
+        na, nb = np.array([r[2] for r in a]), np.array([r[2] for r in b])
+        hit = 100 * both >= percent * (na[:, None] + nb - both)
+        la, lb = np.array([r[3] for r in a]), np.array([r[3] for r in b])
+        hit &= (la[:, None] != lb) & (both > 0)
+        parent: dict = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for i, j in zip(*np.nonzero(hit)):
+            x, y = find(la[i]), find(lb[j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                yield int(a[i][1]), int(b[j][1])
+
+    def run(batches):
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        pair, rows = None, []
+
+        def done():
+            found = list(links(rows)) if rows else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+
+        for batch in batches:
+            cols = [batch.column(c) for c in ("pair", "side", "node", "n", "label")]
+            tokens = batch.column("tokens")
+            for k, (p, side, node, n, label) in enumerate(zip(*[c.to_pylist() for c in cols])):
+                if p != pair:
+                    if rows:
+                        yield done()
+                    pair, rows = p, []
+                rows.append((side, node, n, label, tokens[k].values.to_numpy()))
+        if rows:
+            yield done()
+    return run
+
+
+def hot_links(docs, rows, index, labels, width: int, percent: int, hot_df: int, block_nodes: int) -> DataFrame:
+    """Saved links, between different components, of nodes that share a
+    frequent prefix token: all pairs of two blocks are verified on whole sets
+    within a task, and only the links that join components leave it."""
+    spark = docs.sparkSession
+    placed, pairs = hot_blocks(index, labels, percent, hot_df, block_nodes)
+    release(spark)
+    member = pairs.select("pair", F.explode(F.array(
+        F.struct(F.col("block").alias("block"), F.when(F.col("block") == F.col("block2"), 3).otherwise(1).alias("side")),
+        F.struct(F.col("block2").alias("block"), F.when(F.col("block") == F.col("block2"), 0).otherwise(2).alias("side")))).alias("x"))
+    member = member.select("pair", "x.*").filter("side > 0")
+    used = placed.join(member.select("block").distinct(), "block", "left_semi")
+    sets = node_sets(docs, rows, used.select("node"), width)
+    release(spark)
+    full = placed.select("block", "node", "n", "label").join(sets, "node")
+    out = saved(member.join(full, "block").select("pair", "side", "node", "n", "label", "tokens")
+                .repartition("pair").sortWithinPartitions("pair", "node")
+                .mapInArrow(block_links(percent), "a long, b long"), "hot-links")
+    for x in (sets, placed, pairs):
+        drop(x)
+    release(spark)
+    return out
+
+
+def prefix_index(rows: DataFrame, percent: int, max_level: int, verify_cost: float, hot_df: int) -> DataFrame:
+    """Saved postings (token, node, n, level, ell) of the tokens that two
+    nodes or more have in their prefixes."""
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    flat = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    base = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    flat = flat.select("token", "node", F.col("n").cast("int"),
+                       F.greatest(F.lit(1), F.col("pos") - base + 2).cast("int").alias("level"))
+    shared = flat.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    return saved(choose_levels(flat.join(shared, "token"), max_level, verify_cost, percent, hot_df), "index")
+
+
+def node_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """Saved full sets (node, tokens) of ``nodes``, each made from one of the
+    node's documents.  The texts are scanned behind a filter of fixed size
+    and never shuffled; a few other sets may slip in, which no join finds."""
+    spark = docs.sparkSession
+    row = F.struct("text_hash", F.col("doc_id").isNull().alias("x"), "doc_id")
+    one = (rows.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min(row).alias("r"))
+           .select(F.xxhash64("r.text_hash", "r.doc_id").alias("key")))
+    passing = spark.sparkContext.broadcast(key_filter(one))
+    texts = docs.select("text", F.xxhash64("text_hash", "doc_id").alias("key"))
+    out = saved(texts.mapInArrow(full_sets("text", "key", width, passing, FILTER_BITS), "node long, tokens array<long>"),
+                "tokens")
+    passing.destroy()
+    return out
+
+
+def similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Saved: the saved ``pairs`` that hold, verified on whole sets."""
+    sets = node_sets(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("node")), width)
+    release(docs.sparkSession)
+    out = saved(verified(pairs, sets, percent), "links")
+    drop(sets)
+    release(docs.sparkSession)
+    return out
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, index: DataFrame, width: int, percent: int, hot_df: int,
+                  block_nodes: int) -> DataFrame:
+    """Saved verified links whose components are those of all links."""
+    near = similar(docs, rows, saved(leader_pairs(index, percent), "pairs"), width, percent)
+    labels = components(near)
+    pairs = saved(cold_pairs(index, labels, percent, hot_df), "pairs")
+    release(docs.sparkSession)
+    near = near.unionByName(similar(docs, rows, pairs, width, percent))
+    labels = components(near)
+    return near.unionByName(hot_links(docs, rows, index, labels, width, percent, hot_df, block_nodes))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
                     percent: int = PERCENT, max_level: int = MAX_LEVEL, verify_cost: float = VERIFY_COST,
-                    sketch_bits: int = SKETCH_BITS) -> DataFrame:
+                    sketch_bits: int = SKETCH_BITS, hot_df: int = HOT_DF, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """(doc_id, text_hash, n_shingles, node, component, component_id) per row
     of ``docs``: component is null for an empty set, component_id the
     smallest doc_id reachable by links."""
@@ -214,38 +441,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
                        F.xxhash64(F.col(text)).alias("text_hash"))
     sketch = spark.sparkContext.broadcast(token_sketch(docs, "text", width, sketch_bits))
-    rows = saved(docs.mapInArrow(set_rows("text", width, percent, sketch, sketch_bits, max_level),
+    wide = saved(docs.mapInArrow(set_rows("text", width, percent, sketch, sketch_bits, max_level),
                                  "doc_id long, text_hash long, n long, node long, prefix array<long>"), "sets")
     sketch.destroy()
     release(spark)
-
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    flat = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    base = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    flat = flat.select("token", "node", F.col("n").cast("int"),
-                       F.greatest(F.lit(1), F.col("pos") - base + 2).cast("int").alias("level"))
-    shared = flat.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    index = saved(choose_levels(flat.join(shared, "token"), max_level, verify_cost, percent), "index")
-    release(spark)
-
-    # full sets, for verification, of the nodes that share a prefix token
-    active = index.select("node").distinct()
-    one = (rows.select("node", "text_hash").join(active, "node", "left_semi")
-           .groupBy("node").agg(F.min("text_hash").alias("text_hash")).select("text_hash"))
-    texts = docs.select("text", "text_hash").join(one, "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    sets = saved(texts.select("text").mapInArrow(full_sets("text", width), "node long, tokens array<long>")
-                 .dropDuplicates(["node"]), "tokens")
+    index = prefix_index(wide, percent, max_level, verify_cost, hot_df)
+    rows = saved(wide.drop("prefix"), "nodes")
+    drop(wide)
     release(spark)
-
-    near = saved(verified(leader_pairs(index), sets, percent), "links")
-    labels = components(near)
-    far = verified(cross_pairs(index, labels, percent), sets, percent)
-    links = saved(near.unionByName(far), "links")
-    drop(sets)
+    links = similar_links(docs, rows, index, width, percent, hot_df, block_nodes)
     drop(index)
     release(spark)
     labels = components(links)
-    out = (rows.drop("prefix").join(labels, "node", "left")
+    out = (rows.join(labels, "node", "left")
            .withColumn("component", F.when(F.col("n") > 0, F.coalesce("label", "node"))).drop("label"))
     ids = out.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("id"))
     return (out.join(ids, "component", "left")
