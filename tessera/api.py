@@ -1,5 +1,5 @@
-"""Job-level entry points matching the reference's scripts (curate, convert,
-validate), composed from the DataFrame operators.  Paths may be local or on
+"""Job-level entry points (curate, convert, validate, prepare, enhance,
+evaluate), composed from the DataFrame operators.  Paths may be local or on
 shared storage; nothing passes through the driver but counts."""
 
 from __future__ import annotations
@@ -9,7 +9,11 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import tokens as TK
+from .operators import batching as B
 from .operators import chat as C
+from .operators import metrics as M
+from .operators import positions as P
 from .operators import rows as R
 from .operators import score as S
 from .operators import text as X
@@ -61,12 +65,52 @@ def validate_data(spark: SparkSession, json_file_path: str, media_folder_path: s
     summary); with ``output_path`` the records are written as JSON, one
     folder per status (valid / problem)."""
     ann = SRC.annotation_lines(spark, json_file_path)
-    ann = ann.withColumn("id", F.monotonically_increasing_id()) if "id" not in ann.columns else ann
+    # a stable key: the file and the record itself (equal records are one)
+    ann = ann.withColumn("id", F.xxhash64("source_file", F.coalesce(F.to_json("v"), F.col("line"))) if "line" in ann.columns
+                         else F.xxhash64("source_file", F.to_json("v"))).dropDuplicates(["id"])
     listing = SRC.media_listing(spark, media_folder_path)
     root = media_folder_path.rstrip("/")
     # the listing reports qualified paths (file:/...); compare in that form
     qualified = listing.select(F.regexp_replace("path", r"^file:", "").alias("path"))
-    checked = V.problems(V.prepare(ann.select("id", "v")), "id", qualified, root)
+    keep = ["id", "v"] + (["line"] if "line" in ann.columns else [])
+    checked = V.problems(V.prepare(ann.select(*keep)), "id", qualified, root)
     if output_path:
         V.write_split(checked, output_path)
     return checked, V.summary(checked, "id")
+
+
+def reader_turns(records: DataFrame) -> DataFrame:
+    """Reader output (id, turns, images, videos) as one row per turn, with a
+    leading answer dropped: (conv_id, turn, role, flat)."""
+    kept = C.drop_leading_nonuser("turns", F.get("turns", 0)["from_value"])
+    x = records.select(F.col("id").alias("conv_id"), F.posexplode(kept).alias("turn", "t"))
+    return x.select("conv_id", F.col("turn").cast("bigint"), F.col("t.role").alias("role"),
+                    F.coalesce("t.content", F.lit("")).alias("flat"))
+
+
+def prepare(records: DataFrame, grid: DataFrame, batch_size: int = 4, max_len: int = B.MODEL_MAX_LENGTH,
+            pad_id: int = TK.PAD_ID, packed: bool = False) -> DataFrame:
+    """Training batches from reader output: turns, visual expansion, token
+    ids with labels, batch numbers in the order of the record id, and either
+    padded rows (batch, conv_id, pos, id, label, mask) or packed rows (batch,
+    pos, id, label).  ``grid``: (conv_id, kind, k, gt, gh, gw, sec)."""
+    seg = P.segments(reader_turns(records), grid)
+    spans = R.batch_assign(P.sample_spans(seg, max_len=max_len).checkpoint(eager=True), batch_size, ["conv_id"])
+    tokens = P.token_rows(seg)
+    if packed:
+        return B.pack_token_rows(tokens, B.pack_batch(spans, "conv_id"), "conv_id")
+    return B.pad_token_rows(tokens, spans, "conv_id", pad_id, max_len)
+
+
+def enhance(prompts: DataFrame, responses: DataFrame, key: str = "id", min_words: int = X.MIN_WORDS) -> DataFrame:
+    """Prompts with the enhanced prompt of their response: text after the
+    last marker, of at least ``min_words`` words; rows without one go."""
+    got = X.extract_enhanced(responses.select(key, "response"))
+    got = X.min_word_filter(got, "enhanced_prompt", min_words).select(key, "enhanced_prompt")
+    return prompts.withColumnRenamed("prompt", "original_prompt").join(got, key)
+
+
+def evaluate(features: DataFrame, probs: str, img: str, txt: str, side: str, real, generated) -> tuple[DataFrame, float]:
+    """(per side n, Inception Score and CLIP score; Fréchet distance)."""
+    return (M.report(features, probs, img, txt, [side]),
+            M.frechet_distance(features, img, side, real, generated))

@@ -762,3 +762,32 @@ def test_text_ids_are_kept(spark):
     rows = [('{"id":"s1","conversations":[]}',), ('{"id":12,"conversations":[]}',)]
     df = spark.createDataFrame(rows, "line string").withColumn("v", F.parse_json("line"))
     assert [r[0] for r in df.select(C.canonical_from_variant("v")["id"]).collect()] == ["s1", "12"]
+
+
+def test_api_prepare_enhance_evaluate(spark):
+    from tessera import api
+    from tessera.functions import tokens as TK
+    line = ('{"id":"r%d","image":"a.jpg","conversations":[{"from":"gpt","value":"lead"},'
+            '{"from":"human","value":"look <image> now <video>"},{"from":"gpt","value":"%s"}]}')
+    df = spark.createDataFrame([(line % (i, "word " * (3 + i)),) for i in range(3)], "line string").withColumn("v", F.parse_json("line"))
+    cols = C.canonical_from_variant("v")
+    rec = df.select(*[c.alias(n) for n, c in cols.items()])
+    grid = spark.createDataFrame([(f"r{i}", "image", 0, 1, 4, 4, 1.0) for i in range(3)],
+                                 "conv_id string, kind string, k long, gt long, gh long, gw long, sec double")
+    rows = api.prepare(rec, grid, batch_size=2).toPandas().sort_values(["batch", "conv_id", "pos"])
+    r0 = rows[rows.conv_id == "r0"]
+    assert (r0.id == TK.IMAGE_PAD_ID).sum() == 4 and (r0["mask"] == (r0.id != TK.PAD_ID)).all()
+    assert (r0.label != -100).sum() == 3 + 2                 # three words, end and newline; the dropped answer has none
+    assert rows.groupby("batch").apply(lambda b: b.groupby("conv_id").size().nunique()).eq(1).all()
+    packed = api.prepare(rec, grid, batch_size=2, packed=True).toPandas()
+    assert (packed.groupby("batch").pos.apply(lambda p: sorted(p) == list(range(len(p))))).all()
+    prompts = spark.createDataFrame([(1, "p"), (2, "q")], "id long, prompt string")
+    resp = spark.createDataFrame([(1, 'Enhanced Prompt: "' + "w " * 30 + '"'), (2, "no marker")], "id long, response string")
+    assert [(r.id, r.original_prompt) for r in api.enhance(prompts, resp).collect()] == [(1, "p")]
+    rng = np.random.default_rng(0)
+    feats = [(s, x.tolist(), (np.abs(x) / np.abs(x).sum()).tolist(), x.tolist())
+             for s in ("real", "gen") for x in rng.standard_normal((20, 3))]
+    f = spark.createDataFrame(feats, "side string, img array<double>, p array<double>, txt array<double>")
+    report, fid = api.evaluate(f, "p", "img", "txt", "side", "real", "gen")
+    assert {r.side for r in report.collect()} == {"real", "gen"} and fid > 0
+    assert all(abs(r.clip_score - 2.5) < 1e-9 for r in report.collect())
