@@ -49,15 +49,16 @@ GROUP_IDS = 6_000_000        # ids coded side by side (documents are not split)
 UNITS, ORDER0_BITS = 32, 15  # weights are in units of 1/32; order-0 frequencies add up to 2**15
 TOTAL_BITS = 20
 CONF, RATE = 8, 5
-SLOTS = 4096                 # order-2 predictions of a block
-REBUILD = (64, 128, 256, 512, 1024, 1536, 2048, 2560, 3072, 3584)
+SLOTS = 1024                 # order-2 predictions of a block
+REBUILD = (64, 128, 256, 512, 1024, 2048, 3072)
 END_ID = 1
 
 
 class _Model:
     """The models of many blocks, one lane each.
 
-    A prediction is one integer: id << 3 | confidence.  The order-1 table of a
+    A prediction is one 16-bit integer: id << 3 | confidence (a block has at
+    most 4096 ids).  The order-1 table of a
     lane (by the id before) and its order-2 table (by a hash of two ids) lie in
     one array, so that both orders are looked up and updated together, as the
     two rows of (2, lanes) arrays."""
@@ -68,7 +69,7 @@ class _Model:
         self.width = 1 << max(1, int(sizes.max()).bit_length())
         lane = self.lane = np.arange(n, dtype=np.int64)
         self.row0, self.slot0 = lane * self.width, n * self.width + lane * SLOTS
-        self.table = np.zeros(n * (self.width + SLOTS), np.int32)
+        self.table = np.zeros(n * (self.width + SLOTS), np.uint16)
         self.rates = np.tile((np.arange(CONF) * 65536 * 7 // (8 * CONF)).astype(np.int32), 2 * n)
         self.rate0 = np.arange(2 * n, dtype=np.int64).reshape(2, n) * CONF
         self.counts = np.zeros(n * self.width, np.int64)
@@ -87,7 +88,7 @@ class _Model:
         free = (1 << ORDER0_BITS) - self.sizes
         f = c * free[:, None] // np.maximum(c.sum(1), 1)[:, None] + known
         f[:, 0] += (1 << ORDER0_BITS) - f.sum(1)
-        cum = np.zeros((self.n, self.width + 1), np.int32)
+        cum = np.zeros((self.n, self.width + 1), np.uint16)
         np.cumsum(f, axis=1, out=cum[:, 1:])
         self.cum = cum.ravel()
 
@@ -95,7 +96,7 @@ class _Model:
         """Predicted ids, and the shares u2, u1, u0 of the three orders."""
         np.add(self.row0, self.a, out=self.at[0])
         np.add(self.slot0, ((self.a * 40503 + self.b * 30011) >> 3) & (SLOTS - 1), out=self.at[1])
-        state = self.table.take(self.at)
+        state = self.table.take(self.at).astype(np.int32)
         self.conf, self.pred = state & (CONF - 1), state >> 3
         self.rate_at = self.rate0 + self.conf
         self.rate = self.rates.take(self.rate_at)
@@ -136,7 +137,7 @@ def encode_lanes(x: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         model.predict()
         s = columns[t]
         c = model.cum_row + s
-        lo0 = model.cum.take(c)
+        lo0 = model.cum.take(c).astype(np.int32)
         w2, w1 = model.u2 << ORDER0_BITS, model.u1 << ORDER0_BITS
         start = w2 + w1 + lo0 * model.u0
         freq = (model.cum.take(c + 1) - lo0) * model.u0
@@ -204,7 +205,7 @@ def decode_lanes(payloads: list[bytes], sizes: np.ndarray, steps: int) -> np.nda
             found = base.copy()
             for step in levels:
                 found += (model.cum.take(found + step) <= q) * step
-            lo0 = model.cum.take(found)
+            lo0 = model.cum.take(found).astype(np.int64)
             s[miss] = found - base
             start[miss] = skip[miss] + lo0 * m
             freq[miss] = (model.cum.take(found + 1) - lo0) * m
