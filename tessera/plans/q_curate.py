@@ -62,6 +62,15 @@ def truncate_tokens(spark, d):
     return p.select("id", X.truncate_tokens("prompt").alias("truncated"))
 
 
+@query("truncate_any_tokenizer", W(FX.PROMPTS_SQL, TRUNC_SQL) + "SELECT id, truncated FROM filtered")
+def truncate_any_tokenizer(spark, d):
+    """The path of a tokenizer that is passed in: filter and cut by its
+    tokens, not by leading words."""
+    mine = lambda c: T.words(c)
+    p = X.min_token_filter(FX.prompts(loader(spark, d)), tokenizer=mine, out=None)
+    return p.select("id", X.truncate_tokens("prompt", tokenizer=mine).alias("truncated"))
+
+
 def _training(spark, d):
     p = X.min_token_filter(FX.prompts(loader(spark, d)), out=None)
     return p.select("id", C.training_conversation("url", "prompt", X.truncate_tokens("prompt")).alias("conv"))
