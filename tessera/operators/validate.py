@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from ..session import ensure_checkpoint_dir
 
 
 def _c(x) -> Column:
@@ -125,7 +126,11 @@ def problems(df: DataFrame, key: str, listing: DataFrame, root: str, v: str = "v
 def summary(checked: DataFrame, key: str, sample: int = 5) -> DataFrame:
     """Totals, valid share, media-type buckets, problem counts and the
     first ``sample`` missing paths in record order (a top-k)."""
-    mt = media_type("images", "videos")
+    ensure_checkpoint_dir(checked.sparkSession)
+    # the checks run once: totals and sample read this narrow table
+    checked = checked.select(key, "status", "missing_files", "mismatch_type", "gpt_media_token",
+                             media_type("images", "videos").alias("_mt")).checkpoint(eager=True)
+    mt = F.col("_mt")
     first = (checked.filter(F.col("missing_files").isNotNull())
              .select(key, F.posexplode("missing_files").alias("k", "path"))
              .orderBy(key, "k").limit(sample)

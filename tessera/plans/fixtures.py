@@ -111,8 +111,9 @@ RESPONSES_SQL = """responses AS (
 
 # ---------------------------------------------------------------- turns
 def turns(t: Loader) -> DataFrame:
-    c = t("conversations")
     cid, tn, role = F.col("conv_id"), F.col("turn"), F.col("role")
+    # some conversations in the from/value form begin with an answer
+    c = t("conversations").filter(~((cid % 6 == 4) & (tn == 0) & (role == "user")))
     has_img = (role == "user") & ((cid + tn) % 3 == 0)
     has_vid = (role == "user") & ((cid + 2 * tn) % 7 == 0)
     extra = (role == "user") & ((3 * cid + tn) % 17 == 0)
@@ -152,7 +153,7 @@ TURNS_SQL = """turns AS (
              'media/img_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) || '.jpg' AS image_file,
              'media/vid_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) || '.mp4' AS video_file,
              CASE WHEN conv_id % 2 = 0 THEN 'from_value' ELSE 'role_content' END AS form
-      FROM conversations) x) y)"""
+      FROM conversations WHERE NOT (conv_id % 6 = 4 AND turn = 0 AND role = 'user')) x) y)"""
 
 
 def media_grid(tr: DataFrame) -> DataFrame:

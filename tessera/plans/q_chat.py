@@ -102,11 +102,11 @@ def drop_leading_turn(spark, d):
 
 
 @query("chat_render", W(FX.TURNS_SQL + KEPT_SQL) + f"""
-SELECT conv_id AS id,
+SELECT c.conv_id AS id,
        {lit(K.IM_START + "system" + chr(10) + K.DEFAULT_SYSTEM + K.IM_END + chr(10))}
        || coalesce(string_agg('<|im_start|>' || role || chr(10) || ({CANON_CONTENT}) || '<|im_end|>' || chr(10),
                               '' ORDER BY turn), '') AS rendered
-FROM kept GROUP BY conv_id""")
+FROM (SELECT DISTINCT conv_id FROM turns) c LEFT JOIN kept k ON k.conv_id = c.conv_id GROUP BY c.conv_id""")
 def chat_render(spark, d):
     p = _parsed(loader(spark, d))
     kept = C.drop_leading_nonuser("turns", F.col("turns")[0]["from_value"])
@@ -237,7 +237,7 @@ def vision_partition(spark, d):
     2 fps rule, n / frames * native fps) as the video kwargs list."""
     from ..operators import video as VO
     s = _typed_segments(loader(spark, d))
-    conv = loader(spark, d)("conversations").select("conv_id").distinct()
+    conv = FX.turns(loader(spark, d)).select("conv_id").distinct()
     meta = VO.frame_count(VO.frame_range(video_metadata(s)))
     fps = F.round(F.col("n_frames") / F.greatest(F.col("range_frames").cast("double"), F.lit(1e-6))
                   * F.col("video_fps"), 6)

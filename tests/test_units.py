@@ -791,3 +791,11 @@ def test_api_prepare_enhance_evaluate(spark):
     report, fid = api.evaluate(f, "p", "img", "txt", "side", "real", "gen")
     assert {r.side for r in report.collect()} == {"real", "gen"} and fid > 0
     assert all(abs(r.clip_score - 2.5) < 1e-9 for r in report.collect())
+
+
+def test_leading_answers_exist_and_are_dropped(spark, sf_small):
+    from tessera.plans import q_chat as QC
+    from tessera.plans.registry import loader
+    p = QC._parsed(loader(spark, sf_small)).select("id", F.size("turns").alias("n"))
+    kept = QC.drop_leading_turn(spark, sf_small).join(p, "id")
+    assert kept.filter("n_turns = n - 1").count() > 0 and kept.filter("n_turns < n - 1 OR n_turns > n").count() == 0
