@@ -36,34 +36,27 @@ def positions(df: DataFrame, by: list[str], key: list[str], name: str, seed: int
             .drop("_h", "_part", "_local", "_base", "_by__part", *[f"_by_{c}" for c in by]))
 
 
-def prefix_sums(df: DataFrame, by: list[str], order: str, ties: list[str], values: dict,
-                widths: tuple = (12, 24)) -> DataFrame:
+def prefix_sums(df: DataFrame, by: list[str], order: str, ties: list[str], values: dict, width: int = 12) -> DataFrame:
     """Add, for each ``name -> Column`` of ``values``, its sum over the rows
     before this one in its ``by`` group, in the order of the integer column
     ``order`` (nulls first) and ``ties``.
 
-    A group is cut at fixed ranges of ``order`` (2**12 values), these at
-    wider ones (2**24): rows are summed within a range, ranges within a wide
-    range, wide ranges within the group.  So a hot group is spread over as
-    many tasks as it has ranges, and no measuring job or checkpoint is needed.
+    A group is cut at fixed ranges of 2**``width`` order values.  Rows are
+    summed within a range; the sums of the ranges before it come from a table
+    with one row per range, 2**-width of the group where its order is dense.
+    So a hot group is spread over as many tasks as it has ranges, and no
+    measuring job or checkpoint is needed.
     """
     names = list(values)
-    o = F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 62)))
-    cut = [F.shiftright(o, w) for w in widths]
-    rows = df.withColumns({"_c0": cut[0], "_c1": cut[1], **{f"_v_{n}": values[n] for n in names}})
-    unbounded = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda c, w: F.coalesce(F.sum(c).over(unbounded(w)), F.lit(0))
-    fine = rows.groupBy(*by, "_c1", "_c0").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
-    wide = fine.groupBy(*by, "_c1").agg(*[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in names])
-    in_wide = Window.partitionBy(*by, "_c1").orderBy("_c0")
-    fine = fine.select(*by, "_c0", "_c1", *[before(f"_s_{n}", in_wide).alias(f"_f_{n}") for n in names])
-    wide = wide.select(*[F.col(c).alias(f"_w_{c}") for c in [*by, "_c1"]],
-                       *[before(f"_s_{n}", Window.partitionBy(*by).orderBy("_c1")).alias(f"_w_{n}") for n in names])
-    same = lambda a, cols: [F.col(c).eqNullSafe(F.col(f"_{a}_{c}")) for c in cols]
-    base = fine.join(wide, same("w", [*by, "_c1"])).select(
-        *[F.col(c).alias(f"_b_{c}") for c in [*by, "_c0"]], *[(F.col(f"_f_{n}") + F.col(f"_w_{n}")).alias(f"_o_{n}") for n in names])
-    w = Window.partitionBy(*by, "_c0").orderBy(F.col(order).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in ties])
+    cut = F.shiftright(F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 62))), width)
+    rows = df.withColumns({"_c": cut, **{f"_v_{n}": values[n] for n in names}})
+    totals = rows.groupBy(*by, "_c").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = Window.partitionBy(*by).orderBy("_c")
+    base = totals.select(*[F.col(c).alias(f"_b_{c}") for c in [*by, "_c"]],
+                         *[before(f"_s_{n}", ranges).alias(f"_o_{n}") for n in names])
+    w = Window.partitionBy(*by, "_c").orderBy(F.col(order).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in ties])
     rows = rows.withColumns({f"_l_{n}": before(f"_v_{n}", w) for n in names})
-    out = rows.join(base, same("b", [*by, "_c0"]))
+    out = rows.join(base, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in [*by, "_c"]])
     out = out.withColumns({n: (F.col(f"_l_{n}") + F.col(f"_o_{n}")).cast("long") for n in names})
-    return out.drop("_c0", "_c1", *[f"_b_{c}" for c in [*by, "_c0"]], *[f"_{p}_{n}" for p in "vlo" for n in names])
+    return out.drop("_c", *[f"_b_{c}" for c in [*by, "_c"]], *[f"_{p}_{n}" for p in "vlo" for n in names])

@@ -117,7 +117,7 @@ def sample_exact(df: DataFrame, id_col: str, rate, by: Sequence[str] = (), seed:
     if by:
         # the first 60 bits of the key cut each group into even ranges
         x = x.withColumn("_range", F.conv(F.substring("_shuf", 1, 15), 16, 10).cast("bigint"))
-        ranked = prefix_sums(x, by, "_range", ["_shuf", id_col], {name: F.lit(1).cast("bigint")}, widths=(44, 52))
+        ranked = prefix_sums(x, by, "_range", ["_shuf", id_col], {name: F.lit(1).cast("bigint")}, width=44)
         ranked = ranked.drop("_shuf", "_range").join(row_count(df, by).withColumnRenamed("_cnt", "_n"), by)
     else:
         ranked = with_positions(x, ["_shuf", id_col], name=name).drop("_shuf")

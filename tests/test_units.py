@@ -478,7 +478,7 @@ def test_running_sums_skewed_groups(spark):
     from tessera.operators.prefix import prefix_sums
     vals = {"s": F.col("v"), "c": F.lit(1)}
     r = R.running_sums(df, ["id"], ["g"], vals)
-    rw = prefix_sums(df, ["g"], "id", [], vals, widths=(6, 9))       # many ranges a group
+    rw = prefix_sums(df, ["g"], "id", [], vals, width=6)       # many ranges a group
     assert rw.join(r.select("id", F.col("s").alias("s2"), F.col("c").alias("c2")), "id") \
         .filter("s <> s2 OR c <> c2").count() == 0
     w = Window.partitionBy("g").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
