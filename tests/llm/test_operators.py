@@ -41,7 +41,7 @@ def test_positions_and_prefix_sums(llm):
     p = positions(df, ["g"], ["o"], "p", chunks=7).toPandas()
     for _, x in p.groupby("g", dropna=False):
         assert sorted(x.p) == list(range(len(x)))
-    s = prefix_sums(df, ["g"], "o", ["v"], {"before": F.col("v")}, widths=(9, 13)).toPandas()
+    s = prefix_sums(df, ["g"], "o", ["v"], {"before": F.col("v")}, width=9).toPandas()
     for _, x in s.groupby("g", dropna=False):
         x = x.sort_values(["o", "v"])
         assert list(x.before) == [0] + list(x.v.cumsum()[:-1])
