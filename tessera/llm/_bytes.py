@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20       # bytes of text worked on at once (one longer text is one block)
+BLOCK_BYTES = 512 << 10     # bytes of text worked on at once (one longer text is one block)
 
 _U = np.uint64
 _WS = np.zeros(256, bool)
@@ -95,5 +97,23 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(h * powers(_INV, n)[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+def trim() -> None:
+    """Give freed memory back to the system at the end of a task: a worker
+    lives on and shares the executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):        # not a glibc system
+        pass
+
+
+def trimmed(fn):
+    """A mapInArrow function that trims memory when its task ends."""
+    def run(batches):
+        yield from fn(batches)
+        trim()
+    return run
+
+
 def list_array(values: np.ndarray, offsets: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))

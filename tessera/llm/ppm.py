@@ -38,12 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, blocks, word_hashes, words
+from ._bytes import LOWER, blocks, trimmed, word_hashes, words
 from ._store import drop, release, saved
 
 ORDER, MASS_BITS, SYMBOLS, END = 5, 19, 257, 256
-BLOCK = 8 << 20
-KEEP_COUNTS = 3_000_000      # distinct strings a task holds before it passes them on
+BLOCK = 384 << 10            # bytes of text scored at once
+WORD_BLOCK = 6 << 20        # bytes of text whose distinct words are counted together
+KEEP_COUNTS = 2_000_000      # distinct strings a task holds before it passes them on
 _U = np.uint64
 
 
@@ -68,16 +69,14 @@ def symbols(raw: np.ndarray, off: np.ndarray, starts, ends, first):
 def strings(sym: np.ndarray, begin: np.ndarray, order: int) -> np.ndarray:
     """For every symbol, its context (nearest byte first, 0 before the text)
     in the high bits and the symbol in the low 9 bits."""
-    n = len(sym)
-    rel = np.arange(n) - np.repeat(begin[:-1], np.diff(begin))
-    key = sym.astype(_U)
-    byte = (sym & 255).astype(_U)
+    n, docs = len(sym), len(begin) - 1
+    at = np.arange(n) + order * (1 + np.repeat(np.arange(docs), np.diff(begin)))   # ``order`` zeros before each text
+    byte = np.zeros(n + order * docs, _U)
+    byte[at] = sym & 255
+    ctx = np.zeros(len(byte), _U)
     for j in range(1, order + 1):
-        c = np.zeros(n, _U)
-        c[j:] = byte[:n - j]
-        c[rel < j] = 0
-        key |= c << _U(9 + 8 * (order - j))
-    return key
+        ctx[j:] |= byte[:-j] << _U(9 + 8 * (order - j))
+    return ctx[at] | sym
 
 
 def count_strings(text: str, flag: str, order: int):
@@ -173,7 +172,7 @@ class Trie:
 def train(docs: DataFrame, order: int = ORDER, mass_bits: int = MASS_BITS, text: str = "text",
           flag: str = "held_out") -> Trie:
     """The trie of the rows of ``docs`` without ``flag``."""
-    grams = saved(docs.select(text, flag).mapInArrow(count_strings(text, flag, order), "key long, n long")
+    grams = saved(docs.select(text, flag).mapInArrow(trimmed(count_strings(text, flag, order)), "key long, n long")
                   .groupBy("key").agg(F.sum("n").alias("n")), "strings")
     whole = grams.agg(F.sum("n")).first()[0] or 0
     node = F.shiftright("key", 9)
@@ -194,6 +193,23 @@ BLOCK_ROW = ("block long, doc_id array<long>, held_out array<boolean>, n_tokens
              "words array<long>, train array<long>, n_pairs array<int>, pair_word array<int>, pair_n array<int>")
 
 
+def word_block(ids, held, hashes, per_doc, score):
+    """A row of ``BLOCK_ROW``."""
+    n = len(per_doc)
+    uniq, which = np.unique(hashes, return_inverse=True)
+    doc = np.repeat(np.arange(n), per_doc)
+    train_n = np.bincount(which[~held[doc]], minlength=len(uniq))
+    pair = np.sort(doc * max(1, len(uniq)) + which)
+    head = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, int)
+    pair_doc, pair_word = np.divmod(pair[head], max(1, len(uniq)))
+    one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([uuid.uuid4().int >> 65], pa.int64()), one(ids, pa.int64()), one(held, pa.bool_()),
+         one(per_doc + 1, pa.int64()), one(score, pa.float64()), one(uniq.view(np.int64), pa.int64()),
+         one(train_n, pa.int64()), one(np.bincount(pair_doc, minlength=n), pa.int32()), one(pair_word, pa.int32()),
+         one(np.diff(np.append(head, len(pair))), pa.int32())], names=[c.split()[0] for c in BLOCK_ROW.split(", ")])
+
+
 def score_blocks(text: str, model):
     """One row per block of texts: scores, and the block's distinct words with
     their counts in its training texts and in each text."""
@@ -202,6 +218,7 @@ def score_blocks(text: str, model):
         for batch in batches:
             ids = batch.column("doc_id")
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
+            parts, size, done = [], 0, 0
             for i, j, raw, off in blocks(batch.column(text), BLOCK):
                 starts, ends, first = words(raw, off)
                 sym, begin = symbols(raw, off, starts, ends, first)
@@ -209,26 +226,13 @@ def score_blocks(text: str, model):
                 order = np.argsort(keys)
                 ordered = keys[order]
                 new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-                logs = trie.log10(ordered[new])
                 each = np.empty(len(keys))
-                each[order] = logs[np.cumsum(new) - 1]
-                score = np.add.reduceat(each, begin[:-1])
-                uniq, which = np.unique(word_hashes(raw, starts, ends), return_inverse=True)
-                per_doc = np.diff(first)
-                doc = np.repeat(np.arange(j - i), per_doc)
-                train_n = np.bincount(which[~held[i:j][doc]], minlength=len(uniq))
-                pair = np.sort(doc * max(1, len(uniq)) + which)
-                head = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, int)
-                pd_, pw = np.divmod(pair[head], max(1, len(uniq)))
-                one = lambda x, t: pa.array([x], pa.list_(t))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([uuid.uuid4().int >> 65], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), ids.slice(i, j - i)),
-                     one(held[i:j], pa.bool_()), one(per_doc + 1, pa.int64()), one(score, pa.float64()),
-                     one(uniq.view(np.int64), pa.int64()), one(train_n, pa.int64()),
-                     one(np.bincount(pd_, minlength=j - i), pa.int32()), one(pw, pa.int32()),
-                     one(np.diff(np.append(head, len(pair))), pa.int32())],
-                    names=[c.split()[0] for c in BLOCK_ROW.split(", ")])
+                each[order] = trie.log10(ordered[new])[np.cumsum(new) - 1]
+                parts.append((word_hashes(raw, starts, ends), np.diff(first), np.add.reduceat(each, begin[:-1])))
+                size += len(raw)
+                if size >= WORD_BLOCK or j == batch.num_rows:
+                    yield word_block(ids.slice(done, j - done), held[done:j], *[np.concatenate(x) for x in zip(*parts)])
+                    parts, size, done = [], 0, j
     return run
 
 
@@ -243,7 +247,7 @@ def base_scores(tokens: int, kinds: int, ends: int):
             for r in range(batch.num_rows):
                 get = lambda c: batch.column(c)[r].values  # noqa: B023, E731
                 n_tokens, pairs = get("n_tokens"), get("n_pairs").to_numpy()
-                counts = np.zeros(len(get("words")), np.int64)
+                counts = np.zeros(batch.column("kinds")[r].as_py(), np.int64)
                 if batch.column("counts")[r].is_valid:
                     found = get("counts")
                     counts[found.field("pos").to_numpy()] = found.field("c").to_numpy()
@@ -265,11 +269,11 @@ def word_counts(scored: DataFrame) -> tuple[DataFrame, int, int, int]:
     """(block, counts) with the training count of each of the block's words,
     training tokens, distinct training tokens, training texts."""
     ends = scored.select(F.explode("held_out").alias("h")).agg(F.count(F.when(~F.col("h"), 1))).first()[0]
-    flat = scored.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("pos", "x")).select(
-        "block", "pos", F.col("x.words").alias("word"), F.col("x.train").alias("train"))
-    totals = saved(flat.filter("train > 0").groupBy("word").agg(F.sum("train").alias("c")), "words")
+    known = scored.select(F.explode(F.arrays_zip("words", "train")).alias("x")).select(
+        F.col("x.words").alias("word"), F.col("x.train").alias("train"))
+    totals = saved(known.filter("train > 0").groupBy("word").agg(F.sum("train").alias("c")), "words")
     n, kinds = totals.agg(F.sum("c"), F.count(F.lit(1))).first()
-    back = flat.select("block", "pos", "word").join(totals, "word")
+    back = scored.select("block", F.posexplode("words").alias("pos", "word")).join(totals, "word")
     counts = back.groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("counts"))   # bounded by the block
     return counts, int(n or 0) + ends, int(kinds) + (ends > 0), ends
 
@@ -279,12 +283,12 @@ def score_documents(docs: DataFrame, order: int = ORDER, mass_bits: int = MASS_B
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(docs, order, mass_bits))
     release(spark)
-    scored = saved(docs.mapInArrow(score_blocks("text", model), BLOCK_ROW), "scored")
+    scored = saved(docs.mapInArrow(trimmed(score_blocks("text", model)), BLOCK_ROW), "scored")
     model.destroy()
     release(spark)
     counts, n, kinds, ends = word_counts(scored)
-    joined = scored.drop("train").join(counts, "block", "left")
-    return joined.mapInArrow(base_scores(n, kinds, ends), RESULT)
+    joined = scored.withColumn("kinds", F.size("words")).drop("train", "words").join(counts, "block", "left")
+    return joined.mapInArrow(trimmed(base_scores(n, kinds, ends)), RESULT)
 
 
 def op2_ppm_scores(spark, sf_dir: str) -> DataFrame:
