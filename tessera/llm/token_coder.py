@@ -40,12 +40,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ._bytes import blocks, word_hashes, words
+from ._bytes import blocks, trimmed, word_hashes, words
 
 _U = np.uint64
 MAGIC = b"CMR1"
 BLOCK_IDS, MIN_BLOCK_IDS, LANES = 4096, 512, 1024
-GROUP_IDS = 6_000_000        # ids coded side by side (documents are not split)
+GROUP_IDS = 3_000_000        # ids coded side by side (documents are not split)
 UNITS, ORDER0_BITS = 32, 15  # weights are in units of 1/32; order-0 frequencies add up to 2**15
 TOTAL_BITS = 20
 CONF, RATE = 8, 5
@@ -128,14 +128,14 @@ def encode_lanes(x: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     low, rng = np.zeros(n, _U), np.full(n, _U(0xFFFFFFFFFFFFFFFF))
     out = np.zeros((n, steps + 8), np.uint32)
     at = np.zeros(n, np.int64)
-    columns = np.ascontiguousarray(x.T).astype(np.int64)
+    columns = np.ascontiguousarray(x.T)
     last = 0
     for t in range(steps):
         if t in REBUILD:
             model.rebuild(columns[last:t])
             last = t
         model.predict()
-        s = columns[t]
+        s = columns[t].astype(np.int64)
         c = model.cum_row + s
         lo0 = model.cum.take(c).astype(np.int32)
         w2, w1 = model.u2 << ORDER0_BITS, model.u1 << ORDER0_BITS
@@ -182,7 +182,7 @@ def decode_lanes(payloads: list[bytes], sizes: np.ndarray, steps: int) -> np.nda
     limit = at + length + 1
     diff = (data[:, 0].astype(_U) << _U(32)) | data[:, 1]       # code minus the interval's low end
     rng = np.full(n, _U(0xFFFFFFFFFFFFFFFF))
-    out = np.empty((steps, n), np.int64)
+    out = np.empty((steps, n), np.int16)
     levels = [1 << k for k in range(model.width.bit_length() - 2, -1, -1)]
     last = 0
     for t in range(steps):
@@ -385,7 +385,7 @@ def write_groups(path: str, end_id: int, group_ids: int):
         docs, sizes, ids, held = [], [], [], 0
         for batch in batches:
             doc_ids = batch.column("doc_id")
-            for i, j, raw, off in blocks(batch.column("text"), 8 << 20):
+            for i, j, raw, off in blocks(batch.column("text"), 4 << 20):
                 got, n = tokenizer.ids(raw, off, end_id)
                 docs.append(doc_ids.slice(i, j - i))
                 sizes.append(n)
@@ -423,7 +423,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out: str, doc_id: str = "doc
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("_h"))
     (rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
-     .mapInArrow(write_groups(tokenizer_path, end_id, group_ids), FILE_ROW).write.parquet(out))
+     .mapInArrow(trimmed(write_groups(tokenizer_path, end_id, group_ids)), FILE_ROW).write.parquet(out))
 
 
 def read_ids(spark, path: str) -> DataFrame:
@@ -436,7 +436,7 @@ def read_ids(spark, path: str) -> DataFrame:
     before = Window.orderBy(F.col("first").asc_nulls_first(), F.col("last").asc_nulls_first(), "group_key").rowsBetween(
         Window.unboundedPreceding, -1)
     offset = size.select(F.col("group_key").alias("_g"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("_o"))
-    got = file.mapInArrow(read_groups, READ_ROW)
+    got = file.mapInArrow(trimmed(read_groups), READ_ROW)
     return got.join(offset, got["group_key"] == offset["_g"]).select(
         "doc_id", (F.col("_o") + F.col("at")).cast("long").alias("start"), "n_tokens", "ids_crc32")
 
