@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import blocks, list_array, mix, word_hashes, words
+from ._bytes import blocks, list_array, mix, trimmed, word_hashes, words
 from ._graph import components
 from ..operators.prefix import positions
 from ._store import drop, release, saved
@@ -111,7 +111,7 @@ def token_sketch(docs: DataFrame, text: str, width: int, bits: int = SKETCH_BITS
     """Token counts by hash prefix, saturated to 16 bits: 2**bits counters
     however large the corpus is."""
     spark = docs.sparkSession
-    parts = docs.select(text).mapInArrow(sketch_counts(text, width, bits), "chunk int, counts binary")
+    parts = docs.select(text).mapInArrow(trimmed(sketch_counts(text, width, bits)), "chunk int, counts binary")
     n = max(1, (1 << bits) // SKETCH_CHUNK)
     out = np.zeros(1 << bits, np.int64)
     for r in parts.repartition(n, "chunk").mapInArrow(add_chunks, "chunk int, counts binary").collect():
@@ -374,7 +374,7 @@ def hot_links(docs, rows, index, labels, width: int, percent: int, hot_df: int,
     full = placed.select("block", "node", "n", "label").join(sets, "node")
     out = saved(member.join(full, "block").select("pair", "side", "node", "n", "label", "tokens")
                 .repartition("pair").sortWithinPartitions("pair", "node")
-                .mapInArrow(block_links(percent), "a long, b long"), "hot-links")
+                .mapInArrow(trimmed(block_links(percent)), "a long, b long"), "hot-links")
     for x in (sets, placed, pairs):
         drop(x)
     release(spark)
@@ -403,7 +403,7 @@ def node_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int) ->
            .select(F.xxhash64("r.text_hash", "r.doc_id").alias("key")))
     passing = spark.sparkContext.broadcast(key_filter(one))
     texts = docs.select("text", F.xxhash64("text_hash", "doc_id").alias("key"))
-    out = saved(texts.mapInArrow(full_sets("text", "key", width, passing, FILTER_BITS), "node long, tokens array<long>"),
+    out = saved(texts.mapInArrow(trimmed(full_sets("text", "key", width, passing, FILTER_BITS)), "node long, tokens array<long>"),
                 "tokens")
     passing.destroy()
     return out
@@ -441,7 +441,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
                        F.xxhash64(F.col(text)).alias("text_hash"))
     sketch = spark.sparkContext.broadcast(token_sketch(docs, "text", width, sketch_bits))
-    wide = saved(docs.mapInArrow(set_rows("text", width, percent, sketch, sketch_bits, max_level),
+    wide = saved(docs.mapInArrow(trimmed(set_rows("text", width, percent, sketch, sketch_bits, max_level)),
                                  "doc_id long, text_hash long, n long, node long, prefix array<long>"), "sets")
     sketch.destroy()
     release(spark)

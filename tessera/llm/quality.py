@@ -126,9 +126,14 @@ def apply_rules(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 
 
 def keep_clean(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """The rows of ``df`` that fail no rule, with the columns of ``df``."""
-    return apply_rules(df.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in df.columns])).select("_row", F.col(f"`{text}`")),
-                       text, rules).filter("kept").select("_row.*")
+    """The rows of ``df`` that fail no rule, with the columns of ``df``.
+
+    A filter on ``kept`` would be pushed below the projection and evaluate
+    every metric again for each rule that names it; a row is therefore kept
+    by exploding an array of one or no row."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    judged = apply_rules(df.select(row.alias("_row"), F.col(f"`{text}`").alias(text)), text, rules)
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")).select("_row.*")
 
 
 QUERY_COLUMNS = ("doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words "
