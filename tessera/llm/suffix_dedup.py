@@ -6,7 +6,7 @@ brought together in four steps:
 
  1. anchors: of the ``GRAM``-byte hashes inside a window the least one is the
     window's anchor.  Equal windows have equal anchors, wherever they are.  A
-    run of windows with one anchor is a stretch of text, about 1 in 35
+    run of windows with one anchor is a stretch of text, about 1 in 40
     positions begins one;
  2. a join keeps the anchors that occur in two different texts or twice in one
     (copies of a whole text count as one text and are settled by their hash);
@@ -40,14 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import _BASE, _INV, _TABLE, blocks, mix, powers
+from ._bytes import _BASE, _INV, _TABLE, blocks, mix, powers, trimmed
 from ._store import drop, release, saved
 
-WINDOW, GRAM, MAX_RUN = 100, 32, 256
-CHUNK_BYTES = 4 << 20       # bytes of stretches sorted at once (whole anchors)
+WINDOW, GRAM, MAX_RUN = 100, 20, 256
+CHUNK_BYTES = 1 << 20       # bytes of stretches sorted at once (whole anchors)
 _U = np.uint64
 _POS = 24                   # bits of a position within a piece of text
-PIECE = 1 << 20
+PIECE = 256 << 10             # texts are hashed in blocks of this size
+FLUSH = 20_000              # stretches a task looks through for equal ones at once
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -94,7 +95,7 @@ def runs(raw: np.ndarray, off: np.ndarray, window: int, gram: int):
 def pieces(raw: np.ndarray, off: np.ndarray, window: int):
     """The block itself, or a text longer than ``PIECE`` in pieces that
     overlap by one window less a byte: (row, bytes, offsets, shift)."""
-    if len(raw) < (1 << _POS) - 1:
+    if len(raw) <= 2 * PIECE:
         yield raw, off, 0
         return
     for a in range(0, len(raw) - window + 1, PIECE):
@@ -151,6 +152,9 @@ def stretches(window: int, gram: int):
                             x = first[k] + s
                             size = min(MAX_RUN, count[k] - s) + window - 1
                             out.append((anchor[k], ids[i + d], th[i + d], x - po[d] + shift, part[x:x + size].tobytes()))
+                if len(out) > FLUSH:
+                    yield from _batches(out)
+                    out = []
             yield from _batches(out)
     return run
 
@@ -397,12 +401,24 @@ _LAST = (1 << 63) - 1
 
 def wanted_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """Saved (th, anchors): the anchors of each text that occur elsewhere."""
-    every = docs.select("th", "text").mapInArrow(anchors(window, gram), "anchor long, th long, twice boolean")
+    every = saved(docs.select("th", "text").mapInArrow(trimmed(anchors(window, gram)), "anchor long, th long, twice boolean"), "all-anchors")
     twice = (every.groupBy("anchor").agg(F.min("th").alias("lo"), F.max("th").alias("hi"),
                                          F.max(F.col("twice").cast("int")).alias("t"))
              .filter("lo <> hi OR t = 1").select("anchor"))
     both = every.select("anchor", "th").join(twice, "anchor")
-    return saved(both.groupBy("th").agg(F.collect_set("anchor").alias("anchors")), "anchors")
+    out = saved(both.groupBy("th").agg(F.collect_set("anchor").alias("anchors")), "anchors")
+    drop(every)
+    return out
+
+
+def repeated_ranges(docs: DataFrame, owners: DataFrame, wanted: DataFrame, window: int, gram: int,
+                    chunk_bytes: int) -> DataFrame:
+    """Saved (th, ranges): the removed ranges of the first document of a text."""
+    texts = docs.join(wanted.join(owners, "th"), "th").filter("doc_id = owner").select("doc_id", "th", "text", "anchors")
+    parts = texts.mapInArrow(trimmed(stretches(window, gram)), STRETCH)
+    found = (parts.repartition("anchor").sortWithinPartitions("anchor", "content_hash", "doc_id", "th", "start")
+             .mapInArrow(trimmed(find_repeats(window, chunk_bytes)), "th long, start int, end int"))
+    return saved(found.groupBy("th").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
@@ -415,13 +431,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     owners = saved(docs.groupBy("th").agg(F.min("doc_id").alias("owner")), "owners")
     wanted = wanted_anchors(docs, window, gram)
     release(spark)
-    first = wanted.join(owners, "th")
-    texts = docs.join(first, "th").filter("doc_id = owner").select("doc_id", "th", "text", "anchors")
-    parts = texts.mapInArrow(stretches(window, gram), STRETCH)
-    keys = ["anchor", "content_hash", "doc_id", "th", "start"]
-    found = (parts.repartition("anchor").sortWithinPartitions(*keys)
-             .mapInArrow(find_repeats(window, chunk_bytes), "th long, start int, end int"))
-    ranges = saved(found.groupBy("th").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
+    ranges = repeated_ranges(docs, owners, wanted, window, gram, chunk_bytes)
     drop(wanted)
     release(spark)
     return (docs.join(owners.join(ranges, "th", "left"), "th")
