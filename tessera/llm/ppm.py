@@ -43,7 +43,7 @@ from ._store import drop, release, saved
 
 ORDER, MASS_BITS, SYMBOLS, END = 5, 19, 257, 256
 BLOCK = 384 << 10            # bytes of text scored at once
-WORD_BLOCK = 6 << 20        # bytes of text whose distinct words are counted together
+WORD_BLOCK = 3 << 20        # bytes of text whose distinct words are counted together
 KEEP_COUNTS = 2_000_000      # distinct strings a task holds before it passes them on
 _U = np.uint64
 
