@@ -109,17 +109,17 @@ def anchors(window: int, gram: int):
         for batch in batches:
             th = batch.column("th").to_numpy()
             for i, _, raw, off in blocks(batch.column("text"), PIECE):
-                for part, po, _ in pieces(raw, off, window):
-                    doc, _, _, anchor, twice = runs(part, po, window, gram)
-                    if not len(doc):
-                        continue
-                    order = np.lexsort((anchor, doc))
-                    d, a, t = doc[order], anchor[order], twice[order]
-                    head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]))))
-                    size = np.diff(np.append(head, len(a)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a[head].view(np.int64)), pa.array(th[i:][d[head]]),
-                         pa.array((size > 1) | np.logical_or.reduceat(t, head))], names=["anchor", "th", "twice"])
+                found = [runs(part, po, window, gram) for part, po, _ in pieces(raw, off, window)]
+                doc, anchor, twice = (np.concatenate([x[k] for x in found]) for k in (0, 3, 4))   # of all pieces of a text
+                if not len(doc):
+                    continue
+                order = np.lexsort((anchor, doc))
+                d, a, t = doc[order], anchor[order], twice[order]
+                head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]))))
+                size = np.diff(np.append(head, len(a)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a[head].view(np.int64)), pa.array(th[i:][d[head]]),
+                     pa.array((size > 1) | np.logical_or.reduceat(t, head))], names=["anchor", "th", "twice"])
     return run
 
 

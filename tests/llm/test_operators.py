@@ -241,6 +241,16 @@ def test_repeats_odd(llm, odd_docs, no_docs):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
 
 
+def test_repeats_far_apart_in_one_text(llm):
+    rnd = random.Random(4)
+    part = lambda n: "".join(rnd.choices("abcdefghijklmnop ", k=n))
+    passage, far = part(300), 2 * suffix_dedup.PIECE
+    text = part(1000) + passage + part(far) + passage + part(far) + passage[:150]
+    got = {r[0]: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(
+        llm.createDataFrame([(1, text), (2, part(500))], "doc_id long, text string")).collect()}
+    assert got[1] == brute_repeats([(1, text)], 100)[1] and got[1][1] >= 450 and got[2][1] == 0
+
+
 # ---- sharding -----------------------------------------------------------------
 
 def test_quotas_keep_counts():
