@@ -165,7 +165,8 @@ def _batches(out):
     rows = []
     for a, doc, th, start, content in out:
         known = content in seen
-        seen[content] = None
+        if seen.setdefault(content, (doc, th, start)) == (doc, th, start) and known:
+            continue                                            # the same row again
         rows.append((int(np.int64(_U(a).view(np.int64))), None if known else content, doc, th, start, len(content)))
     for i in range(0, len(rows), 20_000):
         part = rows[i:i + 20_000]

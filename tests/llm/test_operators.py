@@ -251,6 +251,16 @@ def test_repeats_far_apart_in_one_text(llm):
     assert got[1] == brute_repeats([(1, text)], 100)[1] and got[1][1] >= 450 and got[2][1] == 0
 
 
+def test_repeats_keep_the_first_of_repeated_rows(llm):
+    rnd = random.Random(6)
+    part = lambda n: "".join(rnd.choices("abcdefghijklmnop ", k=n))
+    passage = part(300)
+    rows = [(1, part(200) + passage + part(200))] * 3 + [(2, part(150) + passage + part(90))] * 2 + [(3, passage + part(30))]
+    got = suffix_dedup.remove_repeats(llm.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    want = brute_repeats(sorted(set(rows)), 100)
+    assert len(got) == len(rows) and all(tuple(r)[1:5] == want[r[0]] for r in got) and want[1][1] == 0
+
+
 # ---- sharding -----------------------------------------------------------------
 
 def test_quotas_keep_counts():
