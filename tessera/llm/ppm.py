@@ -5,23 +5,30 @@ What is scored is the token stream of a text: its words
 one end symbol - so every token sequence is one string of symbols.  The model
 is pretrained on the training part of the corpus:
 
- 1. every task counts the strings of ``ORDER`` context bytes and the next
-    symbol in its texts; the counts are added up by Spark;
- 2. from these, the nodes of a byte-context trie of orders 0 to ``ORDER`` are
-    made: a context with at least ``2**-MASS_BITS`` of all training symbols is
-    a node.  The rule is a share, so it does the same at every size, and by it
-    an order has at most 2**MASS_BITS nodes of at most 257 symbols: that bound
-    holds for the broadcast however large the corpus is;
+ 1. texts are packed into blocks of about ``BODY`` bytes.  A block sends each
+    distinct string of ``ORDER`` context bytes and the next symbol once, with
+    its count in the block's training texts, to the bucket of its nearest
+    ``LOW + 1`` context bytes;
+ 2. every context that occurs in the training part is a node of a byte-context
+    trie of orders 0 to ``ORDER``, so the model grows with the corpus.  All
+    strings of a context of more than ``LOW`` bytes are in one bucket, whose
+    task adds up the counts of the blocks and builds this part of the trie.
+    Orders up to ``LOW`` are broadcast whole: their number is bounded by the
+    alphabet (256**LOW contexts), not by a rule;
  3. a symbol is predicted by the longest context that is a node.  If it was
     not seen there, an escape (method D: half a count of every distinct symbol)
     leads to the next shorter context, in which the symbols of the longer one
     are excluded; below order 0 the unseen symbols are equally
-    likely.  As this depends only on the context and the symbol, it is
-    evaluated once for each distinct string of a block of texts.
+    likely.  As this depends only on the context and the symbol, a bucket
+    evaluates each distinct string once and sends the result back to the blocks
+    that have it.
 
 The base score, from counts of whole tokens, needs the exact count of every
-word: blocks of texts send their distinct words, not their tokens, to the
-shuffle and get the counts back.  Words are identified by a 64-bit hash.
+word: blocks send their distinct words, not their tokens, to the shuffle and
+get the counts back.  Words are identified by a 64-bit hash.
+
+With ``mass_bits`` (not set in the query), only contexts with at least
+``2**-mass_bits`` of all training symbols are nodes.
 
 Defined results: a null or empty text is the end symbol alone; a null doc_id
 belongs to the training part; repeated rows are scored (and learnt from) each;
@@ -38,13 +45,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, blocks, trimmed, word_hashes, words
-from ._store import drop, release, saved
+from ._bytes import LOWER, blocks, mix, trimmed, word_hashes, words
+from ._store import release, saved
 
-ORDER, MASS_BITS, SYMBOLS, END = 5, 19, 257, 256
-BLOCK = 384 << 10            # bytes of text scored at once
-WORD_BLOCK = 3 << 20        # bytes of text whose distinct words are counted together
-KEEP_COUNTS = 2_000_000      # distinct strings a task holds before it passes them on
+ORDER, LOW, SYMBOLS, END = 5, 2, 257, 256
+BLOCK = 384 << 10            # bytes of text worked on at once
+BODY = 8 << 20               # bytes of text whose distinct strings and words are counted together
+BUCKET_BYTES, MIN_BUCKETS = 4 << 20, 512    # bytes of text for each bucket of strings
 _U = np.uint64
 
 
@@ -79,66 +86,72 @@ def strings(sym: np.ndarray, begin: np.ndarray, order: int) -> np.ndarray:
     return ctx[at] | sym
 
 
-def count_strings(text: str, flag: str, order: int):
-    """Counts of (context, symbol) strings of the rows without ``flag``."""
-    def emit(keys, counts):
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[head], np.add.reduceat(counts, head) if len(head) else counts
 
-    def merged(parts):
-        keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order_ = np.argsort(keys, kind="stable")
-        keys, counts = keys[order_], counts[order_]
-        head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        return keys[head], np.add.reduceat(counts, head)
 
-    def run(batches):
-        parts, held = [], 0
-        for batch in batches:
-            train = batch.filter(pa.compute.invert(batch.column(flag)))
-            for _, _, raw, off in blocks(train.column(text), BLOCK):
-                sym, begin = symbols(raw, off, *words(raw, off))
-                keys = np.sort(strings(sym, begin, order))
-                head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-                parts.append((keys[head], np.diff(np.append(head, len(keys)))))
-                held += len(head)
-                if held > KEEP_COUNTS:
-                    parts = [merged(parts)]
-                    held = len(parts[0][0])
-                    if held > KEEP_COUNTS // 2:
-                        yield emit(*parts[0])
-                        parts, held = [], 0
-        if parts:
-            keys, counts = merged(parts)
-            for i in range(0, len(keys), 1 << 18):
-                yield emit(keys[i:i + (1 << 18)], counts[i:i + (1 << 18)])
-    return run
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with their counts."""
+    keys = np.sort(keys)
+    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[head], np.diff(np.append(head, len(keys)))
+
+
+def level(keys: np.ndarray, counts: np.ndarray, order: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries (context << 9 | symbol) of order ``k`` and their counts."""
+    return summed(((keys >> _U(9 + 8 * (order - k))) << _U(9)) | (keys & _U(511)), counts)
+
+
+def buckets_of(keys: np.ndarray, order: int, n: int) -> np.ndarray:
+    """Bucket of each string: a hash of its nearest ``LOW + 1`` context bytes."""
+    return (mix(keys >> _U(9 + 8 * max(0, order - LOW - 1))) % _U(n)).astype(np.int64)
+
+
+def parts_of(raw: np.ndarray, off: np.ndarray):
+    """Runs of texts of at most ``BLOCK`` bytes: (first row, end row, bytes, offsets)."""
+    n, i = len(off) - 1, 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + BLOCK, "right")) - 1)
+        yield i, j, raw[off[i]:off[j]], off[i:j + 1] - off[i]
+        i = j
 
 
 class Trie:
-    """Nodes and entries of every order as sorted arrays."""
+    """Nodes and entries of orders as sorted arrays; ``add`` appends the next
+    order.  ``base``: a trie whose orders are shared."""
 
-    def __init__(self, order: int, ks, ctxs, syms, counts):
+    NAMES = ("entries", "counts", "nodes", "total", "kinds", "shadow")
+
+    def __init__(self, order: int, base: Trie | None = None):
         self.order = order
-        self.entries, self.counts, self.nodes, self.total, self.kinds, self.shadow = [], [], [], [], [], []
-        for k in range(order + 1):
-            m = ks == k
-            e = (ctxs[m].astype(_U) << _U(9)) | syms[m].astype(_U)
-            o = np.argsort(e)
-            e, c = e[o], counts[m][o].astype(np.int64)
-            ctx = e >> _U(9)
-            head = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1]))) if len(e) else np.zeros(0, np.int64)
-            self.entries.append(e)
-            self.counts.append(c)
-            self.nodes.append(ctx[head])
-            self.total.append(np.add.reduceat(c, head) if len(head) else c)
-            self.kinds.append(np.diff(np.append(head, len(e))))
-            # count, in the next shorter context, of the symbols seen in this one
-            if k == 0 or not len(e):
-                self.shadow.append(np.zeros(len(head), np.int64))
-            else:
-                up = ((ctx >> _U(8)) << _U(9)) | (e & _U(511))
-                at = np.searchsorted(self.entries[k - 1], up)
-                self.shadow.append(np.add.reduceat(self.counts[k - 1][at], head))
+        for name in self.NAMES:
+            setattr(self, name, list(getattr(base, name)) if base else [])
+
+    def add(self, e: np.ndarray, c: np.ndarray, least: float = 0) -> None:
+        """Entries, sorted, and their counts; contexts with a total below ``least`` are left out."""
+        ctx = e >> _U(9)
+        head = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1]))) if len(e) else np.zeros(0, np.int64)
+        total = np.add.reduceat(c, head) if len(head) else c
+        if len(head) and (total < least).any():
+            use = np.repeat(total >= least, np.diff(np.append(head, len(e))))
+            return self.add(e[use], c[use])
+        self.entries.append(e)
+        self.counts.append(c)
+        self.nodes.append(ctx[head])
+        self.total.append(total)
+        self.kinds.append(np.diff(np.append(head, len(e))))
+        # count, in the next shorter context, of the symbols seen in this one
+        k = len(self.entries) - 1
+        if k == 0 or not len(e):
+            self.shadow.append(np.zeros(len(head), np.int64))
+        else:
+            up = ((ctx >> _U(8)) << _U(9)) | (e & _U(511))
+            at = np.searchsorted(self.entries[k - 1], up)
+            self.shadow.append(np.add.reduceat(self.counts[k - 1][at], head))
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of the last symbol of each string."""
@@ -169,126 +182,206 @@ class Trie:
         return out
 
 
-def train(docs: DataFrame, order: int = ORDER, mass_bits: int = MASS_BITS, text: str = "text",
-          flag: str = "held_out") -> Trie:
-    """The trie of the rows of ``docs`` without ``flag``."""
-    grams = saved(docs.select(text, flag).mapInArrow(trimmed(count_strings(text, flag, order)), "key long, n long")
-                  .groupBy("key").agg(F.sum("n").alias("n")), "strings")
-    whole = grams.agg(F.sum("n")).first()[0] or 0
-    node = F.shiftright("key", 9)
-    by_order = grams.select("n", F.col("key").bitwiseAND(511).cast("int").alias("s"), F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), F.shiftright(node, 8 * (order - k)).alias("ctx")) for k in range(order + 1)])).alias("o"))
-    entries = by_order.groupBy("o.k", "o.ctx", "s").agg(F.sum("n").alias("n"))
-    entries = saved(entries, "entries")
-    heavy = (entries.groupBy("k", "ctx").agg(F.sum("n").alias("t"))
-             .filter(F.col("t") * (1 << mass_bits) >= F.lit(int(whole))).select("k", "ctx"))
-    got = entries.join(heavy, ["k", "ctx"]).toArrow()       # <= (order + 1) * 2**mass_bits nodes
-    cols = [got.column(c).to_numpy() for c in ("k", "ctx", "s", "n")]
-    drop(grams)
-    drop(entries)
-    return Trie(order, *cols)
-
-
-BLOCK_ROW = ("block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, score array<double>, "
-             "words array<long>, train array<long>, n_pairs array<int>, pair_word array<int>, pair_n array<int>")
-
-
-def word_block(ids, held, hashes, per_doc, score):
-    """A row of ``BLOCK_ROW``."""
-    n = len(per_doc)
-    uniq, which = np.unique(hashes, return_inverse=True)
-    doc = np.repeat(np.arange(n), per_doc)
-    train_n = np.bincount(which[~held[doc]], minlength=len(uniq))
-    pair = np.sort(doc * max(1, len(uniq)) + which)
-    head = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, int)
-    pair_doc, pair_word = np.divmod(pair[head], max(1, len(uniq)))
+BLOCK_ROW = ("block long, doc_id array<long>, held_out array<boolean>, n_bytes array<long>, body binary, "
+             "words array<long>, train array<long>, low array<long>, low_n array<long>")
+
+
+def pack_blocks(text: str, low: int):
+    """One row per block of texts, with the distinct words and strings of
+    ``low`` context bytes and their counts in the block's training texts."""
     one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([uuid.uuid4().int >> 65], pa.int64()), one(ids, pa.int64()), one(held, pa.bool_()),
-         one(per_doc + 1, pa.int64()), one(score, pa.float64()), one(uniq.view(np.int64), pa.int64()),
-         one(train_n, pa.int64()), one(np.bincount(pair_doc, minlength=n), pa.int32()), one(pair_word, pa.int32()),
-         one(np.diff(np.append(head, len(pair))), pa.int32())], names=[c.split()[0] for c in BLOCK_ROW.split(", ")])
+
+    def run(batches):
+        for batch in batches:
+            ids, flags = batch.column("doc_id"), batch.column("held_out").to_numpy(zero_copy_only=False)
+            for i, j, raw, off in blocks(batch.column(text), BODY):
+                held, hashes, grams = flags[i:j], [], []
+                for a, b, part, po in parts_of(raw, off):
+                    starts, ends, first = words(part, po)
+                    out = np.repeat(held[a:b], np.diff(first))
+                    hashes.append((word_hashes(part, starts, ends), out))
+                    sym, begin = symbols(part, po, starts, ends, first)
+                    grams.append(counted(strings(sym, begin, low)[~np.repeat(held[a:b], np.diff(begin))]))
+                h, out = (np.concatenate(x) for x in zip(*hashes))
+                uniq, train = summed(h, (~out).astype(np.int64))
+                grams, gram_n = summed(*(np.concatenate(x) for x in zip(*grams)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([uuid.uuid4().int >> 65], pa.int64()), one(ids.slice(i, j - i), pa.int64()), one(held, pa.bool_()),
+                     one(np.diff(off), pa.int64()), pa.array([raw.tobytes()], pa.binary()), one(uniq.view(np.int64), pa.int64()),
+                     one(train, pa.int64()), one(grams.view(np.int64), pa.int64()), one(gram_n, pa.int64())],
+                    names=[c.split()[0] for c in BLOCK_ROW.split(", ")])
+    return run
+
+
+def unpack(batch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, offsets, held out) of the texts of a block."""
+    raw = np.frombuffer(batch.column("body")[r].as_buffer(), np.uint8)
+    off = np.concatenate(([0], np.cumsum(batch.column("n_bytes")[r].values.to_numpy())))
+    return raw, off, batch.column("held_out")[r].values.to_numpy(zero_copy_only=False)
+
+
+def block_strings(order: int, n_buckets: int):
+    """(bucket, block, keys, n): the distinct strings of a block, in the order
+    of keys, and their counts in its training texts."""
+    def cut(values, edge):
+        return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [
+            None, pa.py_buffer((edge * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                raw, off, held = unpack(batch, r)
+                found = []
+                for a, b, part, po in parts_of(raw, off):
+                    sym, begin = symbols(part, po, *words(part, po))
+                    keys, out = strings(sym, begin, order), np.repeat(held[a:b], np.diff(begin))
+                    found.append(counted(keys[~out]))
+                    late = counted(keys[out])[0]
+                    found.append((late, np.zeros(len(late), np.int64)))
+                keys, n = summed(*(np.concatenate(x) for x in zip(*found)))
+                del found
+                bucket = buckets_of(keys, order, n_buckets)
+                by = np.argsort(bucket, kind="stable")
+                bucket, keys, n = bucket[by], keys[by], n[by].astype(np.int32)
+                head = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+                edge = np.append(head, len(keys))
+                block = batch.column("block")[r].as_py()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[head], pa.int32()), pa.array(np.full(len(head), block), pa.int64()),
+                     cut(keys, edge), cut(n, edge)], names=["bucket", "block", "keys", "n"])
+    return run
 
 
-def score_blocks(text: str, model):
-    """One row per block of texts: scores, and the block's distinct words with
-    their counts in its training texts and in each text."""
+def score_strings(order: int, low, least: float):
+    """(block, bucket, logs): log10 probabilities of the strings of each row.
+    Rows come in the order of buckets."""
+    def scored(bucket, rows):
+        size = np.array([len(x[1]) for x in rows])
+        keys, n = (np.concatenate([x[k] for x in rows]) for k in (1, 2))
+        by = np.argsort(keys, kind="stable")
+        new = np.concatenate(([True], keys[by][1:] != keys[by][:-1]))
+        uniq = keys[by][new]
+        total = np.add.reduceat(n[by].astype(np.int64), np.flatnonzero(new))
+        trie = Trie(order, low.value)
+        for k in range(LOW + 1, order + 1):
+            trie.add(*level(uniq[total > 0], total[total > 0], order, k), least)
+        logs = np.empty(len(keys))
+        logs[by] = trie.log10(uniq)[np.cumsum(new) - 1]
+        edge = np.concatenate(([0], np.cumsum(size)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in rows], pa.int64()), pa.array(np.full(len(rows), bucket), pa.int32()),
+             pa.array([logs[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())],
+            names=["block", "bucket", "logs"])
+
     def run(batches):
-        trie = model.value
+        held, at = [], None
         for batch in batches:
-            ids = batch.column("doc_id")
-            held = batch.column("held_out").to_numpy(zero_copy_only=False)
-            parts, size, done = [], 0, 0
-            for i, j, raw, off in blocks(batch.column(text), BLOCK):
-                starts, ends, first = words(raw, off)
-                sym, begin = symbols(raw, off, starts, ends, first)
-                keys = strings(sym, begin, trie.order)
-                order = np.argsort(keys)
-                ordered = keys[order]
-                new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-                each = np.empty(len(keys))
-                each[order] = trie.log10(ordered[new])[np.cumsum(new) - 1]
-                parts.append((word_hashes(raw, starts, ends), np.diff(first), np.add.reduceat(each, begin[:-1])))
-                size += len(raw)
-                if size >= WORD_BLOCK or j == batch.num_rows:
-                    yield word_block(ids.slice(done, j - done), held[done:j], *[np.concatenate(x) for x in zip(*parts)])
-                    parts, size, done = [], 0, j
+            keys, n = batch.column("keys"), batch.column("n")
+            for r, (bucket, block) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist())):
+                if bucket != at and held:
+                    yield scored(at, held)
+                    held = []
+                at = bucket
+                held.append((block, np.frombuffer(keys[r].as_buffer(), _U), np.frombuffer(n[r].as_buffer(), np.int32)))
+        if held:
+            yield scored(at, held)
     return run
 
 
+def low_orders(packed: DataFrame, order: int, mass_bits: int | None) -> tuple[Trie, float]:
+    """The trie of orders up to ``LOW``, and the least total of a node."""
+    got = (packed.select(F.explode(F.arrays_zip("low", "low_n")).alias("x"))
+           .groupBy(F.col("x.low").alias("key")).agg(F.sum("x.low_n").alias("n")).toArrow())   # <= 257 * 256**LOW
+    keys, n = got.column("key").to_numpy().view(_U), got.column("n").to_numpy().astype(np.int64)
+    least, top = (int(n.sum()) / 2 ** mass_bits if mass_bits is not None else 0), min(order, LOW)
+    trie = Trie(order)
+    for k in range(top + 1):
+        trie.add(*level(keys, n, top, k), least)
+    return trie, least
+
+
 RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
           "base_score double, score double")
 
 
-def base_scores(tokens: int, kinds: int, ends: int):
-    """Scores of the texts of a block from the counts of its words."""
+def score_texts(order: int, n_buckets: int, tokens: int, kinds: int, ends: int):
+    """Scores of the texts of a block from those of its strings and the counts
+    of its words."""
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                get = lambda c: batch.column(c)[r].values  # noqa: B023, E731
-                n_tokens, pairs = get("n_tokens"), get("n_pairs").to_numpy()
-                counts = np.zeros(batch.column("kinds")[r].as_py(), np.int64)
+                raw, off, held = unpack(batch, r)
+                found, hashes, per_doc = [], [], []
+                for _, _, part, po in parts_of(raw, off):
+                    starts, ends_, first = words(part, po)
+                    hashes.append(word_hashes(part, starts, ends_))
+                    per_doc.append(np.diff(first))
+                    sym, begin = symbols(part, po, starts, ends_, first)
+                    keys = strings(sym, begin, order)
+                    by = np.argsort(keys)
+                    new = np.concatenate(([True], keys[by][1:] != keys[by][:-1]))
+                    found.append((keys[by][new], by.astype(np.int32), new, begin))
+                uniq = np.unique(np.concatenate([x[0] for x in found]))
+                logs = batch.column("logs")[r].values
+                at = np.argsort(logs.field("bucket").to_numpy())
+                logs = [np.frombuffer(logs.field("logs")[int(k)].as_buffer(), np.float64) for k in at]
+                log = np.empty(len(uniq))
+                log[np.argsort(buckets_of(uniq, order, n_buckets), kind="stable")] = np.concatenate(logs)
+                score = []
+                for keys, by, new, begin in found:
+                    each = np.empty(len(by))
+                    each[by] = log[np.searchsorted(uniq, keys)][np.cumsum(new) - 1]
+                    score.append(np.add.reduceat(each, begin[:-1]))
+                word, which = np.unique(np.concatenate(hashes), return_inverse=True)
+                per_doc, m = np.concatenate(per_doc), len(held)
+                counts = np.zeros(len(word), np.int64)
                 if batch.column("counts")[r].is_valid:
-                    found = get("counts")
-                    counts[found.field("pos").to_numpy()] = found.field("c").to_numpy()
-                word, n = get("pair_word").to_numpy(), get("pair_n").to_numpy().astype(np.int64)
+                    c = batch.column("counts")[r].values
+                    counts[c.field("pos").to_numpy()] = c.field("c").to_numpy()
                 whole = tokens + 0.5 * (kinds + 1)
-                doc = np.repeat(np.arange(len(pairs)), pairs)
-                logs = np.bincount(doc, n * np.log10((counts[word] + 0.5) / whole), len(pairs))
-                known = np.bincount(doc, n * (counts[word] > 0), len(pairs))
-                m = len(pairs)
+                doc = np.repeat(np.arange(m), per_doc)
+                base = np.bincount(doc, np.log10((counts + 0.5) / whole)[which], m)
+                known = np.bincount(doc, (counts > 0)[which], m)
                 yield pa.RecordBatch.from_arrays(
-                    [get("doc_id"), get("held_out"), n_tokens,
+                    [batch.column("doc_id")[r].values, pa.array(held, pa.bool_()), pa.array(per_doc + 1, pa.int64()),
                      pa.array((known + (ends > 0)).astype(np.int64)), pa.array(np.full(m, tokens, np.int64)),
-                     pa.array(logs + np.log10((ends + 0.5) / whole)), get("score")],
+                     pa.array(base + np.log10((ends + 0.5) / whole)), pa.array(np.concatenate(score))],
                     names=[c.split()[0] for c in RESULT.split(", ")])
     return run
 
 
-def word_counts(scored: DataFrame) -> tuple[DataFrame, int, int, int]:
+def word_counts(packed: DataFrame) -> tuple[DataFrame, int, int, int]:
     """(block, counts) with the training count of each of the block's words,
     training tokens, distinct training tokens, training texts."""
-    ends = scored.select(F.explode("held_out").alias("h")).agg(F.count(F.when(~F.col("h"), 1))).first()[0]
-    known = scored.select(F.explode(F.arrays_zip("words", "train")).alias("x")).select(
+    ends = packed.select(F.explode("held_out").alias("h")).agg(F.count(F.when(~F.col("h"), 1))).first()[0]
+    known = packed.select(F.explode(F.arrays_zip("words", "train")).alias("x")).select(
         F.col("x.words").alias("word"), F.col("x.train").alias("train"))
     totals = saved(known.filter("train > 0").groupBy("word").agg(F.sum("train").alias("c")), "words")
     n, kinds = totals.agg(F.sum("c"), F.count(F.lit(1))).first()
-    back = scored.select("block", F.posexplode("words").alias("pos", "word")).join(totals, "word")
+    back = packed.select("block", F.posexplode("words").alias("pos", "word")).join(totals, "word")
     counts = back.groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("counts"))   # bounded by the block
     return counts, int(n or 0) + ends, int(kinds) + (ends > 0), ends
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, mass_bits: int = MASS_BITS) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, mass_bits: int | None = None) -> DataFrame:
     """Scores of (doc_id, text, held_out) rows; learns from those not held out."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(docs, order, mass_bits))
-    release(spark)
-    scored = saved(docs.mapInArrow(trimmed(score_blocks("text", model)), BLOCK_ROW), "scored")
-    model.destroy()
+    packed = saved(docs.select("doc_id", "text", "held_out")
+                   .mapInArrow(trimmed(pack_blocks("text", min(order, LOW))), BLOCK_ROW), "blocks")
+    size = packed.agg(F.sum(F.expr("aggregate(n_bytes, 0L, (x, y) -> x + y)"))).first()[0] or 0
+    n_buckets = max(MIN_BUCKETS, size // BUCKET_BYTES)
+    trie, least = low_orders(packed, order, mass_bits)
+    low = spark.sparkContext.broadcast(trie)
+    rows = packed.select("block", "n_bytes", "held_out", "body").mapInArrow(
+        trimmed(block_strings(order, n_buckets)), "bucket int, block long, keys binary, n binary")
+    logs = saved(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        trimmed(score_strings(order, low, least)), "block long, bucket int, logs binary"), "logs")
+    low.destroy()
     release(spark)
-    counts, n, kinds, ends = word_counts(scored)
-    joined = scored.withColumn("kinds", F.size("words")).drop("train", "words").join(counts, "block", "left")
-    return joined.mapInArrow(trimmed(base_scores(n, kinds, ends)), RESULT)
+    counts, n, kinds, ends = word_counts(packed)
+    logs = logs.groupBy("block").agg(F.collect_list(F.struct("bucket", "logs")).alias("logs"))   # bounded by the block
+    joined = packed.drop("train", "words", "low", "low_n").join(logs, "block").join(counts, "block", "left")
+    return joined.mapInArrow(trimmed(score_texts(order, n_buckets, n, kinds, ends)), RESULT)
 
 
 def op2_ppm_scores(spark, sf_dir: str) -> DataFrame:

@@ -135,6 +135,17 @@ def test_ppm_against_brute_force(llm):
         assert math.isclose(sum(brute_prob(trie, ctx, s) for s in range(257)), 1.0, rel_tol=1e-9)
 
 
+def test_ppm_keeps_every_context(llm):
+    """A context seen twice is a node however large the corpus is."""
+    rows = [(i, "aaaa bbbb " * 60_000, False) for i in range(2)] + [(5, "zqxj vwkp", False), (6, "zqxj vwkp", True)]
+    got = {r.doc_id: r.score for r in ppm.score_documents(
+        llm.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(2)).collect()}
+    trie = brute_trie(["aaaa bbbb " * 60_000] * 2 + ["zqxj vwkp"], 5, 60)
+    sym = list(b"zqxj vwkp ") + [256]
+    want = sum(math.log10(brute_prob(trie, [sym[j - d] if j >= d else 0 for d in range(1, 6)], s)) for j, s in enumerate(sym))
+    assert math.isclose(got[5], want, rel_tol=1e-9) and math.isclose(got[6], want, rel_tol=1e-9)
+
+
 def test_ppm_odd(llm, odd_docs, no_docs):
     held = F.coalesce(F.col("doc_id") == 2, F.lit(False)).alias("held_out")
     got = ppm.score_documents(odd_docs.select("doc_id", "text", held)).collect()
