@@ -46,11 +46,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, blocks, mix, trimmed, word_hashes, words
-from ._store import release, saved
+from ._store import drop, release, saved
 
 ORDER, LOW, SYMBOLS, END = 5, 2, 257, 256
 BLOCK = 384 << 10            # bytes of text worked on at once
-BODY = 8 << 20               # bytes of text whose distinct strings and words are counted together
+BODY = 10 << 20              # bytes of text whose distinct strings and words are counted together
 BUCKET_BYTES, MIN_BUCKETS = 4 << 20, 512    # bytes of text for each bucket of strings
 _U = np.uint64
 
@@ -183,32 +183,30 @@ class Trie:
 
 
 BLOCK_ROW = ("block long, doc_id array<long>, held_out array<boolean>, n_bytes array<long>, body binary, "
-             "words array<long>, train array<long>, low array<long>, low_n array<long>")
+             "low array<long>, low_n array<long>")
+WORDS_ROW = "block long, words array<long>, train array<long>"
 
 
-def pack_blocks(text: str, low: int):
-    """One row per block of texts, with the distinct words and strings of
-    ``low`` context bytes and their counts in the block's training texts."""
-    one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t))
+def one_list(x, kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+
 
+def pack_blocks(text: str, low: int):
+    """One row per block of texts, with the strings of ``low`` context bytes
+    and their counts in the block's training texts."""
     def run(batches):
         for batch in batches:
             ids, flags = batch.column("doc_id"), batch.column("held_out").to_numpy(zero_copy_only=False)
             for i, j, raw, off in blocks(batch.column(text), BODY):
-                held, hashes, grams = flags[i:j], [], []
+                held, grams = flags[i:j], []
                 for a, b, part, po in parts_of(raw, off):
-                    starts, ends, first = words(part, po)
-                    out = np.repeat(held[a:b], np.diff(first))
-                    hashes.append((word_hashes(part, starts, ends), out))
-                    sym, begin = symbols(part, po, starts, ends, first)
+                    sym, begin = symbols(part, po, *words(part, po))
                     grams.append(counted(strings(sym, begin, low)[~np.repeat(held[a:b], np.diff(begin))]))
-                h, out = (np.concatenate(x) for x in zip(*hashes))
-                uniq, train = summed(h, (~out).astype(np.int64))
                 grams, gram_n = summed(*(np.concatenate(x) for x in zip(*grams)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([uuid.uuid4().int >> 65], pa.int64()), one(ids.slice(i, j - i), pa.int64()), one(held, pa.bool_()),
-                     one(np.diff(off), pa.int64()), pa.array([raw.tobytes()], pa.binary()), one(uniq.view(np.int64), pa.int64()),
-                     one(train, pa.int64()), one(grams.view(np.int64), pa.int64()), one(gram_n, pa.int64())],
+                    [pa.array([uuid.uuid4().int >> 65], pa.int64()), one_list(ids.slice(i, j - i), pa.int64()),
+                     one_list(held, pa.bool_()), one_list(np.diff(off), pa.int64()), pa.array([raw.tobytes()], pa.binary()),
+                     one_list(grams.view(np.int64), pa.int64()), one_list(gram_n, pa.int64())],
                     names=[c.split()[0] for c in BLOCK_ROW.split(", ")])
     return run
 
@@ -220,6 +218,22 @@ def unpack(batch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, off, batch.column("held_out")[r].values.to_numpy(zero_copy_only=False)
 
 
+def block_words(batches):
+    """(block, words, train): the distinct words of a block and their counts
+    in its training texts."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            raw, off, held = unpack(batch, r)
+            found = []
+            for a, b, part, po in parts_of(raw, off):
+                starts, ends, first = words(part, po)
+                found.append((word_hashes(part, starts, ends), (~np.repeat(held[a:b], np.diff(first))).astype(np.int64)))
+            uniq, train = summed(*(np.concatenate(x) for x in zip(*found)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("block").slice(r, 1), one_list(uniq.view(np.int64), pa.int64()), one_list(train, pa.int64())],
+                names=["block", "words", "train"])
+
+
 def block_strings(order: int, n_buckets: int):
     """(bucket, block, keys, n): the distinct strings of a block, in the order
     of keys, and their counts in its training texts."""
@@ -351,15 +365,20 @@ def score_texts(order: int, n_buckets: int, tokens: int, kinds: int, ends: int):
 
 
 def word_counts(packed: DataFrame) -> tuple[DataFrame, int, int, int]:
-    """(block, counts) with the training count of each of the block's words,
-    training tokens, distinct training tokens, training texts."""
+    """Saved (block, counts) with the training count of each of the block's
+    words, training tokens, distinct training tokens, training texts."""
     ends = packed.select(F.explode("held_out").alias("h")).agg(F.count(F.when(~F.col("h"), 1))).first()[0]
-    known = packed.select(F.explode(F.arrays_zip("words", "train")).alias("x")).select(
+    found = saved(packed.select("block", "n_bytes", "held_out", "body").mapInArrow(trimmed(block_words), WORDS_ROW), "block-words")
+    known = found.select(F.explode(F.arrays_zip("words", "train")).alias("x")).select(
         F.col("x.words").alias("word"), F.col("x.train").alias("train"))
     totals = saved(known.filter("train > 0").groupBy("word").agg(F.sum("train").alias("c")), "words")
+    release(packed.sparkSession)
     n, kinds = totals.agg(F.sum("c"), F.count(F.lit(1))).first()
-    back = packed.select("block", F.posexplode("words").alias("pos", "word")).join(totals, "word")
-    counts = back.groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("counts"))   # bounded by the block
+    back = found.select("block", F.posexplode("words").alias("pos", "word")).join(totals, "word")
+    counts = saved(back.groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("counts")), "counts")   # bounded by the block
+    drop(found)
+    drop(totals)
+    release(packed.sparkSession)
     return counts, int(n or 0) + ends, int(kinds) + (ends > 0), ends
 
 
@@ -370,6 +389,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, mass_bits: int | None =
                    .mapInArrow(trimmed(pack_blocks("text", min(order, LOW))), BLOCK_ROW), "blocks")
     size = packed.agg(F.sum(F.expr("aggregate(n_bytes, 0L, (x, y) -> x + y)"))).first()[0] or 0
     n_buckets = max(MIN_BUCKETS, size // BUCKET_BYTES)
+    counts, n, kinds, ends = word_counts(packed)
     trie, least = low_orders(packed, order, mass_bits)
     low = spark.sparkContext.broadcast(trie)
     rows = packed.select("block", "n_bytes", "held_out", "body").mapInArrow(
@@ -378,9 +398,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, mass_bits: int | None =
         trimmed(score_strings(order, low, least)), "block long, bucket int, logs binary"), "logs")
     low.destroy()
     release(spark)
-    counts, n, kinds, ends = word_counts(packed)
     logs = logs.groupBy("block").agg(F.collect_list(F.struct("bucket", "logs")).alias("logs"))   # bounded by the block
-    joined = packed.drop("train", "words", "low", "low_n").join(logs, "block").join(counts, "block", "left")
+    joined = packed.drop("low", "low_n").join(logs, "block").join(counts, "block", "left")
     return joined.mapInArrow(trimmed(score_texts(order, n_buckets, n, kinds, ends)), RESULT)
 
 
