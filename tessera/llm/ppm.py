@@ -349,9 +349,8 @@ def score_texts(order: int, n_buckets: int, tokens: int, kinds: int, ends: int):
                 word, which = np.unique(np.concatenate(hashes), return_inverse=True)
                 per_doc, m = np.concatenate(per_doc), len(held)
                 counts = np.zeros(len(word), np.int64)
-                if batch.column("counts")[r].is_valid:
-                    c = batch.column("counts")[r].values
-                    counts[c.field("pos").to_numpy()] = c.field("c").to_numpy()
+                if batch.column("pos")[r].is_valid:
+                    counts[batch.column("pos")[r].values.to_numpy()] = batch.column("c")[r].values.to_numpy()
                 whole = tokens + 0.5 * (kinds + 1)
                 doc = np.repeat(np.arange(m), per_doc)
                 base = np.bincount(doc, np.log10((counts + 0.5) / whole)[which], m)
@@ -365,7 +364,7 @@ def score_texts(order: int, n_buckets: int, tokens: int, kinds: int, ends: int):
 
 
 def word_counts(packed: DataFrame) -> tuple[DataFrame, int, int, int]:
-    """Saved (block, counts) with the training count of each of the block's
+    """Saved (block, pos, c) with the training count of each of the block's
     words, training tokens, distinct training tokens, training texts."""
     ends = packed.select(F.explode("held_out").alias("h")).agg(F.count(F.when(~F.col("h"), 1))).first()[0]
     found = saved(packed.select("block", "n_bytes", "held_out", "body").mapInArrow(trimmed(block_words), WORDS_ROW), "block-words")
@@ -375,7 +374,7 @@ def word_counts(packed: DataFrame) -> tuple[DataFrame, int, int, int]:
     release(packed.sparkSession)
     n, kinds = totals.agg(F.sum("c"), F.count(F.lit(1))).first()
     back = found.select("block", F.posexplode("words").alias("pos", "word")).join(totals, "word")
-    counts = saved(back.groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("counts")), "counts")   # bounded by the block
+    counts = saved(back.groupBy("block").agg(F.collect_list("pos").alias("pos"), F.collect_list("c").alias("c")), "counts")   # bounded by the block
     drop(found)
     drop(totals)
     release(packed.sparkSession)
