@@ -6,9 +6,10 @@ from __future__ import annotations
 import functools
 
 from ..session import ship_package
-from . import chat_views, decontam, jaccard, licenses, mixing, ppm, quality, sharding, suffix_dedup, token_coder
+from . import chat_views, decontam, jaccard, licenses, lines, mixing, ppm, quality, sharding, suffix_dedup, token_coder
 
 _ALL = {
+    "op13_line_dedup": (lines.op13_line_dedup, lines.SQL),
     "op7_token_files": (token_coder.op7_token_files, None),
     "op10_license_scan": (licenses.op10_license_scan, licenses.SQL),
     "op1_perspective_rotation": (chat_views.op1_perspective_rotation, chat_views.SQL),
