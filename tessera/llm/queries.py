@@ -6,9 +6,11 @@ from __future__ import annotations
 import functools
 
 from ..session import ship_package
-from . import chat_views, decontam, jaccard, licenses, lines, mixing, ppm, quality, sharding, suffix_dedup, token_coder
+from . import chat_views, decontam, jaccard, lexical, licenses, lines, mixing, ppm, quality, sharding, suffix_dedup, token_coder, variants
 
 _ALL = {
+    "op11_lexical_search": (lexical.op11_lexical_search, lexical.SQL),
+    "op12_spelling_variants": (variants.op12_spelling_variants, None),
     "op13_line_dedup": (lines.op13_line_dedup, lines.SQL),
     "op7_token_files": (token_coder.op7_token_files, None),
     "op10_license_scan": (licenses.op10_license_scan, licenses.SQL),
