@@ -64,8 +64,10 @@ def drop_common_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"),
                        F.col(f"`{doc_id}`").alias("_id"), body.alias("_text")).withColumn("_t", F.xxhash64("_text"))
     keys = saved(rows.select("_id", "_t", F.expr(key_hashes("_text", min_chars)).alias("_keys")), "line-keys")
-    common = (keys.select(F.explode(F.array_distinct("_keys")).alias("_key")).filter("_key IS NOT NULL")
-              .groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_docs).select("_key"))
+    # saved, so that its size is known and a line that stands everywhere can be split in the join
+    common = saved(keys.select(F.explode(F.array_distinct("_keys")).alias("_key")).filter("_key IS NOT NULL")
+                   .groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_docs).select("_key"),
+                   "common-lines")
     gone = (keys.select("_id", "_t", F.posexplode("_keys").alias("_pos", "_key")).filter("_key IS NOT NULL")
             .join(common, "_key")
             .groupBy(F.col("_id").alias("_gid"), F.col("_t").alias("_gt"))

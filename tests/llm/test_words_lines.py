@@ -46,7 +46,7 @@ def test_lines_against_brute_force(llm):
     got = lines.drop_common_lines(llm.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     want = collections.Counter((i, *x) for (i, _), x in zip(rows, plain_lines([t for _, t in rows])))
     assert collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got) == want
-    assert sum(n for (_, _, d, _), n in want.items() if d) > 50
+    assert sum(n for (_, _, d, _), n in want.items() if d) > 30
     got = lines.drop_common_lines(llm.createDataFrame(rows, "doc_id long, text string"), min_docs=3, min_chars=8).collect()
     want = collections.Counter((i, *x) for (i, _), x in zip(rows, plain_lines([t for _, t in rows], 3, 8)))
     assert collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got) == want
@@ -116,7 +116,8 @@ def word_docs(seed=2):
     words = ["".join(rnd.choices(syllables, k=rnd.randrange(2, 5))) for _ in range(150)]
     rows = [(i, " ".join(rnd.choice([w, w.upper(), w.capitalize()]) for w in rnd.choices(words, k=120)) + ".") for i in range(80)]
     rows += [(900, ("b" * 5000 + " ") * 3 + ("b" * 4999 + " ") * 7), (901, None), (None, "rerere " * 9), (None, ""), (3, rows[3][1]),
-             (902, "日本 naïve1naïve2 x" * 4), (903, ("abcdefgh" * 9 + " ") * 200)]
+             (902, "日本 naïve1naïve2 x" * 4), (903, ("abcdefgh" * 9 + " ") * 200),
+             (904, " ".join(("k" * k + " ") * 3 ** (k - 4) for k in range(5, 10)))]
     return rows
 
 
