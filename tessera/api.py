@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import tokens as TK
@@ -58,32 +58,45 @@ def convert(split_rows: DataFrame, out_path: str | None = None, min_tokens: int
     return out
 
 
-def validate_data(spark: SparkSession, json_file_path: str, media_folder_path: str,
-                  output_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+def validate_data(spark: SparkSession, json_file_path: str, media_folder_path: str, output_path: str | None = None,
+                  listing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Check media existence and placeholder consistency of an annotation
-    file against a media folder.  Returns (checked records, one-row
-    summary); with ``output_path`` the records are written as JSON, one
-    folder per status (valid / problem)."""
-    ann = SRC.annotation_lines(spark, json_file_path)
-    # a stable key: the file and the record itself (equal records are one)
-    ann = ann.withColumn("id", F.xxhash64("source_file", F.coalesce(F.to_json("v"), F.col("line"))) if "line" in ann.columns
-                         else F.xxhash64("source_file", F.to_json("v"))).dropDuplicates(["id"])
-    listing = SRC.media_listing(spark, media_folder_path)
+    file against a media folder (or a ``listing`` of its paths).  A record is
+    known by its place in the file, so equal records count each.  Returns
+    (checked records, one-row summary); with ``output_path`` the records are
+    written as JSON, one folder per status (valid / problem)."""
+    ann = SRC.annotation_lines(spark, json_file_path).withColumnRenamed("record", "id")
     root = media_folder_path.rstrip("/")
-    # the listing reports qualified paths (file:/...); compare in that form
-    qualified = listing.select(F.regexp_replace("path", r"^file:", "").alias("path"))
+    if listing is None:
+        # the listing reports qualified paths (file:/...); compare in that form
+        listing = SRC.media_listing(spark, media_folder_path).select(F.regexp_replace("path", r"^file:", "").alias("path"))
     keep = ["id", "v"] + (["line"] if "line" in ann.columns else [])
-    checked = V.problems(V.prepare(ann.select(*keep)), "id", qualified, root)
+    checked = V.problems(V.prepare(ann.select(*keep)), "id", listing, root)
     if output_path:
         V.write_split(checked, output_path)
     return checked, V.summary(checked, "id")
 
 
+def record_key(records: DataFrame) -> Column:
+    """What a record is known by: its place in the list, which the reader
+    gives; else its id."""
+    return F.col("record" if "record" in records.columns else "id").alias("conv_id")
+
+
+def record_media(records: DataFrame) -> DataFrame:
+    """(conv_id, kind, k, file): the media files of reader output, k in the
+    order of each kind; joined with the sizes of the files, the ``grid`` of
+    ``prepare``."""
+    kinds = [records.select(record_key(records), F.lit(kind).alias("kind"), F.posexplode(column).alias("k", "file"))
+             for kind, column in (("image", "images"), ("video", "videos"))]
+    return kinds[0].unionByName(kinds[1]).withColumn("k", F.col("k").cast("bigint"))
+
+
 def reader_turns(records: DataFrame) -> DataFrame:
-    """Reader output (id, turns, images, videos) as one row per turn, with a
-    leading answer dropped: (conv_id, turn, role, flat)."""
+    """Reader output (record or id, turns, images, videos) as one row per
+    turn, with a leading answer dropped: (conv_id, turn, role, flat)."""
     kept = C.drop_leading_nonuser("turns", F.get("turns", 0)["from_value"])
-    x = records.select(F.col("id").alias("conv_id"), F.posexplode(kept).alias("turn", "t"))
+    x = records.select(record_key(records), F.posexplode(kept).alias("turn", "t"))
     return x.select("conv_id", F.col("turn").cast("bigint"), F.col("t.role").alias("role"),
                     F.coalesce("t.content", F.lit("")).alias("flat"))
 
@@ -91,9 +104,11 @@ def reader_turns(records: DataFrame) -> DataFrame:
 def prepare(records: DataFrame, grid: DataFrame, batch_size: int = 4, max_len: int = B.MODEL_MAX_LENGTH,
             pad_id: int = TK.PAD_ID, packed: bool = False) -> DataFrame:
     """Training batches from reader output: turns, visual expansion, token
-    ids with labels, batch numbers in the order of the record id, and either
+    ids with labels, batch numbers in the order of the records, and either
     padded rows (batch, conv_id, pos, id, label, mask) or packed rows (batch,
-    pos, id, label).  ``grid``: (conv_id, kind, k, gt, gh, gw, sec)."""
+    pos, id, label).  conv_id is the record's place in the list, or its id
+    where the records have no such column.  ``grid``: (conv_id, kind, k, gt,
+    gh, gw, sec), see ``record_media``."""
     seg = P.segments(reader_turns(records), grid)
     spans = R.batch_assign(P.sample_spans(seg, max_len=max_len).checkpoint(eager=True), batch_size, ["conv_id"])
     tokens = P.token_rows(seg)

@@ -3,7 +3,8 @@
 Even conversations are written in the documented from/value form with
 record-level ``image``/``images``/``video``/``videos``; odd ones in the
 role/content form with typed segment lists (image, text, video and an
-unknown ``audio`` type).  ``validation_form`` writes every record in the
+unknown ``audio`` type), every fifth of these as a bare list of turns without
+a record around it (and so without an id).  ``validation_form`` writes every record in the
 from/value form the validator reads.
 """
 
@@ -60,11 +61,27 @@ def _role_content_json() -> Column:
                               F.transform("items", lambda x: x["rc"]).alias("conversations")))
 
 
+#: role/content conversations that are written as a bare list
+BARE = "conv_id % 10 = 3"
+
+
 def mixed_lines(t) -> DataFrame:
     r = _records(t)
-    line = F.when(F.col("form") == "from_value", _from_value_json()).otherwise(_role_content_json())
+    line = (F.when(F.col("form") == "from_value", _from_value_json())
+            .when(F.expr(BARE), F.to_json(F.transform("items", lambda x: x["rc"]))).otherwise(_role_content_json()))
     return r.select("conv_id", line.alias("line"))
 
 
+def keyless_lines(t) -> DataFrame:
+    """Every record in the from/value form without an id, those of every
+    fourth conversation twice, in the order of the conversations."""
+    r = _records(t).select("conv_id", F.to_json(F.struct(
+        F.transform("items", lambda x: x["fv"]).alias("conversations"),
+        *_media_fields("images", "image", "images"), *_media_fields("videos", "video", "videos"))).alias("line"))
+    twice = r.withColumn("_copies", F.when(F.col("conv_id") % 4 == 1, 2).otherwise(1))
+    return (twice.select("conv_id", "line", F.explode(F.sequence(F.lit(1), "_copies")).alias("copy"))
+            .repartitionByRange("conv_id").sortWithinPartitions("conv_id", "copy"))
+
+
 def validation_lines(t) -> DataFrame:
     return _records(t).select("conv_id", _from_value_json().alias("line"))

@@ -14,7 +14,8 @@ Derivation rules (arithmetic on ids, so the work grows with the tables):
   the marker absent, present once, present twice or quoted.
 * turns: conversation turns with media placeholders placed by arithmetic
   on (conv_id, turn): an image before user text, a video after it, an
-  extra unmatched image tag, a tag in an answer, an unknown segment type.
+  extra unmatched image tag, a tag in an answer, an unknown segment type;
+  the first turn of every sixth conversation is an answer.
 * listing: media files known to exist, one set per labelled document.
 """
 
@@ -112,8 +113,9 @@ RESPONSES_SQL = """responses AS (
 # ---------------------------------------------------------------- turns
 def turns(t: Loader) -> DataFrame:
     cid, tn, role = F.col("conv_id"), F.col("turn"), F.col("role")
-    # some conversations in the from/value form begin with an answer
-    c = t("conversations").filter(~((cid % 6 == 4) & (tn == 0) & (role == "user")))
+    # some conversations in the from/value form begin with an answer: there the first turn has that role
+    c = t("conversations").withColumn(
+        "role", F.when((cid % 6 == 4) & (tn == 0) & (role == "user"), F.lit("assistant")).otherwise(role))
     has_img = (role == "user") & ((cid + tn) % 3 == 0)
     has_vid = (role == "user") & ((cid + 2 * tn) % 7 == 0)
     extra = (role == "user") & ((3 * cid + tn) % 17 == 0)
@@ -153,7 +155,9 @@ TURNS_SQL = """turns AS (
              'media/img_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) || '.jpg' AS image_file,
              'media/vid_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) || '.mp4' AS video_file,
              CASE WHEN conv_id % 2 = 0 THEN 'from_value' ELSE 'role_content' END AS form
-      FROM conversations WHERE NOT (conv_id % 6 = 4 AND turn = 0 AND role = 'user')) x) y)"""
+      FROM (SELECT conv_id, turn, text,
+                   CASE WHEN conv_id % 6 = 4 AND turn = 0 AND role = 'user' THEN 'assistant' ELSE role END AS role
+            FROM conversations) c) x) y)"""
 
 
 def media_grid(tr: DataFrame) -> DataFrame:

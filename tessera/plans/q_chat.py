@@ -25,16 +25,18 @@ CANON_CONTENT = ("CASE WHEN form = 'from_value' THEN flat "
 def _parsed(t, lines=AN.mixed_lines):
     x = lines(t).withColumn("v", F.parse_json("line"))
     cols = C.canonical_from_variant("v")
-    return x.select("conv_id", "v", *[c.alias(n) for n, c in cols.items()]).withColumn("id", F.col("id").cast("bigint"))
+    return x.select("conv_id", "v", *[c.alias(n) for n, c in cols.items()]).withColumn("id", F.col("conv_id"))
 
 
 # ---------------------------------------------------------------- A3 C3
 @query("read_annotations", W(FX.TURNS_SQL) + """
-SELECT conv_id AS id, CAST(count(*) AS BIGINT) AS n_turns, CAST(count_if(has_img) AS BIGINT) AS n_images,
+SELECT CASE WHEN NOT (""" + AN.BARE + """) THEN conv_id END AS id, CAST(count(*) AS BIGINT) AS n_turns,
+       CAST(count_if(has_img) AS BIGINT) AS n_images,
        CAST(CASE WHEN any_value(form) = 'from_value' THEN count_if(has_vid) ELSE 0 END AS BIGINT) AS n_videos
 FROM turns GROUP BY conv_id""")
 def read_annotations(spark, d):
-    """Write the annotation JSONL, read it back through the VARIANT reader."""
+    """Write the annotation JSONL, read it back through the VARIANT reader
+    (bare lists among the lines have no id)."""
     path = scratch_path(spark, "annotations") + ".jsonl"
     SRC.write_jsonl(AN.mixed_lines(loader(spark, d)), "line", path)
     r = SRC.read_annotations(spark, path)

@@ -254,3 +254,35 @@ def pack_batch_tokens(spark, d):
     """Packed batches as one token sequence each."""
     s = seg(spark, d)
     return B.pack_token_rows(P.token_rows(s), B.pack_batch(batched(s), "conv_id"), "conv_id")
+
+
+# ---------------------------------------------------------------- records without ids
+KEYLESS_BASE = W(FX.TURNS_SQL.replace("turns AS (", "all_turns AS (", 1), """firsts AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM all_turns),
+turns AS (SELECT * EXCLUDE (rn) FROM firsts WHERE NOT (rn = 1 AND role = 'assistant'))""", FX.MEDIA_GRID_SQL, _seg_sql(True))
+
+
+@query("keyless_records", KEYLESS_BASE + LENS_SQL + """
+SELECT n_tokens, n_supervised, label_sum, CAST(sum(CASE WHEN conv_id % 4 = 1 THEN 2 ELSE 1 END) AS BIGINT) AS n_records
+FROM (SELECT l.conv_id, l.seq_len AS n_tokens,
+             CAST(sum(CASE WHEN role NOT IN ('user', 'system') THEN length - 3 ELSE 0 END) AS BIGINT) AS n_supervised,
+             CAST(sum(CASE WHEN role NOT IN ('user', 'system') THEN word_id_sum + 151645 + 198 ELSE 0 END) AS BIGINT) AS label_sum
+      FROM lens l JOIN spans s USING (conv_id) GROUP BY l.conv_id, l.seq_len)
+GROUP BY n_tokens, n_supervised, label_sum""")
+def keyless_records(spark, d):
+    """Token rows of annotation lines that have no id, some of them repeated:
+    each line is a sample of its own."""
+    from .. import api
+    from ..session import scratch_path
+    from ..sources import files as SRC
+    from . import annotations as AN
+    t = loader(spark, d)
+    path = scratch_path(spark, "keyless") + ".jsonl"
+    SRC.write_jsonl(AN.keyless_lines(t), "line", path)
+    records = SRC.read_annotations(spark, path)
+    grid = api.record_media(records).join(FX.media_grid(FX.turns(t)).drop("conv_id", "turn", "kind"), "file")
+    rows = P.token_rows(P.segments(api.reader_turns(records), grid))
+    own = F.col("label") != -100
+    each = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(own).cast("bigint").alias("n_supervised"),
+                                       F.coalesce(F.sum(F.when(own, F.col("label"))), F.lit(0)).alias("label_sum"))
+    return each.groupBy("n_tokens", "n_supervised", "label_sum").agg(F.count(F.lit(1)).alias("n_records"))

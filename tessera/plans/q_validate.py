@@ -123,3 +123,34 @@ SELECT CAST(count(*) AS BIGINT) AS total_entries,
 FROM chk2""")
 def validation_summary(spark, d):
     return V.summary(checked(spark, d), "id")
+
+
+_TWICE = "CASE WHEN id % 4 = 1 THEN 2 ELSE 1 END"
+
+
+@query("validate_every_record", BASE + f""",
+first5 AS (SELECT string_agg(path, chr(10) ORDER BY id, copy, ko, turn) AS sample_missing FROM (
+  SELECT m.*, unnest(range({_TWICE.replace("id", "m.id")})) AS copy
+  FROM mpaths m LEFT JOIN (SELECT DISTINCT path FROM listing) l ON l.path = m.path
+  WHERE l.path IS NULL ORDER BY id, copy, ko, turn LIMIT 5)),
+n AS (SELECT *, {_TWICE} AS c, problem_types = '' AS valid FROM chk2)
+SELECT CAST(sum(c) AS BIGINT) AS total_entries, CAST(sum(c) FILTER (WHERE valid) AS BIGINT) AS valid_entries,
+       round(sum(c) FILTER (WHERE valid) / sum(c), 6) AS valid_share,
+       CAST(coalesce(sum(c) FILTER (WHERE n_img > 0 AND n_vid = 0), 0) AS BIGINT) AS image_only,
+       CAST(coalesce(sum(c) FILTER (WHERE n_vid > 0 AND n_img = 0), 0) AS BIGINT) AS video_only,
+       CAST(coalesce(sum(c) FILTER (WHERE n_img > 0 AND n_vid > 0), 0) AS BIGINT) AS mixed_media,
+       CAST(coalesce(sum(c) FILTER (WHERE n_missing > 0), 0) AS BIGINT) AS missing_media,
+       CAST(coalesce(sum(c) FILTER (WHERE mismatch_type IS NOT NULL), 0) AS BIGINT) AS token_mismatches,
+       CAST(coalesce(sum(c) FILTER (WHERE gpt_media_token), 0) AS BIGINT) AS gpt_media_tokens,
+       (SELECT sample_missing FROM first5) AS sample_missing
+FROM n""")
+def validate_every_record(spark, d):
+    """The validator over a file of lines without ids, some of them repeated:
+    every line counts, and the sample of missing paths follows the file."""
+    from .. import api
+    from ..session import scratch_path
+    from ..sources import files as SRC
+    t = loader(spark, d)
+    path = scratch_path(spark, "every-record") + ".jsonl"
+    SRC.write_jsonl(AN.keyless_lines(t), "line", path)
+    return api.validate_data(spark, path, ROOT, listing=FX.listing(t))[1]

@@ -3,11 +3,12 @@ listings and payloads, media-reference parsing."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.chat import canonical_from_variant
+from ..session import ensure_checkpoint_dir
 
 PROMPT_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -48,8 +49,32 @@ def write_csv(df: DataFrame, path: str, partition_by: str | None = "split") -> N
 
 
 # ---------------------------------------------------------------- annotations
+def numbered_records(lines: DataFrame, file: str = "source_file", block: str = "_block") -> DataFrame:
+    """Add ``record``: the 0-based place of each line among all lines, files
+    by path, lines as they stand in the file.
+
+    A scan task reads its splits line after line, so a line's place is its
+    place within its split and the number of lines in the splits before it
+    (``block``: where the split begins in its file).  The lines are written to
+    the checkpoint folder with the scan's own count, so that the numbers stay
+    as they are when a task runs again on other splits.  Beyond that only a
+    table with one row for each split is summed up; no line is sorted or
+    moved."""
+    ensure_checkpoint_dir(lines.sparkSession)
+    read = lines.withColumns({"_split": F.xxhash64(file, block), "_seen": F.monotonically_increasing_id()}).checkpoint(eager=True)
+    splits = read.groupBy("_split").agg(F.min(file).alias("_f"), F.min(block).alias("_b"), F.min("_seen").alias("_first"),
+                                        F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    # one narrow row for each split: bounded by the number of scan tasks
+    base = F.broadcast(splits.select("_split", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base")))
+    return (read.join(base, "_split").withColumn("record", (F.col("_seen") + F.col("_base")).cast("bigint"))
+            .drop("_split", "_seen", "_base", block))
+
+
 def annotation_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Raw annotation documents, one per row, with the source file.
+    """Raw annotation documents, one per row: source_file, record (their
+    place in the list of all records, which is what a record without an id is
+    known by), line (JSONL only) and the parsed v.
 
     ``.jsonl`` files are read line by line as text and parsed as VARIANT
     (``read.json`` would split a top-level array into several rows);
@@ -59,24 +84,24 @@ def annotation_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     if path.endswith(".json"):
         raw = spark.read.format("text").option("wholetext", True).load(path)
-        v = F.try_parse_json("value")
-        return (raw.select(F.input_file_name().alias("source_file"), v.alias("_doc"))
-                .select("source_file", F.explode(F.try_variant_get("_doc", "$", "array<variant>")).alias("v")))
+        docs = raw.select(F.col("_metadata.file_path").alias("source_file"), F.lit(0).alias("_block"),
+                          F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>").alias("_docs"))
+        return numbered_records(docs.select("source_file", "_block", F.explode("_docs").alias("v")))
     if path.endswith(".jsonl") or not path.rsplit("/", 1)[-1].count("."):
-        raw = spark.read.text(path)
-        return (raw.filter(F.trim("value") != "")
-                .select(F.input_file_name().alias("source_file"), F.col("value").alias("line"),
-                        F.try_parse_json("value").alias("v")))
+        raw = spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"),
+            F.col("value").alias("line"))
+        return numbered_records(raw.filter(F.trim("line") != "")).withColumn("v", F.try_parse_json("line"))
     raise ValueError("annotation files must be .json or .jsonl")
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Canonical records: id, turns (role, content), images, videos.
-    Unparseable lines come back with a null ``turns`` for routing to the
-    problem set."""
+    """Canonical records: record (place in the list), id (null where it has
+    none), turns (role, content), images, videos.  Unparseable lines come back
+    with a null ``turns`` for routing to the problem set."""
     lines = annotation_lines(spark, path)
     cols = canonical_from_variant("v")
-    return lines.select("source_file", "v", *[c.alias(n) for n, c in cols.items()])
+    return lines.select("source_file", "record", "v", *[c.alias(n) for n, c in cols.items()])
 
 
 def write_jsonl(df: DataFrame, json_col: str, path: str) -> None:
