@@ -12,6 +12,7 @@ from ..session import scratch_path
 from ..sources import fetch as FE
 from ..sources import files as SRC
 from ..streaming import ingest as ST
+from ..streaming.counters import Totals
 from . import fixtures as FX
 from .registry import loader, query
 
@@ -144,6 +145,10 @@ def _score_stream(s):
                     F.when(ok, F.round(V.cosine("img", "txt"), 6)).alias("similarity"))
 
 
+#: items in flight: rows of a micro-batch of pairs (the reference's limit) and of events
+MAX_PENDING, EVENT_ROWS = 150, 8000
+
+
 @query("stream_score", """
 SELECT a.vec_id, CASE WHEN a.label = 9 THEN 'failed' ELSE 'processed' END AS status,
        CASE WHEN a.label <> 9 THEN round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])
@@ -152,40 +157,60 @@ SELECT a.vec_id, CASE WHEN a.label = 9 THEN 'failed' ELSE 'processed' END AS sta
          AS similarity
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def stream_score(spark, d):
-    """Pairs arrive as files; a micro-batch has a bounded number of bytes
-    in flight; each batch is scored and appended to the sink."""
+    """Pairs arrive as files; at most ``MAX_PENDING`` rows are in flight;
+    each micro-batch is scored and appended to the sink."""
     src_df = _pairs(loader(spark, d))
     src = ST.stage_files(src_df, "pairs-arrivals")
-    sink, _ = ST.run_stream(spark, src, src_df.schema, _score_stream, name="score")
+    sink, _ = ST.run_stream(spark, src, src_df.schema, _score_stream, name="score", max_rows=MAX_PENDING)
     return spark.read.parquet(sink).select("vec_id", "status", "similarity")
 
 
+@query("stream_batches", f"""
+WITH p AS (SELECT count(*) AS n FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+SELECT CAST(k AS INTEGER) AS batch, CAST(least({MAX_PENDING}, n - k * {MAX_PENDING}) AS BIGINT) AS n
+FROM (SELECT n, unnest(range(CAST(ceil(n / {MAX_PENDING}) AS BIGINT))) AS k FROM p)""")
+def stream_batches(spark, d):
+    """Rows of every micro-batch: each holds ``MAX_PENDING`` but the last,
+    whatever the size of the files."""
+    src_df = _pairs(loader(spark, d)).select("vec_id", "label")
+    src = ST.stage_files(src_df, "pairs-bounded", file_rows=400)
+    _, batches = ST.run_stream(spark, src, src_df.schema, lambda s: s, name="bounded", max_rows=MAX_PENDING)
+    return batches.select("batch", "n")
+
+
 @query("stream_progress", """
 SELECT CASE WHEN a.label = 9 THEN 'failed' ELSE 'processed' END AS status, CAST(count(*) AS BIGINT) AS n
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 GROUP BY 1
 UNION ALL SELECT 'pending', CAST(0 AS BIGINT)""")
 def stream_progress(spark, d):
-    """Processed / failed counters as a complete-mode aggregation, plus
-    pending = staged - (processed + failed) once the stream stops."""
+    """Processed and failed rows, counted as they pass to the sink and summed
+    by a listener over the micro-batches, plus pending = staged - both once
+    the stream stops."""
     src_df = _pairs(loader(spark, d))
     src = ST.stage_files(src_df, "pairs-progress")
-    sink, _ = ST.run_stream(spark, src, src_df.schema,
-                            lambda s: _score_stream(s).groupBy("status").agg(F.count(F.lit(1)).alias("n")),
-                            output_mode="complete", name="progress")
-    counts = spark.read.parquet(sink).select("status", "n")
-    done = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    pending = spark.read.parquet(src).agg((F.count(F.lit(1)) - done).cast("bigint").alias("n")) \
-        .select(F.lit("pending").alias("status"), "n")
-    return counts.unionByName(pending)
+    totals = Totals("progress")
+
+    def score(s):
+        is_ = lambda k: F.count_if(F.col("status") == k).alias(k)
+        return _score_stream(s).observe("progress", is_("processed"), is_("failed"))
+
+    ST.run_stream(spark, src, src_df.schema, score, name="progress", max_rows=MAX_PENDING, totals=totals)
+    done = totals.wait()
+    staged = spark.read.parquet(src).count()            # from the footers
+    rows = [(k, n) for k, n in done.items() if n] + [("pending", staged - sum(done.values()))]
+    return spark.createDataFrame(rows, "status string, n long")
 
 
-@query("stream_dedup", "SELECT user_id, CAST(1 AS BIGINT) AS n_admitted FROM events GROUP BY user_id")
+@query("stream_dedup", f"""
+SELECT user_id, event_id FROM (
+  SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY batch, ts, event_id) AS k
+  FROM (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // {EVENT_ROWS} AS batch FROM events))
+WHERE k = 1""")
 def stream_dedup(spark, d):
-    """Skip-if-seen across arrivals: every user's first event is admitted,
-    whenever it arrives, and no other.  Which event of a user comes first
-    depends on the arrival order, so the registered result is the number of
-    admitted events of each user."""
+    """Skip-if-seen across arrivals: events arrive in the order of their ids;
+    of every user the first micro-batch that has one admits its earliest
+    event, and no later one does."""
     ev = loader(spark, d)("events").select("event_id", "user_id", "ts")
-    src = ST.stage_files(ev, "event-arrivals")
-    admitted = ST.admit_first(spark, src, ev.schema, ["user_id"], ["ts", "event_id"], name="dedup")
-    return admitted.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_admitted"))
+    src = ST.stage_files(ev, "event-arrivals", order=["event_id"])
+    return ST.admit_first(spark, src, ev.schema, ["user_id"], ["ts", "event_id"], name="dedup",
+                          max_rows=EVENT_ROWS).select("user_id", "event_id")
