@@ -16,6 +16,7 @@ from .operators import metrics as M
 from .operators import positions as P
 from .operators import rows as R
 from .operators import score as S
+from .operators import subwords as SW
 from .operators import text as X
 from .operators import validate as V
 from .sources import files as SRC
@@ -44,12 +45,16 @@ def curate(prompts: DataFrame, output_dir: str | None = None, train_ratio: float
 
 
 def convert(split_rows: DataFrame, out_path: str | None = None, min_tokens: int = X.MIN_TOKENS,
-            max_tokens: int = X.MAX_TOKENS) -> DataFrame:
+            max_tokens: int = X.MAX_TOKENS, vocabulary: str | None = None) -> DataFrame:
     """Prompts with at least ``min_tokens`` tokens -> training conversations
     (system, user[image, original prompt], assistant[truncated prompt]) as
-    JSONL text; with ``out_path`` written one folder per split."""
-    kept = X.min_token_filter(split_rows, "prompt", min_tokens, out=None)
-    conv = C.training_conversation("url", "prompt", X.truncate_tokens("prompt", max_tokens))
+    JSONL text; with ``out_path`` written one folder per split.  Tokens are
+    words, or the subwords of ``vocabulary`` (a file)."""
+    if vocabulary:
+        kept, cut = SW.truncate_subwords(split_rows, vocabulary, "id", "prompt", min_tokens, max_tokens, "_cut"), "_cut"
+    else:
+        kept, cut = X.min_token_filter(split_rows, "prompt", min_tokens, out=None), X.truncate_tokens("prompt", max_tokens)
+    conv = C.training_conversation("url", "prompt", cut)
     cols = ["split"] if "split" in split_rows.columns else []
     out = kept.select("id", *cols, C.to_jsonl(conv).alias("json"))
     if out_path:

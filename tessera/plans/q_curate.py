@@ -9,6 +9,7 @@ from ..functions.constants import TRAIN_SYSTEM_MESSAGE
 from ..operators import chat as C
 from ..operators import rows as R
 from ..operators import score as S
+from ..operators import subwords as SW
 from ..operators import text as X
 from . import fixtures as FX
 from .registry import loader, query
@@ -71,6 +72,29 @@ def truncate_any_tokenizer(spark, d):
     return p.select("id", X.truncate_tokens("prompt", tokenizer=mine).alias("truncated"))
 
 
+# ---------------------------------------------------------------- B3 B5 with subword tokens
+def vocabulary() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("subword_counts")
+def subword_counts(spark, d):
+    """Subword tokens of every prompt (no SQL: tests compare with a tokenizer)."""
+    return SW.subword_counts(FX.prompts(loader(spark, d)), vocabulary())
+
+
+@query("subword_truncate")
+def subword_truncate(spark, d):
+    """Prompts of at least 55 subword tokens, cut to their first 77."""
+    return SW.truncate_subwords(FX.prompts(loader(spark, d)).select("id", "prompt"), vocabulary()).select("id", "truncated")
+
+
+@query("subword_ids")
+def subword_ids(spark, d):
+    return SW.subword_ids(FX.prompts(loader(spark, d)), vocabulary())
+
+
 def _training(spark, d):
     p = X.min_token_filter(FX.prompts(loader(spark, d)), out=None)
     return p.select("id", C.training_conversation("url", "prompt", X.truncate_tokens("prompt")).alias("conv"))
