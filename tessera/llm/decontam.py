@@ -184,8 +184,13 @@ def count_hits(text: str):
     return run
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any hit, with the columns of ``docs``."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_words: int = 1) -> DataFrame:
+    """The rows of ``docs`` without any hit, with the columns of ``docs``.
+    Items of fewer than ``min_words`` words prove nothing and drop no row."""
+    if min_words > 1:
+        words = F.array_remove(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+", " "),
+                                       " "), "")
+        benchmark = benchmark.filter(F.size(words) >= min_words)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`"))
     return find_leaks(packed, benchmark, text).filter("n_hit = 0").select("_row.*")
 

@@ -1,7 +1,7 @@
 """Sharding by balanced label propagation.
 
-Linked documents (one link group per document; here: equal texts) move
-towards the shard in which most of their group already is.  Every round is a
+Linked documents (one link group per document: equal texts, or any key that
+the caller gives) move towards the shard in which most of their group already is.  Every round is a
 few joins and aggregations over narrow rows: votes by (group, shard), the
 favourite shard of each group, the wish matrix (from, to).  The matrix - the
 square of the number of shards, whatever the input - is turned into quotas on
@@ -13,8 +13,12 @@ move by themselves, so a group with a third of all rows spreads evenly.
 Law ``rows``: the counts of any two shards are at most one apart, from the
 first assignment on.
 
-Defined results: a null text has no bytes and is linked with empty texts; null
-or repeated doc_ids and repeated rows are rows like others (every row gets its
+Documents start in turn, one shard after the other, in the order of the input
+where the caller gives it (``order``), and have their slots in that order; else
+in a hash order.
+
+Defined results: a null text has no bytes and is linked with empty texts; a
+null link links with nothing; null or repeated doc_ids and repeated rows are rows like others (every row gets its
 own slot); extra columns are carried through, and a column of the input with
 the name of an added one is replaced; an empty table gives an empty result.
 """
@@ -22,10 +26,10 @@ the name of an added one is replaced; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.prefix import positions
+from ..operators.prefix import positions, prefix_sums
 from ._store import drop, release, saved
 
 SHARDS, ROUNDS = 40, 8
@@ -58,10 +62,19 @@ def quotas(wish: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, list[tuple[i
     return take, fill
 
 
-def balance(rows: DataFrame, group: str, key: list[str], n_shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def placed_in(rows: DataFrame, by: list[str], key: list[str], order: str | None, name: str, seed: int = 0) -> DataFrame:
+    """``name``: 0-based place of each row among those with its ``by`` values,
+    by the column ``order`` or in a hash order of ``key``."""
+    if order is None:
+        return positions(rows, by, key, name, seed)
+    return prefix_sums(rows, by, order, key, {name: F.lit(1).cast("long")}, width=20)
+
+
+def balance(rows: DataFrame, group: str, key: list[str], n_shards: int = SHARDS, rounds: int = ROUNDS,
+            order: str | None = None) -> DataFrame:
     """``rows`` with ``shard``: label propagation under the law ``rows``."""
     spark = rows.sparkSession
-    start = positions(rows, [], key, "_p").withColumn("shard", (F.col("_p") % n_shards).cast("int"))
+    start = placed_in(rows, [], key, order, "_p").withColumn("shard", (F.col("_p") % n_shards).cast("int"))
     total = rows.count()
     unit_rows = max(2, total // n_shards // 4)
     start = positions(start, [group], key, "_p", seed=1)
@@ -104,17 +117,38 @@ def balance(rows: DataFrame, group: str, key: list[str], n_shards: int = SHARDS,
 
 
 def shard_documents(docs: DataFrame, n_shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text",
-                    rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) per row."""
+                    rounds: int = ROUNDS, link: Column | None = None, order: Column | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) per row.
+
+    ``link``: documents with the same value (a long) are linked, by default
+    those of equal text.  ``order``: a long by which they are dealt and slots
+    are numbered."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    group = F.xxhash64(body) if link is None else F.coalesce(link, F.xxhash64(F.lit("own"), F.col(f"`{doc_id}`"), body))
+    more = [] if order is None else [order.cast("long").alias("_order")]
     rows = saved(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), (F.octet_length(body) + 16).cast("long").alias("size"),
                              F.crc32(F.encode(body, "UTF-8")).cast("long").alias("text_crc32"),
-                             F.xxhash64(body).alias("_group")), "sizes")
-    placed = balance(rows, "_group", ["doc_id", "_group"], n_shards, rounds)
-    out = positions(placed, ["shard"], ["doc_id", "_group"], "slot", seed=3)
+                             group.alias("_group"), *more), "sizes")
+    by = None if order is None else "_order"
+    placed = balance(rows, "_group", ["doc_id", "_group"], n_shards, rounds, by)
+    out = placed_in(placed, ["shard"], ["doc_id", "_group"], by, "slot", seed=3)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def file_order(docs: DataFrame, columns: tuple = ("doc_id", "text")) -> tuple[DataFrame, Column | None]:
+    """``columns`` of ``docs`` and, as a column, a long that gives the place of
+    each row in the files that ``docs`` is read from (files by name); None
+    where it is not read from files."""
+    own = [F.col(f"`{c}`") for c in columns]
+    if not docs.inputFiles():
+        return docs.select(*own), None
+    rows = docs.select(*own, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    files = docs.select(F.col("_metadata.file_path").alias("_path")).distinct()
+    number = files.select("_path", (F.row_number().over(Window.orderBy("_path")) - 1).cast("long").alias("_number"))   # one row a file
+    rows = rows.join(F.broadcast(number), F.col("_file") == F.col("_path"))
+    return rows, F.shiftleft(F.col("_number"), 36) + F.col("_at")
+
+
 def op5_label_propagation(spark, sf_dir: str) -> DataFrame:
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

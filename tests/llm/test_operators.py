@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -157,33 +158,71 @@ def test_ppm_odd(llm, odd_docs, no_docs):
 
 # ---- mixing -------------------------------------------------------------------
 
-def test_mixing_deviates_less_than_a_block(llm):
+def deviation(blocks, share, slots):
+    """Largest distance of any source from its share of blocks, over ``slots`` slots."""
+    t = np.arange(1, slots + 1)
+    return max(np.abs(np.searchsorted(np.sort(blocks[s]), t, "left") - float(w) * t).max() for s, w in share.items())
+
+
+@pytest.mark.parametrize("weights", [
+    {"a": 9, "b": 1}, {"a": 99, "b": 1}, {"a": 5, "b": 3, "c": 1, "d": 1}, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3},
+    {"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 1 / 7, "b": 2 / 3}, {"a": 2 ** 0.5, "b": math.pi},
+    {f"s{k}": k % 37 + 1 for k in range(1000)}, {f"s{k}": 1 / (k + 1) for k in range(1000)}])
+def test_schedule_keeps_the_given_weights(weights):
+    """Against the given weights, not those of the code under test."""
+    parts = mixing.parts_of(weights)
+    d, slots = sum(parts.values()), 10_000
+    cycle = mixing.schedule(list(parts.values()))
+    assert sorted(t for x in cycle for t in x) == list(range(d))
+    total = sum(Fraction(w) for w in weights.values())
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    blocks = {s: np.concatenate([np.array(x) + k * d for k in range(-(-slots // d))]) for s, x in zip(parts, cycle)}
+    # weights without a common unit of 1/MAX_PARTS are rounded to it, as documented
+    rounded = slots / (2 * mixing.MAX_PARTS) if any(Fraction(parts[s], d) != share[s] for s in parts) else 0
+    assert deviation(blocks, share, slots) < 1 + rounded
+    assert rounded == 0 or d == mixing.MAX_PARTS or max(abs(Fraction(parts[s], d) - share[s]) for s in parts) < 1e-15
+    for s, x in zip(parts, cycle):
+        assert all(j * d // parts[s] <= t < -(-(j + 1) * d // parts[s]) for j, t in enumerate(x))
+
+
+def test_parts_are_exact():
+    assert mixing.parts_of({"a": 9, "b": 1, "c": 0}) == {"a": 9, "b": 1}
+    assert mixing.parts_of({"a": 1 / 3, "b": 2 / 3}) == {"a": 1, "b": 2} and mixing.parts_of({"a": 0.25, "b": 0.5}) == {"a": 1, "b": 2}
+    odd = mixing.parts_of({"a": math.pi, "b": 1e-12, "c": 2 ** 0.5})
+    assert sum(odd.values()) == mixing.MAX_PARTS and odd["b"] == 1
+    with pytest.raises(ValueError):
+        mixing.parts_of({"a": 1, "b": -1})
+
+
+def test_mixing_rows_follow_the_schedule(llm):
     rows = [(i, "abcd"[min(3, i % 9)]) for i in range(9000)]
     docs = llm.createDataFrame(rows, "doc_id long, source string")
     weights = {"a": 5, "b": 3, "c": 1, "d": 1}
     got = mixing.mix_sources(docs, weights, block_rows=10).toPandas()
     assert len(got) == 9000 and (got.release <= got.slot).all() and (got.slot < got.deadline).all()
     b = got.groupby(["source", "block"]).slot.agg(["first", "nunique", "size"]).reset_index()
-    assert (b["nunique"] == 1).all() and b["first"].is_unique
-    end = b.groupby("source")["first"].max().min()
-    share = {r.source: r.w / r.d for r in mixing.stream_weights(docs.withColumnRenamed("source", "_stream"), weights, 0.5, 50)
-             .withColumnRenamed("_stream", "source").collect()}
-    assert math.isclose(sum(share.values()), 1.0)
-    for s, w in share.items():
-        at = np.sort(b[b.source == s]["first"].to_numpy())
-        for t in range(int(end)):
-            assert abs(np.searchsorted(at, t, "left") - w * t) < 1
+    assert (b["nunique"] == 1).all() and b["first"].is_unique and got.in_block.between(0, 9).all()
+    end = int(b.groupby("source")["first"].max().min())
+    blocks = {s: x["first"].to_numpy() for s, x in b.groupby("source")}
+    assert deviation(blocks, {s: Fraction(w, 10) for s, w in weights.items()}, end) < 1
+    unnamed = mixing.mix_sources(docs, {"a": 1, "c": 1}).toPandas()
+    assert unnamed[unnamed.source.isin(["b", "d"])][["slot", "release", "deadline"]].isna().all().all() and len(unnamed) == 9000
 
 
 def test_mixing_odd(llm, odd_docs, no_docs):
-    got = mixing.mix_sources(odd_docs)
-    assert got.count() == odd_docs.count() and set(odd_docs.columns) <= set(got.columns)
-    assert mixing.mix_sources(no_docs).count() == 0
+    clash = odd_docs.withColumns({c: F.lit(c) for c in ("d", "w", "slots", "_pos", "_part", "_h", "_w", "_name", "_row", "slot", "x")})
+    got = mixing.mix_sources(clash)
+    assert got.columns == [c for c in clash.columns if c not in mixing.ADDED] + mixing.ADDED
+    keep = [c for c in clash.columns if c not in mixing.ADDED]
+    assert got.select(keep).exceptAll(clash.select(keep)).count() == 0 and got.count() == odd_docs.count()
+    assert mixing.mix_sources(no_docs).count() == 0 and mixing.mix_sources(no_docs, {"a": 1}).count() == 0
     ordered = mixing.in_mix_order(odd_docs)
     assert ordered.columns == odd_docs.columns and ordered.exceptAll(odd_docs).count() == 0
     many = llm.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 700).alias("source"))
-    assert mixing.mix_sources(many, max_streams=20, block_rows=4).count() == 2000
+    mixed = mixing.mix_sources(many, block_rows=4)
+    assert mixed.count() == 2000 and mixed.filter("slot IS NULL").count() == 0
     assert mixing.mix_sources(odd_docs, {"a": 3, "b": 1}).count() == odd_docs.count()
+    assert mixing.in_mix_order(odd_docs, weights={"b": 1}).first().source == "b"
 
 
 # ---- repeated passages --------------------------------------------------------
