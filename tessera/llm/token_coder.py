@@ -1,22 +1,25 @@
-"""Token-id files: an adaptive context-mixing range coder.
+"""Token-id files: a context-mixing range coder.
 
-Ids are cut into blocks of up to ``BLOCK_IDS``.  A block stands alone: its
-header has the number of ids, the sorted distinct ids (as gaps) and a CRC-32,
-its model starts fresh.  Within a block the next id is predicted by
+A group of documents is a row of the file: document ids, lengths, a header and
+blocks of ``BLOCK_IDS`` ids (the last one what is left).  The next id of a block
+is predicted by
 
-* order 2: the id that last followed the two ids before it,
-* order 1: the id that last followed the id before it,
-* order 0: the frequencies so far of the block's ids.
+* order 2: the id that last followed the two ids before it in this block,
+* order 1: how often each id followed the id before it in the group,
+* order 0: how often each id stands in the group.
 
-Each prediction of order 2 and 1 has a confidence, and for each confidence the
-coder tracks how often the prediction was right; these rates are the weights by
-which the three are mixed into one interval per id, which drives a range coder
-(64-bit registers, 32-bit output, carries).  Order-0 tables are rebuilt
-after ever longer stretches.
+The counts of orders 0 and 1 are the header, so every block starts from them
+and from nothing else: blocks are coded and read independently, and each has its
+CRC-32.  (Counted within a block alone, 4096 ids teach little: most of what
+an id says about the next would be lost.)  An id seen after the one before it
+is coded by order 1, another by the escape of that context and order 0.  Order
+2 has a confidence for each context, and for each confidence the coder tracks
+how often the prediction came true; this rate is its share of the interval of
+the next id, which drives a range coder (64-bit registers, 32-bit output,
+carries).
 
-Coding is sequential within a block, so the blocks of a group of documents are
-coded side by side: one step codes the next id of every block with array
-operations.  A file row is one group: document ids, lengths and blocks.
+Coding is sequential within a block, so the blocks of a group are coded
+side by side: one step codes the next id of every block with array operations.
 
 Spark sorts the documents by id (range partitions), every task tokenizes and
 codes its part in groups, and the rows are written as Parquet to the shared
@@ -36,144 +39,206 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.prefix import prefix_sums
 from ..session import scratch_path
-from ._bytes import blocks, trimmed, word_hashes, words
+from ._bytes import _BASE, _INV, _TABLE, blocks, mix, powers, trimmed, words
 
 _U = np.uint64
-MAGIC = b"CMR1"
-BLOCK_IDS, MIN_BLOCK_IDS, LANES = 4096, 512, 1024
-GROUP_IDS = 3_000_000        # ids coded side by side (documents are not split)
-UNITS, ORDER0_BITS = 32, 15  # weights are in units of 1/32; order-0 frequencies add up to 2**15
-TOTAL_BITS = 20
+MAGIC = b"CMR2"
+BLOCK_IDS = 4096
+GROUP_IDS = 4_000_000        # ids coded side by side (documents are not split)
+SLOTS = 2048                 # order-2 predictions of a block
 CONF, RATE = 8, 5
-SLOTS = 1024                 # order-2 predictions of a block
-REBUILD = (64, 128, 256, 512, 1024, 2048, 3072)
+UNIT_BITS, PAIR_BITS, FINE_BITS = 5, 14, 9      # shares of order 2; frequencies of order 1; what order 0 adds
+TOTAL_BITS = UNIT_BITS + PAIR_BITS + FINE_BITS
+LEAST_PAIR = 4               # a pair met less often costs more in the header than it saves
+MAX_KINDS = 1 << 22          # distinct ids of a group
 END_ID = 1
+_WORD = _U(1 << 32)
+_MOST = _U((1 << TOTAL_BITS) - 1)
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers, the low bytes of each first, compressed."""
+    planes = [struct.pack("<I", len(a)) + a.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays]
+    return zlib.compress(b"".join(planes), 6)
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    data, out, at = zlib.decompress(data), [], 0
+    while at < len(data):
+        n, = struct.unpack_from("<I", data, at)
+        planes = np.frombuffer(data, np.uint8, 8 * n, at + 4).reshape(8, n)
+        out.append(np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64))
+        at += 4 + 8 * n
+    return out
 
 
-class _Model:
-    """The models of many blocks, one lane each.
-
-    A prediction is one 16-bit integer: id << 3 | confidence (a block has at
-    most 4096 ids).  The order-1 table of a
-    lane (by the id before) and its order-2 table (by a hash of two ids) lie in
-    one array, so that both orders are looked up and updated together, as the
-    two rows of (2, lanes) arrays."""
-
-    def __init__(self, sizes: np.ndarray):
-        n = self.n = len(sizes)
-        self.sizes = sizes.astype(np.int64)
-        self.width = 1 << max(1, int(sizes.max()).bit_length())
-        lane = self.lane = np.arange(n, dtype=np.int64)
-        self.row0, self.slot0 = lane * self.width, n * self.width + lane * SLOTS
-        self.table = np.zeros(n * (self.width + SLOTS), np.uint16)
-        self.rates = np.tile((np.arange(CONF) * 65536 * 7 // (8 * CONF)).astype(np.int32), 2 * n)
-        self.rate0 = np.arange(2 * n, dtype=np.int64).reshape(2, n) * CONF
-        self.counts = np.zeros(n * self.width, np.int64)
-        self.cum_row = lane * (self.width + 1)
-        self.a = self.b = np.zeros(n, np.int64)
-        self.at = np.empty((2, n), np.int64)
-        self.rebuild(None)
-
-    def rebuild(self, seen):
-        """Order-0 frequencies (at least 1 each) and their running sums, after
-        the ids ``seen`` (steps by lanes) since the last time."""
-        if seen is not None:
-            self.counts += np.bincount((self.row0 + seen).ravel(), minlength=len(self.counts))
-        c = self.counts.reshape(self.n, self.width)
-        known = np.arange(self.width) < self.sizes[:, None]
-        free = (1 << ORDER0_BITS) - self.sizes
-        f = c * free[:, None] // np.maximum(c.sum(1), 1)[:, None] + known
-        f[:, 0] += (1 << ORDER0_BITS) - f.sum(1)
-        cum = np.zeros((self.n, self.width + 1), np.uint16)
-        np.cumsum(f, axis=1, out=cum[:, 1:])
-        self.cum = cum.ravel()
-
-    def predict(self):
-        """Predicted ids, and the shares u2, u1, u0 of the three orders."""
-        np.add(self.row0, self.a, out=self.at[0])
-        np.add(self.slot0, ((self.a * 40503 + self.b * 30011) >> 3) & (SLOTS - 1), out=self.at[1])
-        state = self.table.take(self.at).astype(np.int32)
-        self.conf, self.pred = state & (CONF - 1), state >> 3
-        self.rate_at = self.rate0 + self.conf
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+
+
+class Prior:
+    """What the blocks of a group start from: the counts of ids and of pairs
+    in the header, and the intervals that follow from these."""
+
+    def __init__(self, header: bytes):
+        gaps, counts, pair_gaps, n = _unpacked(header)
+        self.header, self.alphabet = header, np.cumsum(gaps)
+        kinds = self.kinds = len(self.alphabet)
+        # order 0: at least 1 each, the rest by the counts
+        self.fine = max(17, kinds.bit_length() + 1)
+        f0 = 1 + counts * ((1 << self.fine) - kinds) // max(1, int(counts.sum()))
+        f0[counts.argmax()] += (1 << self.fine) - f0.sum()
+        self.cum0 = np.concatenate(([0], np.cumsum(f0)))
+        # order 1: the pairs of each context, then its escape; the last context is the start of a block
+        key = np.cumsum(pair_gaps)
+        context, follower = np.divmod(key, kinds)
+        known = np.bincount(context, n, kinds).astype(np.int64)
+        least = min(1 << PAIR_BITS, 1 << max(8, self.fine - FINE_BITS))
+        unknown = (np.maximum(counts - known, 0) << PAIR_BITS) // np.maximum(counts, 1)
+        room = (1 << PAIR_BITS) - np.clip(unknown, least, 1 << PAIR_BITS)
+        kept = np.bincount(context, minlength=kinds)
+        used = (room >= 2 * kept)[context]
+        key, context, follower, n, kept = key[used], context[used], follower[used], n[used], kept[context[used]]
+        f1 = 1 + n * (room[context] - kept) // known[context]
+        total = np.bincount(context, f1, kinds + 1).astype(np.int64)
+        self.total = total                                              # where the escape of a context begins
+        before, head = np.cumsum(f1) - f1, _heads(context)
+        start = before - np.repeat(before[head], np.diff(np.append(head, len(context))))
+        self.pair_key, self.pair_start, self.pair_size = key, start.astype(np.int32), f1.astype(np.int32)
+        # for reading: where each interval of each context begins
+        begin = np.concatenate([(context << PAIR_BITS) + start, (np.arange(kinds + 1) << PAIR_BITS) + total])
+        order = np.argsort(begin, kind="stable")
+        self.kind = np.int32 if kinds < 1 << 16 else np.int64           # half the memory to search
+        self.begin = begin[order].astype(self.kind)
+        self.symbol = np.concatenate([follower, np.full(kinds + 1, -1)])[order]
+        self.size = np.concatenate([f1, np.zeros(kinds + 1, np.int64)])[order]
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple["Prior", np.ndarray, np.ndarray]:
+        """The prior of a group, the place of each id in its alphabet, and for
+        each id but the first the interval of order 1 that it and the id
+        before it have (-1: none)."""
+        if int(ids.max()) < MAX_KINDS:
+            counts = np.bincount(ids)
+            alphabet = np.flatnonzero(counts)
+            place = np.zeros(len(counts), np.int32)
+            place[alphabet] = np.arange(len(alphabet))
+            x, counts = place[ids], counts[alphabet]
+        else:
+            alphabet, x, counts = np.unique(ids, return_inverse=True, return_counts=True)
+            if len(alphabet) >= MAX_KINDS:
+                raise ValueError(f"a group of documents has {MAX_KINDS} distinct ids or more")
+        pairs = x[:-1].astype(np.int64) * len(alphabet) + x[1:]
+        order = np.argsort(pairs)
+        ordered = pairs[order]
+        head = _heads(ordered)
+        kind, n = ordered[head], np.diff(np.append(head, len(ordered)))
+        keep = n >= np.maximum(LEAST_PAIR, counts[kind // len(alphabet)] >> PAIR_BITS - 2)   # a quarter of the intervals at most
+        prior = cls(_packed(np.diff(alphabet, prepend=0), counts, np.diff(kind[keep], prepend=0), n[keep]))
+        entry = np.full(len(kind), -1, np.int32)
+        if len(prior.pair_key):
+            at = np.minimum(np.searchsorted(prior.pair_key, kind), len(prior.pair_key) - 1)
+            entry = np.where(prior.pair_key[at] == kind, at, -1).astype(np.int32)
+        which = np.empty(len(pairs), np.int32)
+        which[order] = np.repeat(entry, n)
+        return prior, x.astype(np.int32), which
+
+
+class Recent:
+    """Order 2 of many blocks, one lane each: per hashed context the id that
+    last followed (id << 3 | confidence), and per confidence how often
+    that came true."""
+
+    def __init__(self, lanes: int):
+        self.table = np.zeros(lanes * SLOTS, np.int32)
+        self.rates = np.tile((np.arange(CONF) * 65536 * 7 // (8 * CONF)).astype(np.int32), lanes)
+        self.lane = np.arange(lanes, dtype=np.int64)
+
+    def predict(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Predicted ids, and their share in units of 1/2**UNIT_BITS."""
+        self.at = ((a * 40503 + b * 30011) >> 3 & (SLOTS - 1)) + self.lane * SLOTS
+        state = self.table.take(self.at)
+        self.conf, self.said = state & (CONF - 1), state >> 3
+        self.rate_at = self.lane * CONF + self.conf
         self.rate = self.rates.take(self.rate_at)
-        w = self.rate * (self.conf > 0)
-        self.p1, self.p2 = self.pred
-        self.u2 = (w[1] * (UNITS - 2)) >> 16
-        left = UNITS - self.u2
-        self.u1 = np.minimum((w[0] * left) >> 16, left - 1) * (self.p1 != self.p2)
-        self.u0 = left - self.u1
-
-    def update(self, x):
-        hit = self.pred == x
-        self.rates[self.rate_at] = self.rate + (((hit * np.int32(65536)) - self.rate) >> RATE)
-        keep = hit | (self.conf > 1)
+        return self.said, ((self.rate * ((1 << UNIT_BITS) - 2)) >> 16) * (self.conf > 0)
+
+    def learn(self, x: np.ndarray) -> None:
+        hit = self.said == x
+        self.rates[self.rate_at] = self.rate + ((hit * np.int32(65536) - self.rate) >> RATE)
         conf = _NEXT.take(hit * CONF + self.conf)
-        self.table[self.at] = np.where(keep, self.pred << 3 | conf, x << 3 | 1)
-        self.b, self.a = self.a, x
+        self.table[self.at] = np.where(hit | (self.conf > 1), self.said << 3 | conf, x << 3 | 1)
 
 
 #: next confidence after a miss (first CONF) and after a hit
 _NEXT = np.array([1, 1] + [c >> 1 for c in range(2, CONF)] + [min(c + 1, CONF - 1) for c in range(CONF)], np.int32)
-_WORD = _U(1 << 32)
 
 
-def encode_lanes(x: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Code the rows of ``x`` (lanes by ids, as alphabet positions)."""
-    n, steps = x.shape
-    model = _Model(sizes)
+def encode_lanes(prior: Prior, x: np.ndarray, which: np.ndarray, last: int) -> list[bytes]:
+    """Code the columns of ``x`` (steps by lanes, places in the alphabet);
+    ``which``: intervals of order 1; the last lane has only ``last`` ids."""
+    steps, n = x.shape
+    a = np.concatenate([np.full((1, n), prior.kinds, np.int32), x[:-1]])
+    b = np.concatenate([np.full((1, n), prior.kinds, np.int32), a[:-1]])
+    # intervals of order 1 and 0 of every id; both are scaled by the share m that order 2 leaves
+    total, cum0 = prior.total.astype(np.int32), prior.cum0.astype(np.int32)
+    esc = which < 0
+    pair_start, pair_size = np.append(prior.pair_start, 0), np.append(prior.pair_size, 0)
+    start1 = np.where(esc, total[a], pair_start[which]) << FINE_BITS
+    size1 = np.where(esc, 0, pair_size[which]) << FINE_BITS
+    rest = np.where(esc, (1 << PAIR_BITS) - total[a], 0)
+    start0, size0 = np.where(esc, cum0[x], 0), np.where(esc, np.diff(cum0)[x], 0)
+    recent, down = Recent(n), prior.fine - FINE_BITS
     low, rng = np.zeros(n, _U), np.full(n, _U(0xFFFFFFFFFFFFFFFF))
-    out = np.zeros((n, steps + 8), np.uint32)
-    at = np.zeros(n, np.int64)
-    columns = np.ascontiguousarray(x.T)
-    last = 0
+    out, to = np.zeros((n, steps + 8), np.uint32), np.zeros(n, np.int64)
+    lanes, ended = np.arange(n), b""
     for t in range(steps):
-        if t in REBUILD:
-            model.rebuild(columns[last:t])
-            last = t
-        model.predict()
-        s = columns[t].astype(np.int64)
-        c = model.cum_row + s
-        lo0 = model.cum.take(c).astype(np.int32)
-        w2, w1 = model.u2 << ORDER0_BITS, model.u1 << ORDER0_BITS
-        start = w2 + w1 + lo0 * model.u0
-        freq = (model.cum.take(c + 1) - lo0) * model.u0
-        by1 = (model.p1 == s) & (model.u1 > 0)
-        start, freq = np.where(by1, w2, start), np.where(by1, w1, freq)
-        by2 = (model.p2 == s) & (model.u2 > 0)
-        start, freq = np.where(by2, 0, start), np.where(by2, w2, freq)
+        if t == last:
+            ended = out[-1, :to[-1]].tobytes() + struct.pack("<II", int(low[-1]) >> 32, int(low[-1]) & 0xFFFFFFFF)
+        s = x[t]
+        said, u = recent.predict(a[t], b[t])
+        m = (1 << UNIT_BITS) - u
+        unit = (m * rest[t]) >> down
+        two = said == s
+        two &= u > 0
+        start = np.where(two, 0, (u << PAIR_BITS + FINE_BITS) + m * start1[t] + unit * start0[t])
+        size = np.where(two, u << PAIR_BITS + FINE_BITS, m * size1[t] + unit * size0[t])
         r = rng >> _U(TOTAL_BITS)
         new = low + start.astype(_U) * r
         over = new < low
         if over.any():                                   # carry into the words already written
             for k in np.flatnonzero(over):
-                j = at[k] - 1
+                j = to[k] - 1
                 while out[k, j] == 0xFFFFFFFF:
                     out[k, j] = 0
                     j -= 1
                 out[k, j] += 1
-        low = new
-        rng = freq.astype(_U) * r
+        low, rng = new, size.astype(_U) * r
         idx = np.flatnonzero(rng < _WORD)
         if len(idx):
             lo = low[idx]
-            out[idx, at[idx]] = lo >> _U(32)
-            at[idx] += 1
+            out[idx, to[idx]] = lo >> _U(32)
+            to[idx] += 1
             low[idx] = lo << _U(32)
             rng[idx] <<= _U(32)
-        model.update(s)
-    out[model.lane, at] = low >> _U(32)
-    out[model.lane, at + 1] = low & _U(0xFFFFFFFF)
-    return [out[k, :at[k] + 2].tobytes() for k in range(n)]
+        recent.learn(s)
+    out[lanes, to] = low >> _U(32)
+    out[lanes, to + 1] = low & _U(0xFFFFFFFF)
+    coded = [out[k, :to[k] + 2].tobytes() for k in range(n)]
+    return coded if last == steps else coded[:-1] + [ended]
 
 
-def decode_lanes(payloads: list[bytes], sizes: np.ndarray, steps: int) -> np.ndarray:
-    """The inverse of ``encode_lanes`` for blocks of ``steps`` ids."""
+def decode_lanes(prior: Prior, payloads: list[bytes], steps: int) -> np.ndarray:
+    """The inverse of ``encode_lanes`` (steps by lanes); what follows the end
+    of a shorter block means nothing."""
     n = len(payloads)
-    model = _Model(sizes)
     length = max(len(p) for p in payloads) // 4
     data = np.zeros((n, length + 4), np.uint32)
     for k, p in enumerate(payloads):
@@ -182,120 +247,106 @@ def decode_lanes(payloads: list[bytes], sizes: np.ndarray, steps: int) -> np.nda
     limit = at + length + 1
     diff = (data[:, 0].astype(_U) << _U(32)) | data[:, 1]       # code minus the interval's low end
     rng = np.full(n, _U(0xFFFFFFFFFFFFFFFF))
-    out = np.empty((steps, n), np.int16)
-    levels = [1 << k for k in range(model.width.bit_length() - 2, -1, -1)]
-    last = 0
+    recent, down = Recent(n), prior.fine - FINE_BITS
+    a = b = np.full(n, prior.kinds, np.int64)
+    out = np.empty((steps, n), np.int32)
     for t in range(steps):
-        if t in REBUILD:
-            model.rebuild(out[last:t])
-            last = t
-        model.predict()
+        said, u = recent.predict(a, b)
+        m = (1 << UNIT_BITS) - u
         r = rng >> _U(TOTAL_BITS)
-        v = np.minimum(diff // r, _U((1 << TOTAL_BITS) - 1)).astype(np.int64)
-        w2, w1 = model.u2 << ORDER0_BITS, model.u1 << ORDER0_BITS
-        skip = w2 + w1
-        by2, missed = v < w2, v >= skip
-        s = np.where(by2, model.p2, model.p1).astype(np.int64)
-        start, freq = np.where(by2, 0, w2), np.where(by2, w2, w1)
-        miss = np.flatnonzero(missed)
-        if len(miss):
-            m = model.u0[miss]
-            q = ((v[miss] - skip[miss]) * _RECIPROCAL.take(m)) >> 32
-            base = model.cum_row[miss]
-            found = base.copy()
-            for step in levels:
-                found += (model.cum.take(found + step) <= q) * step
-            lo0 = model.cum.take(found).astype(np.int64)
-            s[miss] = found - base
-            start[miss] = skip[miss] + lo0 * m
-            freq[miss] = (model.cum.take(found + 1) - lo0) * m
+        v = np.minimum(diff // r, _MOST).astype(np.int64)
+        skip = u.astype(np.int64) << PAIR_BITS + FINE_BITS
+        w = v - skip
+        base = a << PAIR_BITS
+        found = prior.begin.searchsorted((base + (np.maximum(w, 0) // m >> FINE_BITS)).astype(prior.kind), "right") - 1
+        s = prior.symbol[found]
+        start1 = prior.begin[found] - base
+        start, size = skip + ((m * start1) << FINE_BITS), (m * prior.size[found]) << FINE_BITS
+        esc = np.flatnonzero((s < 0) & (w >= 0))
+        if len(esc):
+            unit = (m[esc] * ((1 << PAIR_BITS) - start1[esc])) >> down
+            q = np.minimum((v[esc] - start[esc]) // unit, (1 << prior.fine) - 1)
+            s0 = prior.cum0.searchsorted(q, "right") - 1
+            s[esc] = s0
+            start[esc] += unit * prior.cum0[s0]
+            size[esc] = unit * (prior.cum0[s0 + 1] - prior.cum0[s0])
+        two = w < 0
+        s, start, size = np.where(two, said, s), np.where(two, 0, start), np.where(two, skip, size)
         out[t] = s
-        diff -= start.astype(_U) * r
-        rng = freq.astype(_U) * r
+        diff = diff - start.astype(_U) * r
+        rng = size.astype(_U) * r
         idx = np.flatnonzero(rng < _WORD)
         if len(idx):
             diff[idx] = (diff[idx] << _U(32)) | flat[np.minimum(at[idx], limit[idx])]
             at[idx] += 1
             rng[idx] <<= _U(32)
-        model.update(s)
-    return out.T
-
-
-#: (x * _RECIPROCAL[m]) >> 32 is x // m for x below 2**20
-_RECIPROCAL = np.array([0] + [-(-(1 << 32) // m) for m in range(1, UNITS + 1)], np.int64)
-
-
-def _gaps(ids: np.ndarray) -> bytes:
-    """Sorted distinct ids as gaps of 1, 2 or 4 bytes, after that number."""
-    g = np.diff(ids, prepend=0)
-    width = 1 if g.max() < 1 << 8 else 2 if g.max() < 1 << 16 else 4
-    return bytes([width]) + g.astype(f"<u{width}").tobytes()
-
-
-def _ungaps(data: bytes, n: int) -> tuple[np.ndarray, int]:
-    width = data[0]
-    return np.cumsum(np.frombuffer(data, f"<u{width}", n, 1).astype(np.int64)), 1 + n * width
+        recent.learn(out[t])
+        a, b = s, a
+    return out
 
 
-_HEAD = struct.Struct("<4sIHI")
+_HEAD = struct.Struct("<4sI")
 
 
-def encode(ids: np.ndarray, block_ids: int | None = None) -> list[bytes]:
-    """Blocks of a sequence of ids (below 2**31)."""
+def encode(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
+    """(header, blocks) of a sequence of ids (0 and more)."""
     total = len(ids)
     if not total:
-        return []
-    size = block_ids or max(MIN_BLOCK_IDS, min(BLOCK_IDS, -(-total // LANES)))
-    lanes = -(-total // size)
-    alphabets, sizes = [], np.zeros(lanes, np.int64)
-    x = np.zeros((lanes, size), np.int16)
-    for k in range(lanes):
-        part = ids[k * size:(k + 1) * size]
-        u, inv = np.unique(part, return_inverse=True)
-        alphabets.append(u)
-        sizes[k] = len(u)
-        x[k, :len(part)] = inv
+        return b"", []
+    prior, places, pairs = Prior.of(ids)
+    steps = min(total, BLOCK_IDS)
+    lanes = -(-total // BLOCK_IDS)
+    x, which = np.zeros(lanes * steps, np.int32), np.full(lanes * steps, -1, np.int32)
+    x[:total], which[1:total] = places, pairs
+    which[::steps] = -1                                  # a block begins with nothing before it
+    columns = [np.ascontiguousarray(v.reshape(lanes, steps).T) for v in (x, which)]
+    last = total - (lanes - 1) * BLOCK_IDS
     out = []
-    for k, payload in enumerate(encode_lanes(x, sizes)):
-        body = _gaps(alphabets[k]) + payload
-        head = _HEAD.pack(MAGIC, min(size, total - k * size), int(sizes[k]), size)
-        out.append(head + struct.pack("<I", zlib.crc32(head + body)) + body)
-    return out
+    for k, payload in enumerate(encode_lanes(prior, *columns, last)):
+        head = _HEAD.pack(MAGIC, steps if k < lanes - 1 else last)
+        out.append(head + struct.pack("<I", zlib.crc32(head + payload)) + payload)
+    return prior.header, out
 
 
-def decode(coded: list[bytes]) -> np.ndarray:
-    """The ids of blocks, which may be of one or several sizes."""
+def decode(header: bytes, coded: list[bytes]) -> np.ndarray:
+    """The ids of some blocks of a group, one after the other."""
     if not coded:
         return np.zeros(0, np.int64)
-    parts = []
-    for b in coded:
-        magic, count, kinds, size = _HEAD.unpack_from(b)
-        crc, = struct.unpack_from("<I", b, _HEAD.size)
-        body = b[_HEAD.size + 4:]
-        if magic != MAGIC or crc != zlib.crc32(b[:_HEAD.size] + body):
+    counts, payloads = [], []
+    for block in coded:
+        magic, count = _HEAD.unpack_from(block)
+        crc, = struct.unpack_from("<I", block, _HEAD.size)
+        payload = block[_HEAD.size + 4:]
+        if magic != MAGIC or crc != zlib.crc32(block[:_HEAD.size] + payload):
             raise ValueError("token block: wrong magic or checksum")
-        alphabet, used = _ungaps(body, kinds)
-        parts.append((size, count, alphabet, body[used:]))
-    out = [None] * len(parts)
-    for size in {p[0] for p in parts}:
-        at = [k for k, p in enumerate(parts) if p[0] == size]
-        x = decode_lanes([parts[k][3] for k in at], np.array([len(parts[k][2]) for k in at]), size)
-        for row, k in enumerate(at):
-            out[k] = parts[k][2][x[row, :parts[k][1]]]
-    return np.concatenate(out)
+        counts.append(count)
+        payloads.append(payload)
+    prior = Prior(header)
+    x = decode_lanes(prior, payloads, max(counts))
+    return prior.alphabet[np.concatenate([x[:c, k] for k, c in enumerate(counts)])]
 
 
 # ---- tokenizing -------------------------------------------------------------
 
 _CACHE: dict = {}
 CACHE_WORDS = 1_500_000
+_BYTES = np.where(np.isin(np.arange(256), [9, 10, 11, 12, 13, 32]), _U(0), _TABLE)
+
+
+def exact_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of every word, letter by letter as it is."""
+    if len(starts) == 0:
+        return np.zeros(0, _U)
+    n = len(raw)
+    h = np.add.reduceat(_BYTES[raw] * powers(_BASE, n), starts)
+    return mix(h * powers(_INV, n)[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
 class WordTokenizer:
     """Ids of texts from the ids of their words, for a tokenizer that never
     joins text across white space.  Words are told apart by a 64-bit hash
-    with A-Z lower-cased (the tokenizer lower-cases too); the ids of up to
-    ``CACHE_WORDS`` words are remembered."""
+    of their bytes as they are (special tokens are case-sensitive); the ids
+    of up to ``CACHE_WORDS`` words are remembered."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -328,7 +379,7 @@ class WordTokenizer:
     def ids(self, raw: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end_id``; ids of each text)."""
         starts, ends, first = words(raw, off)
-        h = word_hashes(raw, starts, ends)
+        h = exact_hashes(raw, starts, ends)
         order = np.argsort(h)
         ordered = h[order]
         head = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))[:len(h)])
@@ -364,24 +415,26 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _CACHE[path]
 
 
-FILE_ROW = "group_key long, doc_id array<long>, n_tokens array<long>, blocks array<binary>"
+GROUP_KEY_BITS = 32          # groups of a partition
+FILE_ROW = "group_key long, doc_id array<long>, n_tokens array<long>, header binary, blocks array<binary>"
 
 
 def write_groups(path: str, end_id: int, group_ids: int):
     """Rows of the file from texts in ascending order of doc_id."""
     schema = pa.schema([("group_key", pa.int64()), ("doc_id", pa.list_(pa.int64())),
-                        ("n_tokens", pa.list_(pa.int64())), ("blocks", pa.list_(pa.binary()))])
+                        ("n_tokens", pa.list_(pa.int64())), ("header", pa.binary()), ("blocks", pa.list_(pa.binary()))])
 
-    def row(docs, sizes, ids):
+    def row(key, docs, sizes, ids):
         docs = pa.concat_arrays(docs)
-        key = hash((docs[0].as_py(), len(docs), zlib.crc32(np.concatenate(ids).tobytes()))) & (1 << 62) - 1
+        header, coded = encode(np.concatenate(ids))
         return pa.RecordBatch.from_arrays(
             [pa.array([key], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
-             pa.array([np.concatenate(sizes)], pa.list_(pa.int64())),
-             pa.array([encode(np.concatenate(ids))], pa.list_(pa.binary()))], schema=schema)
+             pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([header], pa.binary()),
+             pa.array([coded], pa.list_(pa.binary()))], schema=schema)
 
     def run(batches):
         tokenizer = word_tokenizer(path)
+        key = TaskContext.get().partitionId() << GROUP_KEY_BITS       # partitions follow doc_id, groups their partition
         docs, sizes, ids, held = [], [], [], 0
         for batch in batches:
             doc_ids = batch.column("doc_id")
@@ -392,10 +445,10 @@ def write_groups(path: str, end_id: int, group_ids: int):
                 ids.append(got)
                 held += len(got)
                 if held >= group_ids:
-                    yield row(docs, sizes, ids)
-                    docs, sizes, ids, held = [], [], [], 0
+                    yield row(key, docs, sizes, ids)
+                    docs, sizes, ids, held, key = [], [], [], 0, key + 1
         if docs:
-            yield row(docs, sizes, ids)
+            yield row(key, docs, sizes, ids)
     return run
 
 
@@ -406,7 +459,7 @@ def read_groups(batches):
     """Per document: position in the group, number and checksum of its ids."""
     for batch in batches:
         for r in range(batch.num_rows):
-            ids = decode(batch.column("blocks")[r].as_py()).astype("<u4")
+            ids = decode(batch.column("header")[r].as_py(), batch.column("blocks")[r].as_py()).astype("<u4")
             docs, n = batch.column("doc_id")[r].values, batch.column("n_tokens")[r].values.to_numpy()
             end = np.cumsum(n)
             data = memoryview(ids.tobytes())
@@ -430,12 +483,10 @@ def read_ids(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files: ``start`` counts
     the ids of all documents before it."""
     file = spark.read.schema(FILE_ROW).parquet(path)
-    # one row per group of documents (millions of ids each): small at any size
-    size = file.select("group_key", F.element_at("doc_id", 1).alias("first"), F.element_at("doc_id", -1).alias("last"),
-                       F.expr("aggregate(n_tokens, 0L, (s, x) -> s + x)").alias("size"))
-    before = Window.orderBy(F.col("first").asc_nulls_first(), F.col("last").asc_nulls_first(), "group_key").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offset = size.select(F.col("group_key").alias("_g"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("_o"))
+    # one row a group of documents; summed within each partition first
+    size = file.select("group_key", F.expr("aggregate(n_tokens, 0L, (s, x) -> s + x)").alias("size"))
+    offset = prefix_sums(size, [], "group_key", [], {"_o": F.col("size")}, width=GROUP_KEY_BITS).select(
+        F.col("group_key").alias("_g"), "_o")
     got = file.mapInArrow(trimmed(read_groups), READ_ROW)
     return got.join(offset, got["group_key"] == offset["_g"]).select(
         "doc_id", (F.col("_o") + F.col("at")).cast("long").alias("start"), "n_tokens", "ids_crc32")

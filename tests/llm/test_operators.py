@@ -368,20 +368,71 @@ def test_leaks_odd_and_in_blocks(llm, odd_docs, no_docs):
 
 # ---- token files --------------------------------------------------------------
 
+def coded_bits(ids):
+    header, coded = token_coder.encode(ids)
+    assert (token_coder.decode(header, coded) == ids).all()
+    return 8 * (len(header) + sum(map(len, coded)))
+
+
 def test_coder_round_trip():
     rnd = np.random.default_rng(0)
-    for n, k in ((1, 1), (5, 3), (600, 2), (3000, 40000), (20000, 300), (5000, 1)):
+    size = token_coder.BLOCK_IDS
+    for n, k in ((1, 1), (5, 3), (600, 2), (3000, 40000), (20000, 300), (5000, 1), (size, 9), (size + 1, 9), (3 * size, 50), (70_000, 60_000)):
         ids = rnd.integers(0, k, n) * 7 % 49408
-        coded = token_coder.encode(ids)
-        assert (token_coder.decode(coded) == ids).all()
-        assert all((token_coder.decode([b]) == token_coder.decode(coded)[i * 512:(i + 1) * 512]).all()
+        header, coded = token_coder.encode(ids)
+        assert (token_coder.decode(header, coded) == ids).all() and len(coded) == -(-n // size)
+        assert all((token_coder.decode(header, [b]) == ids[i * size:(i + 1) * size]).all()
                    for i, b in enumerate(coded[:3]))                    # blocks stand alone
+        assert (token_coder.decode(header, coded[-1:]) == ids[(len(coded) - 1) * size:]).all()
+    big = rnd.integers(0, 1 << 31, 9000)
+    assert coded_bits(big) and coded_bits(np.arange(100_000))
     text = np.tile(np.arange(50), 400)
-    assert sum(map(len, token_coder.encode(text))) < len(text) / 2
-    broken = bytearray(token_coder.encode(text)[0])
+    assert coded_bits(text) < len(text)
+    header, coded = token_coder.encode(text)
+    broken = bytearray(coded[0])
     broken[-1] ^= 1
     with pytest.raises(ValueError):
-        token_coder.decode([bytes(broken)])
+        token_coder.decode(header, [bytes(broken)])
+    assert token_coder.encode(np.zeros(0, np.int64)) == (b"", []) and len(token_coder.decode(b"", [])) == 0
+
+
+def test_every_order_pays(monkeypatch, llm):
+    """Below the entropy of single ids, and each order saves something."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [r.text or "" for r in llm.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400).collect()]
+    ids = np.concatenate([e.ids + [1] for e in tok.encode_batch(texts, add_special_tokens=False)])[:300_000]
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    full = coded_bits(ids)
+    assert full < 0.9 * len(ids) * -(share * np.log2(share)).sum()
+    real = token_coder.Recent.predict
+    monkeypatch.setattr(token_coder.Recent, "predict", lambda self, a, b: (real(self, a, b)[0], np.zeros(len(a), np.int32)))
+    without_2 = coded_bits(ids)
+    monkeypatch.setattr(token_coder, "LEAST_PAIR", 1 << 40)
+    assert full < without_2 < coded_bits(ids)
+
+
+def test_special_tokens_and_repeated_rows(llm, tmp_path):
+    """Words are known by their bytes as they are, in any order of texts; equal rows that fill a group each stay apart."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    mixed = ["<|endoftext|> <|ENDOFTEXT|>", "<|ENDOFTEXT|> <|endoftext|>", "The THE the", "x<|endoftext|>y X<|EndOfText|>Y"]
+    big = " ".join(f"w{k}" for k in range(3000))
+    for order in (mixed, mixed[::-1]):
+        rows = [*enumerate(order), (50, big), (50, big), (50, big), (60, "short"), (60, "short")]
+        out = str(tmp_path / f"s{order is mixed}")
+        token_coder.write_ids(llm.createDataFrame(rows, "doc_id long, text string").coalesce(1), path, out, group_ids=1000)
+        got = sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in token_coder.read_ids(llm, out).collect())
+        want = []
+        for i, t in rows:
+            ids = np.array(tok.encode(t, add_special_tokens=False).ids + [1], "<u4")
+            want.append((i, len(ids), zlib.crc32(ids.tobytes())))
+        assert got == sorted(want)
+        starts = sorted((r.start, r.n_tokens) for r in token_coder.read_ids(llm, out).collect())
+        assert [s for s, _ in starts] == list(np.cumsum([0] + [n for _, n in starts])[:-1])
 
 
 def test_token_files(llm, odd_docs, no_docs, tmp_path):
