@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import tokens as TK
 from .operators import batching as B
 from .operators import chat as C
+from .operators import factor as FA
 from .operators import metrics as M
 from .operators import positions as P
 from .operators import rows as R
@@ -133,4 +134,4 @@ def enhance(prompts: DataFrame, responses: DataFrame, key: str = "id", min_words
 def evaluate(features: DataFrame, probs: str, img: str, txt: str, side: str, real, generated) -> tuple[DataFrame, float]:
     """(per side n, Inception Score and CLIP score; Fréchet distance)."""
     return (M.report(features, probs, img, txt, [side]),
-            M.frechet_distance(features, img, side, real, generated))
+            FA.frechet_distance(features, img, side, real, generated))

@@ -3,9 +3,8 @@
 Means, covariances, Inception Score and CLIP score are distributed
 aggregations: every row contributes partial sums that Spark merges
 map-side before the shuffle, so the exchange carries one partial state per
-(partition, group) and never the rows.  Only the Fréchet
-finish - a d x d eigen-decomposition whose size is fixed by the feature
-width, not by the data - runs on the driver.
+(partition, group) and never the rows.  The Fréchet distance is in
+``factor``.
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ from pyspark.sql import types as T
 from ..functions import vectors as V
 
 IS_EPS = 1e-16
-FID_EPS = 1e-6
 CLIP_SCALE = 2.5
 
 
@@ -92,34 +90,6 @@ def moments(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame:
     return keyed.mapInPandas(part, cells).repartition(*by, "i").mapInPandas(add, out)
 
 
-def frechet_from_moments(mu1: np.ndarray, s1: np.ndarray, mu2: np.ndarray, s2: np.ndarray,
-                         eps: float = FID_EPS) -> float:
-    """||mu1-mu2||^2 + tr(S1 + S2 - 2 sqrt(S1 S2)); trace of the principal
-    square root = sum of square roots of the eigenvalues (real part kept);
-    an eps ridge is added when the root is not finite."""
-    def tr_sqrt(a):
-        ev = np.linalg.eigvals(a).astype(complex)
-        return np.sqrt(ev).sum()
-    t = tr_sqrt(s1 @ s2)
-    if not np.isfinite(t):
-        off = np.eye(s1.shape[0]) * eps
-        t = tr_sqrt((s1 + off) @ (s2 + off))
-    diff = mu1 - mu2
-    return float(diff @ diff + np.trace(s1) + np.trace(s2) - 2.0 * t.real)
-
-
-def frechet_distance(df: DataFrame, vec: str, side: str, real, generated) -> float:
-    """Fréchet distance between two sides of ``df`` (distributed moments,
-    d x d finish on the driver)."""
-    m = moments(df.filter(F.col(side).isin(real, generated)), vec, [side])
-    got = m.select(side, "i", "mean_i", "cov").collect()       # 2 * d rows of d values, fixed by the feature width
-    mats = {}
-    for which in (real, generated):
-        rows = sorted((r for r in got if r[side] == which), key=lambda r: r["i"])
-        mats[which] = np.array([r["mean_i"] for r in rows]), np.array([r["cov"] for r in rows], float)
-    return frechet_from_moments(*mats[real], *mats[generated])
-
-
 def inception_score(df: DataFrame, probs: str, by: Sequence[str] = (), eps: float = IS_EPS) -> DataFrame:
     """exp(mean_i KL(p_i || p_bar)) in one pass per group:
     mean_i sum_k p_ik ln(p_ik + eps) - sum_k p_bar_k ln(p_bar_k + eps),

@@ -9,6 +9,7 @@ from ..functions.constants import TRAIN_SYSTEM_MESSAGE
 from ..operators import chat as C
 from ..operators import rows as R
 from ..operators import score as S
+from ..operators import select as SEL
 from ..operators import subwords as SW
 from ..operators import text as X
 from . import fixtures as FX
@@ -45,6 +46,22 @@ def ratio_split(spark, d):
     return R.ratio_split(s, S.rank_order("similarity", "id"), 0.8, pos="rank").select("id", "rank", "split")
 
 
+@query("split_by_threshold", W(FX.SCORED_SQL + RANK_SQL) + """
+SELECT id, CASE WHEN rank < floor((SELECT count(*) FROM ranked) * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split
+FROM ranked""")
+def split_by_threshold(spark, d):
+    """The split of the ranking by its one cutting key: no row is ranked."""
+    s = FX.scored_prompts(loader(spark, d)).select("id", "similarity")
+    return SEL.split_by_threshold(s, S.rank_order("similarity", "id"), 0.8).select("id", "split")
+
+
+@query("sample_by_threshold", W(FX.PROMPTS_SQL) + """
+SELECT id FROM (SELECT id, row_number() OVER (ORDER BY md5('0:' || CAST(id AS VARCHAR)), id) - 1 AS pos,
+                       count(*) OVER () AS n FROM prompts) WHERE pos < floor(n * CAST(0.25 AS DOUBLE))""")
+def sample_by_threshold(spark, d):
+    return SEL.sample_by_threshold(FX.prompts(loader(spark, d)).select("id"), "id", 0.25)
+
+
 # ---------------------------------------------------------------- B3 B5 C1 A4
 @query("min_token_filter", W(FX.PROMPTS_SQL) + f"""
 SELECT id, n_tokens FROM (SELECT id, {word_count('prompt')} AS n_tokens FROM prompts) WHERE n_tokens >= 55""")

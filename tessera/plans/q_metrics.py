@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import factor as FA
 from ..operators import metrics as M
 from . import fixtures as FX
 from .registry import loader, query
@@ -65,7 +66,7 @@ def covariance_long(spark, d):
 def frechet_distance(spark, d):
     """Fréchet distance real vs generated (rows check; numpy cross-check
     in tests)."""
-    fid = M.frechet_distance(_emb(spark, d), "embedding", "side", "real", "generated")
+    fid = FA.frechet_distance(_emb(spark, d), "embedding", "side", "real", "generated")
     return spark.createDataFrame([(round(fid, 9),)], "frechet_distance double")
 
 
@@ -83,7 +84,7 @@ def frechet_affine(spark, d):
     moved = F.transform("embedding", lambda x: x.cast("double") * C_GEN + B_GEN)
     both = e.select(F.lit("real").alias("side"), V._d("embedding").alias("v")).unionByName(
         e.select(F.lit("generated").alias("side"), moved.alias("v")))
-    fid = M.frechet_distance(both, "v", "side", "real", "generated")
+    fid = FA.frechet_distance(both, "v", "side", "real", "generated")
     return spark.createDataFrame([(round(fid, 6),)], "frechet_distance double")
 
 

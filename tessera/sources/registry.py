@@ -53,7 +53,7 @@ class Registry:
         """Union of the named datasets, each exact-sampled at its rate,
         tagged with ``dataset``, ``data_path`` and ``sampling_rate``.
         Unknown names raise, as the reference does."""
-        from ..operators.rows import sample_exact
+        from ..operators.select import sample_by_threshold
         frames = []
         for spec in specs:
             name, rate = parse_spec(spec)
@@ -62,7 +62,7 @@ class Registry:
             ds = self._d[name]
             df = ds.reader(spark)
             if rate < 1.0:
-                df = sample_exact(df, id_col, rate, seed=seed).drop("pos")
+                df = sample_by_threshold(df, id_col, rate, seed=seed)
             frames.append(df.withColumn("dataset", F.lit(name))
                           .withColumn("data_path", F.lit(ds.data_path))
                           .withColumn("sampling_rate", F.lit(rate)))

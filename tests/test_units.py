@@ -18,6 +18,7 @@ from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import chat as C
 from tessera.operators import geometry as GO
+from tessera.operators import factor as FA
 from tessera.operators import metrics as M
 from tessera.operators import rows as R
 from tessera.operators import text as X
@@ -221,7 +222,7 @@ def test_inception_uniform_and_fid_identical(spark):
     X2 = rng.standard_normal((200, d)) * 1.3 + 0.2
     rows = [("real", v.tolist()) for v in X1] + [("generated", v.tolist()) for v in X2]
     df = spark.createDataFrame(rows, "side string, v array<double>").repartition(3)
-    fid = M.frechet_distance(df, "v", "side", "real", "generated")
+    fid = FA.frechet_distance(df, "v", "side", "real", "generated")
     mu1, mu2 = X1.mean(0), X2.mean(0)
     s1, s2 = np.cov(X1, rowvar=False), np.cov(X2, rowvar=False)
     ev = np.linalg.eigvals(s1 @ s2).astype(complex)
@@ -229,7 +230,7 @@ def test_inception_uniform_and_fid_identical(spark):
     assert abs(fid - ref) < 1e-9
     same = spark.createDataFrame([("real", v.tolist()) for v in X1] + [("generated", v.tolist()) for v in X1],
                                  "side string, v array<double>")
-    assert abs(M.frechet_distance(same, "v", "side", "real", "generated")) < 1e-6
+    assert abs(FA.frechet_distance(same, "v", "side", "real", "generated")) < 1e-6
     cov = {(r["i"], r["j"]): r["cov"] for r in M.covariance_long(df.filter("side = 'real'"), "v").collect()}
     assert max(abs(cov[(i, j)] - s1[i, j]) for i in range(d) for j in range(d)) < 1e-12
 
