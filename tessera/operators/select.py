@@ -6,8 +6,8 @@ that still belongs - and not the place of every row.  ``kth_key`` finds it in a
 few passes over the order columns alone: a quantile sketch of the keys between
 two bounds proposes two new bounds around the wanted rank, the next pass counts
 exactly what lies below, at, between and above them, and goes on where the rank
-falls; with a thousand quantiles each pass keeps about a five-hundredth.  When
-few enough keys are left, their counts are read.  Nothing is moved but sketches
+falls; with two hundred quantiles each pass keeps about a hundredth.  When
+few enough keys are left, they are read.  Nothing is moved but sketches
 and counts, however many rows are equal: equal rows of one column are told apart
 by the next one.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .rows import _order_value, seeded_key
 
-QUANTILES, ACCURACY, FEW = 1000, 20_000, 10_000
+QUANTILES, ACCURACY, FEW = 200, 2_000, 10_000
 _PIECE = 6               # bytes of a text key that make one number
 
 
@@ -59,10 +59,19 @@ def kth_key(df: DataFrame, keys: Sequence[Column], k: int) -> tuple[list, int]:
     that agree in all of them."""
     names = [f"_k{i}" for i in range(len(keys))]
     rest, values = df.select(*[c.alias(n) for n, c in zip(names, keys)]), []
-    for name in names:
-        value, k = _kth_value(rest.select(name), F.col(name), k)
+    while names:
+        # one pass: how many, and which leading columns have one value only (a null flag, mostly)
+        seen = rest.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}{c}") for c in names for f in (F.min, F.max, F.count)]).first()
+        if seen["n"] <= FEW:
+            rows = rest.select(*names).orderBy(*names).collect()
+            found = tuple(rows[k])
+            return values + list(found), k - [tuple(r) for r in rows].index(found)
+        name = names.pop(0)
+        value = seen[f"min{name}"]
+        if value != seen[f"max{name}"] or seen[f"count{name}"] not in (0, seen["n"]):
+            value, k = _kth_value(rest.select(name), F.col(name), k)
+            rest = rest.filter(F.col(name).isNull() if value is None else F.col(name) == F.lit(value))
         values.append(value)
-        rest = rest.filter(F.col(name).isNull() if value is None else F.col(name) == F.lit(value))
     return values, k
 
 

@@ -8,7 +8,7 @@ sort-merge from the listing's runtime size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -123,6 +123,16 @@ def problems(df: DataFrame, key: str, listing: DataFrame, root: str, v: str = "v
         "status": F.when(F.size(probs) == 0, "valid").otherwise("problem")})
 
 
+def totals(mt: Column) -> dict[str, Column]:
+    """The counts of the summary as aggregates over checked records; ``mt``:
+    their media type."""
+    count = lambda c: F.count_if(c).cast("bigint")
+    return {"total_entries": F.count(F.lit(1)), "valid_entries": count(F.col("status") == "valid"),
+            "image_only": count(mt == "image"), "video_only": count(mt == "video"), "mixed_media": count(mt == "mixed"),
+            "missing_media": count(F.size(F.coalesce("missing_files", F.array())) > 0),
+            "token_mismatches": count(F.col("mismatch_type").isNotNull()), "gpt_media_tokens": count("gpt_media_token")}
+
+
 def summary(checked: DataFrame, key: str, sample: int = 5) -> DataFrame:
     """Totals, valid share, media-type buckets, problem counts and the
     first ``sample`` missing paths in record order (a top-k)."""
@@ -136,17 +146,9 @@ def summary(checked: DataFrame, key: str, sample: int = 5) -> DataFrame:
              .orderBy(key, "k").limit(sample)
              .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, "k", "path"))),
                                            lambda z: z["path"]), "\n")))
-    return checked.agg(
-        F.count(F.lit(1)).alias("total_entries"),
-        F.count_if(F.col("status") == "valid").cast("bigint").alias("valid_entries"),
-        F.round(F.try_divide(F.count_if(F.col("status") == "valid"), F.count(F.lit(1))), 6).alias("valid_share"),
-        F.count_if(mt == "image").cast("bigint").alias("image_only"),
-        F.count_if(mt == "video").cast("bigint").alias("video_only"),
-        F.count_if(mt == "mixed").cast("bigint").alias("mixed_media"),
-        F.count_if(F.size(F.coalesce("missing_files", F.array())) > 0).cast("bigint").alias("missing_media"),
-        F.count_if(F.col("mismatch_type").isNotNull()).cast("bigint").alias("token_mismatches"),
-        F.count_if("gpt_media_token").cast("bigint").alias("gpt_media_tokens"),
-    ).withColumn("sample_missing", first.scalar())
+    out = checked.agg(*[c.alias(k) for k, c in totals(F.col("_mt")).items()])
+    share = F.round(F.try_divide(F.col("valid_entries"), F.col("total_entries")), 6).alias("valid_share")
+    return out.select("total_entries", "valid_entries", share, *out.columns[2:]).withColumn("sample_missing", first.scalar())
 
 
 def split_lines(checked: DataFrame, v: str = "v") -> DataFrame:
@@ -167,6 +169,11 @@ def split_lines(checked: DataFrame, v: str = "v") -> DataFrame:
     return x.select("status", value.alias("value"))
 
 
-def write_split(checked: DataFrame, path: str, v: str = "v") -> None:
-    """Valid and problem records as JSON lines, one folder per status."""
-    split_lines(checked, v).write.mode("overwrite").partitionBy("status").text(path)
+def write_split(checked: DataFrame, path: str, v: str = "v") -> dict:
+    """Valid and problem records as JSON lines, one folder per status.
+    Returns the totals of the summary, counted on the records as they are
+    written."""
+    seen = Observation()
+    observed = checked.observe(seen, *[c.alias(k) for k, c in totals(media_type("images", "videos")).items()])
+    split_lines(observed, v).write.mode("overwrite").partitionBy("status").text(path)
+    return seen.get

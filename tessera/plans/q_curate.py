@@ -12,6 +12,7 @@ from ..operators import score as S
 from ..operators import select as SEL
 from ..operators import subwords as SW
 from ..operators import text as X
+from ..session import scratch_path
 from . import fixtures as FX
 from .registry import loader, query
 from .sqlfrag import lit, strip_ws, word_count, words
@@ -219,6 +220,19 @@ def run_summary(spark, d):
     return X.run_summary(r, ok)
 
 
+@query("run_summary_written", W(FX.RESPONSES_SQL, EXTRACT_SQL) + f"""
+SELECT (SELECT count(*) FROM responses) AS intended, CAST(count(*) AS BIGINT) AS succeeded,
+       CAST(count(*) AS BIGINT) AS written FROM extracted WHERE {word_count('enhanced_prompt')} >= 25""")
+def run_summary_written(spark, d):
+    """The summary of a run that writes its enhanced prompts: counted on the
+    way to the file, beside the rows that the file has."""
+    r = FX.responses(loader(spark, d)).withColumn("enhanced_prompt", X.extract_marker("response"))
+    path = scratch_path(spark, "enhanced")
+    got = X.observed_summary(r, T.word_count("enhanced_prompt") >= 25, lambda x: x.select("id", "enhanced_prompt").write.parquet(path))
+    return spark.createDataFrame([(got["intended"], got["succeeded"], spark.read.parquet(path).count())],
+                                 "intended long, succeeded long, written long")
+
+
 # ---------------------------------------------------------------- E6 E7 E8 H1 C19
 SPEC_SQL = """specs AS (
   SELECT doc_id AS id, source || CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '%0' WHEN 2 THEN '%25'

@@ -154,3 +154,16 @@ def validate_every_record(spark, d):
     path = scratch_path(spark, "every-record") + ".jsonl"
     SRC.write_jsonl(AN.keyless_lines(t), "line", path)
     return api.validate_data(spark, path, ROOT, listing=FX.listing(t))[1]
+
+
+@query("validation_totals_written", BASE + """
+SELECT CAST(count(*) AS BIGINT) AS total_entries, CAST(count_if(problem_types = '') AS BIGINT) AS valid_entries,
+       CAST(count_if(n_img > 0 AND n_vid = 0) AS BIGINT) AS image_only, CAST(count_if(n_vid > 0 AND n_img = 0) AS BIGINT) AS video_only,
+       CAST(count_if(n_img > 0 AND n_vid > 0) AS BIGINT) AS mixed_media, CAST(count_if(n_missing > 0) AS BIGINT) AS missing_media,
+       CAST(count_if(mismatch_type IS NOT NULL) AS BIGINT) AS token_mismatches,
+       CAST(count_if(gpt_media_token) AS BIGINT) AS gpt_media_tokens FROM chk2""")
+def validation_totals_written(spark, d):
+    """The totals that come with writing the valid and problem records."""
+    from ..session import scratch_path
+    got = V.write_split(checked(spark, d), scratch_path(spark, "validated"))
+    return spark.createDataFrame([tuple(got.values())], ", ".join(f"{k} long" for k in got))
