@@ -51,6 +51,7 @@ from ._store import drop, release, saved
 ORDER, LOW, SYMBOLS, END = 5, 2, 257, 256
 BLOCK = 384 << 10            # bytes of text worked on at once
 BODY = 10 << 20              # bytes of text whose distinct strings and words are counted together
+MERGE_KEYS = 1 << 19         # distinct strings or words gathered before they are merged
 BUCKET_BYTES, MIN_BUCKETS = 4 << 20, 512    # bytes of text for each bucket of strings
 _U = np.uint64
 
@@ -94,6 +95,31 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[head], np.add.reduceat(counts, head) if len(head) else counts
 
 
+class Running:
+    """Distinct keys with the sums of their counts, merged whenever what has
+    come since is as much as what is held: the memory is that of the distinct
+    keys, not of all that came."""
+
+    def __init__(self):
+        self.parts, self.fresh, self.size = [], 0, 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts.astype(np.int32)))
+        self.fresh += len(keys)
+        if self.fresh > max(self.size, MERGE_KEYS):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            self.parts = [(np.zeros(0, _U), np.zeros(0, np.int32))]
+        if len(self.parts) > 1:
+            keys, counts = (np.concatenate(x) for x in zip(*self.parts))
+            self.parts = []
+            self.parts = [summed(keys, counts)]
+        self.size, self.fresh = len(self.parts[0][0]), 0
+        return self.parts[0]
+
+
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, with their counts."""
     keys = np.sort(keys)
@@ -198,11 +224,11 @@ def pack_blocks(text: str, low: int):
         for batch in batches:
             ids, flags = batch.column("doc_id"), batch.column("held_out").to_numpy(zero_copy_only=False)
             for i, j, raw, off in blocks(batch.column(text), BODY):
-                held, grams = flags[i:j], []
+                held, grams = flags[i:j], Running()
                 for a, b, part, po in parts_of(raw, off):
                     sym, begin = symbols(part, po, *words(part, po))
-                    grams.append(counted(strings(sym, begin, low)[~np.repeat(held[a:b], np.diff(begin))]))
-                grams, gram_n = summed(*(np.concatenate(x) for x in zip(*grams)))
+                    grams.add(*counted(strings(sym, begin, low)[~np.repeat(held[a:b], np.diff(begin))]))
+                grams, gram_n = grams.merge()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([uuid.uuid4().int >> 65], pa.int64()), one_list(ids.slice(i, j - i), pa.int64()),
                      one_list(held, pa.bool_()), one_list(np.diff(off), pa.int64()), pa.array([raw.tobytes()], pa.binary()),
@@ -224,11 +250,11 @@ def block_words(batches):
     for batch in batches:
         for r in range(batch.num_rows):
             raw, off, held = unpack(batch, r)
-            found = []
+            found = Running()
             for a, b, part, po in parts_of(raw, off):
                 starts, ends, first = words(part, po)
-                found.append((word_hashes(part, starts, ends), (~np.repeat(held[a:b], np.diff(first))).astype(np.int64)))
-            uniq, train = summed(*(np.concatenate(x) for x in zip(*found)))
+                found.add(*summed(word_hashes(part, starts, ends), (~np.repeat(held[a:b], np.diff(first))).astype(np.int32)))
+            uniq, train = found.merge()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("block").slice(r, 1), one_list(uniq.view(np.int64), pa.int64()), one_list(train, pa.int64())],
                 names=["block", "words", "train"])
@@ -245,18 +271,18 @@ def block_strings(order: int, n_buckets: int):
         for batch in batches:
             for r in range(batch.num_rows):
                 raw, off, held = unpack(batch, r)
-                found = []
+                found = Running()
                 for a, b, part, po in parts_of(raw, off):
                     sym, begin = symbols(part, po, *words(part, po))
                     keys, out = strings(sym, begin, order), np.repeat(held[a:b], np.diff(begin))
-                    found.append(counted(keys[~out]))
+                    found.add(*counted(keys[~out]))
                     late = counted(keys[out])[0]
-                    found.append((late, np.zeros(len(late), np.int64)))
-                keys, n = summed(*(np.concatenate(x) for x in zip(*found)))
+                    found.add(late, np.zeros(len(late), np.int32))
+                keys, n = found.merge()
                 del found
-                bucket = buckets_of(keys, order, n_buckets)
+                bucket = buckets_of(keys, order, n_buckets).astype(np.int32)
                 by = np.argsort(bucket, kind="stable")
-                bucket, keys, n = bucket[by], keys[by], n[by].astype(np.int32)
+                bucket, keys, n = bucket[by], keys[by], n[by]
                 head = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
                 edge = np.append(head, len(keys))
                 block = batch.column("block")[r].as_py()

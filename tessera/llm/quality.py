@@ -11,7 +11,11 @@ Defined results
   repeated rows  every row is judged by itself; equal texts get equal verdicts
   extra columns  carried through untouched; a column of the input that has the
                  name of an added one is replaced by it
+  no text column an error
   empty table    empty result with the same columns
+
+The stop words are of English, French, German and Spanish: texts in other
+languages fail that rule, and a corpus that has them passes its own ``rules``.
 """
 
 from __future__ import annotations
@@ -82,10 +86,12 @@ def repeat_words_sql(words: str) -> str:
 
 def metrics(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the metric columns (all ``bigint``) to ``df``."""
-    df = df.drop("_w", "_l")
-    t = F.coalesce(F.col(text), F.lit("")) if text in df.columns else F.lit("")
+    if text not in df.columns:
+        raise ValueError(f"no column {text}")
+    t = F.coalesce(F.col("_in")[text], F.lit(""))
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    df = df.withColumns({
+    # the input as one value, so that no name of its columns meets one of these
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_in")).withColumns({
         "_w": F.array_remove(F.split(t, "[ \\t\\n\\x0B\\f\\r]+"), ""),
         "_l": F.filter(F.split(t, "\n"), lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]")),
         "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("bigint"),
@@ -100,7 +106,9 @@ def metrics(df: DataFrame, text: str = "text") -> DataFrame:
         "n_ellipsis_lines": f"size(filter(_l, x -> rtrim(x) LIKE '%...' OR rtrim(x) LIKE '%…'))",
         "n_bullet_lines": "size(filter(_l, x -> substr(ltrim(x), 1, 1) IN ('-', '*', '•')))",
     }
-    return df.withColumns({k: F.expr(v).cast("bigint") for k, v in e.items()}).drop("_w", "_l")
+    added = [F.col("n_symbols"), *[F.expr(v).cast("bigint").alias(k) for k, v in e.items()]]
+    names = ["n_symbols", *e]
+    return rows.select(*[F.col("_in")[c].alias(c) for c in df.columns if c not in names], *added)
 
 
 def rule_failed(rule: Rule):
