@@ -115,7 +115,7 @@ def prepare(records: DataFrame, grid: DataFrame, batch_size: int = 4, max_len: i
     pos, id, label).  conv_id is the record's place in the list, or its id
     where the records have no such column.  ``grid``: (conv_id, kind, k, gt,
     gh, gw, sec), see ``record_media``."""
-    seg = P.segments(reader_turns(records), grid)
+    seg = P.segments(reader_turns(records), grid, ids=True)
     spans = R.batch_assign(P.sample_spans(seg, max_len=max_len).checkpoint(eager=True), batch_size, ["conv_id"])
     tokens = P.token_rows(seg)
     if packed:

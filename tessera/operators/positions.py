@@ -25,7 +25,7 @@ from . import chat as C
 SYSTEM_BLOCK = 3 + len(K.DEFAULT_SYSTEM.split()) + 2   # header + words + footer
 
 
-def segments(turns: DataFrame, grid: DataFrame, key: str = "conv_id", time_scale: bool = True) -> DataFrame:
+def segments(turns: DataFrame, grid: DataFrame, key: str = "conv_id", time_scale: bool = True, ids: bool = False) -> DataFrame:
     """One row per (sample, turn, piece) with
 
     chunk_len   text tokens of the chunk (turn header, VISION_END of the
@@ -34,7 +34,9 @@ def segments(turns: DataFrame, grid: DataFrame, key: str = "conv_id", time_scale
     n_pad       media tokens after the chunk (0 when none),
     mw          position width of the media block,
     seq_start / pid_start   running offsets in token and position space,
-    rejected    sample has a tag without a grid entry.
+    rejected    sample has a tag without a grid entry,
+    word_ids    (with ``ids``) the token ids of its words, and their sum.
+                Lengths and positions need none, and then no word is hashed.
 
     ``grid``: (key, kind, k, gt, gh, gw, sec) with k the ordinal of the
     media file per kind in the sample.
@@ -45,10 +47,11 @@ def segments(turns: DataFrame, grid: DataFrame, key: str = "conv_id", time_scale
     p = C.tag_pieces(src, key, "turn", "flat", active_tag="_stag")
     p = p.withColumn("kind", F.when(F.col("tag") == K.IMAGE_TAG, "image").when(F.col("tag") == K.VIDEO_TAG, "video"))
     # per-piece values computed once; the text is dropped before the offset pass
-    p = p.select(key, "turn", "role", "_piece_no", "n_pieces", "tag", "kind", "tag_index", "_before_rows",
-                 T.word_count("piece").alias("n_words"),
-                 TK.token_ids(T.words("piece")).alias("word_ids"))
-    p = p.withColumn("word_id_sum", F.aggregate("word_ids", F.lit(0).cast("bigint"), lambda a, x: a + x))
+    words = T.word_count("piece").alias("n_words") if not ids else TK.token_ids(T.words("piece")).alias("word_ids")
+    p = p.select(key, "turn", "role", "_piece_no", "n_pieces", "tag", "kind", "tag_index", "_before_rows", words)
+    if ids:
+        p = p.withColumns({"n_words": F.size("word_ids").cast("bigint"),
+                           "word_id_sum": F.aggregate("word_ids", F.lit(0).cast("bigint"), lambda a, x: a + x)})
     g = grid.select(key, "kind", F.col("k").alias("tag_index"), "gt", "gh", "gw", "sec")
     p = p.join(g, [key, "kind", "tag_index"], "left")
     first = F.col("_before_rows") == 0
@@ -124,15 +127,15 @@ def turn_spans(seg: DataFrame, key: str = "conv_id") -> DataFrame:
         F.min(F.col("seq_start") + F.when(first, SYSTEM_BLOCK).otherwise(0)).alias("start"),
         F.sum(F.col("chunk_len") + F.col("n_pad") - F.when(first, SYSTEM_BLOCK).otherwise(0)).alias("length"),
         F.sum("n_words").alias("n_words"),
-        F.sum("word_id_sum").alias("word_id_sum"))
+        *([F.sum("word_id_sum").alias("word_id_sum")] if "word_id_sum" in seg.columns else []))
     return g
 
 
 def sample_spans(seg: DataFrame, key: str = "conv_id", max_len: int | None = None) -> DataFrame:
     """Per accepted sample, in one pass over its turns: seq_len tokens,
     n_supervised tokens (every turn that is not user or system, minus its
-    3-token header), of these n_supervised_kept before ``max_len``, and
-    label_sum, the sum of the supervised label ids."""
+    3-token header), of these n_supervised_kept before ``max_len``, and, for
+    segments with ids, label_sum, the sum of the supervised label ids."""
     sp = turn_spans(seg, key)
     asst = ~F.col("role").isin("user", "system")
     cut = F.lit(max_len) if max_len else F.col("start") + F.col("length")
@@ -141,11 +144,13 @@ def sample_spans(seg: DataFrame, key: str = "conv_id", max_len: int | None = Non
         (F.sum("length") + SYSTEM_BLOCK).cast("bigint").alias("seq_len"),
         F.sum(F.when(asst, F.col("length") - 3).otherwise(0)).cast("bigint").alias("n_supervised"),
         F.sum(F.when(asst, F.greatest(hi - lo, F.lit(0))).otherwise(0)).cast("bigint").alias("n_supervised_kept"),
-        F.sum(F.when(asst, F.col("word_id_sum") + TK.IM_END_ID + TK.NEWLINE_ID).otherwise(0)).cast("bigint").alias("label_sum"))
+        *([F.sum(F.when(asst, F.col("word_id_sum") + TK.IM_END_ID + TK.NEWLINE_ID).otherwise(0)).cast("bigint").alias("label_sum")]
+          if "word_id_sum" in seg.columns else []))
 
 
 def loss_mask(seg: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Per sample: tokens, supervised tokens and the sum of their labels."""
+    """Per sample: tokens, supervised tokens and the sum of their labels
+    (segments with ids)."""
     return sample_spans(seg, key).select(key, F.col("seq_len").alias("n_tokens"), "n_supervised", "label_sum")
 
 
@@ -154,7 +159,8 @@ def _ids(*values) -> "F.Column":
 
 
 def token_rows(seg: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(key, pos, id, label) of every token of every accepted sample.
+    """(key, pos, id, label) of every token of every accepted sample
+    (segments with ids).
 
     A turn is header (start, role, newline), words and footer (end, newline);
     a media block is start, pads, end; the default system block comes first.

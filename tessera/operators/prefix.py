@@ -49,14 +49,15 @@ def prefix_sums(df: DataFrame, by: list[str], order: str, ties: list[str], value
     """
     names = list(values)
     cut = F.shiftright(F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 62))), width)
-    rows = df.withColumns({"_c": cut, **{f"_v_{n}": values[n] for n in names}})
-    totals = rows.groupBy(*by, "_c").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
+    # group and range in one value, in which nulls are equal: rows are dealt by it once, for the window and for the join
+    rows = df.withColumns({f"_v_{n}": values[n] for n in names}).withColumn(
+        "_g", F.struct(*[F.col(f"`{c}`").alias(f"b{i}") for i, c in enumerate(by)], cut.alias("c")))
+    totals = rows.groupBy("_g").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = Window.partitionBy(*by).orderBy("_c")
-    base = totals.select(*[F.col(c).alias(f"_b_{c}") for c in [*by, "_c"]],
-                         *[before(f"_s_{n}", ranges).alias(f"_o_{n}") for n in names])
-    w = Window.partitionBy(*by, "_c").orderBy(F.col(order).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in ties])
+    ranges = Window.partitionBy(*[F.col(f"_g.b{i}") for i in range(len(by))]).orderBy("_g.c")
+    base = totals.select(F.col("_g").alias("_bg"), *[before(f"_s_{n}", ranges).alias(f"_o_{n}") for n in names])
+    w = Window.partitionBy("_g").orderBy(F.col(order).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in ties])
     rows = rows.withColumns({f"_l_{n}": before(f"_v_{n}", w) for n in names})
-    out = rows.join(base, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in [*by, "_c"]])
+    out = rows.join(base, F.col("_g") == F.col("_bg"))
     out = out.withColumns({n: (F.col(f"_l_{n}") + F.col(f"_o_{n}")).cast("long") for n in names})
-    return out.drop("_c", *[f"_b_{c}" for c in [*by, "_c"]], *[f"_{p}_{n}" for p in "vlo" for n in names])
+    return out.drop("_g", "_bg", *[f"_{p}_{n}" for p in "vlo" for n in names])

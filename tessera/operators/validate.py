@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as T
 from ..session import ensure_checkpoint_dir
+from .bloom import without_partner
 
 
 def _c(x) -> Column:
@@ -75,9 +76,15 @@ def media_paths(df: DataFrame, key: str, root: str) -> DataFrame:
     return x.select(key, "k", path.alias("path"))
 
 
-def missing_media(df: DataFrame, key: str, listing: DataFrame, root: str) -> DataFrame:
-    """Per record with missing files: ordered list of missing paths."""
-    miss = media_paths(df, key, root).join(listing.select("path").distinct(), "path", "left_anti")
+def missing_media(df: DataFrame, key: str, listing: DataFrame, root: str, by_filter: bool = False) -> DataFrame:
+    """Per record with missing files: ordered list of missing paths.  With
+    ``by_filter`` only references that a Bloom filter of the listing has are
+    joined with it: for large tables of which much is missing."""
+    paths = media_paths(df, key, root)
+    if by_filter:
+        miss = without_partner(paths, listing, "path", "path")
+    else:
+        miss = paths.join(listing.select("path").distinct(), "path", "left_anti")
     return (miss.groupBy(key)
             .agg(F.sort_array(F.collect_list(F.struct("k", "path"))).alias("_m"))
             .select(key, F.transform("_m", lambda z: z["path"]).alias("missing_files")))

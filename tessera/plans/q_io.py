@@ -77,28 +77,31 @@ def prompt_csv(spark, d):
 
 
 def _media_folder(spark, d):
-    """The pages as one media file each."""
+    """The pages as one media file each (its number, then its html), all in
+    one folder."""
     path = scratch_path(spark, "media")
-    p = loader(spark, d)("pages").select("page_id", F.col("html").alias("value"))
-    p.repartition("page_id").write.partitionBy("page_id").text(path)
+    p = loader(spark, d)("pages").select(F.concat(F.col("page_id").cast("string"), F.lit("\n"), "html").alias("value"))
+    p.repartition(8).write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
-def _page_of(path):
-    return F.regexp_extract(path, r"page_id=(\d+)/", 1).cast("bigint").alias("page_id")
+_FILE_SQL = "CAST(page_id AS VARCHAR) || chr(10) || html || chr(10)"
 
 
-@query("media_listing", "SELECT page_id, octet_length(encode(html)) + 1 AS length FROM pages")
+@query("media_listing", f"""
+SELECT length, CAST(count(*) AS BIGINT) AS n_files FROM (SELECT octet_length(encode({_FILE_SQL})) AS length FROM pages) GROUP BY length""")
 def media_listing(spark, d):
-    """Files of a media folder (each page's html and a line end)."""
-    return SRC.media_listing(spark, _media_folder(spark, d), "*.txt").select(_page_of("path"), "length")
+    """Files of a media folder by their length; no file is opened."""
+    files = SRC.media_listing(spark, _media_folder(spark, d), "*.txt")
+    return files.groupBy("length").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-@query("media_payload", "SELECT page_id, octet_length(encode(html)) + 1 AS length, md5(html || chr(10)) AS content_md5 FROM pages")
+@query("media_payload", f"SELECT page_id, octet_length(encode({_FILE_SQL})) AS length, md5({_FILE_SQL}) AS content_md5 FROM pages")
 def media_payload(spark, d):
     """Whole contents of the files of a media folder."""
+    first = F.substring_index(F.col("content").cast("string"), "\n", 1).cast("bigint")
     return SRC.media_payloads(spark, _media_folder(spark, d), "*.txt").select(
-        _page_of("path"), "length", F.md5("content").alias("content_md5"))
+        first.alias("page_id"), "length", F.md5("content").alias("content_md5"))
 
 
 @query("payload_base64", """
@@ -117,6 +120,15 @@ def fetch_todo(spark, d):
     return FE.fetch_todo(FX.prompts(t), done, "id").select("id", "url")
 
 
+@query("fetch_todo_filtered", W(FX.PROMPTS_SQL) + """
+SELECT p.id, p.url FROM prompts p WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.id)""")
+def fetch_todo_filtered(spark, d):
+    """The same behind a Bloom filter of the cache."""
+    t = loader(spark, d)
+    done = t("labels").select(F.col("doc_id").alias("id"))
+    return FE.fetch_todo(FX.prompts(t).select("id", "url"), done, "id", by_filter=True)
+
+
 # ---------------------------------------------------------------- E2
 DIM = 64
 _W = np.random.default_rng(7).standard_normal(DIM)

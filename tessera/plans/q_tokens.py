@@ -24,9 +24,9 @@ def grid_k(tr):
     return R.running_sums(FX.media_grid(tr), ["turn"], ["conv_id", "kind"], {"k": F.lit(1).cast("bigint")})
 
 
-def seg(spark, d, time_scale=True):
+def seg(spark, d, time_scale=True, ids=False):
     tr = FX.turns(loader(spark, d))
-    return P.segments(tr, grid_k(tr), time_scale=time_scale)
+    return P.segments(tr, grid_k(tr), time_scale=time_scale, ids=ids)
 
 
 def _seg_sql(time_scale: bool) -> str:
@@ -100,7 +100,7 @@ SELECT l.conv_id, l.seq_len AS n_tokens,
          AS label_sum
 FROM lens l JOIN spans s USING (conv_id) GROUP BY l.conv_id, l.seq_len""")
 def loss_mask(spark, d):
-    return P.loss_mask(seg(spark, d)).select("conv_id", "n_tokens", "n_supervised", "label_sum")
+    return P.loss_mask(seg(spark, d, ids=True)).select("conv_id", "n_tokens", "n_supervised", "label_sum")
 
 
 @query("positions_3d", BASE + ",\n" + _pos_sql(True) + "\nSELECT conv_id, pos, t, h, w FROM pos3")
@@ -229,7 +229,7 @@ _PAD = int(hashlib.md5(PAD_WORD.encode()).hexdigest()[:8], 16) % 151643
 @query("token_labels", BASE + TOKENS_SQL + "\nSELECT conv_id, pos, id, label FROM tok")
 def token_labels(spark, d):
     """Token ids and loss labels of every sample."""
-    return P.token_rows(seg(spark, d)).select("conv_id", "pos", "id", "label")
+    return P.token_rows(seg(spark, d, ids=True)).select("conv_id", "pos", "id", "label")
 
 
 @query("pad_batch_tokens", BASE + TOKENS_SQL + f""",
@@ -242,7 +242,7 @@ SELECT batch, conv_id, CAST(pos AS BIGINT) AS pos, CAST(id AS BIGINT) AS id, CAS
        CAST(id <> {_PAD} AS INTEGER) AS mask FROM rows_""")
 def pad_batch_tokens(spark, d):
     """Padded and cut batches as token rows with labels and mask."""
-    s = seg(spark, d)
+    s = seg(spark, d, ids=True)
     return B.pad_token_rows(P.token_rows(s), batched(s), "conv_id", _PAD)
 
 
@@ -252,7 +252,7 @@ pk AS (SELECT conv_id, batch, sum(seq_len) OVER (PARTITION BY batch ORDER BY pos
 SELECT batch, CAST(cu + pos AS BIGINT) AS pos, id, label FROM tok JOIN pk USING (conv_id)""")
 def pack_batch_tokens(spark, d):
     """Packed batches as one token sequence each."""
-    s = seg(spark, d)
+    s = seg(spark, d, ids=True)
     return B.pack_token_rows(P.token_rows(s), B.pack_batch(batched(s), "conv_id"), "conv_id")
 
 
@@ -281,7 +281,7 @@ def keyless_records(spark, d):
     SRC.write_jsonl(AN.keyless_lines(t), "line", path)
     records = SRC.read_annotations(spark, path)
     grid = api.record_media(records).join(FX.media_grid(FX.turns(t)).drop("conv_id", "turn", "kind"), "file")
-    rows = P.token_rows(P.segments(api.reader_turns(records), grid))
+    rows = P.token_rows(P.segments(api.reader_turns(records), grid, ids=True))
     own = F.col("label") != -100
     each = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(own).cast("bigint").alias("n_supervised"),
                                        F.coalesce(F.sum(F.when(own, F.col("label"))), F.lit(0)).alias("label_sum"))

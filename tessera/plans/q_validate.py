@@ -84,6 +84,16 @@ def missing_media(spark, d):
                     F.array_join("missing_files", "\n").alias("missing_files"))
 
 
+@query("missing_media_filtered", BASE + "SELECT id, n_missing, missing_files FROM missing")
+def missing_media_filtered(spark, d):
+    """The same behind a Bloom filter of the listing."""
+    t = loader(spark, d)
+    x = V.prepare(AN.validation_lines(t).select(F.col("conv_id").alias("id"), F.parse_json("line").alias("v")))
+    m = V.missing_media(x, "id", FX.listing(t), ROOT, by_filter=True)
+    return m.select("id", F.size("missing_files").cast("bigint").alias("n_missing"),
+                    F.array_join("missing_files", "\n").alias("missing_files"))
+
+
 @query("token_mismatch", BASE + """
 SELECT id, mismatch_type AS media_type, expected, actual FROM chk WHERE mismatch_type IS NOT NULL""")
 def token_mismatch(spark, d):

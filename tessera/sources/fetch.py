@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.bloom import without_partner
+
 # ---- fixed values: retry policy -------------------------
 RETRY_STATUSES = (500, 502, 503, 504)
 MAX_RETRIES = 3
@@ -87,7 +89,11 @@ def fetch_ledger(df: DataFrame, key: str, url: str, make_fetcher: Callable[[], F
     return src.mapInPandas(run, LEDGER_SCHEMA)
 
 
-def fetch_todo(urls: DataFrame, done: DataFrame, key: str) -> DataFrame:
+def fetch_todo(urls: DataFrame, done: DataFrame, key: str, by_filter: bool = False) -> DataFrame:
     """Skip what is already present: anti join on the key (AQE broadcasts
-    the cache listing when it is small, sort-merges it otherwise)."""
+    the cache listing when it is small, sort-merges it otherwise).  With
+    ``by_filter`` only rows that a Bloom filter of the cache has are joined
+    with it: for a large table of which little is in the cache."""
+    if by_filter:
+        return without_partner(urls, done, key, key)
     return urls.join(done.select(key).distinct(), key, "left_anti")
