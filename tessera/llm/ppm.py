@@ -115,7 +115,8 @@ class Running:
         if len(self.parts) > 1:
             keys, counts = (np.concatenate(x) for x in zip(*self.parts))
             self.parts = []
-            self.parts = [summed(keys, counts)]
+            keys, counts = summed(keys, counts)
+            self.parts = [(keys, counts.astype(np.int32))]
         self.size, self.fresh = len(self.parts[0][0]), 0
         return self.parts[0]
 
