@@ -1,33 +1,48 @@
-"""License scans: sparse TF-IDF cosine of licence lines to templates, then
-inheritance from the nearest ancestor directory by path joins.
-
- 1. a file's text (markup stripped) is cut into lines; lines with an anchor
-    term are its licence lines.  A licence file (``LICENSE``, ``COPYING``, ...,
-    or the index page of a directory) states the licence of its directory;
- 2. equal lines are counted before anything else, so a line that a third of
-    all files share is one row from then on.  Terms are weighted by
-    tf * (ln((1 + units) / (1 + df)) + 1), where df counts all licence lines of
-    all files and the templates;
- 3. the dot products are a join of line terms with template terms (a fixed
-    table), the best template of a line with a cosine of at least
-    ``MIN_COSINE`` is its licence, the best line of a file the file's own;
+"""License scans: sparse TF-IDF cosine of headers and licence files to
+templates, then inheritance from the nearest ancestor directory by path joins.
+
+ 1. the units of a file's text (markup stripped) are its lines, its paragraphs
+    (lines up to the next empty one: a header of several lines) and, for a
+    licence file (``LICENSE``, ``COPYING``, ..., or the index page of a
+    directory), the whole text.  A unit without one of the ``telling_terms``
+    cannot be close to any template and is left out;
+ 2. the distinct units are saved once; a unit that a third of all files share
+    is one row from then on;
+ 3. terms are weighted by (1 + ln tf) * (ln((1 + templates) / (1 + df)) + 1),
+    where df counts the templates with the term: what a notice scores does not depend on
+    how often it, or anything else, stands in the files.  The dot products are
+    a join of unit terms with template terms (a fixed table); the best template
+    with a cosine of at least ``MIN_COSINE`` is the unit's licence, the best
+    unit of a file the file's own;
  4. a file without one takes the licence of the nearest directory above it
     that has one: distinct directories are expanded to their ancestors and
     joined with the directories that state a licence.
 
+Telling terms (prefix filtering): of each template the terms of largest weight,
+common words last, so many that the others together have less than
+``MIN_COSINE`` of its length.  A unit with none of them has a cosine below
+that, whatever else it says.
+
 DataFrame and SQL functions only.
 
-Defined results: a null text has no lines; a null or empty path is the empty
+Defined results: a null text has no units; a null or empty path is the empty
 directory; repeated rows are one file (same id and path) and get the same
 result each; equal cosines go to the first licence by name; extra columns are
-ignored; an empty table gives an empty result.
+ignored, also those with names used here; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import saved
+
 MIN_COSINE = 0.6
 
 #: fixed values: public licence notices, as (licence, text)
@@ -57,16 +72,126 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("proprietary", "All rights reserved"),
     ("public-domain", "This is free and unencumbered software released into the public domain"),
+    # whole notices
+    ("Apache-2.0",
+     "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
+     "except in compliance with the License. You may obtain a copy of the License at "
+     "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
+     "writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT "
+     "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the "
+     "specific language governing permissions and limitations under the License."),
+    ("BSD-2-Clause",
+     "Redistribution and use in source and binary forms, with or without modification, are permitted "
+     "provided that the following conditions are met: 1. Redistributions of source code must retain "
+     "the above copyright notice, this list of conditions and the following disclaimer. 2. "
+     "Redistributions in binary form must reproduce the above copyright notice, this list of "
+     "conditions and the following disclaimer in the documentation and/or other materials provided "
+     "with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS "
+     "IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+     "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT "
+     "SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+     "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF "
+     "SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+     "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+     "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF "
+     "ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause",
+     "Redistribution and use in source and binary forms, with or without modification, are permitted "
+     "provided that the following conditions are met: 1. Redistributions of source code must retain "
+     "the above copyright notice, this list of conditions and the following disclaimer. 2. "
+     "Redistributions in binary form must reproduce the above copyright notice, this list of "
+     "conditions and the following disclaimer in the documentation and/or other materials provided "
+     "with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+     "contributors may be used to endorse or promote products derived from this software without "
+     "specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND "
+     "CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+     "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN "
+     "NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+     "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+     "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+     "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+     "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+     "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("GPL-3.0",
+     "This program is free software: you can redistribute it and/or modify it under the terms of the "
+     "GNU General Public License as published by the Free Software Foundation, either version 3 of "
+     "the License, or (at your option) any later version. This program is distributed in the hope "
+     "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+     "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for "
+     "more details. You should have received a copy of the GNU General Public License along with this "
+     "program. If not, see https://www.gnu.org/licenses/."),
+    ("ISC",
+     "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+     "without fee is hereby granted, provided that the above copyright notice and this permission "
+     "notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL "
+     "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+     "FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+     "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+     "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+     "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("MIT",
+     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
+     "and associated documentation files (the \"Software\"), to deal in the Software without "
+     "restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+     "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+     "Software is furnished to do so, subject to the following conditions: The above copyright notice "
+     "and this permission notice shall be included in all copies or substantial portions of the "
+     "Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, "
+     "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+     "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+     "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+     "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE "
+     "SOFTWARE."),
 )
 
-ANCHOR = r"licen[sc]e|copyright|rights reserved|permission is hereby|redistribution|public domain|creative commons|cc[ -]by"
+#: fixed values: words that any text has; they tell nothing by themselves
+COMMON = frozenset("a all an and any are as at be by can for from has have if in into is it may not of on or out see shall such "
+                   "than that the there these this to use was what with without work you your 0 1 2 3 4".split())
+
 MARKUP = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>"
 LICENCE_FILE = r"^(licen[sc]e|unlicense|copying|copyright|notice)([.-].*)?$|^index[.].*$|^$"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _terms(line):
-    return F.regexp_extract_all(F.translate(line, _UP, _LOW), F.lit("[a-z0-9]+"), 0)
+def template_terms(templates=TEMPLATES) -> list[dict[str, float]]:
+    """Weights of the terms of each template, of length 1."""
+    counts = [Counter(re.findall("[a-z0-9]+", text.lower())) for _, text in templates]
+    df = Counter(t for c in counts for t in c)
+    out = []
+    for c in counts:
+        w = {t: (1 + math.log(n)) * (math.log((1 + len(templates)) / (1 + df[t])) + 1) for t, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        out.append({t: x / norm for t, x in w.items()})
+    return out
+
+
+def inverse_frequency(templates=TEMPLATES) -> dict[str, float]:
+    df = Counter(t for _, text in templates for t in set(re.findall("[a-z0-9]+", text.lower())))
+    return {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in df.items()}
+
+
+def telling_terms(min_cosine: float, templates=TEMPLATES) -> list[str]:
+    """Of each template the terms of largest weight, common words last, until
+    the rest is shorter than ``min_cosine`` (with room for rounding)."""
+    out = set()
+    for weights in template_terms(templates):
+        rest = 1.0
+        for t, w in sorted(weights.items(), key=lambda x: (x[0] in COMMON, -x[1], x[0])):
+            if rest < (min_cosine - 1e-5) ** 2:
+                break
+            out.add(t)
+            rest -= w * w
+    return sorted(out)
+
+
+def gate(min_cosine: float) -> str:
+    """Pattern of a (lower-case) text with a telling term."""
+    return f"(^|[^a-z0-9])({'|'.join(telling_terms(min_cosine))})($|[^a-z0-9])"
+
+
+def _fixed(spark, rows: list, schema: str) -> DataFrame:
+    """A small fixed table, without a Python worker."""
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("x")).select("x.*")
 
 
 def file_table(files: DataFrame, file_id: str, path: str, text: str) -> DataFrame:
@@ -78,39 +203,38 @@ def file_table(files: DataFrame, file_id: str, path: str, text: str) -> DataFram
         F.translate(F.regexp_extract("p", "([^/]*)$", 1), _UP, _LOW).alias("name"), "text")
 
 
-def licence_lines(files: DataFrame) -> DataFrame:
-    """Distinct (file, line) of lines with an anchor term."""
-    low = F.translate(F.coalesce("text", F.lit("")), _UP, _LOW)
-    cut = F.split(F.regexp_replace("text", MARKUP, "\n"), "\n")
-    lines = F.transform(cut, lambda x: F.trim(x))
-    hit = F.filter(F.array_distinct(lines), lambda x: F.translate(x, _UP, _LOW).rlike(ANCHOR))
-    return files.filter(low.rlike(ANCHOR)).select("file", F.explode(hit).alias("line")).distinct()
-
-
-def match_lines(lines: DataFrame, min_cosine: float) -> DataFrame:
-    """(line, licence, score) of the distinct lines close to a template."""
-    spark = lines.sparkSession
-    known = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(TEMPLATES)], "k int, licence string, line string")
-    once = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
-    units = once.agg(F.coalesce(F.sum("n"), F.lit(0)) + F.lit(len(TEMPLATES))).scalar()
-    def counted(df, *keys):
-        return df.select(*keys, F.explode(_terms(F.col("line"))).alias("term")).groupBy(*keys, "term").agg(
-            F.count(F.lit(1)).alias("tf"))
-    line_terms, known_terms = counted(once, "line", "n"), counted(known, "k", "licence")
-    df = (line_terms.select("term", "n").unionByName(known_terms.select("term", F.lit(1).cast("long").alias("n")))
-          .groupBy("term").agg(F.sum("n").alias("df")))
-    idf = df.select("term", (F.log((1 + units) / (1 + F.col("df"))) + 1).alias("idf"))
-    weigh = lambda x, *keys: x.join(idf, "term").select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    a, b = weigh(line_terms, "line"), weigh(known_terms, "k", "licence")
-    norm_a = a.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("na"))
-    norm_b = b.groupBy("k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nb"))
-    dots = (a.join(b.withColumnRenamed("w", "v"), "term").groupBy("line", "k", "licence")
-            .agg(F.sum(F.col("w") * F.col("v")).alias("dot")))
-    scored = dots.join(norm_a, "line").join(norm_b, "k").select(
-        "line", "licence", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("score"))
-    best = scored.filter(F.col("score") >= min_cosine).groupBy("line").agg(
+def licence_units(files: DataFrame, min_cosine: float) -> DataFrame:
+    """Distinct (file, unit): lines, paragraphs and whole licence files, in
+    lower case, with a telling term."""
+    pattern = gate(min_cosine)
+    low = F.translate("text", _UP, _LOW)
+    x = files.filter(low.rlike(pattern)).select("file", "name", F.transform(
+        F.split(F.regexp_replace(low, MARKUP, "\n"), "\n"), lambda x: F.trim(x)).alias("lines"))
+    joined = lambda t: F.trim(F.replace(t, F.lit("\n"), F.lit(" ")))
+    paragraphs = F.transform(F.split(F.array_join("lines", "\n"), "\n\n+"), joined)
+    whole = F.when(F.col("name").rlike(LICENCE_FILE), F.array(joined(F.array_join("lines", "\n")))).otherwise(F.array().cast("array<string>"))
+    units = F.filter(F.array_distinct(F.concat("lines", paragraphs, whole)), lambda u: u.rlike(pattern))
+    return x.select("file", F.explode(units).alias("unit")).distinct()
+
+
+def match_units(units: DataFrame, min_cosine: float) -> DataFrame:
+    """(unit, licence, score) of the distinct units close to a template."""
+    spark = units.sparkSession
+    idf = inverse_frequency()
+    known = _fixed(spark, [{"k": k, "licence": TEMPLATES[k][0], "term": t, "v": v} for k, w in enumerate(template_terms()) for t, v in w.items()],
+                   "k int, licence string, term string, v double")
+    weights = _fixed(spark, [{"term": t, "idf": x} for t, x in idf.items()], "term string, idf double")
+    terms = (units.select("unit").distinct().select("unit", F.explode(F.regexp_extract_all("unit", F.lit("[a-z0-9]+"), 0)).alias("term"))
+             .groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf")))
+    # both tables are fixed and small
+    a = terms.join(F.broadcast(weights), "term", "left").select(
+        "unit", "term", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(math.log(1 + len(TEMPLATES)) + 1))).alias("w"))
+    norm = a.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
+    dots = a.join(F.broadcast(known), "term").groupBy("unit", "k", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    scored = dots.join(norm, "unit").select("unit", "licence", F.round(F.col("dot") / F.col("n"), 6).alias("score"))
+    best = scored.filter(F.col("score") >= min_cosine).groupBy("unit").agg(
         F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
-    return best.select("line", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
+    return best.select("unit", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 
 def scan_licences(files: DataFrame, file_id: str = "page_id", path: str = "url", text: str = "html",
@@ -118,10 +242,10 @@ def scan_licences(files: DataFrame, file_id: str = "page_id", path: str = "url",
     """(id, dir, own_license, own_score, license, from_dir) per row of
     ``files``; from_dir is the directory an inherited licence comes from."""
     table = file_table(files, file_id, path, text)
-    lines = licence_lines(table)
-    own = (lines.join(match_lines(lines, min_cosine), "line").groupBy("file")
-           .agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
-           .select("file", F.col("b.licence").alias("own_license"), (-F.col("b.s")).alias("own_score")))
+    units = saved(licence_units(table, min_cosine), "licence-units")
+    own = saved(units.join(match_units(units, min_cosine), "unit").groupBy("file")
+                .agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+                .select("file", F.col("b.licence").alias("own_license"), (-F.col("b.s")).alias("own_score")), "licences")
     known = table.drop("text").join(own, "file", "left")
     stated = (known.filter(F.col("own_license").isNotNull() & F.col("name").rlike(LICENCE_FILE))
               .groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "own_license")).alias("b"))
@@ -149,30 +273,33 @@ def _sql() -> str:
     return rf"""WITH f AS (
   SELECT page_id, url, html, regexp_replace(regexp_replace(coalesce(url, ''), '^[A-Za-z]+://', ''), '[?#].*$', '') AS p
   FROM pages),
-g AS (SELECT page_id, url, html, regexp_extract(p, '^(.*/)?[^/]*$', 1) AS dir, {low("regexp_extract(p, '([^/]*)$', 1)")} AS name FROM f),
+g AS (SELECT page_id, url, {low('html')} AS html, regexp_extract(p, '^(.*/)?[^/]*$', 1) AS dir,
+             {low("regexp_extract(p, '([^/]*)$', 1)")} AS name FROM f),
+ls AS (SELECT page_id, url, name, list_transform(string_split(regexp_replace(html, '{MARKUP}', chr(10), 'g'), chr(10)), lambda x: trim(x, ' ')) AS lines
+       FROM g),
 l AS (
-  SELECT DISTINCT page_id, url, line FROM (
-    SELECT page_id, url, trim(unnest(string_split(regexp_replace(html, '{MARKUP}', chr(10), 'g'), chr(10))), ' ') AS line FROM g)
-  WHERE regexp_matches({low('line')}, '{ANCHOR}')),
+  SELECT DISTINCT page_id, url, unit FROM (
+    SELECT page_id, url, unnest(list_concat(lines,
+      list_transform(string_split_regex(array_to_string(lines, chr(10)), '\n\n+'), lambda x: trim(replace(x, chr(10), ' '), ' ')),
+      CASE WHEN regexp_matches(name, '{LICENCE_FILE}') THEN [trim(array_to_string(lines, ' '), ' ')] ELSE [] END)) AS unit FROM ls)
+  WHERE unit <> ''),
 tpl(k, licence, line) AS (VALUES {rows}),
-once AS (SELECT line, count(*) AS n FROM l GROUP BY line),
-units AS (SELECT coalesce(sum(n), 0) + {len(TEMPLATES)} AS u FROM once),
-lt AS (SELECT line, n, term, count(*) AS tf FROM (
-  SELECT line, n, unnest(regexp_extract_all({low('line')}, '[a-z0-9]+')) AS term FROM once) GROUP BY ALL),
+once AS (SELECT DISTINCT unit FROM l),
+lt AS (SELECT unit, term, count(*) AS tf FROM (
+  SELECT unit, unnest(regexp_extract_all(unit, '[a-z0-9]+')) AS term FROM once) GROUP BY ALL),
 kt AS (SELECT k, licence, term, count(*) AS tf FROM (
   SELECT k, licence, unnest(regexp_extract_all({low('line')}, '[a-z0-9]+')) AS term FROM tpl) GROUP BY ALL),
-idf AS (SELECT term, ln((1 + (SELECT u FROM units)) / (1 + sum(n))) + 1 AS idf
-        FROM (SELECT term, n FROM lt UNION ALL SELECT term, 1 FROM kt) GROUP BY term),
-a AS (SELECT line, term, tf * idf AS w FROM lt JOIN idf USING (term)),
-b AS (SELECT k, licence, term, tf * idf AS w FROM kt JOIN idf USING (term)),
+df AS (SELECT term, count(*) AS n FROM kt GROUP BY term),
+a AS (SELECT unit, term, (1 + ln(tf)) * (ln({1 + len(TEMPLATES)} / (1 + coalesce(n, 0))) + 1) AS w FROM lt LEFT JOIN df USING (term)),
+b AS (SELECT k, licence, term, (1 + ln(tf)) * (ln({1 + len(TEMPLATES)} / (1 + n)) + 1) AS w FROM kt JOIN df USING (term)),
 sc AS (
-  SELECT line, licence, round(dot / (na * nb), 6) AS score
-  FROM (SELECT a.line, b.k, b.licence, sum(a.w * b.w) AS dot FROM a JOIN b USING (term) GROUP BY ALL)
-  JOIN (SELECT line, sqrt(sum(w * w)) AS na FROM a GROUP BY line) USING (line)
+  SELECT unit, licence, round(dot / (na * nb), 6) AS score
+  FROM (SELECT a.unit, b.k, b.licence, sum(a.w * b.w) AS dot FROM a JOIN b USING (term) GROUP BY ALL)
+  JOIN (SELECT unit, sqrt(sum(w * w)) AS na FROM a GROUP BY unit) USING (unit)
   JOIN (SELECT k, sqrt(sum(w * w)) AS nb FROM b GROUP BY k) USING (k)),
-best AS (SELECT line, licence, score FROM sc WHERE score >= {MIN_COSINE}
-         QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, licence) = 1),
-own AS (SELECT page_id, url, licence AS own_license, score AS own_score FROM l JOIN best USING (line)
+best AS (SELECT unit, licence, score FROM sc WHERE score >= {MIN_COSINE}
+         QUALIFY row_number() OVER (PARTITION BY unit ORDER BY score DESC, licence) = 1),
+own AS (SELECT page_id, url, licence AS own_license, score AS own_score FROM l JOIN best USING (unit)
         QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY score DESC, licence) = 1),
 kn AS (SELECT g.page_id, g.dir, g.name, own_license, own_score FROM g LEFT JOIN own
        ON own.page_id IS NOT DISTINCT FROM g.page_id AND own.url IS NOT DISTINCT FROM g.url),

@@ -542,3 +542,54 @@ def test_licenses_inherit_from_the_nearest_directory(llm):
     assert take(8, "h/a/") == ("MIT", "h/a/") == take(None, "h/a/") and take(5, "h/") == (None, None)
     assert take(6, "h/a/") == ("Apache-2.0", None) and take(9, "") == ("MIT", "")
     assert licenses.scan_licences(llm.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def cosine_by_hand(text, template):
+    words = lambda t: collections.Counter(re.findall("[a-z0-9]+", t.lower()))
+    all_ = [words(t) for _, t in licenses.TEMPLATES]
+    idf = lambda w: math.log((1 + len(all_)) / (1 + sum(w in c for c in all_))) + 1
+    weigh = lambda c: {w: (1 + math.log(n)) * idf(w) for w, n in c.items()}
+    a, b = weigh(words(text)), weigh(words(template))
+    return sum(x * b.get(w, 0) for w, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+
+def test_licenses_whole_files_headers_and_copies(llm):
+    """The same notices with one copy and with many; notices over several lines; whole licence files."""
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and "NONINFRINGEMENT" in t)
+    bsd = next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause" and "DAMAGE" in t)
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i:i + n]) for i in range(0, len(t.split()), n))
+    apache = "# Copyright someone\n# Licensed under the Apache License,\n# Version 2.0 (the License); you may not\n# use this file except in compliance\n# with the License."
+    texts = ["x = 1\n\n" + apache + "\n\nimport y", "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrap(mit, 11), wrap(bsd, 9),
+             "code\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software\ncode",
+             "MIT License", "some text of the law and the public without any notice in it", None]
+    names = ["a.py", "LICENSE", "COPYING", "b.c", "README", "c.txt", "d"]
+    seen = []
+    for copies in (1, 500):
+        rows = [(i * copies + k, f"http://h{i}/{k}/{n}", t) for i, (n, t) in enumerate(zip(names, texts)) for k in range(copies)]
+        got = licenses.scan_licences(llm.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        seen.append({r.id // copies: (r.own_license, r.own_score) for r in got})
+        assert len(got) == len(rows)
+    assert seen[0] == seen[1]
+    assert [seen[0][i][0] for i in range(7)] == ["Apache-2.0", "MIT", "BSD-3-Clause", "MIT", "MIT", None, None]
+    for i, unit in ((2, texts[2]), (3, texts[3].split("\n")[1]), (4, "MIT License")):
+        assert seen[0][i][1] == round(max(cosine_by_hand(unit, t) for _, t in licenses.TEMPLATES), 6)
+
+
+def test_gate_loses_no_licence():
+    """Whatever is left out shares no telling term and is below the threshold."""
+    rnd = random.Random(3)
+    words = sorted({w for _, t in licenses.TEMPLATES for w in re.findall("[a-z0-9]+", t.lower())})
+    gate = re.compile(licenses.gate(licenses.MIN_COSINE))
+    silent = [w for w in words if not gate.search(w)]
+    assert len(silent) > 30
+    for _, t in licenses.TEMPLATES:
+        kept = " ".join(w for w in re.findall("[a-z0-9]+", t.lower()) if not gate.search(w))
+        for text in (kept, " ".join(rnd.choices(silent, k=9)), kept + " " + " ".join(rnd.choices(silent, k=3))):
+            if text.strip():
+                assert max(cosine_by_hand(text, u) for _, u in licenses.TEMPLATES) < licenses.MIN_COSINE
+
+
+def test_licenses_clashing_columns(llm):
+    rows = [(1, "http://h/LICENSE", "MIT License", "u", "v", 1), (2, "http://h/x", None, None, None, None)]
+    got = licenses.scan_licences(llm.createDataFrame(rows, "page_id long, url string, html string, unit string, file string, name int"))
+    assert {(r.id, r.license) for r in got.collect()} == {(1, "MIT"), (2, "MIT")}
