@@ -45,12 +45,12 @@ from pyspark.sql import functions as F
 
 from ..operators.prefix import prefix_sums
 from ..session import scratch_path
-from ._bytes import _BASE, _INV, _TABLE, blocks, mix, powers, trimmed, words
+from ._bytes import _BASE, _INV, _TABLE, blocks, mix, powers, trimmed, word_hashes, words
 
 _U = np.uint64
 MAGIC = b"CMR2"
 BLOCK_IDS = 4096
-GROUP_IDS = 4_000_000        # ids coded side by side (documents are not split)
+GROUP_IDS = 3_000_000        # ids coded side by side (documents are not split)
 SLOTS = 2048                 # order-2 predictions of a block
 CONF, RATE = 8, 5
 UNIT_BITS, PAIR_BITS, FINE_BITS = 5, 14, 9      # shares of order 2; frequencies of order 1; what order 0 adds
@@ -330,23 +330,33 @@ def decode(header: bytes, coded: list[bytes]) -> np.ndarray:
 
 _CACHE: dict = {}
 CACHE_WORDS = 1_500_000
-_BYTES = np.where(np.isin(np.arange(256), [9, 10, 11, 12, 13, 32]), _U(0), _TABLE)
-
-
-def exact_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word, letter by letter as it is."""
-    if len(starts) == 0:
-        return np.zeros(0, _U)
-    n = len(raw)
-    h = np.add.reduceat(_BYTES[raw] * powers(_BASE, n), starts)
-    return mix(h * powers(_INV, n)[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+_ASIDE = np.arange(256) >= 128
+_ASIDE[ord("<")] = True
+_EXACT = np.where(np.isin(np.arange(256), [9, 10, 11, 12, 13, 32]), _U(0), _TABLE)
+
+
+def spelling_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of every word that tells apart what the tokenizer may: a
+    word of ASCII letters and signs without A-Z and a-z being different, one
+    that may hold a special token (these are case-sensitive, and begin with
+    ``<``) or letters beyond ASCII (composed before they are lower-cased) as
+    it is."""
+    h = word_hashes(raw, starts, ends)
+    if not len(h):
+        return h
+    aside = np.flatnonzero(np.add.reduceat(_ASIDE[raw], starts, dtype=np.int32))       # blanks between words count nothing
+    if len(aside):
+        n = len(raw)
+        x = np.add.reduceat(_EXACT[raw] * powers(_BASE, n), starts)[aside]
+        h[aside] = mix(x * powers(_INV, n)[starts[aside]] + (ends - starts)[aside].astype(_U) * _U(0xA0761D6478BD642F))
+    return h
 
 
 class WordTokenizer:
     """Ids of texts from the ids of their words, for a tokenizer that never
     joins text across white space.  Words are told apart by a 64-bit hash
-    of their bytes as they are (special tokens are case-sensitive); the ids
-    of up to ``CACHE_WORDS`` words are remembered."""
+    (``spelling_hashes``); the ids of up to ``CACHE_WORDS`` words are
+    remembered."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -379,7 +389,7 @@ class WordTokenizer:
     def ids(self, raw: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end_id``; ids of each text)."""
         starts, ends, first = words(raw, off)
-        h = exact_hashes(raw, starts, ends)
+        h = spelling_hashes(raw, starts, ends)
         order = np.argsort(h)
         ordered = h[order]
         head = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))[:len(h)])
