@@ -25,27 +25,32 @@ def rank_order(score: str, key: str) -> list:
 
 
 def batch_score(df: DataFrame, make_predict_fn: Callable, input_col: str, dim: int,
-                out: str = "score", batch_size: int = 64) -> DataFrame:
+                out: str = "score", batch_size: int = 64, status: str | None = None) -> DataFrame:
     """Model scoring hook: Arrow batches of ``batch_size`` rows go through
     ``make_predict_fn()`` (loaded once per Python worker).  A batch whose
     call raises yields nulls for its rows (the reference drops the batch);
-    filter them with :func:`tessera.operators.text.drop_failed`."""
+    filter them with :func:`tessera.operators.text.drop_failed`.  ``status`` names
+    a column that tells ``scored`` from ``failed`` rows: a row for which the
+    model itself gives NaN has no score either, but was scored."""
     from pyspark.ml.functions import predict_batch_udf
 
     def make():
         fn = make_predict_fn()
 
-        def predict(x: np.ndarray) -> np.ndarray:
+        def predict(x: np.ndarray) -> dict:
             try:
-                return np.asarray(fn(x), dtype="float64")
+                got = np.asarray(fn(x), dtype="float64")
+                return {"score": got, "failed": np.zeros(len(got), "int32")}
             except Exception:  # failed batch -> missing scores
-                return np.full(x.shape[0], np.nan)
+                return {"score": np.zeros(x.shape[0]), "failed": np.ones(x.shape[0], "int32")}
         return predict
 
-    udf = predict_batch_udf(make, return_type=T.DoubleType(), batch_size=batch_size,
-                            input_tensor_shapes=[[dim]])
-    sc = udf(F.col(input_col).cast("array<float>"))
-    return df.withColumn(out, F.when(F.isnan(sc), F.lit(None)).otherwise(sc))
+    kind = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("failed", T.IntegerType())])
+    udf = predict_batch_udf(make, return_type=kind, batch_size=batch_size, input_tensor_shapes=[[dim]])
+    x = df.withColumn("_scored", udf(F.col(input_col).cast("array<float>")))
+    ok = F.col("_scored.failed") == 0
+    more = {status: F.when(ok, "scored").otherwise("failed")} if status else {}
+    return x.withColumns({out: F.when(ok, F.col("_scored.score")), **more}).drop("_scored")
 
 
 def projection_model(dim: int, seed: int = 7) -> Callable:

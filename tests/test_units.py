@@ -703,6 +703,21 @@ def test_sample_approx_and_model_in_stream(spark):
     assert streamed == batch
 
 
+def test_nan_scores_are_not_failures(spark):
+    from tessera.operators import score as S
+
+    def make():
+        def fn(x):
+            if (x[:, 0] > 90).any():
+                raise RuntimeError("batch")
+            return np.where(x[:, 0] == 3, np.nan, x.sum(1))
+        return fn
+    df = spark.createDataFrame([(i, [float(v), 1.0]) for i, v in enumerate([1, 3, 5, 7])] + [(9, [99.0, 0.0])], "id long, v array<double>")
+    got = {r.id: (r.score, r.how) for r in S.batch_score(df.coalesce(1), make, "v", 2, batch_size=1, status="how").collect()}
+    assert got[0] == (2.0, "scored") and got[1] == (None, "scored") and got[9] == (None, "failed")
+    assert S.batch_score(df, make, "v", 2, batch_size=1).columns == ["id", "v", "score"]
+
+
 def test_python_worker_queries_from_foreign_cwd():
     """Queries whose functions run in Python workers must work when the
     driver process does not start in the repository (the package is
