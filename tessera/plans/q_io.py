@@ -157,8 +157,14 @@ def _score_stream(s):
                     F.when(ok, F.round(V.cosine("img", "txt"), 6)).alias("similarity"))
 
 
-#: items in flight: rows of a micro-batch of pairs (the reference's limit) and of events
-MAX_PENDING, EVENT_ROWS = 150, 8000
+#: least bound on the items in flight: rows of a micro-batch of pairs (the reference's limit) and of events
+MAX_PENDING, EVENT_ROWS = 150, 5000
+
+
+def in_flight(spark, src: str, least: int) -> int:
+    """Rows that a micro-batch may hold: a quarter of what is staged (from the
+    footers), ``least`` at least."""
+    return max(least, spark.read.parquet(src).count() // 4)
 
 
 @query("stream_score", """
@@ -169,24 +175,26 @@ SELECT a.vec_id, CASE WHEN a.label = 9 THEN 'failed' ELSE 'processed' END AS sta
          AS similarity
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def stream_score(spark, d):
-    """Pairs arrive as files; at most ``MAX_PENDING`` rows are in flight;
+    """Pairs arrive as files; a bounded number of rows is in flight;
     each micro-batch is scored and appended to the sink."""
     src_df = _pairs(loader(spark, d))
     src = ST.stage_files(src_df, "pairs-arrivals")
-    sink, _ = ST.run_stream(spark, src, src_df.schema, _score_stream, name="score", max_rows=MAX_PENDING)
+    sink, _ = ST.run_stream(spark, src, src_df.schema, _score_stream, name="score", max_rows=in_flight(spark, src, MAX_PENDING))
     return spark.read.parquet(sink).select("vec_id", "status", "similarity")
 
 
 @query("stream_batches", f"""
-WITH p AS (SELECT count(*) AS n FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
-SELECT CAST(k AS INTEGER) AS batch, CAST(least({MAX_PENDING}, n - k * {MAX_PENDING}) AS BIGINT) AS n
-FROM (SELECT n, unnest(range(CAST(ceil(n / {MAX_PENDING}) AS BIGINT))) AS k FROM p)""")
+WITH p AS (SELECT n, greatest({MAX_PENDING}, n // 4) AS m
+           FROM (SELECT count(*) AS n FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1))
+SELECT CAST(k AS INTEGER) AS batch, CAST(least(m, n - k * m) AS BIGINT) AS n
+FROM (SELECT n, m, unnest(range(CAST(ceil(n / m) AS BIGINT))) AS k FROM p)""")
 def stream_batches(spark, d):
-    """Rows of every micro-batch: each holds ``MAX_PENDING`` but the last,
-    whatever the size of the files."""
+    """Rows of every micro-batch: each holds the bound but the last, whatever
+    the size of the files."""
     src_df = _pairs(loader(spark, d)).select("vec_id", "label")
     src = ST.stage_files(src_df, "pairs-bounded", file_rows=400)
-    _, batches = ST.run_stream(spark, src, src_df.schema, lambda s: s, name="bounded", max_rows=MAX_PENDING)
+    _, batches = ST.run_stream(spark, src, src_df.schema, lambda s: s, name="bounded",
+                               max_rows=in_flight(spark, src, MAX_PENDING))
     return batches.select("batch", "n")
 
 
@@ -206,7 +214,8 @@ def stream_progress(spark, d):
         is_ = lambda k: F.count_if(F.col("status") == k).alias(k)
         return _score_stream(s).observe("progress", is_("processed"), is_("failed"))
 
-    ST.run_stream(spark, src, src_df.schema, score, name="progress", max_rows=MAX_PENDING, totals=totals)
+    ST.run_stream(spark, src, src_df.schema, score, name="progress",
+                  max_rows=in_flight(spark, src, MAX_PENDING), totals=totals)
     done = totals.wait()
     staged = spark.read.parquet(src).count()            # from the footers
     rows = [(k, n) for k, n in done.items() if n] + [("pending", staged - sum(done.values()))]
@@ -216,7 +225,8 @@ def stream_progress(spark, d):
 @query("stream_dedup", f"""
 SELECT user_id, event_id FROM (
   SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY batch, ts, event_id) AS k
-  FROM (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // {EVENT_ROWS} AS batch FROM events))
+  FROM (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // greatest({EVENT_ROWS}, count(*) OVER () // 4) AS batch
+        FROM events))
 WHERE k = 1""")
 def stream_dedup(spark, d):
     """Skip-if-seen across arrivals: events arrive in the order of their ids;
@@ -225,4 +235,4 @@ def stream_dedup(spark, d):
     ev = loader(spark, d)("events").select("event_id", "user_id", "ts")
     src = ST.stage_files(ev, "event-arrivals", order=["event_id"])
     return ST.admit_first(spark, src, ev.schema, ["user_id"], ["ts", "event_id"], name="dedup",
-                          max_rows=EVENT_ROWS).select("user_id", "event_id")
+                          max_rows=in_flight(spark, src, EVENT_ROWS)).select("user_id", "event_id")
