@@ -7,6 +7,7 @@ executors, and have known sizes, so Spark can choose join strategies by them.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,19 @@ def drop(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, limit: int):
+    """While a job runs, rows go to Python in batches of about ``limit`` bytes:
+    for rows of megabytes, of which the default holds many at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished phases now.
 

@@ -46,12 +46,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, blocks, mix, trimmed, word_hashes, words
-from ._store import drop, release, saved
+from ._store import arrow_batches, drop, release, saved
 
 ORDER, LOW, SYMBOLS, END = 5, 2, 257, 256
 BLOCK = 384 << 10            # bytes of text worked on at once
-BODY = 10 << 20              # bytes of text whose distinct strings and words are counted together
-MERGE_KEYS = 1 << 19         # distinct strings or words gathered before they are merged
+BODY = 6 << 20              # bytes of text whose distinct strings and words are counted together
+BATCH_BYTES = 4 << 20        # handed to Python at once: one block
+MERGE_KEYS = 1 << 18         # distinct strings or words gathered before they are merged
 BUCKET_BYTES, MIN_BUCKETS = 4 << 20, 512    # bytes of text for each bucket of strings
 _U = np.uint64
 
@@ -415,18 +416,23 @@ def score_documents(docs: DataFrame, order: int = ORDER, mass_bits: int | None =
                    .mapInArrow(trimmed(pack_blocks("text", min(order, LOW))), BLOCK_ROW), "blocks")
     size = packed.agg(F.sum(F.expr("aggregate(n_bytes, 0L, (x, y) -> x + y)"))).first()[0] or 0
     n_buckets = max(MIN_BUCKETS, size // BUCKET_BYTES)
-    counts, n, kinds, ends = word_counts(packed)
-    trie, least = low_orders(packed, order, mass_bits)
-    low = spark.sparkContext.broadcast(trie)
-    rows = packed.select("block", "n_bytes", "held_out", "body").mapInArrow(
-        trimmed(block_strings(order, n_buckets)), "bucket int, block long, keys binary, n binary")
-    logs = saved(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        trimmed(score_strings(order, low, least)), "block long, bucket int, logs binary"), "logs")
-    low.destroy()
+    with arrow_batches(spark, BATCH_BYTES):
+        counts, n, kinds, ends = word_counts(packed)
+        trie, least = low_orders(packed, order, mass_bits)
+        low = spark.sparkContext.broadcast(trie)
+        rows = packed.select("block", "n_bytes", "held_out", "body").mapInArrow(
+            trimmed(block_strings(order, n_buckets)), "bucket int, block long, keys binary, n binary")
+        logs = saved(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+            trimmed(score_strings(order, low, least)), "block long, bucket int, logs binary"), "logs")
+        low.destroy()
+        release(spark)
+        by_block = logs.groupBy("block").agg(F.collect_list(F.struct("bucket", "logs")).alias("logs"))   # bounded by the block
+        joined = packed.drop("low", "low_n").join(by_block, "block").join(counts, "block", "left")
+        scores = saved(joined.mapInArrow(trimmed(score_texts(order, n_buckets, n, kinds, ends)), RESULT), "scores")
+    for table in (packed, logs, counts):
+        drop(table)
     release(spark)
-    logs = logs.groupBy("block").agg(F.collect_list(F.struct("bucket", "logs")).alias("logs"))   # bounded by the block
-    joined = packed.drop("low", "low_n").join(logs, "block").join(counts, "block", "left")
-    return joined.mapInArrow(trimmed(score_texts(order, n_buckets, n, kinds, ends)), RESULT)
+    return scores
 
 
 def op2_ppm_scores(spark, sf_dir: str) -> DataFrame:
