@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from .prefix import prefix_sums
 
 SEGMENT = "struct<type:string,text:string,image:string,image_url:string,video:string>"
 TURN = "struct<role:string,content:string>"
@@ -186,47 +187,50 @@ def _count_of(values, x: str) -> Column:
 
 
 def tag_pieces(df: DataFrame, key: str, order: str, content: str, tags=(K.IMAGE_TAG, K.VIDEO_TAG),
-               only_role: str | None = "user", role: str = "role", active_tag: str | None = None) -> DataFrame:
+               only_role: str | None = "user", role: str = "role", active: DataFrame | None = None) -> DataFrame:
     """Split each turn on media tags: one row per piece (text before the
     i-th tag, or the tail) with the tag that follows it, and the running
     index of that tag per kind over the whole record (turn order).
 
-    The running index is a prefix count over the turns of the record
-    (``running_sums``), so a very long record is spread over many tasks;
-    ``_before_rows`` counts the pieces before this one in the record.
+    The running index is a prefix count over the turns of the record, so a
+    very long record is spread over many tasks; ``_before_rows`` counts the
+    pieces before this one in the record.  The tags of a turn are counted in
+    place, and the texts are dealt once and split after that.
 
-    With ``active_tag`` (a column holding one tag per row) only that tag
-    splits the text; other tags stay literal text, as when a record is
-    processed for one visual kind.
+    With ``active`` (key, _stag: the one tag of each record, the first of
+    ``tags`` where it has none) only that tag splits the text; other tags stay
+    literal text, as when a record is processed for one visual kind.
     """
-    from .rows import running_sums
     esc = lambda t: t.replace("<", r"\<").replace(">", r"\>")
     txt = F.col(content)
     split_here = F.col(role) == only_role if only_role is not None else F.lit(True)
-    none = F.array().cast("array<string>")
-    if active_tag is None:
+    one = F.lit(1).cast("bigint")
+    sums = {f"_before_{i}": F.when(split_here, T.count_occurrences(txt, t)).otherwise(0).cast("bigint") for i, t in enumerate(tags)}
+    x = prefix_sums(df, [key], order, [], {**sums, "_before_turns": one}, group=active)
+    before = [F.col(f"_before_{i}") for i in range(len(tags))]
+    if active is None:
         pattern = "|".join(esc(t) for t in tags)
         parts = F.when(split_here, F.split(txt, pattern, -1)).otherwise(F.array(txt))
-        found = F.when(split_here, F.regexp_extract_all(txt, F.lit("(" + pattern + ")"), 1)).otherwise(none)
+        found = F.when(split_here, F.regexp_extract_all(txt, F.lit("(" + pattern + ")"), 1)).otherwise(F.array().cast("array<string>"))
+        turns = sum(before[1:], before[0])
     else:
-        act = F.col(active_tag)
+        x = x.withColumn("_stag", F.coalesce("_stag", F.lit(tags[0])))
         parts = F.array(txt)
-        for t in tags:
-            parts = F.when(split_here & (act == t), F.split(txt, esc(t), -1)).otherwise(parts)
-        found = F.array_repeat(act, F.size(parts) - 1)
-    x = df.withColumns({"_parts": parts, "_tags": found})
-    vals = {f"_before_{i}": _count_of("_tags", t).cast("bigint") for i, t in enumerate(tags)}
-    vals["_before_rows"] = F.size("_parts").cast("bigint")
-    x = running_sums(x, [order], [key], vals)
+        turns = F.lit(0)
+        for i, t in enumerate(tags):
+            parts = F.when(split_here & (F.col("_stag") == t), F.split(txt, esc(t), -1)).otherwise(parts)
+            turns = F.when(F.col("_stag") == t, before[i]).otherwise(turns)
+        found = F.array_repeat(F.col("_stag"), F.size("_parts") - 1)
+    x = x.withColumns({"_parts": parts, "_before_rows": turns + F.col("_before_turns")}).withColumn("_tags", found)
     x = x.select("*", F.posexplode("_parts").alias("_piece_no", "piece"), F.size("_parts").alias("n_pieces"))
     tag = F.get(F.col("_tags"), F.col("_piece_no"))
     idx = F.lit(None).cast("bigint")
     for i, t in enumerate(tags):
         here = _count_of(F.slice("_tags", 1, F.col("_piece_no")), t)
-        idx = F.when(tag == t, F.col(f"_before_{i}") + here).otherwise(idx)
+        idx = F.when(tag == t, before[i] + here).otherwise(idx)
     return x.withColumns({"tag": tag, "tag_index": idx.cast("bigint"),
-                          "_before_rows": F.col("_before_rows") + F.col("_piece_no")}).drop(
-        "_parts", "_tags", *[f"_before_{i}" for i in range(len(tags))])
+                          "_before_rows": (F.col("_before_rows") + F.col("_piece_no")).cast("bigint")}).drop(
+        "_parts", "_tags", "_before_turns", *[f"_before_{i}" for i in range(len(tags))])
 
 
 def reassemble(pieces: DataFrame, key: str, order: str, piece: str, out: str, extra=()) -> DataFrame:
@@ -285,10 +289,8 @@ def expand_samples(turns: DataFrame, grid: DataFrame, key: str = "conv_id") -> D
     patches.  Tags index the sample's files of that kind in order; the other
     kind's tags stay text; a tag without a grid marks the sample."""
     from .positions import sample_tags
-    users = (turns.filter(F.col("role") == "user").select(key, "turn", "role", "flat")
-             .join(sample_tags(grid, key), key, "left")
-             .withColumn("_stag", F.coalesce(F.col("_stag"), F.lit(K.IMAGE_TAG))))
-    pieces = tag_pieces(users, key, "turn", "flat", active_tag="_stag").withColumn(
+    users = turns.filter(F.col("role") == "user").select(key, "turn", "role", "flat")
+    pieces = tag_pieces(users, key, "turn", "flat", active=sample_tags(grid, key)).withColumn(
         "kind", F.when(F.col("tag") == K.IMAGE_TAG, "image").when(F.col("tag") == K.VIDEO_TAG, "video"))
     g = grid.select(key, "kind", F.col("k").alias("tag_index"),
                     (F.col("gt") * F.col("gh") * F.col("gw") / 4).cast("bigint").alias("n_pad"))

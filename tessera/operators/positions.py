@@ -42,9 +42,7 @@ def segments(turns: DataFrame, grid: DataFrame, key: str = "conv_id", time_scale
     media file per kind in the sample.
     """
     from .rows import running_sums
-    src = turns.select(key, "turn", "role", "flat").join(sample_tags(grid, key), key, "left").withColumn(
-        "_stag", F.coalesce(F.col("_stag"), F.lit(K.IMAGE_TAG)))
-    p = C.tag_pieces(src, key, "turn", "flat", active_tag="_stag")
+    p = C.tag_pieces(turns.select(key, "turn", "role", "flat"), key, "turn", "flat", active=sample_tags(grid, key))
     p = p.withColumn("kind", F.when(F.col("tag") == K.IMAGE_TAG, "image").when(F.col("tag") == K.VIDEO_TAG, "video"))
     # per-piece values computed once; the text is dropped before the offset pass
     words = T.word_count("piece").alias("n_words") if not ids else TK.token_ids(T.words("piece")).alias("word_ids")

@@ -36,7 +36,8 @@ def positions(df: DataFrame, by: list[str], key: list[str], name: str, seed: int
             .drop("_h", "_part", "_local", "_base", "_by__part", *[f"_by_{c}" for c in by]))
 
 
-def prefix_sums(df: DataFrame, by: list[str], order: str, ties: list[str], values: dict, width: int = 12) -> DataFrame:
+def prefix_sums(df: DataFrame, by: list[str], order: str, ties: list[str], values: dict, width: int = 12,
+                group: DataFrame | None = None) -> DataFrame:
     """Add, for each ``name -> Column`` of ``values``, its sum over the rows
     before this one in its ``by`` group, in the order of the integer column
     ``order`` (nulls first) and ``ties``.
@@ -46,6 +47,9 @@ def prefix_sums(df: DataFrame, by: list[str], order: str, ties: list[str], value
     with one row per range, 2**-width of the group where its order is dense.
     So a hot group is spread over as many tasks as it has ranges, and no
     measuring job or checkpoint is needed.
+
+    ``group``: further columns of each group, one row for each ``by``; they
+    come with the sums of the ranges, so the rows are not dealt again for them.
     """
     names = list(values)
     cut = F.shiftright(F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 62))), width)
@@ -56,6 +60,9 @@ def prefix_sums(df: DataFrame, by: list[str], order: str, ties: list[str], value
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = Window.partitionBy(*[F.col(f"_g.b{i}") for i in range(len(by))]).orderBy("_g.c")
     base = totals.select(F.col("_g").alias("_bg"), *[before(f"_s_{n}", ranges).alias(f"_o_{n}") for n in names])
+    if group is not None:
+        base = base.join(group.withColumnsRenamed({c: f"_of_{c}" for c in by}),
+                         [F.col(f"_bg.b{i}") == F.col(f"_of_{c}") for i, c in enumerate(by)], "left").drop(*[f"_of_{c}" for c in by])
     w = Window.partitionBy("_g").orderBy(F.col(order).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in ties])
     rows = rows.withColumns({f"_l_{n}": before(f"_v_{n}", w) for n in names})
     out = rows.join(base, F.col("_g") == F.col("_bg"))
