@@ -144,32 +144,37 @@ TEMPLATES = (
      "SOFTWARE."),
 )
 
-#: fixed values: words that any text has; they tell nothing by themselves
-COMMON = frozenset("a all an and any are as at be by can for from has have if in into is it may not of on or out see shall such "
-                   "than that the there these this to use was what with without work you your 0 1 2 3 4".split())
+#: fixed values: words that any text has; they tell little, and templates alone cannot show it
+COMMON = frozenset("a all an and any are as at be but by can do each either even for from has have however if in into is it its later "
+                   "list may more must name neither no nor not of on or other out see shall should so such than that the there these "
+                   "this to under unless upon use used was way what whether will with without work you your 0 1 2 3 4".split())
+COMMON_WEIGHT = 0.25
 
 MARKUP = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>"
 LICENCE_FILE = r"^(licen[sc]e|unlicense|copying|copyright|notice)([.-].*)?$|^index[.].*$|^$"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _counts(templates) -> list[Counter]:
+    return [Counter(re.findall("[a-z0-9]+", text.lower())) for _, text in templates]
+
+
+def inverse_frequency(templates=TEMPLATES) -> dict[str, float]:
+    """Weight of each term of the templates."""
+    df = Counter(t for c in _counts(templates) for t in c)
+    return {t: (math.log((1 + len(templates)) / (1 + n)) + 1) * (COMMON_WEIGHT if t in COMMON else 1) for t, n in df.items()}
+
+
 def template_terms(templates=TEMPLATES) -> list[dict[str, float]]:
     """Weights of the terms of each template, of length 1."""
-    counts = [Counter(re.findall("[a-z0-9]+", text.lower())) for _, text in templates]
-    df = Counter(t for c in counts for t in c)
-    out = []
-    for c in counts:
-        w = {t: (1 + math.log(n)) * (math.log((1 + len(templates)) / (1 + df[t])) + 1) for t, n in c.items()}
+    idf, out = inverse_frequency(templates), []
+    for c in _counts(templates):
+        w = {t: (1 + math.log(n)) * idf[t] for t, n in c.items()}
         norm = math.sqrt(sum(x * x for x in w.values()))
         out.append({t: x / norm for t, x in w.items()})
     return out
 
 
-def inverse_frequency(templates=TEMPLATES) -> dict[str, float]:
-    df = Counter(t for _, text in templates for t in set(re.findall("[a-z0-9]+", text.lower())))
-    return {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in df.items()}
-
-
 def telling_terms(min_cosine: float, templates=TEMPLATES) -> list[str]:
     """Of each template the terms of largest weight, common words last, until
     the rest is shorter than ``min_cosine`` (with room for rounding)."""
@@ -228,7 +233,8 @@ def match_units(units: DataFrame, min_cosine: float) -> DataFrame:
              .groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf")))
     # both tables are fixed and small
     a = terms.join(F.broadcast(weights), "term", "left").select(
-        "unit", "term", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(math.log(1 + len(TEMPLATES)) + 1))).alias("w"))
+        "unit", "term", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(math.log(1 + len(TEMPLATES)) + 1)
+                                                           * F.when(F.col("term").isin(*sorted(COMMON)), COMMON_WEIGHT).otherwise(1.0))).alias("w"))
     norm = a.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
     dots = a.join(F.broadcast(known), "term").groupBy("unit", "k", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     scored = dots.join(norm, "unit").select("unit", "licence", F.round(F.col("dot") / F.col("n"), 6).alias("score"))
@@ -269,6 +275,7 @@ def op10_license_scan(spark, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     low = lambda x: f"translate({x}, '{_UP}', '{_LOW}')"
+    common = f"CASE WHEN term IN ({', '.join(repr(w) for w in sorted(COMMON))}) THEN {COMMON_WEIGHT} ELSE 1.0 END"
     rows = ", ".join("({}, '{}', '{}')".format(k, a, b.replace("'", "''")) for k, (a, b) in enumerate(TEMPLATES))
     return rf"""WITH f AS (
   SELECT page_id, url, html, regexp_replace(regexp_replace(coalesce(url, ''), '^[A-Za-z]+://', ''), '[?#].*$', '') AS p
@@ -290,8 +297,8 @@ lt AS (SELECT unit, term, count(*) AS tf FROM (
 kt AS (SELECT k, licence, term, count(*) AS tf FROM (
   SELECT k, licence, unnest(regexp_extract_all({low('line')}, '[a-z0-9]+')) AS term FROM tpl) GROUP BY ALL),
 df AS (SELECT term, count(*) AS n FROM kt GROUP BY term),
-a AS (SELECT unit, term, (1 + ln(tf)) * (ln({1 + len(TEMPLATES)} / (1 + coalesce(n, 0))) + 1) AS w FROM lt LEFT JOIN df USING (term)),
-b AS (SELECT k, licence, term, (1 + ln(tf)) * (ln({1 + len(TEMPLATES)} / (1 + n)) + 1) AS w FROM kt JOIN df USING (term)),
+a AS (SELECT unit, term, (1 + ln(tf)) * (ln({1 + len(TEMPLATES)} / (1 + coalesce(n, 0))) + 1) * {common} AS w FROM lt LEFT JOIN df USING (term)),
+b AS (SELECT k, licence, term, (1 + ln(tf)) * (ln({1 + len(TEMPLATES)} / (1 + n)) + 1) * {common} AS w FROM kt JOIN df USING (term)),
 sc AS (
   SELECT unit, licence, round(dot / (na * nb), 6) AS score
   FROM (SELECT a.unit, b.k, b.licence, sum(a.w * b.w) AS dot FROM a JOIN b USING (term) GROUP BY ALL)

@@ -547,7 +547,7 @@ def test_licenses_inherit_from_the_nearest_directory(llm):
 def cosine_by_hand(text, template):
     words = lambda t: collections.Counter(re.findall("[a-z0-9]+", t.lower()))
     all_ = [words(t) for _, t in licenses.TEMPLATES]
-    idf = lambda w: math.log((1 + len(all_)) / (1 + sum(w in c for c in all_))) + 1
+    idf = lambda w: (math.log((1 + len(all_)) / (1 + sum(w in c for c in all_))) + 1) * (0.25 if w in licenses.COMMON else 1)
     weigh = lambda c: {w: (1 + math.log(n)) * idf(w) for w, n in c.items()}
     a, b = weigh(words(text)), weigh(words(template))
     return sum(x * b.get(w, 0) for w, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
