@@ -209,8 +209,8 @@ def file_table(files: DataFrame, file_id: str, path: str, text: str) -> DataFram
 
 
 def licence_units(files: DataFrame, min_cosine: float) -> DataFrame:
-    """Distinct (file, unit): lines, paragraphs and whole licence files, in
-    lower case, with a telling term."""
+    """(file, u, unit): lines, paragraphs and whole licence files, in lower
+    case, with a telling term; ``u`` is the hash they are known by from here."""
     pattern = gate(min_cosine)
     low = F.translate("text", _UP, _LOW)
     x = files.filter(low.rlike(pattern)).select("file", "name", F.transform(
@@ -219,28 +219,29 @@ def licence_units(files: DataFrame, min_cosine: float) -> DataFrame:
     paragraphs = F.transform(F.split(F.array_join("lines", "\n"), "\n\n+"), joined)
     whole = F.when(F.col("name").rlike(LICENCE_FILE), F.array(joined(F.array_join("lines", "\n")))).otherwise(F.array().cast("array<string>"))
     units = F.filter(F.array_distinct(F.concat("lines", paragraphs, whole)), lambda u: u.rlike(pattern))
-    return x.select("file", F.explode(units).alias("unit")).distinct()
+    return x.select("file", F.explode(units).alias("unit")).select("file", F.xxhash64("unit").alias("u"), "unit")
 
 
 def match_units(units: DataFrame, min_cosine: float) -> DataFrame:
-    """(unit, licence, score) of the distinct units close to a template."""
+    """(u, licence, score) of the distinct units close to a template."""
     spark = units.sparkSession
     idf = inverse_frequency()
     known = _fixed(spark, [{"k": k, "licence": TEMPLATES[k][0], "term": t, "v": v} for k, w in enumerate(template_terms()) for t, v in w.items()],
                    "k int, licence string, term string, v double")
     weights = _fixed(spark, [{"term": t, "idf": x} for t, x in idf.items()], "term string, idf double")
-    terms = (units.select("unit").distinct().select("unit", F.explode(F.regexp_extract_all("unit", F.lit("[a-z0-9]+"), 0)).alias("term"))
-             .groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf")))
+    once = units.groupBy("u").agg(F.any_value("unit").alias("unit"))
+    terms = (once.select("u", F.explode(F.regexp_extract_all("unit", F.lit("[a-z0-9]+"), 0)).alias("term"))
+             .groupBy("u", "term").agg(F.count(F.lit(1)).alias("tf")))
     # both tables are fixed and small
     a = terms.join(F.broadcast(weights), "term", "left").select(
-        "unit", "term", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(math.log(1 + len(TEMPLATES)) + 1)
+        "u", "term", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(math.log(1 + len(TEMPLATES)) + 1)
                                                            * F.when(F.col("term").isin(*sorted(COMMON)), COMMON_WEIGHT).otherwise(1.0))).alias("w"))
-    norm = a.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
-    dots = a.join(F.broadcast(known), "term").groupBy("unit", "k", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    scored = dots.join(norm, "unit").select("unit", "licence", F.round(F.col("dot") / F.col("n"), 6).alias("score"))
-    best = scored.filter(F.col("score") >= min_cosine).groupBy("unit").agg(
+    norm = a.groupBy("u").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
+    dots = a.join(F.broadcast(known), "term").groupBy("u", "k", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    scored = dots.join(norm, "u").select("u", "licence", F.round(F.col("dot") / F.col("n"), 6).alias("score"))
+    best = scored.filter(F.col("score") >= min_cosine).groupBy("u").agg(
         F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
-    return best.select("unit", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
+    return best.select("u", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 
 def scan_licences(files: DataFrame, file_id: str = "page_id", path: str = "url", text: str = "html",
@@ -249,7 +250,7 @@ def scan_licences(files: DataFrame, file_id: str = "page_id", path: str = "url",
     ``files``; from_dir is the directory an inherited licence comes from."""
     table = file_table(files, file_id, path, text)
     units = saved(licence_units(table, min_cosine), "licence-units")
-    own = saved(units.join(match_units(units, min_cosine), "unit").groupBy("file")
+    own = saved(units.select("file", "u").distinct().join(match_units(units, min_cosine), "u").groupBy("file")
                 .agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
                 .select("file", F.col("b.licence").alias("own_license"), (-F.col("b.s")).alias("own_score")), "licences")
     known = table.drop("text").join(own, "file", "left")
