@@ -50,7 +50,7 @@ from ._store import arrow_batches, drop, release, saved
 
 ORDER, LOW, SYMBOLS, END = 5, 2, 257, 256
 BLOCK = 384 << 10            # bytes of text worked on at once
-BODY = 8 << 20              # bytes of text whose distinct strings and words are counted together
+BODY = 10 << 20              # bytes of text whose distinct strings and words are counted together
 BATCH_BYTES = 4 << 20        # handed to Python at once: one block
 MERGE_KEYS = 1 << 18         # distinct strings or words gathered before they are merged
 BUCKET_BYTES, MIN_BUCKETS = 4 << 20, 512    # bytes of text for each bucket of strings
@@ -422,14 +422,14 @@ def score_documents(docs: DataFrame, order: int = ORDER, mass_bits: int | None =
         low = spark.sparkContext.broadcast(trie)
         rows = packed.select("block", "n_bytes", "held_out", "body").mapInArrow(
             trimmed(block_strings(order, n_buckets)), "bucket int, block long, keys binary, n binary")
-        # the logs go from the buckets to the blocks by one shuffle, which is their only copy on disk
-        logs = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-            trimmed(score_strings(order, low, least)), "block long, bucket int, logs binary")
+        logs = saved(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+            trimmed(score_strings(order, low, least)), "block long, bucket int, logs binary"), "logs")
+        low.destroy()
+        release(spark)                      # the strings' shuffle files go before the logs are dealt
         by_block = logs.groupBy("block").agg(F.collect_list(F.struct("bucket", "logs")).alias("logs"))   # bounded by the block
         joined = packed.drop("low", "low_n").join(by_block, "block").join(counts, "block", "left")
         scores = saved(joined.mapInArrow(trimmed(score_texts(order, n_buckets, n, kinds, ends)), RESULT), "scores")
-    low.destroy()
-    for table in (packed, counts):
+    for table in (packed, logs, counts):
         drop(table)
     release(spark)
     return scores
