@@ -215,17 +215,17 @@ def file_table(files: DataFrame, file_id: str, path: str, text: str) -> DataFram
 def licence_units(files: DataFrame, min_cosine: float) -> DataFrame:
     """(file, u, unit): lines, paragraphs and whole licence files, in lower
     case, with a telling term; ``u`` is the hash they are known by from here."""
-    pattern = gate(min_cosine)
-    low = F.translate("text", _UP, _LOW)
-    x = files.filter(low.rlike(pattern)).select("file", "name", F.transform(
-        F.split(F.regexp_replace(low, MARKUP, "\n"), "\n"), lambda x: F.trim(x)).alias("lines"))
+    pattern = "(?i)" + gate(min_cosine)         # A-Z as a-z; only what is found is lower-cased
+    x = files.filter(F.col("text").rlike(pattern)).select("file", "name", F.transform(
+        F.split(F.regexp_replace("text", MARKUP, "\n"), "\n"), lambda x: F.trim(x)).alias("lines"))
     joined = lambda t: F.trim(F.replace(t, F.lit("\n"), F.lit(" ")))
     # a line with a telling term stands in a paragraph with one
     x = x.withColumn("blocks", F.filter(F.split(F.array_join("lines", "\n"), "\n\n+"), lambda b: b.rlike(pattern)))
     paragraphs = F.transform("blocks", joined)
     lines = F.filter(F.flatten(F.transform("blocks", lambda b: F.split(b, "\n"))), lambda u: u.rlike(pattern))
     whole = F.when(F.col("name").rlike(LICENCE_FILE), F.array(joined(F.array_join("lines", "\n")))).otherwise(F.array().cast("array<string>"))
-    units = F.array_distinct(F.concat(lines, paragraphs, F.filter(whole, lambda u: u.rlike(pattern))))
+    found = F.concat(lines, paragraphs, F.filter(whole, lambda u: u.rlike(pattern)))
+    units = F.array_distinct(F.transform(found, lambda u: F.translate(u, _UP, _LOW)))
     return x.select("file", F.explode(units).alias("unit")).select("file", F.xxhash64("unit").alias("u"), "unit")
 
 
