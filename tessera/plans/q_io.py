@@ -76,31 +76,39 @@ def prompt_csv(spark, d):
     return SRC.read_prompt_csv(spark, path)
 
 
-def _media_folder(spark, d):
-    """The pages as one media file each (its number, then its html), all in
-    one folder."""
+def _media_folder(spark, pages, content):
+    """Each page as one media file named by its number; a null ``content`` is
+    no file."""
     path = scratch_path(spark, "media")
-    p = loader(spark, d)("pages").select(F.concat(F.col("page_id").cast("string"), F.lit("\n"), "html").alias("value"))
-    p.repartition(8).write.option("maxRecordsPerFile", 1).text(path)
+    name = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(".txt"))
+    SRC.write_media(pages.select(name.alias("name"), content.cast("binary").alias("content")), path)
     return path
 
 
-_FILE_SQL = "CAST(page_id AS VARCHAR) || chr(10) || html || chr(10)"
+@query("media_listing", "SELECT page_id, octet_length(encode(html)) + 1 AS length FROM pages")
+def media_listing(spark, d):
+    """Files of a media folder (each page's html and a line end), known by
+    their names; no file is opened.  A page without html has no file and no
+    length."""
+    p = loader(spark, d)("pages")
+    body = F.concat("html", F.lit("\n"))
+    number = F.regexp_extract("path", r"/\d+-(-?\d*)\.txt$", 1).try_cast("bigint").alias("page_id")
+    files = SRC.media_listing(spark, _media_folder(spark, p, body), "*.txt").select(number, "length")
+    return files.unionByName(p.filter(body.isNull()).select("page_id", F.lit(None).cast("bigint").alias("length")))
 
 
-@query("media_listing", f"""
-SELECT length, CAST(count(*) AS BIGINT) AS n_files FROM (SELECT octet_length(encode({_FILE_SQL})) AS length FROM pages) GROUP BY length""")
-def media_listing(spark, d):
-    """Files of a media folder by their length; no file is opened."""
-    files = SRC.media_listing(spark, _media_folder(spark, d), "*.txt")
-    return files.groupBy("length").agg(F.count(F.lit(1)).alias("n_files"))
+_FILE_SQL = "CAST(page_id AS VARCHAR) || chr(10) || html || chr(10)"
 
 
 @query("media_payload", f"SELECT page_id, octet_length(encode({_FILE_SQL})) AS length, md5({_FILE_SQL}) AS content_md5 FROM pages")
 def media_payload(spark, d):
-    """Whole contents of the files of a media folder."""
+    """Whole contents of the files of a media folder (each page's number,
+    then its html)."""
+    path = scratch_path(spark, "media")
+    p = loader(spark, d)("pages").select(F.concat(F.col("page_id").cast("string"), F.lit("\n"), "html").alias("value"))
+    p.repartition(8).write.option("maxRecordsPerFile", 1).text(path)
     first = F.substring_index(F.col("content").cast("string"), "\n", 1).cast("bigint")
-    return SRC.media_payloads(spark, _media_folder(spark, d), "*.txt").select(
+    return SRC.media_payloads(spark, path, "*.txt").select(
         first.alias("page_id"), "length", F.md5("content").alias("content_md5"))
 
 

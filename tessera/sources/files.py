@@ -3,12 +3,18 @@ listings and payloads, media-reference parsing."""
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.chat import canonical_from_variant
 from ..session import ensure_checkpoint_dir
+from ..streaming.bounded import _open
+
+#: files of one subfolder of a written media folder
+FOLDER_FILES = 1000
 
 PROMPT_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -116,6 +122,43 @@ def media_manifest(manifest: DataFrame, path: str = "path", length: str = "lengt
     return manifest.select(F.col(path).alias("path"), F.col(length).cast("bigint").alias("length"))
 
 
+def _write_files(folder: str):
+    def run(batches):
+        system, root = _open(folder)
+        context = TaskContext.get()
+        task, attempt, n = context.partitionId(), context.taskAttemptId(), 0
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content")):
+                if not content.is_valid:
+                    continue
+                k, at = divmod(n, FOLDER_FILES)
+                inside = f"{root}/{task:05d}-{k:05d}"
+                if not at:
+                    system.create_dir(inside)
+                aside = f"{inside}/.{at}-{attempt}"              # a file is there whole or not at all
+                with system.open_output_stream(aside, compression=None) as f:
+                    f.write(content.as_buffer())
+                system.move(aside, f"{inside}/{at:03d}-{name or ''}")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+    return run
+
+
+def write_media(files: DataFrame, folder: str) -> int:
+    """Write each row (name, content binary) as one file below ``folder`` and
+    return their number; a null content is no file.
+
+    A task writes its own rows, ``FOLDER_FILES`` to a subfolder, so nothing is
+    moved at the end of the job and the subfolders are listed side by side.  A
+    file is ``<task>-<subfolder>/<place>-<name>``: rows of equal name are files
+    of their own.  A task that runs again writes the same files, so rows must
+    come in the same order then (a scan, or sorted rows)."""
+    system, root = _open(folder)
+    system.create_dir(root)
+    return files.select("name", "content").mapInArrow(_write_files(folder), "n long").agg(
+        F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def media_listing(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
     """Existing media files: path, length, modificationTime (the content
     column is pruned, so no file body is read)."""
