@@ -102,14 +102,16 @@ _FILE_SQL = "CAST(page_id AS VARCHAR) || chr(10) || html || chr(10)"
 
 @query("media_payload", f"SELECT page_id, octet_length(encode({_FILE_SQL})) AS length, md5({_FILE_SQL}) AS content_md5 FROM pages")
 def media_payload(spark, d):
-    """Whole contents of the files of a media folder (each page's number,
-    then its html)."""
-    path = scratch_path(spark, "media")
-    p = loader(spark, d)("pages").select(F.concat(F.col("page_id").cast("string"), F.lit("\n"), "html").alias("value"))
-    p.repartition(8).write.option("maxRecordsPerFile", 1).text(path)
+    """Whole contents of the files of a media folder (each page's number, its
+    html and a line end).  A page without either has no file, no length and no
+    checksum."""
+    p = loader(spark, d)("pages")
+    body = F.concat(F.col("page_id").cast("string"), F.lit("\n"), "html", F.lit("\n"))
     first = F.substring_index(F.col("content").cast("string"), "\n", 1).cast("bigint")
-    return SRC.media_payloads(spark, path, "*.txt").select(
+    files = SRC.media_payloads(spark, _media_folder(spark, p, body), "*.txt").select(
         first.alias("page_id"), "length", F.md5("content").alias("content_md5"))
+    return files.unionByName(p.filter(body.isNull()).select(
+        "page_id", F.lit(None).cast("bigint").alias("length"), F.lit(None).cast("string").alias("content_md5")))
 
 
 @query("payload_base64", """

@@ -23,7 +23,7 @@ def folder(tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["media_listing"])
+@pytest.mark.parametrize("name", ["media_listing", "media_payload"])
 def test_one_row_a_page(spark, folder, name):
     import __spark_entry__ as E
     with duckdb.connect() as c:
