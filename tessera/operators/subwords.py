@@ -13,9 +13,15 @@ of their ranks.  Nothing of a tokenizer library runs here:
     pairs is in the table.  (The same as joins with the merge table in as many
     rounds as a word has merges, but in one stage.)  The merge table, some
     50,000 rows by the vocabulary and never by the data, is broadcast;
- 3. counts and ids come back to the texts by a join on the piece; Spark
+ 3. counts come back to the texts by a join on the piece; Spark
     broadcasts the pieces or splits hot ones by their size, as they are saved.
 
+Ids have a row for each token, many times the rows of the texts, so they are
+not dealt or sorted: the pieces of a text stay together, the distinct ones of
+some texts are split side by side as in 2, and the rows leave the task in their
+order.  Only texts whose key is found more than once come by a join and by
+prefix sums over all pieces of their key.
+
 A text cut to its first ``n`` tokens is a byte prefix of the text, so only the
 length of that prefix is worked out, from the leading ``n`` pieces (each has a
 token at least).
@@ -30,6 +36,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +49,8 @@ from .text import MAX_TOKENS, MIN_TOKENS
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MAX_MERGES = 1 << 20         # a larger merge table is no vocabulary; it would not be broadcast
 _NEVER = np.int64(1) << 40
+TEXT_PIECES = 1 << 20        # pieces of texts that are split side by side
+OUT_ROWS = 1 << 18           # rows of ids that leave a task at once
 
 
 def byte_characters() -> list[str]:
@@ -100,20 +109,54 @@ class Merges:
         return token[order], width[order], np.searchsorted(piece[order], np.arange(len(off)))
 
 
+def _split_column(merges: Merges, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    column = column.cast(pa.large_binary())
+    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return merges.split(raw[off[0]:off[-1]], off - off[0])
+
+
 def _split_pieces(shared):
     def run(batches):
         merges = shared.value
         for batch in batches:
-            column = batch.column("piece").cast(pa.large_binary())
-            off = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
-            data = column.buffers()[2]
-            raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-            ids, width, first = merges.split(raw[off[0]:off[-1]], off - off[0])
+            ids, width, first = _split_column(merges, batch.column("piece"))
             lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x, pa.int32())) for x in (ids, width)]
             yield pa.RecordBatch.from_arrays([batch.column("piece"), *lists], names=["piece", "ids", "widths"])
     return run
 
 
+def _text_ids(shared, key: str):
+    """Rows (key, pos, token) from texts as lists of pieces."""
+    def run(batches):
+        merges = shared.value
+        for batch in batches:
+            lists = batch.column("_pieces")
+            end = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            i = 0
+            while i < len(end):
+                # some texts at a time, by the number of their pieces
+                before = end[i - 1] if i else 0
+                j = max(i + 1, int(np.searchsorted(end, before + TEXT_PIECES, "right")))
+                found = lists.slice(i, j - i).flatten().dictionary_encode()
+                ids, _, first = _split_column(merges, found.dictionary)
+                at = found.indices.to_numpy()
+                size = np.diff(first)[at]
+                edge = np.concatenate(([0], np.cumsum(size)))               # where each piece begins among all tokens
+                text = edge[np.concatenate(([before], end[i:j])) - before]  # and each text
+                row = np.repeat(np.arange(i, j), np.diff(text))
+                for a in range(0, int(edge[-1]), OUT_ROWS):
+                    b = min(a + OUT_ROWS, int(edge[-1]))
+                    n = np.arange(a, b)
+                    piece = np.searchsorted(edge, n, "right") - 1
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(key).take(pa.array(row[a:b])), pa.array(n - text[row[a:b] - i]),
+                         pa.array(ids[first[at[piece]] + n - edge[piece]])], names=[key, "pos", "token"])
+                i = j
+    return run
+
+
 def pieces(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){PIECES}"), F.lit(0))
 
@@ -141,7 +184,27 @@ def subword_counts(df: DataFrame, vocabulary: str, key: str = "id", text: str =
 
 
 def subword_ids(df: DataFrame, vocabulary: str, key: str = "id", text: str = "prompt") -> DataFrame:
-    """(key, pos, token): the token ids of every text."""
+    """(key, pos, token): the token ids of every text.  The pieces of equal
+    keys are numbered together, by their place in their text."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "repeated-keys")
+    df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key").write.parquet(path)
+    repeated = spark.read.parquet(path)
+    if repeated.isEmpty():
+        return _ids_by_text(df, vocabulary, key, text)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    return _ids_by_text(df.join(repeated, same, "left_anti"), vocabulary, key, text).unionByName(
+        _ids_by_key(df.join(repeated, same, "left_semi"), vocabulary, key, text))
+
+
+def _ids_by_text(df: DataFrame, vocabulary: str, key: str, text: str) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(Merges(vocabulary))
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, pieces(F.col(text)).alias("_pieces")).mapInArrow(
+        _text_ids(shared, key), f"`{key}` {kind}, pos long, token long")
+
+
+def _ids_by_key(df: DataFrame, vocabulary: str, key: str, text: str) -> DataFrame:
     found = df.select(key, F.posexplode(pieces(F.col(text))).alias("_at", "piece"))
     split = piece_tokens(found, vocabulary).select("piece", "ids")
     x = running_sums(found.join(split, "piece"), ["_at"], [key], {"_first": F.size("ids").cast("bigint")})

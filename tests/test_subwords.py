@@ -72,3 +72,32 @@ def test_convert_with_a_vocabulary(spark, library, path):
 def test_other_vocabularies_are_refused():
     with pytest.raises(ValueError):
         SW.Merges(vocabularies.path("word_bpe_49k.json"))
+
+
+def _by_text(rows):
+    got = {}
+    for r in rows:
+        got.setdefault(r.id, []).append((r.pos, r.token))
+    return {i: [t for _, t in sorted(x)] for i, x in got.items() if [p for p, _ in sorted(x)] == list(range(len(x)))}
+
+
+@pytest.mark.parametrize("pieces,rows", [(1, 1), (50, 7), (1 << 20, 1 << 18)])
+def test_ids_leave_the_task_that_reads_the_text(spark, texts, library, path, monkeypatch, pieces, rows):
+    monkeypatch.setattr(SW, "TEXT_PIECES", pieces)
+    monkeypatch.setattr(SW, "OUT_ROWS", rows)
+    some = ["", *texts[-60:], "", texts[0], ""]
+    df = spark.createDataFrame([*enumerate(some), (-1, None)], "id long, prompt string").repartition(2)
+    ids = SW.subword_ids(df, path)
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Sort" not in plan and "Join" not in plan       # a row for each token is not moved
+    assert _by_text(ids.collect()) == {i: e.ids for i, e in enumerate(library.encode_batch(some, add_special_tokens=False)) if e.ids}
+
+
+def test_ids_of_empty_texts_and_of_repeated_keys(spark, library, path):
+    empty = spark.createDataFrame([(1, ""), (2, None)], "id long, prompt string")
+    assert SW.subword_ids(empty, path).collect() == [] and SW.subword_ids(empty.limit(0), path).collect() == []
+    twice = spark.createDataFrame([(1, "one two"), (2, "a b c"), (2, "a b c"), (None, "x y"), (None, "x y")], "id long, prompt string")
+    got = _by_text(SW.subword_ids(twice, path).collect())
+    one, two, none = (library.encode(x).ids for x in ("one two", "a b c", "x y"))
+    assert [len(x) for x in (one, two, none)] == [2, 3, 2]
+    assert got == {1: one, 2: [t for t in two for _ in "ab"], None: [t for t in none for _ in "ab"]}
