@@ -39,6 +39,7 @@ probability 1/257 and no token is known.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,7 @@ BLOCK = 384 << 10            # bytes of text worked on at once
 BODY = 6 << 20              # bytes of text whose distinct strings and words are counted together
 BATCH_BYTES = 4 << 20        # handed to Python at once: one block
 MERGE_KEYS = 1 << 18         # distinct strings or words gathered before they are merged
+PASSES = 3                   # parts of the blocks whose texts meet their strings' results one after the other
 BUCKET_BYTES, MIN_BUCKETS = 4 << 20, 512    # bytes of text for each bucket of strings
 _U = np.uint64
 
@@ -399,6 +401,7 @@ def word_counts(packed: DataFrame) -> tuple[DataFrame, int, int, int]:
     known = found.select(F.explode(F.arrays_zip("words", "train")).alias("x")).select(
         F.col("x.words").alias("word"), F.col("x.train").alias("train"))
     totals = saved(known.filter("train > 0").groupBy("word").agg(F.sum("train").alias("c")), "words")
+    del known
     release(packed.sparkSession)
     n, kinds = totals.agg(F.sum("c"), F.count(F.lit(1))).first()
     back = found.select("block", F.posexplode("words").alias("pos", "word")).join(totals, "word")
@@ -426,13 +429,18 @@ def score_documents(docs: DataFrame, order: int = ORDER, mass_bits: int | None =
             trimmed(score_strings(order, low, least)), "block long, bucket int, logs binary"), "logs")
         low.destroy()
         release(spark)                      # the strings' shuffle files go before the logs are dealt
-        by_block = logs.groupBy("block").agg(F.collect_list(F.struct("bucket", "logs")).alias("logs"))   # bounded by the block
-        joined = packed.drop("low", "low_n").join(by_block, "block").join(counts, "block", "left")
-        scores = saved(joined.mapInArrow(trimmed(score_texts(order, n_buckets, n, kinds, ends)), RESULT), "scores")
+        scores = []
+        for part in range(PASSES):
+            of = lambda table: table.filter(F.col("block") % PASSES == part)  # noqa: B023, E731
+            by_block = of(logs).groupBy("block").agg(F.collect_list(F.struct("bucket", "logs")).alias("logs"))   # bounded by the block
+            joined = of(packed).drop("low", "low_n").join(by_block, "block").join(of(counts), "block", "left")
+            scores.append(saved(joined.mapInArrow(trimmed(score_texts(order, n_buckets, n, kinds, ends)), RESULT), "scores"))
+            del by_block, joined
+            release(spark)                  # the texts, logs and counts of a pass are dealt only for it
     for table in (packed, logs, counts):
         drop(table)
     release(spark)
-    return scores
+    return reduce(DataFrame.unionByName, scores)
 
 
 def op2_ppm_scores(spark, sf_dir: str) -> DataFrame:

@@ -156,6 +156,27 @@ def test_ppm_odd(llm, odd_docs, no_docs):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in every)
 
 
+def test_ppm_passes_give_the_same_rows(llm, monkeypatch):
+    """Each pass deals only its own blocks; together they score every text once."""
+    docs = llm.createDataFrame([(i, f"some text {i} {i % 7}", i % 5 == 1) for i in range(60)],
+                               "doc_id long, text string, held_out boolean").repartition(12)
+    sizes, saved = [], ppm.saved
+
+    def counted(df, name):
+        out = saved(df, name)
+        if name == "scores":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(ppm, "saved", counted)
+    got = sorted(tuple(r) for r in ppm.score_documents(docs).collect())
+    assert len(sizes) == ppm.PASSES > 1 and sum(sizes) == len(got) == 60
+    monkeypatch.setattr(ppm, "PASSES", 1)
+    want = sorted(tuple(r) for r in ppm.score_documents(docs).collect())
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert all(math.isclose(x, y, rel_tol=1e-9) for a, b in zip(got, want) for x, y in zip(a[5:], b[5:]))
+
+
 # ---- mixing -------------------------------------------------------------------
 
 def deviation(blocks, share, slots):
