@@ -13,13 +13,15 @@ and from nothing else: blocks are coded and read independently, and each has its
 CRC-32.  (Counted within a block alone, 4096 ids teach little: most of what
 an id says about the next would be lost.)  An id seen after the one before it
 is coded by order 1, another by the escape of that context and order 0.  Order
-2 has a confidence for each context, and for each confidence the coder tracks
-how often the prediction came true; this rate is its share of the interval of
-the next id, which drives a range coder (64-bit registers, 32-bit output,
-carries).
+2 has a confidence for each context (how often in a row it was right), and for
+each confidence the coder tracks how often the prediction came true, in strides
+of some steps; this rate is its share of the interval of the next id, which
+drives a range coder (64-bit registers, 32-bit output, carries).
 
 Coding is sequential within a block, so the blocks of a group are coded
 side by side: one step codes the next id of every block with array operations.
+A writer knows all ids, so it works out the predictions of all steps at once
+and only the range coder goes step by step.
 
 Spark sorts the documents by id (range partitions), every task tokenizes and
 codes its part in groups, and the rows are written as Parquet to the shared
@@ -48,11 +50,13 @@ from ..session import scratch_path
 from ._bytes import _BASE, _INV, _TABLE, blocks, mix, powers, trimmed, word_hashes, words
 
 _U = np.uint64
-MAGIC = b"CMR2"
+MAGIC = b"CMR3"
 BLOCK_IDS = 4096
-GROUP_IDS = 3_000_000        # ids coded side by side (documents are not split)
+GROUP_IDS = 4_000_000        # ids coded side by side (documents are not split)
 SLOTS = 2048                 # order-2 predictions of a block
 CONF, RATE = 8, 5
+STRIDE = 32                  # steps between two looks at the hit rates
+LANES_AT_ONCE = 64           # lanes whose predictions are worked out at once when they are written
 UNIT_BITS, PAIR_BITS, FINE_BITS = 5, 14, 9      # shares of order 2; frequencies of order 1; what order 0 adds
 TOTAL_BITS = UNIT_BITS + PAIR_BITS + FINE_BITS
 LEAST_PAIR = 4               # a pair met less often costs more in the header than it saves
@@ -112,13 +116,43 @@ class Prior:
         before, head = np.cumsum(f1) - f1, _heads(context)
         start = before - np.repeat(before[head], np.diff(np.append(head, len(context))))
         self.pair_key, self.pair_start, self.pair_size = key, start.astype(np.int32), f1.astype(np.int32)
-        # for reading: where each interval of each context begins
-        begin = np.concatenate([(context << PAIR_BITS) + start, (np.arange(kinds + 1) << PAIR_BITS) + total])
+
+    def index(self) -> "Prior":
+        """For reading: all intervals of order 1, the first of each of some
+        even parts of each context (two parts an interval or more), and the id
+        at each place of order 0."""
+        kinds, places = self.kinds, 1 << PAIR_BITS
+        context, follower = np.divmod(self.pair_key, kinds)
+        begin = np.concatenate([context * places + self.pair_start, np.arange(kinds + 1) * places + self.total])
         order = np.argsort(begin, kind="stable")
-        self.kind = np.int32 if kinds < 1 << 16 else np.int64           # half the memory to search
-        self.begin = begin[order].astype(self.kind)
-        self.symbol = np.concatenate([follower, np.full(kinds + 1, -1)])[order]
-        self.size = np.concatenate([f1, np.zeros(kinds + 1, np.int64)])[order]
+        kind = np.int32 if kinds < 1 << 16 else np.int64                # half the memory to look into
+        self.begin, self.end = begin[order].astype(kind), np.append(begin[order][1:], (kinds + 1) * places).astype(kind)
+        follower, size = np.append(follower, np.full(kinds + 1, -1)), np.append(self.pair_size, np.zeros(kinds + 1, np.int64))
+        self.packed = (follower << 2 * PAIR_BITS + 1 | begin % places << PAIR_BITS + 1 | size)[order]
+        n = np.bincount(begin // places)
+        bits = np.minimum(np.ceil(np.log2(2 * n)).astype(np.int64), PAIR_BITS)
+        parts = 1 << bits
+        at = np.cumsum(parts) - parts
+        context = np.repeat(np.arange(kinds + 1), parts)
+        place = (np.arange(len(context)) - at[context]) << (PAIR_BITS - bits)[context]
+        self.first = (self.begin.searchsorted((context * places + place).astype(kind), "right") - 1).astype(np.int32)
+        self.part = at << 4 | PAIR_BITS - bits
+        self.symbol0 = np.repeat(np.arange(kinds, dtype=np.int32), np.diff(self.cum0))
+        return self
+
+    def found(self, a: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Follower (-1: the escape), begin and size of the interval of each
+        context that holds a place in it."""
+        part = self.part.take(a)
+        at = self.first.take((part >> 4) + (place >> (part & 15)))
+        want = (a.astype(self.begin.dtype) << PAIR_BITS) + place
+        later = (self.end.take(at) <= want).nonzero()[0]
+        if len(later):
+            at[later] = self.begin.searchsorted(want[later], "right") - 1
+        got = self.packed.take(at)
+        low = got.astype(np.int32)
+        return ((got >> 2 * PAIR_BITS + 1).astype(np.int32), (low >> PAIR_BITS + 1) & ((1 << PAIR_BITS) - 1),
+                low & ((2 << PAIR_BITS) - 1))
 
     @classmethod
     def of(cls, ids: np.ndarray) -> tuple["Prior", np.ndarray, np.ndarray]:
@@ -136,8 +170,13 @@ class Prior:
             if len(alphabet) >= MAX_KINDS:
                 raise ValueError(f"a group of documents has {MAX_KINDS} distinct ids or more")
         pairs = x[:-1].astype(np.int64) * len(alphabet) + x[1:]
-        order = np.argsort(pairs)
-        ordered = pairs[order]
+        if len(alphabet) < 1 << 16 and len(pairs) < 1 << 32:              # a pair and its place in one number
+            packed = np.sort(pairs.astype(_U) << _U(32) | np.arange(len(pairs), dtype=_U))
+            order, ordered = (packed & _U(0xFFFFFFFF)).astype(np.int64), (packed >> _U(32)).astype(np.int64)
+            del packed
+        else:
+            order = np.argsort(pairs)
+            ordered = pairs[order]
         head = _heads(ordered)
         kind, n = ordered[head], np.diff(np.append(head, len(ordered)))
         keep = n >= np.maximum(LEAST_PAIR, counts[kind // len(alphabet)] >> PAIR_BITS - 2)   # a quarter of the intervals at most
@@ -153,32 +192,89 @@ class Prior:
 
 class Recent:
     """Order 2 of many blocks, one lane each: per hashed context the id that
-    last followed (id << 3 | confidence), and per confidence how often
-    that came true."""
+    last followed and its confidence (how often in a row it was right, 0: the
+    context is new), and per confidence how often such predictions come true,
+    brought up to date every ``STRIDE`` steps.
+
+    ``known``: all ids (steps by lanes), when they are written; then one call
+    of ``predict`` answers for all steps."""
 
-    def __init__(self, lanes: int):
-        self.table = np.zeros(lanes * SLOTS, np.int32)
+    def __init__(self, lanes: int, known: np.ndarray | None = None):
+        self.known, self.lanes = known, lanes
         self.rates = np.tile((np.arange(CONF) * 65536 * 7 // (8 * CONF)).astype(np.int32), lanes)
-        self.lane = np.arange(lanes, dtype=np.int64)
+        self.shares = self.share()
+        if known is None:
+            self.table, self.step = np.zeros(lanes * SLOTS, np.int32), 0
+            self.slots, self.kinds = (np.arange(lanes, dtype=np.int32) * k for k in (SLOTS, CONF))
+            self.rate_at, self.hits = np.zeros((STRIDE, lanes), np.int32), np.zeros((STRIDE, lanes), bool)
+
+    def share(self) -> np.ndarray:
+        """What each confidence is given, in units of 1/2**UNIT_BITS."""
+        share = (self.rates * ((1 << UNIT_BITS) - 2)) >> 16
+        share[::CONF] = 0
+        return share
+
+    def track(self, tries: np.ndarray, hits: np.ndarray) -> None:
+        """A rate is that of the last predictions, about 2**RATE of them."""
+        self.rates = (((self.rates << RATE) + (hits << 16)) // (tries + (1 << RATE))).astype(np.int32)
+        self.shares = self.share()
 
     def predict(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Predicted ids, and their share in units of 1/2**UNIT_BITS."""
-        self.at = ((a * 40503 + b * 30011) >> 3 & (SLOTS - 1)) + self.lane * SLOTS
+        slot = (a * 40503 + b * 30011) >> 3 & (SLOTS - 1)
+        if self.known is not None:
+            return self.foretold(slot.reshape(self.known.shape))
+        self.at = slot + self.slots
         state = self.table.take(self.at)
         self.conf, self.said = state & (CONF - 1), state >> 3
-        self.rate_at = self.lane * CONF + self.conf
-        self.rate = self.rates.take(self.rate_at)
-        return self.said, ((self.rate * ((1 << UNIT_BITS) - 2)) >> 16) * (self.conf > 0)
+        rate_at = self.rate_at[self.step]
+        np.add(self.conf, self.kinds, out=rate_at)
+        return self.said, self.shares.take(rate_at)
 
     def learn(self, x: np.ndarray) -> None:
-        hit = self.said == x
-        self.rates[self.rate_at] = self.rate + ((hit * np.int32(65536) - self.rate) >> RATE)
-        conf = _NEXT.take(hit * CONF + self.conf)
-        self.table[self.at] = np.where(hit | (self.conf > 1), self.said << 3 | conf, x << 3 | 1)
-
-
-#: next confidence after a miss (first CONF) and after a hit
-_NEXT = np.array([1, 1] + [c >> 1 for c in range(2, CONF)] + [min(c + 1, CONF - 1) for c in range(CONF)], np.int32)
+        hit = np.equal(self.said, x, out=self.hits[self.step])
+        self.table[self.at] = x << 3 | np.minimum(self.conf * hit + 1, CONF - 1)
+        self.step += 1
+        if self.step == STRIDE:
+            size = len(self.rates)
+            self.track(np.bincount(self.rate_at.ravel(), minlength=size), np.bincount(self.rate_at[self.hits], minlength=size))
+            self.step = 0
+
+    def foretold(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same predictions for ids that are known: what last stood in a
+        slot is the one before in the order of slots and steps."""
+        steps, lanes = slot.shape
+        said, share = np.empty((steps, lanes), np.int32), np.empty((steps, lanes), np.int32)
+        strides = -(-steps // STRIDE)
+        stride_of = (np.arange(steps) // STRIDE)[:, None]
+        for i in range(0, lanes, LANES_AT_ONCE):
+            of = slice(i, min(lanes, i + LANES_AT_ONCE))
+            n = of.stop - i
+            s = np.ascontiguousarray(slot[:, of].T).astype(np.uint16)
+            order = np.argsort(s, axis=1, kind="stable")
+            order += np.arange(n)[:, None] * steps
+            s, y = s.take(order).ravel(), np.ascontiguousarray(self.known[:, of].T).take(order).ravel()
+            old = np.concatenate(([False], s[1:] == s[:-1]))
+            old[::steps] = False                              # each lane by itself
+            before = np.concatenate(([0], y[:-1])) * old
+            hit = old & (before == y)
+            place = np.arange(len(y), dtype=np.int32)
+            missed = np.maximum.accumulate(np.where(hit, 0, place))
+            run = place - np.concatenate(([0], missed[:-1]))  # steps since the last miss
+            order = order.ravel()
+            got = np.empty((3, len(y)), np.int32)
+            got[0, order], got[1, order], got[2, order] = before, np.minimum(run, CONF - 1) * old, hit
+            before, conf, hit = (np.ascontiguousarray(v.reshape(n, steps).T) for v in got)
+            said[:, of] = before
+            key = (stride_of * n + np.arange(n)) * CONF + conf
+            tries, hits = (np.bincount(k, minlength=strides * n * CONF).reshape(strides, -1) for k in (key.ravel(), key[hit > 0]))
+            rates = Recent(n, self.known)
+            shares = np.empty((strides, n * CONF), np.int32)
+            for k in range(strides):
+                shares[k] = rates.shares
+                rates.track(tries[k], hits[k])
+            share[:, of] = shares.take(key)
+        return said.ravel(), share.ravel()
 
 
 def encode_lanes(prior: Prior, x: np.ndarray, which: np.ndarray, last: int) -> list[bytes]:
@@ -187,51 +283,50 @@ def encode_lanes(prior: Prior, x: np.ndarray, which: np.ndarray, last: int) -> l
     steps, n = x.shape
     a = np.concatenate([np.full((1, n), prior.kinds, np.int32), x[:-1]])
     b = np.concatenate([np.full((1, n), prior.kinds, np.int32), a[:-1]])
-    # intervals of order 1 and 0 of every id; both are scaled by the share m that order 2 leaves
+    said, share = (v.reshape(steps, n) for v in Recent(n, x).predict(a.ravel(), b.ravel()))
+    del b
     total, cum0 = prior.total.astype(np.int32), prior.cum0.astype(np.int32)
-    esc = which < 0
+    size0 = np.diff(cum0)
     pair_start, pair_size = np.append(prior.pair_start, 0), np.append(prior.pair_size, 0)
-    start1 = np.where(esc, total[a], pair_start[which]) << FINE_BITS
-    size1 = np.where(esc, 0, pair_size[which]) << FINE_BITS
-    rest = np.where(esc, (1 << PAIR_BITS) - total[a], 0)
-    start0, size0 = np.where(esc, cum0[x], 0), np.where(esc, np.diff(cum0)[x], 0)
-    recent, down = Recent(n), prior.fine - FINE_BITS
+    down = prior.fine - FINE_BITS
     low, rng = np.zeros(n, _U), np.full(n, _U(0xFFFFFFFFFFFFFFFF))
-    out, to = np.zeros((n, steps + 8), np.uint32), np.zeros(n, np.int64)
-    lanes, ended = np.arange(n), b""
+    out, to = np.zeros(n * (steps + 8), np.uint32), np.arange(n, dtype=np.int64) * (steps + 8)
+    begin, ended = to.copy(), b""
     for t in range(steps):
+        k = t % STRIDE
+        if not k:
+            # intervals of order 1 and 0; both are scaled by the share m that order 2 leaves
+            of = slice(t, t + STRIDE)
+            s, u, pair, before = x[of], share[of], which[of], total[a[of]]
+            m, esc = (1 << UNIT_BITS) - u, pair < 0
+            unit = ((m * ((1 << PAIR_BITS) - before)) >> down) * esc
+            two = (said[of] == s) & (u > 0)
+            starts = (u << PAIR_BITS + FINE_BITS) + m * (np.where(esc, before, pair_start[pair]) << FINE_BITS) + unit * cum0[s]
+            sizes = m * (np.where(esc, 0, pair_size[pair]) << FINE_BITS) + unit * size0[s]
+            starts, sizes = np.where(two, 0, starts).astype(_U), np.where(two, u << PAIR_BITS + FINE_BITS, sizes).astype(_U)
         if t == last:
-            ended = out[-1, :to[-1]].tobytes() + struct.pack("<II", int(low[-1]) >> 32, int(low[-1]) & 0xFFFFFFFF)
-        s = x[t]
-        said, u = recent.predict(a[t], b[t])
-        m = (1 << UNIT_BITS) - u
-        unit = (m * rest[t]) >> down
-        two = said == s
-        two &= u > 0
-        start = np.where(two, 0, (u << PAIR_BITS + FINE_BITS) + m * start1[t] + unit * start0[t])
-        size = np.where(two, u << PAIR_BITS + FINE_BITS, m * size1[t] + unit * size0[t])
+            ended = out[begin[-1]:to[-1]].tobytes() + struct.pack("<II", int(low[-1]) >> 32, int(low[-1]) & 0xFFFFFFFF)
         r = rng >> _U(TOTAL_BITS)
-        new = low + start.astype(_U) * r
-        over = new < low
-        if over.any():                                   # carry into the words already written
-            for k in np.flatnonzero(over):
-                j = to[k] - 1
-                while out[k, j] == 0xFFFFFFFF:
-                    out[k, j] = 0
+        new = low + starts[k] * r
+        over = (new < low).nonzero()[0]
+        if len(over):                                    # carry into the words already written
+            j = to[over] - 1
+            out[j] += np.uint32(1)
+            for j in j[out[j] == 0]:
+                while not out[j]:
                     j -= 1
-                out[k, j] += 1
-        low, rng = new, size.astype(_U) * r
-        idx = np.flatnonzero(rng < _WORD)
+                    out[j] += np.uint32(1)
+        low, rng = new, sizes[k] * r
+        idx = (rng < _WORD).nonzero()[0]
         if len(idx):
-            lo = low[idx]
-            out[idx, to[idx]] = lo >> _U(32)
-            to[idx] += 1
+            lo, j = low[idx], to[idx]
+            out[j] = lo >> _U(32)
+            to[idx] = j + 1
             low[idx] = lo << _U(32)
             rng[idx] <<= _U(32)
-        recent.learn(s)
-    out[lanes, to] = low >> _U(32)
-    out[lanes, to + 1] = low & _U(0xFFFFFFFF)
-    coded = [out[k, :to[k] + 2].tobytes() for k in range(n)]
+    out[to] = low >> _U(32)
+    out[to + 1] = low & _U(0xFFFFFFFF)
+    coded = [out[i:j + 2].tobytes() for i, j in zip(begin.tolist(), to.tolist())]
     return coded if last == steps else coded[:-1] + [ended]
 
 
@@ -248,40 +343,41 @@ def decode_lanes(prior: Prior, payloads: list[bytes], steps: int) -> np.ndarray:
     diff = (data[:, 0].astype(_U) << _U(32)) | data[:, 1]       # code minus the interval's low end
     rng = np.full(n, _U(0xFFFFFFFFFFFFFFFF))
     recent, down = Recent(n), prior.fine - FINE_BITS
-    a = b = np.full(n, prior.kinds, np.int64)
+    cum0 = prior.cum0.astype(np.int32)
+    f0 = np.diff(cum0)
+    a = b = np.full(n, prior.kinds, np.int32)
     out = np.empty((steps, n), np.int32)
     for t in range(steps):
         said, u = recent.predict(a, b)
         m = (1 << UNIT_BITS) - u
         r = rng >> _U(TOTAL_BITS)
-        v = np.minimum(diff // r, _MOST).astype(np.int64)
-        skip = u.astype(np.int64) << PAIR_BITS + FINE_BITS
+        v = np.minimum(diff // r, _MOST).astype(np.int32)
+        skip = u << PAIR_BITS + FINE_BITS
         w = v - skip
-        base = a << PAIR_BITS
-        found = prior.begin.searchsorted((base + (np.maximum(w, 0) // m >> FINE_BITS)).astype(prior.kind), "right") - 1
-        s = prior.symbol[found]
-        start1 = prior.begin[found] - base
-        start, size = skip + ((m * start1) << FINE_BITS), (m * prior.size[found]) << FINE_BITS
-        esc = np.flatnonzero((s < 0) & (w >= 0))
+        two = w < 0
+        s, start1, size1 = prior.found(a, (np.maximum(w, 0) // m) >> FINE_BITS)
+        part = m << FINE_BITS
+        start, size = skip + part * start1, part * size1
+        esc = ((s < 0) & ~two).nonzero()[0]
         if len(esc):
             unit = (m[esc] * ((1 << PAIR_BITS) - start1[esc])) >> down
             q = np.minimum((v[esc] - start[esc]) // unit, (1 << prior.fine) - 1)
-            s0 = prior.cum0.searchsorted(q, "right") - 1
+            s0 = prior.symbol0.take(q)
             s[esc] = s0
-            start[esc] += unit * prior.cum0[s0]
-            size[esc] = unit * (prior.cum0[s0 + 1] - prior.cum0[s0])
-        two = w < 0
+            start[esc] += unit * cum0.take(s0)
+            size[esc] = unit * f0.take(s0)
         s, start, size = np.where(two, said, s), np.where(two, 0, start), np.where(two, skip, size)
         out[t] = s
         diff = diff - start.astype(_U) * r
         rng = size.astype(_U) * r
-        idx = np.flatnonzero(rng < _WORD)
+        idx = (rng < _WORD).nonzero()[0]
         if len(idx):
-            diff[idx] = (diff[idx] << _U(32)) | flat[np.minimum(at[idx], limit[idx])]
-            at[idx] += 1
+            j = at[idx]
+            diff[idx] = (diff[idx] << _U(32)) | flat[np.minimum(j, limit[idx])]
+            at[idx] = j + 1
             rng[idx] <<= _U(32)
         recent.learn(out[t])
-        a, b = s, a
+        a, b = out[t], a
     return out
 
 
@@ -321,7 +417,7 @@ def decode(header: bytes, coded: list[bytes]) -> np.ndarray:
             raise ValueError("token block: wrong magic or checksum")
         counts.append(count)
         payloads.append(payload)
-    prior = Prior(header)
+    prior = Prior(header).index()
     x = decode_lanes(prior, payloads, max(counts))
     return prior.alphabet[np.concatenate([x[:c, k] for k, c in enumerate(counts)])]
 

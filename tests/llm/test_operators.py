@@ -417,6 +417,23 @@ def test_coder_round_trip():
     assert token_coder.encode(np.zeros(0, np.int64)) == (b"", []) and len(token_coder.decode(b"", [])) == 0
 
 
+def test_predictions_of_known_ids_are_those_of_the_steps():
+    """A writer gets the predictions of all steps in one call; a reader gets the same ones step by step."""
+    rnd = np.random.default_rng(5)
+    for steps, lanes, kinds in ((1, 1, 1), (31, 2, 3), (700, 130, 4), (500, 3, 60_000)):
+        x = (rnd.integers(0, kinds, (steps, lanes)) * rnd.integers(0, 2, (steps, lanes))).astype(np.int32)
+        a = np.concatenate([np.full((1, lanes), kinds, np.int32), x[:-1]])
+        b = np.concatenate([np.full((1, lanes), kinds, np.int32), a[:-1]])
+        said, share = (v.reshape(steps, lanes) for v in token_coder.Recent(lanes, x).predict(a.ravel(), b.ravel()))
+        reader, used = token_coder.Recent(lanes), 0
+        for t in range(steps):
+            one, part = reader.predict(a[t], b[t])
+            assert (part == share[t]).all() and (one == said[t])[part > 0].all()
+            used += (part > 0).sum()
+            reader.learn(x[t])
+        assert used or steps < 700
+
+
 def test_every_order_pays(monkeypatch, llm):
     """Below the entropy of single ids, and each order saves something."""
     import public_tokenizers
