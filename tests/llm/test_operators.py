@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_views, decontam, jaccard, licenses, mixing, ppm, quality, sharding, suffix_dedup, token_coder
+from tessera.llm import _store, chat_views, decontam, jaccard, licenses, mixing, ppm, quality, sharding, suffix_dedup, token_coder
 from tessera.llm import queries as Q
 from tessera.llm._graph import components
 from tessera.operators.prefix import positions, prefix_sums
@@ -64,6 +64,20 @@ def test_components(llm):
     assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
 
 
+def test_saved_tables_leave_no_shuffle_files(llm):
+    """The files of a phase do not wait for the driver's collector; the session's setting stays as it was."""
+    disk = llm.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, old = files(), llm.conf.get(key)
+    rows = llm.range(3000).selectExpr("id % 7 AS k").groupBy("k").count()
+    joined = rows.join(llm.range(9).withColumnRenamed("id", "k").repartition(3, "k").hint("merge"), "k")
+    table = _store.saved(joined, "no-shuffles")
+    assert files() <= before and llm.conf.get(key) == old
+    assert sorted(pairs_of(table, "k", "count")) == [(k, 429 if k < 4 else 428) for k in range(7)]
+    _store.drop(table)
+
+
 # ---- chat views ---------------------------------------------------------------
 
 def test_chat_views_rotate_and_mask(llm):
