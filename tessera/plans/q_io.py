@@ -78,11 +78,10 @@ def prompt_csv(spark, d):
 
 def _media_folder(spark, pages, content):
     """Each page as one media file named by its number; a null ``content`` is
-    no file."""
+    no file.  The folder and the number of files."""
     path = scratch_path(spark, "media")
     name = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(".txt"))
-    SRC.write_media(pages.select(name.alias("name"), content.cast("binary").alias("content")), path)
-    return path
+    return path, SRC.write_media(pages.select(name.alias("name"), content.cast("binary").alias("content")), path)
 
 
 @query("media_listing", "SELECT page_id, octet_length(encode(html)) + 1 AS length FROM pages")
@@ -93,7 +92,8 @@ def media_listing(spark, d):
     p = loader(spark, d)("pages")
     body = F.concat("html", F.lit("\n"))
     number = F.regexp_extract("path", r"/\d+-(-?\d*)\.txt$", 1).try_cast("bigint").alias("page_id")
-    files = SRC.media_listing(spark, _media_folder(spark, p, body), "*.txt").select(number, "length")
+    folder, n = _media_folder(spark, p, body)
+    files = SRC.media_listing(spark, folder, "*.txt", n).select(number, "length")
     return files.unionByName(p.filter(body.isNull()).select("page_id", F.lit(None).cast("bigint").alias("length")))
 
 
@@ -108,7 +108,8 @@ def media_payload(spark, d):
     p = loader(spark, d)("pages")
     body = F.concat(F.col("page_id").cast("string"), F.lit("\n"), "html", F.lit("\n"))
     first = F.substring_index(F.col("content").cast("string"), "\n", 1).cast("bigint")
-    files = SRC.media_payloads(spark, _media_folder(spark, p, body), "*.txt").select(
+    folder, n = _media_folder(spark, p, body)
+    files = SRC.media_payloads(spark, folder, "*.txt", n).select(
         first.alias("page_id"), "length", F.md5("content").alias("content_md5"))
     return files.unionByName(p.filter(body.isNull()).select(
         "page_id", F.lit(None).cast("bigint").alias("length"), F.lit(None).cast("string").alias("content_md5")))

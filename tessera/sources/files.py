@@ -159,20 +159,24 @@ def write_media(files: DataFrame, folder: str) -> int:
         F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def media_listing(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
-    """Existing media files: path, length, modificationTime (the content
-    column is pruned, so no file body is read)."""
+def _media_files(spark: SparkSession, folder: str, glob: str | None, files: int | None) -> DataFrame:
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.load(folder).select("path", "length", "modificationTime")
+    found = r.load(folder)
+    # Spark reckons every file as megabytes, which makes a task of a few small ones
+    return found if files is None else found.coalesce(max(spark.sparkContext.defaultParallelism, -(-files // FOLDER_FILES)))
 
 
-def media_payloads(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r.load(folder).select("path", "length", "content")
+def media_listing(spark: SparkSession, folder: str, glob: str | None = None, files: int | None = None) -> DataFrame:
+    """Existing media files: path, length, modificationTime (the content
+    column is pruned, so no file body is read).  With their number ``files``,
+    a task takes about ``FOLDER_FILES`` of them."""
+    return _media_files(spark, folder, glob, files).select("path", "length", "modificationTime")
+
+
+def media_payloads(spark: SparkSession, folder: str, glob: str | None = None, files: int | None = None) -> DataFrame:
+    return _media_files(spark, folder, glob, files).select("path", "length", "content")
 
 
 def media_scheme(ref) -> Column:

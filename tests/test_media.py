@@ -47,3 +47,11 @@ def test_written_media_are_dealt_over_subfolders(spark, tmp_path):
     assert sorted(int(r.k) for r in read) == list(range(2500))
     assert all(r.path.endswith("-n" if int(r.k) % 2 == 0 else f"-n{r.k}") for r in read)
     assert SRC.write_media(rows.limit(0), f"{out}-none") == 0 and SRC.media_listing(spark, f"{out}-none").count() == 0
+
+
+def test_small_files_share_tasks(spark, folder):
+    """A task takes as many files as a subfolder has, whatever a file is reckoned as."""
+    import __spark_entry__ as E
+    for name in ("media_listing", "media_payload"):
+        got = E.queries()[name](spark, folder)
+        assert got.count() == len(PAGES) + 2500 and got.rdd.getNumPartitions() < 20
