@@ -51,7 +51,7 @@ from ._store import arrow_batches, drop, release, saved
 
 ORDER, LOW, SYMBOLS, END = 5, 2, 257, 256
 BLOCK = 384 << 10            # bytes of text worked on at once
-BODY = 6 << 20              # bytes of text whose distinct strings and words are counted together
+BODY = 6 << 20              # bytes of text whose distinct strings and words are counted together, of a batch at most
 BATCH_BYTES = 4 << 20        # handed to Python at once: one block
 MERGE_KEYS = 1 << 18         # distinct strings or words gathered before they are merged
 PASSES = 3                   # parts of the blocks whose texts meet their strings' results one after the other
@@ -63,31 +63,71 @@ def symbols(raw: np.ndarray, off: np.ndarray, starts, ends, first):
     """Token stream of a block: symbols (uint16) and first symbol of each
     text (length texts + 1)."""
     n_docs, n_words = len(off) - 1, len(starts)
-    size = ends - starts
-    done = np.concatenate(([0], np.cumsum(size)))            # word bytes before each word
-    doc_of = np.repeat(np.arange(n_docs), np.diff(first))
-    out = np.empty(int(done[-1]) + n_words + n_docs, np.uint16)
-    word_at = done[:-1] + np.arange(n_words) + doc_of        # where each word begins
-    shift = np.repeat(word_at - starts, size)
-    solid = np.repeat(starts - done[:-1], size) + np.arange(int(done[-1]))
-    out[solid + shift] = LOWER[raw[solid]]
-    out[word_at + size] = 32
+    done = np.concatenate(([0], np.cumsum(ends - starts)))   # word bytes before each word
+    out = np.full(int(done[-1]) + n_words + n_docs, 32, np.uint16)
     ends_at = done[first[1:]] + first[1:] + np.arange(n_docs)
+    of_words = np.ones(len(out), bool)                       # all but the blank after each word and the ends
+    of_words[done[1:] + np.arange(n_words) + np.repeat(np.arange(n_docs), np.diff(first))] = False
+    of_words[ends_at] = False
+    out[of_words] = (raw + ((raw - np.uint8(65)) < 26) * np.uint8(32))[(raw != 32) & ((raw - np.uint8(9)) > 4)]
     out[ends_at] = END
     return out, np.concatenate(([0], ends_at + 1))
 
 
-def strings(sym: np.ndarray, begin: np.ndarray, order: int) -> np.ndarray:
-    """For every symbol, its context (nearest byte first, 0 before the text)
-    in the high bits and the symbol in the low 9 bits."""
-    n, docs = len(sym), len(begin) - 1
-    at = np.arange(n) + order * (1 + np.repeat(np.arange(docs), np.diff(begin)))   # ``order`` zeros before each text
-    byte = np.zeros(n + order * docs, _U)
-    byte[at] = sym & 255
-    ctx = np.zeros(len(byte), _U)
+def strings(sym: np.ndarray, begin: np.ndarray, order: int, low: int = 9, bits: int = 8) -> np.ndarray:
+    """For every symbol, its context (``bits`` each, nearest byte first, 0
+    before the text) in the high bits and the symbol in the ``low`` bits."""
+    byte, out = (sym & ((1 << bits) - 1)).astype(_U), sym.astype(_U)
     for j in range(1, order + 1):
-        ctx[j:] |= byte[:-j] << _U(9 + 8 * (order - j))
-    return ctx[at] | sym
+        out[j:] |= byte[:-j] << _U(low + bits * (order - j))
+    for j in range(order):                                   # near its begin, a text has only ``j`` symbols before
+        at, free = begin[:-1][np.diff(begin) > j] + j, _U(low + bits * (order - j))
+        out[at] = out[at] >> free << free | sym[at]
+    return out
+
+
+def ranked(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of keys of ``bits`` bits, each run sorted by itself: the distinct
+    keys of each; then for each place its position in ``keys``, and whether a
+    distinct key begins there.  Key and position are sorted as one number, so
+    a run is as long as the bits allow that a key leaves."""
+    n = len(keys)
+    run = min(n, 1 << 64 - bits)
+    x = np.full(-(-n // run) * run, ~_U(0))
+    np.left_shift(keys, _U(64 - bits), out=x[:n])
+    x[:n] |= np.arange(n, dtype=_U) % _U(run)
+    x.reshape(-1, run).sort(axis=1)                          # what fills the last run stays at its end
+    x = x[:n]
+    place = (x & _U((1 << 64 - bits) - 1)).astype(np.int32)
+    for i in range(run, n, run):
+        place[i:i + run] += i
+    x >>= _U(64 - bits)
+    new = np.ones(n, bool)
+    new[1:] = x[1:] != x[:-1]
+    new[::run] = True
+    return x[new], place, new
+
+
+class Alphabet:
+    """The symbols of a block by their rank: its strings in fewer bits, in the
+    same order."""
+
+    def __init__(self, raw: np.ndarray):
+        there = np.zeros(SYMBOLS, bool)
+        for i in range(0, len(raw), BLOCK):
+            there[LOWER[raw[i:i + BLOCK]]] = True
+        there[[0, 32, END]] = True                           # before a text, after a word, after a text
+        self.symbols = np.flatnonzero(there)
+        self.rank = (np.cumsum(there) - 1).astype(np.uint16)
+        self.bits = int(len(self.symbols) - 1).bit_length()
+
+    def strings(self, keys: np.ndarray, order: int) -> np.ndarray:
+        """Strings, as ``strings`` gives them, of those of ranks."""
+        mask, full = _U((1 << self.bits) - 1), self.symbols.astype(_U)
+        out = full[keys & mask]
+        for j in range(order):
+            out |= full[keys >> _U(self.bits * (j + 1)) & mask] << _U(9 + 8 * j)
+        return out
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +178,10 @@ def level(keys: np.ndarray, counts: np.ndarray, order: int, k: int) -> tuple[np.
 
 def buckets_of(keys: np.ndarray, order: int, n: int) -> np.ndarray:
     """Bucket of each string: a hash of its nearest ``LOW + 1`` context bytes."""
-    return (mix(keys >> _U(9 + 8 * max(0, order - LOW - 1))) % _U(n)).astype(np.int64)
+    near = keys >> _U(9 + 8 * max(0, order - LOW - 1))
+    head = np.flatnonzero(np.concatenate(([True], near[1:] != near[:-1]))) if len(near) else np.zeros(0, np.int64)   # strings come sorted
+    bucket = (mix(near[head]) % _U(n)).astype(np.uint16 if n <= 1 << 16 else np.int64)       # the short kind sorts faster
+    return np.repeat(bucket, np.diff(np.append(head, len(near))))
 
 
 def parts_of(raw: np.ndarray, off: np.ndarray):
@@ -257,7 +300,10 @@ def block_words(batches):
             found = Running()
             for a, b, part, po in parts_of(raw, off):
                 starts, ends, first = words(part, po)
-                found.add(*summed(word_hashes(part, starts, ends), (~np.repeat(held[a:b], np.diff(first))).astype(np.int32)))
+                hashes, out = word_hashes(part, starts, ends), np.repeat(held[a:b], np.diff(first))
+                found.add(*counted(hashes[~out]))
+                late = counted(hashes[out])[0]
+                found.add(late, np.zeros(len(late), np.int32))
             uniq, train = found.merge()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("block").slice(r, 1), one_list(uniq.view(np.int64), pa.int64()), one_list(train, pa.int64())],
@@ -284,7 +330,7 @@ def block_strings(order: int, n_buckets: int):
                     found.add(late, np.zeros(len(late), np.int32))
                 keys, n = found.merge()
                 del found
-                bucket = buckets_of(keys, order, n_buckets).astype(np.int32)
+                bucket = buckets_of(keys, order, n_buckets)
                 by = np.argsort(bucket, kind="stable")
                 bucket, keys, n = bucket[by], keys[by], n[by]
                 head = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
@@ -355,26 +401,24 @@ def score_texts(order: int, n_buckets: int, tokens: int, kinds: int, ends: int):
         for batch in batches:
             for r in range(batch.num_rows):
                 raw, off, held = unpack(batch, r)
-                found, hashes, per_doc = [], [], []
+                found, hashes, per_doc, abc = [], [], [], Alphabet(raw)
+                width = abc.bits * (order + 1)
                 for _, _, part, po in parts_of(raw, off):
                     starts, ends_, first = words(part, po)
                     hashes.append(word_hashes(part, starts, ends_))
                     per_doc.append(np.diff(first))
                     sym, begin = symbols(part, po, starts, ends_, first)
-                    keys = strings(sym, begin, order)
-                    by = np.argsort(keys)
-                    new = np.concatenate(([True], keys[by][1:] != keys[by][:-1]))
-                    found.append((keys[by][new], by.astype(np.int32), new, begin))
-                uniq = np.unique(np.concatenate([x[0] for x in found]))
+                    found.append((*ranked(strings(abc.rank[sym], begin, order, abc.bits, abc.bits), width), begin))
+                uniq = counted(np.concatenate([x[0] for x in found]))[0]
                 logs = batch.column("logs")[r].values
                 at = np.argsort(logs.field("bucket").to_numpy())
                 logs = [np.frombuffer(logs.field("logs")[int(k)].as_buffer(), np.float64) for k in at]
                 log = np.empty(len(uniq))
-                log[np.argsort(buckets_of(uniq, order, n_buckets), kind="stable")] = np.concatenate(logs)
+                log[np.argsort(buckets_of(abc.strings(uniq, order), order, n_buckets), kind="stable")] = np.concatenate(logs)
                 score = []
-                for keys, by, new, begin in found:
-                    each = np.empty(len(by))
-                    each[by] = log[np.searchsorted(uniq, keys)][np.cumsum(new) - 1]
+                for keys, place, new, begin in found:
+                    each = np.empty(len(place))
+                    each[place] = np.repeat(log[np.searchsorted(uniq, keys)], np.diff(np.append(np.flatnonzero(new), len(new))))
                     score.append(np.add.reduceat(each, begin[:-1]))
                 word, which = np.unique(np.concatenate(hashes), return_inverse=True)
                 per_doc, m = np.concatenate(per_doc), len(held)
@@ -415,8 +459,9 @@ def word_counts(packed: DataFrame) -> tuple[DataFrame, int, int, int]:
 def score_documents(docs: DataFrame, order: int = ORDER, mass_bits: int | None = None) -> DataFrame:
     """Scores of (doc_id, text, held_out) rows; learns from those not held out."""
     spark = docs.sparkSession
-    packed = saved(docs.select("doc_id", "text", "held_out")
-                   .mapInArrow(trimmed(pack_blocks("text", min(order, LOW))), BLOCK_ROW), "blocks")
+    with arrow_batches(spark, BATCH_BYTES):
+        packed = saved(docs.select("doc_id", "text", "held_out")
+                       .mapInArrow(trimmed(pack_blocks("text", min(order, LOW))), BLOCK_ROW), "blocks")
     size = packed.agg(F.sum(F.expr("aggregate(n_bytes, 0L, (x, y) -> x + y)"))).first()[0] or 0
     n_buckets = max(MIN_BUCKETS, size // BUCKET_BYTES)
     with arrow_batches(spark, BATCH_BYTES):

@@ -170,6 +170,38 @@ def test_ppm_odd(llm, odd_docs, no_docs):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in every)
 
 
+def test_ppm_strings_in_a_blocks_own_alphabet():
+    """Sorted by rank and position as one number, a block's strings are those of all 256 bytes, in their order."""
+    for texts in (["", "The cat\t and THE hat", "\u00fcber 1\u2026", "a" * 300], ["".join(map(chr, range(1, 700))) * 3]):
+        raw = np.frombuffer("".join(texts).encode(), np.uint8)
+        off = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+        sym, begin = ppm.symbols(raw, off, *ppm.words(raw, off))
+        naive = []
+        for t in texts:
+            low = bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode())
+            one = [x for w in re.findall(rb"[^\x20\x09-\x0D]+", low) for x in w + b" "] + [256]
+            naive += [sum((one[i - j] if i >= j else 0) << 9 + 8 * (5 - j) for j in range(1, 6)) | x for i, x in enumerate(one)]
+        keys, abc = ppm.strings(sym, begin, 5), ppm.Alphabet(raw)
+        assert keys.tolist() == naive
+        ranks = ppm.strings(abc.rank[sym], begin, 5, abc.bits, abc.bits)
+        assert abc.strings(ranks, 5).tolist() == naive
+        for bits in (6 * abc.bits, 62):                      # 62: runs of four
+            got, place, new = ppm.ranked(ranks, bits)
+            run = min(len(keys), 1 << 64 - bits)
+            each = np.empty(len(keys), np.uint64)
+            each[place] = np.repeat(got, np.diff(np.append(np.flatnonzero(new), len(new))))
+            assert (each == ranks).all()
+            assert len(got) == sum(len(set(naive[i:i + run])) for i in range(0, len(naive), run))
+
+
+def test_ppm_texts_go_to_python_in_bounded_batches(llm, monkeypatch):
+    limits, saved = [], ppm.saved
+    monkeypatch.setattr(ppm, "saved", lambda df, name: limits.append(llm.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) or saved(df, name))
+    docs = llm.createDataFrame([(1, "a b", False), (2, "b c", True)], "doc_id long, text string, held_out boolean")
+    assert ppm.score_documents(docs).count() == 2
+    assert set(limits) == {str(ppm.BATCH_BYTES)}
+
+
 def test_ppm_passes_give_the_same_rows(llm, monkeypatch):
     """Each pass deals only its own blocks; together they score every text once."""
     docs = llm.createDataFrame([(i, f"some text {i} {i % 7}", i % 5 == 1) for i in range(60)],
