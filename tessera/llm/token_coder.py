@@ -35,7 +35,9 @@ empty file and result; a block whose checksum fails raises an error.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 
@@ -144,7 +146,7 @@ class Prior:
         """Follower (-1: the escape), begin and size of the interval of each
         context that holds a place in it."""
         part = self.part.take(a)
-        at = self.first.take((part >> 4) + (place >> (part & 15)))
+        at = self.first.take((part >> 4) + (place >> (part & 15))).astype(np.int64)
         want = (a.astype(self.begin.dtype) << PAIR_BITS) + place
         later = (self.end.take(at) <= want).nonzero()[0]
         if len(later):
@@ -205,8 +207,8 @@ class Recent:
         self.shares = self.share()
         if known is None:
             self.table, self.step = np.zeros(lanes * SLOTS, np.int32), 0
-            self.slots, self.kinds = (np.arange(lanes, dtype=np.int32) * k for k in (SLOTS, CONF))
-            self.rate_at, self.hits = np.zeros((STRIDE, lanes), np.int32), np.zeros((STRIDE, lanes), bool)
+            self.slots, self.kinds = (np.arange(lanes) * k for k in (SLOTS, CONF))     # 64-bit places: no copy to look them up
+            self.rate_at, self.hits = np.zeros((STRIDE, lanes), np.int64), np.zeros((STRIDE, lanes), bool)
 
     def share(self) -> np.ndarray:
         """What each confidence is given, in units of 1/2**UNIT_BITS."""
@@ -448,16 +450,39 @@ def spelling_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return h
 
 
+# Letters of ASCII and Latin-1, then ASCII signs without ``<``: what ``PARTS_APART`` takes for two parts.
+_LETTERS_SIGNS = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:;=>?@\\[-`{-~]*)")
+PARTS_APART = (
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
+
+
 class WordTokenizer:
     """Ids of texts from the ids of their words, for a tokenizer that never
     joins text across white space.  Words are told apart by a 64-bit hash
     (``spelling_hashes``); the ids of up to ``CACHE_WORDS`` words are
-    remembered."""
+    remembered.
+
+    A tokenizer whose file has the rules ``PARTS_APART`` also takes letters
+    and the signs after them for two parts.  Then a new word of letters and
+    signs has the ids of these, which are remembered as words, and the model
+    gets the letters as the rules would give them."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        self.model = None
+        if (rules["normalizer"], rules["pre_tokenizer"]) == PARTS_APART and all(
+                "<" in t["content"] and not (t["normalized"] or t["lstrip"] or t["rstrip"]) for t in rules["added_tokens"]):
+            self.model = Tokenizer(Tokenizer.from_file(path).model)
+            level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.clear()
 
     def clear(self):
@@ -465,19 +490,71 @@ class WordTokenizer:
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.table = np.zeros(0, np.int32)
 
+    def known(self, hashes) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of words by their hashes, and whether they are remembered."""
+        at = np.searchsorted(self.hashes, hashes)
+        if not len(self.hashes):
+            return at, np.zeros(len(hashes), bool)
+        return at, self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes
+
     def learn(self, hashes, texts):
-        """Tokenize new words, many per call, split by their offsets."""
-        sizes, parts = [], [self.table]
-        for i in range(0, len(texts), 2000):
-            part = texts[i:i + 2000]
-            edge = np.cumsum([len(t) + 1 for t in part])
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
-            sizes.append(np.diff(np.searchsorted(at, edge), prepend=0))
-            parts.append(np.array(e.ids, np.int32))
-        size = np.concatenate(sizes)
-        begin = len(self.table) + np.cumsum(size) - size
-        self.table = np.concatenate(parts)
+        """Tokenize new words (sorted hashes); those of letters and signs by
+        way of the two, which become words as well."""
+        halves = [_LETTERS_SIGNS.fullmatch(t) for t in texts] if self.model else [None] * len(texts)
+        letters = np.array([m is not None for m in halves], bool)
+        two = np.array([m is not None and bool(m[2]) for m in halves], bool)
+        if two.any():
+            pairs = [m.groups() for m in halves if m and m[2]]
+            units = list(dict.fromkeys(x for pair in pairs for x in pair))
+            raw = np.frombuffer(" ".join(units).encode(), np.uint8)
+            starts, ends, _ = words(raw, np.array([0, len(raw)]))
+            unit_hashes = spelling_hashes(raw, starts, ends)
+            own, first = np.unique(unit_hashes, return_index=True)
+            new = ~self.known(own)[1]
+            if not two.all():                                # the words without signs, and the letters that are none of them
+                there = np.minimum(np.searchsorted(hashes[~two], own), int((~two).sum()) - 1)
+                new &= hashes[~two][there] != own
+            single = np.flatnonzero(~two)
+            found = np.concatenate([hashes[single], own[new]])
+            order = np.argsort(found)
+            alone = [texts[i] for i in single.tolist()] + [units[i] for i in first[new].tolist()]
+            of_letters = np.concatenate([letters[single], [_LETTERS_SIGNS.fullmatch(units[i]) is not None for i in first[new].tolist()]])
+            self.add(found[order], [alone[i] for i in order.tolist()], of_letters[order].astype(bool))
+            row = dict(zip(units, np.searchsorted(self.hashes, unit_hashes).tolist()))
+            rows = np.array([row[x] for pair in pairs for x in pair], np.int64)
+            size = self.size[rows]
+            inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            self.insert(hashes[two], size[::2] + size[1::2], [self.table[np.repeat(self.begin[rows], size) + inner]])
+        else:
+            self.add(hashes, texts, letters)
+
+    def add(self, hashes, texts, letters):
+        """Tokenize words, many per call: those of letters as the model takes
+        them, others as one text that is split by the offsets."""
+        size, parts = np.zeros(len(texts), np.int64), []
+        for of, fn in ((np.flatnonzero(letters), self.of_letters), (np.flatnonzero(~letters), self.of_text)):
+            for i in range(0, len(of), 2000):
+                ids, n = fn([texts[k] for k in of[i:i + 2000].tolist()])
+                size[of[i:i + 2000]] = n
+                parts.append(ids)
+        order = np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)])      # as the ids come
+        begin = np.empty(len(texts), np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        self.insert(hashes, size, parts, begin)
+
+    def of_letters(self, part):
+        e = self.model.encode([t.lower().translate(self.bytes) for t in part], is_pretokenized=True, add_special_tokens=False)
+        return np.array(e.ids, np.int32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
+
+    def of_text(self, part):
+        edge = np.cumsum([len(t) + 1 for t in part])
+        e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+        at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
+        return np.array(e.ids, np.int32), np.diff(np.searchsorted(at, edge), prepend=0)
+
+    def insert(self, hashes, size, parts, begin=None):
+        begin = len(self.table) + (np.cumsum(size) - size if begin is None else begin)
+        self.table = np.concatenate([self.table, *parts])
         at = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, at, hashes)
         self.begin, self.size = np.insert(self.begin, at, begin), np.insert(self.size, at, size)
@@ -492,9 +569,7 @@ class WordTokenizer:
         uniq = ordered[head]
         if len(self.hashes) > CACHE_WORDS:
             self.clear()
-        at = np.searchsorted(self.hashes, uniq)
-        known = np.zeros(len(uniq), bool) if not len(self.hashes) else \
-            self.hashes[np.minimum(at, len(self.hashes) - 1)] == uniq
+        at, known = self.known(uniq)
         new = np.flatnonzero(~known)
         if len(new):
             data, k = raw.tobytes(), order[head[new]]

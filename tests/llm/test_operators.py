@@ -170,6 +170,25 @@ def test_ppm_odd(llm, odd_docs, no_docs):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in every)
 
 
+def test_token_words_are_learnt_by_their_letters_and_signs(monkeypatch):
+    """The model sees the letters of a word once, whatever signs follow; the ids are those of the whole tokenizer."""
+    import pyarrow as pa
+    import public_tokenizers
+    from tessera.llm._bytes import blocks
+    t = token_coder.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    seen, real = [], t.of_letters
+    monkeypatch.setattr(t, "of_letters", lambda part: seen.extend(part) or real(part))
+    texts = ["zzqxa, zzqxa zzqxa! Zzqxa; \u00e9zzq. \u00e9zzq,", "zzqxa,### \u00e9zzq### zzqxb. zzqxb? ... ###", None, "",
+             "It's a's' 's' x'd. \u00c9'S don't, a\u00d7, \u00f7. a_b_ x1, 1x. , a", "b<|endoftext|>, <|endoftext|>! <|ENDOFTEXT|>,",
+             "e\u0301, i\u0307. I\u0307! \u0130. a\u2260 a,\u0338 \u03a3\u03b1\u03c2. \u00df. \u00aa. \u00b5, \u00ff; \x00a, a\x7f. a\x00,"]
+    for part in (texts[:1], texts[1:], texts):
+        (_, _, raw, off), = blocks(pa.array(part, pa.string()))
+        ids, n = t.ids(raw, off, 1)
+        want = [t.tokenizer.encode(x or "", add_special_tokens=False).ids + [1] for x in part]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+    assert sorted(x.lower() for x in seen if "zzq" in x.lower()) == ["zzqxa", "zzqxb", "\u00e9zzq"]
+
+
 def test_ppm_strings_in_a_blocks_own_alphabet():
     """Sorted by rank and position as one number, a block's strings are those of all 256 bytes, in their order."""
     for texts in (["", "The cat\t and THE hat", "\u00fcber 1\u2026", "a" * 300], ["".join(map(chr, range(1, 700))) * 3]):
