@@ -35,9 +35,9 @@ empty file and result; a block whose checksum fails raises an error.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
-import re
 import struct
 import zlib
 
@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from ..operators.prefix import prefix_sums
 from ..session import scratch_path
-from ._bytes import _BASE, _INV, _TABLE, blocks, mix, powers, trimmed, word_hashes, words
+from ._bytes import blocks, mix, trimmed, words
 
 _U = np.uint64
 MAGIC = b"CMR3"
@@ -428,30 +428,64 @@ def decode(header: bytes, coded: list[bytes]) -> np.ndarray:
 
 _CACHE: dict = {}
 CACHE_WORDS = 1_500_000
-_ASIDE = np.arange(256) >= 128
-_ASIDE[ord("<")] = True
-_EXACT = np.where(np.isin(np.arange(256), [9, 10, 11, 12, 13, 32]), _U(0), _TABLE)
+NEAR = 1 << 18               # words met again and again that are found without a search
+LONG_WORD = 64               # bytes; longer words are hashed one by one
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+_PLAIN, _EXACT = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
+
+
+def lower_cased(raw: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return raw + ((raw - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+
+
+def byte_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """64-bit hash of every stretch of bytes, eight of its bytes at a time."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))       # the eight bytes from each place on
+    size = ends - starts
+    h = mix((eight[starts] & _MASKS[np.minimum(size, 8)]) + size.astype(_U) * seed)
+    at, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(at):
+        h[at] = mix(h[at] * _U(0x9E3779B97F4A7C15) + (eight[starts[at] + done] & _MASKS[np.minimum(size[at] - done, 8)]))
+        done += 8
+        at = at[size[at] > done]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        h[k] ^= _U(int.from_bytes(hashlib.blake2b(raw[starts[k]:ends[k]], digest_size=8).digest(), "little"))
+    return h
 
 
 def spelling_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of every word that tells apart what the tokenizer may: a
-    word of ASCII letters and signs without A-Z and a-z being different, one
-    that may hold a special token (these are case-sensitive, and begin with
-    ``<``) or letters beyond ASCII (composed before they are lower-cased) as
-    it is."""
-    h = word_hashes(raw, starts, ends)
-    if not len(h):
-        return h
-    aside = np.flatnonzero(np.add.reduceat(_ASIDE[raw], starts, dtype=np.int32))       # blanks between words count nothing
-    if len(aside):
-        n = len(raw)
-        x = np.add.reduceat(_EXACT[raw] * powers(_BASE, n), starts)[aside]
-        h[aside] = mix(x * powers(_INV, n)[starts[aside]] + (ends - starts)[aside].astype(_U) * _U(0xA0761D6478BD642F))
+    word of ASCII and Latin-1 letters and of signs without A-Z and a-z being
+    different, one that may hold a special token (these are case-sensitive,
+    and begin with ``<``) or other letters (which may be composed before they
+    are lower-cased) as it is."""
+    if not len(starts):
+        return np.zeros(0, _U)
+    h = byte_hashes(lower_cased(raw), starts, ends, _PLAIN)
+    aside = (raw == ord("<")) | (raw >= 0xC0) & (raw != 0xC3)
+    if aside.any():
+        of = np.flatnonzero(np.logical_or.reduceat(aside, starts))       # blanks between words count nothing
+        h[of] = byte_hashes(raw, starts[of], ends[of], _EXACT)
     return h
 
 
-# Letters of ASCII and Latin-1, then ASCII signs without ``<``: what ``PARTS_APART`` takes for two parts.
-_LETTERS_SIGNS = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:;=>?@\\[-`{-~]*)")
+def cut_out(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of bytes one after the other, a blank after each, and where
+    each begins."""
+    width = ends - starts + 1
+    end = np.cumsum(width)
+    out = raw.take(np.arange(int(width.sum())) + np.repeat(starts - (end - width), width), mode="clip")
+    out[end - 1] = 32
+    return out, end - width
+
+
+# Letters of ASCII (those of Latin-1 are two bytes, the first is C3), then ASCII signs without ``<``:
+# what ``PARTS_APART`` takes for two parts.
+_BYTES = np.arange(256, dtype=np.uint8)
+_LETTER = lower_cased(_BYTES) - np.uint8(97) < 26
+_SIGN = (_BYTES > 32) & (_BYTES < 127) & ~_LETTER & (_BYTES - np.uint8(48) > 9) & (_BYTES != ord("<"))
 PARTS_APART = (
     {"type": "Sequence", "normalizers": [
         {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -461,11 +495,25 @@ PARTS_APART = (
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
 
 
+def letters_signs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the letters that a word begins with end, and whether nothing but
+    signs follows; a byte that is no letter stands after each word."""
+    letter = _LETTER[raw]
+    lead = np.flatnonzero(raw == 0xC3)
+    lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]       # the signs for times and divided by
+    letter[lead] = letter[lead + 1] = True
+    other = np.flatnonzero(~letter)
+    middle = other[np.searchsorted(other, starts)]
+    signs = np.add.reduceat(_SIGN[raw], starts, dtype=np.int64)
+    return middle, (middle > starts) & (signs == ends - middle)
+
+
 class WordTokenizer:
     """Ids of texts from the ids of their words, for a tokenizer that never
     joins text across white space.  Words are told apart by a 64-bit hash
     (``spelling_hashes``); the ids of up to ``CACHE_WORDS`` words are
-    remembered.
+    remembered.  A word met again is looked for at one place first (``NEAR``
+    places), then in the sorted hashes of all words.
 
     A tokenizer whose file has the rules ``PARTS_APART`` also takes letters
     and the signs after them for two parts.  Then a new word of letters and
@@ -480,71 +528,78 @@ class WordTokenizer:
         self.model = None
         if (rules["normalizer"], rules["pre_tokenizer"]) == PARTS_APART and all(
                 "<" in t["content"] and not (t["normalized"] or t["lstrip"] or t["rstrip"]) for t in rules["added_tokens"]):
-            self.model = Tokenizer(Tokenizer.from_file(path).model)
+            self.model = Tokenizer.from_file(path).model
             level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+            # what the rules give for the bytes of lower-case letters of Latin-1, where that is not the byte's own sign
+            self.shown = sorted({(x, y) for c in map(chr, range(0xDF, 0x100)) if c.isalpha()
+                                 for x, y in zip(c.encode().decode("latin-1"), level.pre_tokenize_str(c)[0][0]) if x != y})
         self.clear()
 
     def clear(self):
-        self.hashes = np.zeros(0, _U)                    # sorted
-        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.table = np.zeros(0, np.int32)
+        self.hashes, self.rows = np.zeros(0, _U), np.zeros(0, np.int32)      # sorted; the row of each
+        # row 0 is the end of a text
+        self.begin, self.size, self.table = np.zeros(1, np.int32), np.ones(1, np.int32), np.zeros(1, np.int32)
+        self.near, self.near_row = ~np.arange(NEAR, dtype=_U), np.zeros(NEAR, np.int32)   # no hash has these at its place
 
-    def known(self, hashes) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of words by their hashes, and whether they are remembered."""
-        at = np.searchsorted(self.hashes, hashes)
+    def known(self, hashes) -> np.ndarray:
+        """Whether words are remembered."""
         if not len(self.hashes):
-            return at, np.zeros(len(hashes), bool)
-        return at, self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes
+            return np.zeros(len(hashes), bool)
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] == hashes
+
+    def row_of(self, hashes) -> np.ndarray:
+        return self.rows[np.searchsorted(self.hashes, hashes)]
 
-    def learn(self, hashes, texts):
+    def learn(self, hashes, raw, starts, ends):
         """Tokenize new words (sorted hashes); those of letters and signs by
         way of the two, which become words as well."""
-        halves = [_LETTERS_SIGNS.fullmatch(t) for t in texts] if self.model else [None] * len(texts)
-        letters = np.array([m is not None for m in halves], bool)
-        two = np.array([m is not None and bool(m[2]) for m in halves], bool)
-        if two.any():
-            pairs = [m.groups() for m in halves if m and m[2]]
-            units = list(dict.fromkeys(x for pair in pairs for x in pair))
-            raw = np.frombuffer(" ".join(units).encode(), np.uint8)
-            starts, ends, _ = words(raw, np.array([0, len(raw)]))
-            unit_hashes = spelling_hashes(raw, starts, ends)
-            own, first = np.unique(unit_hashes, return_index=True)
-            new = ~self.known(own)[1]
-            if not two.all():                                # the words without signs, and the letters that are none of them
-                there = np.minimum(np.searchsorted(hashes[~two], own), int((~two).sum()) - 1)
-                new &= hashes[~two][there] != own
-            single = np.flatnonzero(~two)
-            found = np.concatenate([hashes[single], own[new]])
-            order = np.argsort(found)
-            alone = [texts[i] for i in single.tolist()] + [units[i] for i in first[new].tolist()]
-            of_letters = np.concatenate([letters[single], [_LETTERS_SIGNS.fullmatch(units[i]) is not None for i in first[new].tolist()]])
-            self.add(found[order], [alone[i] for i in order.tolist()], of_letters[order].astype(bool))
-            row = dict(zip(units, np.searchsorted(self.hashes, unit_hashes).tolist()))
-            rows = np.array([row[x] for pair in pairs for x in pair], np.int64)
-            size = self.size[rows]
-            inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            self.insert(hashes[two], size[::2] + size[1::2], [self.table[np.repeat(self.begin[rows], size) + inner]])
-        else:
-            self.add(hashes, texts, letters)
-
-    def add(self, hashes, texts, letters):
+        raw, at = cut_out(raw, starts, ends)
+        starts, ends = at, at + (ends - starts)
+        if self.model is None:
+            return self.add(hashes, raw, starts, ends, np.zeros(len(hashes), bool))
+        middle, letters = letters_signs(raw, starts, ends)
+        two = letters & (middle < ends)
+        if not two.any():
+            return self.add(hashes, raw, starts, ends, letters)
+        begin, end = (np.stack(v, 1).ravel() for v in ((starts[two], middle[two]), (middle[two], ends[two])))
+        units = byte_hashes(lower_cased(raw), begin, end, _PLAIN)
+        own, first = np.unique(units, return_index=True)
+        new = ~self.known(own)
+        alone = hashes[~two]                                 # the words without signs, and the letters that are none of them
+        if len(alone):
+            new &= alone[np.minimum(np.searchsorted(alone, own), len(alone) - 1)] != own
+        first = first[new]
+        found = np.concatenate([alone, own[new]])
+        order = np.argsort(found)
+        self.add(found[order], raw, np.concatenate([starts[~two], begin[first]])[order],
+                 np.concatenate([ends[~two], end[first]])[order], np.concatenate([letters[~two], first % 2 == 0])[order])
+        rows = self.row_of(units)
+        size = self.size[rows].astype(np.int64)
+        inner = np.arange(int(size.sum())) + np.repeat(self.begin[rows] - (np.cumsum(size) - size), size)
+        self.insert(hashes[two], size[::2] + size[1::2], [self.table[inner]])
+
+    def add(self, hashes, raw, starts, ends, letters):
         """Tokenize words, many per call: those of letters as the model takes
         them, others as one text that is split by the offsets."""
-        size, parts = np.zeros(len(texts), np.int64), []
+        size, parts = np.zeros(len(hashes), np.int64), []
         for of, fn in ((np.flatnonzero(letters), self.of_letters), (np.flatnonzero(~letters), self.of_text)):
             for i in range(0, len(of), 2000):
-                ids, n = fn([texts[k] for k in of[i:i + 2000].tolist()])
-                size[of[i:i + 2000]] = n
+                k = of[i:i + 2000]
+                ids, size[k] = fn(cut_out(raw, starts[k], ends[k])[0][:-1].tobytes().decode("utf-8").split(" "))
                 parts.append(ids)
         order = np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)])      # as the ids come
-        begin = np.empty(len(texts), np.int64)
+        begin = np.empty(len(hashes), np.int64)
         begin[order] = np.cumsum(size[order]) - size[order]
         self.insert(hashes, size, parts, begin)
 
     def of_letters(self, part):
-        e = self.model.encode([t.lower().translate(self.bytes) for t in part], is_pretokenized=True, add_special_tokens=False)
-        return np.array(e.ids, np.int32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
+        shown = " ".join(part).lower()
+        if not shown.isascii():
+            shown = shown.encode().decode("latin-1")
+            for x, y in self.shown:
+                shown = shown.replace(x, y)
+        tokens = [self.model.tokenize(t) for t in shown.split(" ")]
+        return np.array([x.id for t in tokens for x in t], np.int32), np.array([len(t) for t in tokens], np.int64)
 
     def of_text(self, part):
         edge = np.cumsum([len(t) + 1 for t in part])
@@ -553,41 +608,46 @@ class WordTokenizer:
         return np.array(e.ids, np.int32), np.diff(np.searchsorted(at, edge), prepend=0)
 
     def insert(self, hashes, size, parts, begin=None):
+        """Remember words (sorted hashes) in rows after the others."""
+        at, row = np.searchsorted(self.hashes, hashes), len(self.size)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.rows = np.insert(self.rows, at, np.arange(row, row + len(hashes), dtype=np.int32))
         begin = len(self.table) + (np.cumsum(size) - size if begin is None else begin)
+        self.begin, self.size = (np.concatenate([v, x.astype(np.int32)]) for v, x in ((self.begin, begin), (self.size, size)))
         self.table = np.concatenate([self.table, *parts])
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes = np.insert(self.hashes, at, hashes)
-        self.begin, self.size = np.insert(self.begin, at, begin), np.insert(self.size, at, size)
 
     def ids(self, raw: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end_id``; ids of each text)."""
-        starts, ends, first = words(raw, off)
-        h = spelling_hashes(raw, starts, ends)
-        order = np.argsort(h)
-        ordered = h[order]
-        head = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))[:len(h)])
-        uniq = ordered[head]
         if len(self.hashes) > CACHE_WORDS:
             self.clear()
-        at, known = self.known(uniq)
-        new = np.flatnonzero(~known)
-        if len(new):
-            data, k = raw.tobytes(), order[head[new]]
-            self.learn(uniq[new], [data[a:b].decode("utf-8") for a, b in zip(starts[k].tolist(), ends[k].tolist())])
-            at = np.searchsorted(self.hashes, uniq)
-        row = np.empty(len(h), np.int64)
-        row[order] = np.repeat(at, np.diff(np.append(head, len(h))))
-        size = self.size[row]
-        word_end = np.concatenate(([0], np.cumsum(size)))
+        self.table[0] = end_id
+        starts, ends, first = words(raw, off)
+        h = spelling_hashes(raw, starts, ends)
+        place = (h & _U(NEAR - 1)).astype(np.int64)
+        row = self.near_row.take(place)
+        far = np.flatnonzero(self.near.take(place) != h)
+        if len(far):
+            order = far[np.argsort(h[far])]
+            ordered = h[order]
+            head = _heads(ordered)
+            uniq, n = ordered[head], np.diff(np.append(head, len(ordered)))
+            known = self.known(uniq)
+            if not known.all():
+                k = order[head[~known]]
+                self.learn(uniq[~known], raw, starts[k], ends[k])
+            rows = self.row_of(uniq)
+            row[order] = np.repeat(rows, n)
+            again = known | (n > 1)
+            _, one = np.unique(place[order[head[again]]], return_index=True)      # one word a place
+            one = np.flatnonzero(again)[one]
+            at = place[order[head[one]]]
+            self.near[at], self.near_row[at] = uniq[one], rows[one]
         n_docs = len(off) - 1
-        per_doc = word_end[first[1:]] - word_end[first[:-1]] + 1
-        out = np.empty(int(word_end[-1]) + n_docs, np.int32)
-        doc = np.repeat(np.arange(n_docs), np.diff(first))
-        shift = np.repeat(word_end[:-1] + doc, size)
-        inner = np.arange(int(word_end[-1])) - np.repeat(word_end[:-1], size)
-        out[shift + inner] = self.table[np.repeat(self.begin[row], size) + inner]
-        out[np.cumsum(per_doc) - 1] = end_id
-        return out, per_doc
+        row = np.insert(row, first[1:], 0)                   # the end of each text
+        size = self.size.take(row)
+        end = np.cumsum(size, dtype=np.int64)
+        out = self.table.take(np.arange(int(end[-1]) if n_docs else 0) + np.repeat(self.begin.take(row) - (end - size), size))
+        return out, np.diff(end[first[1:] + np.arange(n_docs)], prepend=0)
 
 
 def word_tokenizer(path: str) -> WordTokenizer:

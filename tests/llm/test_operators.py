@@ -189,6 +189,26 @@ def test_token_words_are_learnt_by_their_letters_and_signs(monkeypatch):
     assert sorted(x.lower() for x in seen if "zzq" in x.lower()) == ["zzqxa", "zzqxb", "\u00e9zzq"]
 
 
+def test_token_words_met_again_are_neither_searched_nor_learnt(monkeypatch):
+    """A-Z and a-z are one for words with letters of Latin-1 too; a word known for long is found at its place."""
+    import pyarrow as pa
+    import public_tokenizers
+    from tessera.llm._bytes import blocks
+    t = token_coder.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    seen, real = [], t.of_letters
+    monkeypatch.setattr(t, "of_letters", lambda part: seen.extend(part) or real(part))
+    odd = ["\u00e9zzqx \u00e9ZZQX, \u00e9Zzqx", "T\u0308 t\u0308 \u1e97 \u00c0 \u00ad", "<|endoftext|> <|ENDOFTEXT|>", None,
+           *("x" * n + " " + "X" * n + "y " + "x" * n + "\x00" for n in (7, 8, 9, 16, 63, 64, 65, 700))]
+    (_, _, raw, off), = blocks(pa.array(odd, pa.string()))
+    want = [t.tokenizer.encode(x or "", add_special_tokens=False).ids + [1] for x in odd]
+    for k in range(3):
+        if k == 2:
+            monkeypatch.setattr(t, "row_of", lambda h: pytest.fail(f"{len(h)} words searched"))
+        ids, n = t.ids(raw, off, 1)
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+    assert sum("zzqx" in x.lower() for x in seen) == 1
+
+
 def test_ppm_strings_in_a_blocks_own_alphabet():
     """Sorted by rank and position as one number, a block's strings are those of all 256 bytes, in their order."""
     for texts in (["", "The cat\t and THE hat", "\u00fcber 1\u2026", "a" * 300], ["".join(map(chr, range(1, 700))) * 3]):
