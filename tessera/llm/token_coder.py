@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import operator
 import os
 import struct
 import zlib
@@ -128,9 +129,10 @@ class Prior:
         begin = np.concatenate([context * places + self.pair_start, np.arange(kinds + 1) * places + self.total])
         order = np.argsort(begin, kind="stable")
         kind = np.int32 if kinds < 1 << 16 else np.int64                # half the memory to look into
-        self.begin, self.end = begin[order].astype(kind), np.append(begin[order][1:], (kinds + 1) * places).astype(kind)
-        follower, size = np.append(follower, np.full(kinds + 1, -1)), np.append(self.pair_size, np.zeros(kinds + 1, np.int64))
-        self.packed = (follower << 2 * PAIR_BITS + 1 | begin % places << PAIR_BITS + 1 | size)[order]
+        self.begin = begin[order].astype(kind)
+        end = begin + np.append(self.pair_size, places - self.total)
+        follower = np.append(follower, np.full(kinds + 1, -1))
+        self.packed = (follower << 2 * PAIR_BITS + 2 | begin % places << PAIR_BITS + 1 | end - begin // places * places)[order]
         n = np.bincount(begin // places)
         bits = np.minimum(np.ceil(np.log2(2 * n)).astype(np.int64), PAIR_BITS)
         parts = 1 << bits
@@ -146,15 +148,19 @@ class Prior:
         """Follower (-1: the escape), begin and size of the interval of each
         context that holds a place in it."""
         part = self.part.take(a)
-        at = self.first.take((part >> 4) + (place >> (part & 15))).astype(np.int64)
-        want = (a.astype(self.begin.dtype) << PAIR_BITS) + place
-        later = (self.end.take(at) <= want).nonzero()[0]
-        if len(later):
-            at[later] = self.begin.searchsorted(want[later], "right") - 1
+        at = self.first.take((part >> 4) + (place >> (part & 15)))
         got = self.packed.take(at)
+        later = (place >= (got & ((2 << PAIR_BITS) - 1))).nonzero()[0]
+        if len(later):                                   # mostly in the next one
+            want, near = place.take(later), self.packed.take(at.take(later) + 1)
+            far = (want >= (near & ((2 << PAIR_BITS) - 1))).nonzero()[0]
+            if len(far):
+                key = (a.take(later.take(far)).astype(self.begin.dtype) << PAIR_BITS) + want.take(far)
+                near[far] = self.packed.take(self.begin.searchsorted(key, "right") - 1)
+            got[later] = near
         low = got.astype(np.int32)
-        return ((got >> 2 * PAIR_BITS + 1).astype(np.int32), (low >> PAIR_BITS + 1) & ((1 << PAIR_BITS) - 1),
-                low & ((2 << PAIR_BITS) - 1))
+        begin = (low >> PAIR_BITS + 1) & ((1 << PAIR_BITS) - 1)
+        return (got >> 2 * PAIR_BITS + 2).astype(np.int32), begin, (low & ((2 << PAIR_BITS) - 1)) - begin
 
     @classmethod
     def of(cls, ids: np.ndarray) -> tuple["Prior", np.ndarray, np.ndarray]:
@@ -264,10 +270,11 @@ class Recent:
             missed = np.maximum.accumulate(np.where(hit, 0, place))
             run = place - np.concatenate(([0], missed[:-1]))  # steps since the last miss
             order = order.ravel()
-            got = np.empty((3, len(y)), np.int32)
-            got[0, order], got[1, order], got[2, order] = before, np.minimum(run, CONF - 1) * old, hit
-            before, conf, hit = (np.ascontiguousarray(v.reshape(n, steps).T) for v in got)
-            said[:, of] = before
+            got = np.empty(len(y), np.int32)
+            got[order] = before * (2 * CONF) + np.minimum(run, CONF - 1) * old * 2 + hit          # the three in one number
+            got = np.ascontiguousarray(got.reshape(n, steps).T)
+            said[:, of] = got // (2 * CONF)
+            conf, hit = got // 2 & (CONF - 1), got & 1
             key = (stride_of * n + np.arange(n)) * CONF + conf
             tries, hits = (np.bincount(k, minlength=strides * n * CONF).reshape(strides, -1) for k in (key.ravel(), key[hit > 0]))
             rates = Recent(n, self.known)
@@ -289,7 +296,7 @@ def encode_lanes(prior: Prior, x: np.ndarray, which: np.ndarray, last: int) -> l
     del b
     total, cum0 = prior.total.astype(np.int32), prior.cum0.astype(np.int32)
     size0 = np.diff(cum0)
-    pair_start, pair_size = np.append(prior.pair_start, 0), np.append(prior.pair_size, 0)
+    intervals = np.append(prior.pair_start << PAIR_BITS + 1 | prior.pair_size, np.int32(0))
     down = prior.fine - FINE_BITS
     low, rng = np.zeros(n, _U), np.full(n, _U(0xFFFFFFFFFFFFFFFF))
     out, to = np.zeros(n * (steps + 8), np.uint32), np.arange(n, dtype=np.int64) * (steps + 8)
@@ -303,8 +310,9 @@ def encode_lanes(prior: Prior, x: np.ndarray, which: np.ndarray, last: int) -> l
             m, esc = (1 << UNIT_BITS) - u, pair < 0
             unit = ((m * ((1 << PAIR_BITS) - before)) >> down) * esc
             two = (said[of] == s) & (u > 0)
-            starts = (u << PAIR_BITS + FINE_BITS) + m * (np.where(esc, before, pair_start[pair]) << FINE_BITS) + unit * cum0[s]
-            sizes = m * (np.where(esc, 0, pair_size[pair]) << FINE_BITS) + unit * size0[s]
+            interval = intervals.take(pair)
+            starts = (u << PAIR_BITS + FINE_BITS) + m * (np.where(esc, before, interval >> PAIR_BITS + 1) << FINE_BITS) + unit * cum0.take(s)
+            sizes = m * ((interval & ((2 << PAIR_BITS) - 1)) << FINE_BITS) + unit * size0.take(s)
             starts, sizes = np.where(two, 0, starts).astype(_U), np.where(two, u << PAIR_BITS + FINE_BITS, sizes).astype(_U)
         if t == last:
             ended = out[begin[-1]:to[-1]].tobytes() + struct.pack("<II", int(low[-1]) >> 32, int(low[-1]) & 0xFFFFFFFF)
@@ -341,7 +349,6 @@ def decode_lanes(prior: Prior, payloads: list[bytes], steps: int) -> np.ndarray:
     for k, p in enumerate(payloads):
         data[k, :len(p) // 4] = np.frombuffer(p, np.uint32)
     flat, at = data.ravel(), np.arange(n, dtype=np.int64) * (length + 4) + 2
-    limit = at + length + 1
     diff = (data[:, 0].astype(_U) << _U(32)) | data[:, 1]       # code minus the interval's low end
     rng = np.full(n, _U(0xFFFFFFFFFFFFFFFF))
     recent, down = Recent(n), prior.fine - FINE_BITS
@@ -357,27 +364,28 @@ def decode_lanes(prior: Prior, payloads: list[bytes], steps: int) -> np.ndarray:
         skip = u << PAIR_BITS + FINE_BITS
         w = v - skip
         two = w < 0
-        s, start1, size1 = prior.found(a, (np.maximum(w, 0) // m) >> FINE_BITS)
         part = m << FINE_BITS
+        s, start1, size1 = prior.found(a, (np.maximum(w, 0) / part).astype(np.int32))       # doubles are exact here
         start, size = skip + part * start1, part * size1
         esc = ((s < 0) & ~two).nonzero()[0]
         if len(esc):
-            unit = (m[esc] * ((1 << PAIR_BITS) - start1[esc])) >> down
-            q = np.minimum((v[esc] - start[esc]) // unit, (1 << prior.fine) - 1)
+            unit, from1 = (m.take(esc) * size1.take(esc)) >> down, start.take(esc)
+            q = np.minimum(((v.take(esc) - from1) / unit).astype(np.int32), (1 << prior.fine) - 1)
             s0 = prior.symbol0.take(q)
             s[esc] = s0
-            start[esc] += unit * cum0.take(s0)
+            start[esc] = from1 + unit * cum0.take(s0)
             size[esc] = unit * f0.take(s0)
-        s, start, size = np.where(two, said, s), np.where(two, 0, start), np.where(two, skip, size)
+        two = two.nonzero()[0]
+        s[two], start[two], size[two] = said.take(two), 0, skip.take(two)
         out[t] = s
         diff = diff - start.astype(_U) * r
         rng = size.astype(_U) * r
-        idx = (rng < _WORD).nonzero()[0]
+        small = rng < _WORD
+        idx = small.nonzero()[0]
         if len(idx):
-            j = at[idx]
-            diff[idx] = (diff[idx] << _U(32)) | flat[np.minimum(j, limit[idx])]
-            at[idx] = j + 1
-            rng[idx] <<= _U(32)
+            diff[idx] = (diff.take(idx) << _U(32)) | flat.take(at.take(idx), mode="clip")
+            at += small
+            rng[idx] = rng.take(idx) << _U(32)
         recent.learn(out[t])
         a, b = out[t], a
     return out
@@ -427,6 +435,7 @@ def decode(header: bytes, coded: list[bytes]) -> np.ndarray:
 # ---- tokenizing -------------------------------------------------------------
 
 _CACHE: dict = {}
+_ID_OF = operator.attrgetter("id")
 CACHE_WORDS = 1_500_000
 NEAR = 1 << 18               # words met again and again that are found without a search
 LONG_WORD = 64               # bytes; longer words are hashed one by one
@@ -598,8 +607,11 @@ class WordTokenizer:
             shown = shown.encode().decode("latin-1")
             for x, y in self.shown:
                 shown = shown.replace(x, y)
-        tokens = [self.model.tokenize(t) for t in shown.split(" ")]
-        return np.array([x.id for t in tokens for x in t], np.int32), np.array([len(t) for t in tokens], np.int64)
+        ids, n = [], []
+        for tokens in map(self.model.tokenize, shown.split(" ")):      # one word's tokens live at a time
+            n.append(len(tokens))
+            ids.extend(map(_ID_OF, tokens))
+        return np.array(ids, np.int32), np.array(n, np.int64)
 
     def of_text(self, part):
         edge = np.cumsum([len(t) + 1 for t in part])
