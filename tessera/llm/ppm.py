@@ -23,6 +23,11 @@ is pretrained on the training part of the corpus:
     evaluates each distinct string once and sends the result back to the blocks
     that have it.
 
+No phase holds more than a block's texts or the distinct strings of a bucket,
+however large the corpus:  a bucket's strings wait for its trie on disk, and
+texts, results and word counts meet by block as rows of at most a few hundred
+KB (a longer text is one row), sorted and read one after the other.
+
 The base score, from counts of whole tokens, needs the exact count of every
 word: blocks send their distinct words, not their tokens, to the shuffle and
 get the counts back.  Words are identified by a 64-bit hash.
@@ -38,6 +43,7 @@ probability 1/257 and no token is known.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from functools import reduce
 
@@ -46,14 +52,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, blocks, mix, trimmed, word_hashes, words
-from ._store import arrow_batches, drop, release, saved
+from ._bytes import LOWER, blocks, mix, text_views, trimmed, word_hashes, words
+from ._store import arrow_batches, drop, release, saved, setting
 
 ORDER, LOW, SYMBOLS, END = 5, 2, 257, 256
 BLOCK = 384 << 10            # bytes of text worked on at once
 BODY = 6 << 20              # bytes of text whose distinct strings and words are counted together, of a batch at most
 BATCH_BYTES = 4 << 20        # handed to Python at once: one block
 MERGE_KEYS = 1 << 18         # distinct strings or words gathered before they are merged
+SPOOL_BYTES = 16 << 20       # of a bucket's strings held in memory; more wait on disk
+LOGS_BYTES = 1 << 20         # of results handed back at once
+ROWS_READ = 8                # rows of a block each that Spark reads at once
 PASSES = 3                   # parts of the blocks whose texts meet their strings' results one after the other
 BUCKET_BYTES, MIN_BUCKETS = 4 << 20, 512    # bytes of text for each bucket of strings
 _U = np.uint64
@@ -143,23 +152,23 @@ class Running:
     come since is as much as what is held: the memory is that of the distinct
     keys, not of all that came."""
 
-    def __init__(self):
-        self.parts, self.fresh, self.size = [], 0, 0
+    def __init__(self, kind: type = np.int32):
+        self.parts, self.fresh, self.size, self.kind = [], 0, 0, kind
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((keys, counts.astype(np.int32)))
+        self.parts.append((keys, counts.astype(self.kind)))
         self.fresh += len(keys)
         if self.fresh > max(self.size, MERGE_KEYS):
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
-            self.parts = [(np.zeros(0, _U), np.zeros(0, np.int32))]
+            self.parts = [(np.zeros(0, _U), np.zeros(0, self.kind))]
         if len(self.parts) > 1:
             keys, counts = (np.concatenate(x) for x in zip(*self.parts))
             self.parts = []
             keys, counts = summed(keys, counts)
-            self.parts = [(keys, counts.astype(np.int32))]
+            self.parts = [(keys, counts.astype(self.kind))]
         self.size, self.fresh = len(self.parts[0][0]), 0
         return self.parts[0]
 
@@ -291,6 +300,30 @@ def unpack(batch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, off, batch.column("held_out")[r].values.to_numpy(zero_copy_only=False)
 
 
+TEXT, LOGS, COUNTS = 0, 1, 2         # kinds of rows of a block
+TEXT_ROW = "block long, kind int, place int, doc_id array<long>, held_out array<boolean>, n_bytes array<long>, body binary"
+
+
+def cut_blocks(batches):
+    """The texts of a block in rows of at most ``BLOCK`` bytes, to be dealt: a
+    row of megabytes is copied whole, several times, by each step in the JVM."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            raw, off, held = unpack(batch, r)
+            ids = batch.column("doc_id")[r].values
+            for k, (a, b, part, po) in enumerate(parts_of(raw, off)):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("block").slice(r, 1), pa.array([TEXT], pa.int32()), pa.array([k], pa.int32()),
+                     one_list(ids.slice(a, b - a), pa.int64()), one_list(held[a:b], pa.bool_()),
+                     one_list(np.diff(po), pa.int64()), pa.array([part.tobytes()], pa.binary())],
+                    names=[c.split()[0] for c in TEXT_ROW.split(", ")])
+
+
+def flat(column: pa.ChunkedArray) -> pa.Array:
+    """Elements of a column of lists; a null is an empty list."""
+    return pa.concat_arrays([x.flatten() for x in column.chunks] or [pa.array([], column.type.value_type)])
+
+
 def block_words(batches):
     """(block, words, train): the distinct words of a block and their counts
     in its training texts."""
@@ -344,37 +377,45 @@ def block_strings(order: int, n_buckets: int):
 
 def score_strings(order: int, low, least: float):
     """(block, bucket, logs): log10 probabilities of the strings of each row.
-    Rows come in the order of buckets."""
-    def scored(bucket, rows):
-        size = np.array([len(x[1]) for x in rows])
-        keys, n = (np.concatenate([x[k] for x in rows]) for k in (1, 2))
-        by = np.argsort(keys, kind="stable")
-        new = np.concatenate(([True], keys[by][1:] != keys[by][:-1]))
-        uniq = keys[by][new]
-        total = np.add.reduceat(n[by].astype(np.int64), np.flatnonzero(new))
+    Rows come in the order of buckets.  A bucket is gone through twice, first
+    for the counts, then for the results: between, its distinct strings are in
+    memory, the rows in a file from ``SPOOL_BYTES`` on."""
+    def scored(bucket, sizes, found, spool):
+        uniq, total = found.merge()
         trie = Trie(order, low.value)
         for k in range(LOW + 1, order + 1):
             trie.add(*level(uniq[total > 0], total[total > 0], order, k), least)
-        logs = np.empty(len(keys))
-        logs[by] = trie.log10(uniq)[np.cumsum(new) - 1]
-        edge = np.concatenate(([0], np.cumsum(size)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in rows], pa.int64()), pa.array(np.full(len(rows), bucket), pa.int32()),
-             pa.array([logs[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())],
-            names=["block", "bucket", "logs"])
+        each = np.concatenate([trie.log10(uniq[i:i + MERGE_KEYS]) for i in range(0, len(uniq), MERGE_KEYS)])
+        spool.seek(0)
+        i, done = 0, np.cumsum([n for _, n in sizes])
+        while i < len(sizes):
+            before = done[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(done, before + LOGS_BYTES // 8, "right")))
+            logs = each[np.searchsorted(uniq, np.frombuffer(spool.read(int(done[j - 1] - before) * 8), _U))]
+            edge = np.append(0, done[i:j] - before) * 8
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block for block, _ in sizes[i:j]], pa.int64()), pa.array(np.full(j - i, bucket), pa.int32()),
+                 pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(logs)])],
+                names=["block", "bucket", "logs"])
+            i = j
 
     def run(batches):
-        held, at = [], None
+        at, sizes, found, spool = None, [], None, None
         for batch in batches:
             keys, n = batch.column("keys"), batch.column("n")
             for r, (bucket, block) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist())):
-                if bucket != at and held:
-                    yield scored(at, held)
-                    held = []
-                at = bucket
-                held.append((block, np.frombuffer(keys[r].as_buffer(), _U), np.frombuffer(n[r].as_buffer(), np.int32)))
-        if held:
-            yield scored(at, held)
+                if bucket != at:
+                    if sizes:
+                        yield from scored(at, sizes, found, spool)
+                        spool.close()
+                    at, sizes, found, spool = bucket, [], Running(np.int64), tempfile.SpooledTemporaryFile(SPOOL_BYTES)
+                here = np.frombuffer(keys[r].as_buffer(), _U)
+                spool.write(here)
+                sizes.append((block, len(here)))
+                found.add(here.copy(), np.frombuffer(n[r].as_buffer(), np.int32))   # a view would keep its batch
+        if sizes:
+            yield from scored(at, sizes, found, spool)
+            spool.close()
     return run
 
 
@@ -396,44 +437,60 @@ RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 def score_texts(order: int, n_buckets: int, tokens: int, kinds: int, ends: int):
     """Scores of the texts of a block from those of its strings and the counts
-    of its words."""
+    of its words.  Rows come in the order of block, kind and place."""
+    whole = tokens + 0.5 * (kinds + 1)
+
+    def scored(rows):
+        rows = pa.Table.from_batches(rows)
+        part = np.searchsorted(rows["kind"].to_numpy(), [TEXT, LOGS, COUNTS, COUNTS + 1])
+        texts, logs, known_words = (rows.slice(a, b - a) for a, b in zip(part[:-1], part[1:]))
+        raw, off = text_views(texts["body"])[0], np.concatenate(([0], np.cumsum(flat(texts["n_bytes"]).to_numpy())))
+        held = flat(texts["held_out"]).to_numpy(zero_copy_only=False)
+        found, hashes, per_doc, abc = [], [], [], Alphabet(raw)
+        width = abc.bits * (order + 1)
+        for _, _, part, po in parts_of(raw, off):
+            starts, ends_, first = words(part, po)
+            hashes.append(word_hashes(part, starts, ends_))
+            per_doc.append(np.diff(first))
+            sym, begin = symbols(part, po, starts, ends_, first)
+            found.append((*ranked(strings(abc.rank[sym], begin, order, abc.bits, abc.bits), width), begin))
+        uniq = counted(np.concatenate([x[0] for x in found]))[0]
+        log = np.empty(len(uniq))
+        log[np.argsort(buckets_of(abc.strings(uniq, order), order, n_buckets), kind="stable")] = text_views(logs["body"])[0].copy().view(np.float64)
+        score = []
+        for keys, place, new, begin in found:
+            each = np.empty(len(place))
+            each[place] = np.repeat(log[np.searchsorted(uniq, keys)], np.diff(np.append(np.flatnonzero(new), len(new))))
+            score.append(np.add.reduceat(each, begin[:-1]))
+        del found, uniq, log
+        word, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        per_doc, m = np.concatenate(per_doc), len(held)
+        counts = np.zeros(len(word), np.int64)
+        counts[flat(known_words["pos"]).to_numpy()] = flat(known_words["c"]).to_numpy()
+        doc = np.repeat(np.arange(m), per_doc)
+        base = np.bincount(doc, np.log10((counts + 0.5) / whole)[which], m)
+        known = np.bincount(doc, (counts > 0)[which], m)
+        return pa.RecordBatch.from_arrays(
+            [flat(texts["doc_id"]), pa.array(held, pa.bool_()), pa.array(per_doc + 1, pa.int64()),
+             pa.array((known + (ends > 0)).astype(np.int64)), pa.array(np.full(m, tokens, np.int64)),
+             pa.array(base + np.log10((ends + 0.5) / whole)), pa.array(np.concatenate(score))],
+            names=[c.split()[0] for c in RESULT.split(", ")])
+
     def run(batches):
+        held, at = [], None
         for batch in batches:
-            for r in range(batch.num_rows):
-                raw, off, held = unpack(batch, r)
-                found, hashes, per_doc, abc = [], [], [], Alphabet(raw)
-                width = abc.bits * (order + 1)
-                for _, _, part, po in parts_of(raw, off):
-                    starts, ends_, first = words(part, po)
-                    hashes.append(word_hashes(part, starts, ends_))
-                    per_doc.append(np.diff(first))
-                    sym, begin = symbols(part, po, starts, ends_, first)
-                    found.append((*ranked(strings(abc.rank[sym], begin, order, abc.bits, abc.bits), width), begin))
-                uniq = counted(np.concatenate([x[0] for x in found]))[0]
-                logs = batch.column("logs")[r].values
-                at = np.argsort(logs.field("bucket").to_numpy())
-                logs = [np.frombuffer(logs.field("logs")[int(k)].as_buffer(), np.float64) for k in at]
-                log = np.empty(len(uniq))
-                log[np.argsort(buckets_of(abc.strings(uniq, order), order, n_buckets), kind="stable")] = np.concatenate(logs)
-                score = []
-                for keys, place, new, begin in found:
-                    each = np.empty(len(place))
-                    each[place] = np.repeat(log[np.searchsorted(uniq, keys)], np.diff(np.append(np.flatnonzero(new), len(new))))
-                    score.append(np.add.reduceat(each, begin[:-1]))
-                word, which = np.unique(np.concatenate(hashes), return_inverse=True)
-                per_doc, m = np.concatenate(per_doc), len(held)
-                counts = np.zeros(len(word), np.int64)
-                if batch.column("pos")[r].is_valid:
-                    counts[batch.column("pos")[r].values.to_numpy()] = batch.column("c")[r].values.to_numpy()
-                whole = tokens + 0.5 * (kinds + 1)
-                doc = np.repeat(np.arange(m), per_doc)
-                base = np.bincount(doc, np.log10((counts + 0.5) / whole)[which], m)
-                known = np.bincount(doc, (counts > 0)[which], m)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[r].values, pa.array(held, pa.bool_()), pa.array(per_doc + 1, pa.int64()),
-                     pa.array((known + (ends > 0)).astype(np.int64)), pa.array(np.full(m, tokens, np.int64)),
-                     pa.array(base + np.log10((ends + 0.5) / whole)), pa.array(np.concatenate(score))],
-                    names=[c.split()[0] for c in RESULT.split(", ")])
+            block = batch.column("block").to_numpy()
+            edge = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
+            for a, b in zip(edge[:-1], edge[1:]):
+                if a == b:
+                    continue
+                if block[a] != at and held:
+                    yield scored(held)
+                    held = []
+                at = block[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield scored(held)
     return run
 
 
@@ -441,7 +498,8 @@ def word_counts(packed: DataFrame) -> tuple[DataFrame, int, int, int]:
     """Saved (block, pos, c) with the training count of each of the block's
     words, training tokens, distinct training tokens, training texts."""
     ends = packed.select(F.explode("held_out").alias("h")).agg(F.count(F.when(~F.col("h"), 1))).first()[0]
-    found = saved(packed.select("block", "n_bytes", "held_out", "body").mapInArrow(trimmed(block_words), WORDS_ROW), "block-words")
+    with setting(packed.sparkSession, "spark.sql.parquet.columnarReaderBatchSize", str(ROWS_READ)):
+        found = saved(packed.select("block", "n_bytes", "held_out", "body").mapInArrow(trimmed(block_words), WORDS_ROW), "block-words")
     known = found.select(F.explode(F.arrays_zip("words", "train")).alias("x")).select(
         F.col("x.words").alias("word"), F.col("x.train").alias("train"))
     totals = saved(known.filter("train > 0").groupBy("word").agg(F.sum("train").alias("c")), "words")
@@ -470,17 +528,21 @@ def score_documents(docs: DataFrame, order: int = ORDER, mass_bits: int | None =
         low = spark.sparkContext.broadcast(trie)
         rows = packed.select("block", "n_bytes", "held_out", "body").mapInArrow(
             trimmed(block_strings(order, n_buckets)), "bucket int, block long, keys binary, n binary")
-        logs = saved(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-            trimmed(score_strings(order, low, least)), "block long, bucket int, logs binary"), "logs")
+        with setting(spark, "spark.sql.parquet.columnarReaderBatchSize", str(ROWS_READ)):
+            logs = saved(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+                trimmed(score_strings(order, low, least)), "block long, bucket int, logs binary"), "logs")
         low.destroy()
         release(spark)                      # the strings' shuffle files go before the logs are dealt
         scores = []
         for part in range(PASSES):
             of = lambda table: table.filter(F.col("block") % PASSES == part)  # noqa: B023, E731
-            by_block = of(logs).groupBy("block").agg(F.collect_list(F.struct("bucket", "logs")).alias("logs"))   # bounded by the block
-            joined = of(packed).drop("low", "low_n").join(by_block, "block").join(of(counts), "block", "left")
-            scores.append(saved(joined.mapInArrow(trimmed(score_texts(order, n_buckets, n, kinds, ends)), RESULT), "scores"))
-            del by_block, joined
+            texts = of(packed).select("block", "doc_id", "held_out", "n_bytes", "body").mapInArrow(trimmed(cut_blocks), TEXT_ROW)
+            results = of(logs).select("block", F.lit(LOGS).alias("kind"), F.col("bucket").alias("place"), F.col("logs").alias("body"))
+            known = of(counts).select("block", F.lit(COUNTS).alias("kind"), F.lit(0).alias("place"), "pos", "c")
+            rows = texts.unionByName(results, True).unionByName(known, True).repartition("block").sortWithinPartitions("block", "kind", "place")
+            with setting(spark, "spark.sql.parquet.columnarReaderBatchSize", str(ROWS_READ)):
+                scores.append(saved(rows.mapInArrow(trimmed(score_texts(order, n_buckets, n, kinds, ends)), RESULT), "scores"))
+            del texts, results, known, rows
             release(spark)                  # the texts, logs and counts of a pass are dealt only for it
     for table in (packed, logs, counts):
         drop(table)

@@ -5,10 +5,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
+import types
 import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,6 +244,64 @@ def test_ppm_texts_go_to_python_in_bounded_batches(llm, monkeypatch):
     assert set(limits) == {str(ppm.BATCH_BYTES)}
 
 
+def test_ppm_memory_of_a_bucket_is_that_of_its_distinct_strings(monkeypatch):
+    raw, off = np.frombuffer(b"the others there " * 40 + b"their theme thins the ether", np.uint8), np.array([0, 707])
+    sym, begin = ppm.symbols(raw, off, *ppm.words(raw, off))
+    keys, n = ppm.counted(np.concatenate([ppm.strings(sym, begin, 5), np.arange(4000, dtype=np.uint64) << np.uint64(9) | np.uint64(7)]))
+    n[::3] = 0                                               # only in texts held out
+    low, every, blocks = ppm.Trie(5), ppm.Trie(5), 300
+    some = n > 0
+    for trie, top in ((low, ppm.LOW), (every, 5)):
+        for k in range(top + 1):
+            trie.add(*ppm.level(keys[some], n[some] * blocks, 5, k))
+
+    def batches(some):
+        for block in range(some):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([3], pa.int32()), pa.array([block], pa.int64()), pa.array([keys.tobytes()], pa.binary()),
+                 pa.array([n.astype(np.int32).tobytes()], pa.binary())], names=["bucket", "block", "keys", "n"])
+
+    monkeypatch.setattr(ppm, "SPOOL_BYTES", 1 << 16, raising=False)
+    monkeypatch.setattr(ppm, "MERGE_KEYS", 1 << 12)
+    want, seen, run = every.log10(keys), [], ppm.score_strings(5, types.SimpleNamespace(value=low), 0)
+    assert sum(x.num_rows for x in run(batches(2))) == 2     # imports what is needed
+    tracemalloc.start()
+    for got in run(batches(blocks)):
+        assert got.nbytes < 4 << 20
+        for row in got.to_pylist():
+            assert row["bucket"] == 3 and np.array_equal(np.frombuffer(row["logs"], np.float64), want)
+            seen.append(row["block"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == list(range(blocks))
+    assert peak < 8 * len(keys) * blocks                     # less than the strings themselves
+
+
+def test_ppm_texts_meet_results_in_small_rows(llm, monkeypatch):
+    plans, saved = [], ppm.saved
+    monkeypatch.setattr(ppm, "saved", lambda df, name: (name == "scores" and plans.append(df._jdf.queryExecution().executedPlan().toString())) or saved(df, name))
+    docs = llm.createDataFrame([(i if i % 7 else None, "a b " * (i % 9) + "c", i % 3 == 0) for i in range(40)], "doc_id long, text string, held_out boolean")
+    got = ppm.score_documents(docs).select("doc_id", "held_out", "n_tokens").collect()
+    assert plans and not any(x in p for p in plans for x in ("Join", "collect_list"))    # each makes a row of a whole block
+    assert sorted(map(str, got)) == sorted(map(str, docs.selectExpr("doc_id", "held_out", "size(split(text, ' ')) + 1L as n_tokens").collect()))
+    cut = [x for b in ppm.pack_blocks("text", 2)([pa.RecordBatch.from_pylist(
+        [{"doc_id": i, "text": "words " * 20_000, "held_out": False} for i in range(9)])]) for x in ppm.cut_blocks([b])]
+    assert len(cut) > 2 and all(len(x["body"][0].as_py()) <= ppm.BLOCK for x in cut)
+    assert [i for x in cut for i in x["doc_id"][0].as_py()] == list(range(9))
+
+
+def test_saved_pages_end_by_size(llm):
+    rows = llm.range(0, 6, 1, 1).select(F.expr("repeat(sha2(cast(id as string), 512), 12000)").alias("body"))
+    out = _store.saved(rows, "pages")
+    jvm, path = llm.sparkContext._jvm, out.inputFiles()[0]
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(
+        jvm.org.apache.hadoop.fs.Path(path), llm._jsc.hadoopConfiguration()))
+    pages = reader.readOffsetIndex(reader.getFooter().getBlocks().get(0).getColumns().get(0)).getPageCount()
+    reader.close()
+    assert pages > 1 and out.count() == 6
+    _store.drop(out)
+
+
 def test_ppm_passes_give_the_same_rows(llm, monkeypatch):
     """Each pass deals only its own blocks; together they score every text once."""
     docs = llm.createDataFrame([(i, f"some text {i} {i % 7}", i % 5 == 1) for i in range(60)],
